@@ -50,6 +50,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def sorted_distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def words(column, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(row of each word, hash of each word with A-Z lowered) over whole texts, in text order.
 

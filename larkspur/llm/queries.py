@@ -7,6 +7,9 @@ from importlib import import_module
 #: query name -> module of this package that has query(spark, sf_dir)
 NAMES = {
     "op3_simhash_pigeonring": "simhash",
+    "op5_toxicity_ftrl": "toxicity",
+    "op8_bpe_speculative": "bpe",
+    "op9_mixing_systematic": "mixing",
 }
 
 
@@ -16,4 +19,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .mixing import ORACLE
+
+    return {"op9_mixing_systematic": ORACLE}
