@@ -10,12 +10,15 @@ NAMES = {
     "op5_toxicity_ftrl": "toxicity",
     "op8_bpe_speculative": "bpe",
     "op9_mixing_systematic": "mixing",
+    "op10_suffix_array_family": "suffix_dedup",
 }
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     out = {name: import_module(f"{__package__}.{module}").query for name, module in NAMES.items()}
-    return out
+    return out | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
