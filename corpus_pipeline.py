@@ -18,8 +18,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, at most 2 differing bits."""
-    return simhash.keep_one(docs, shingle=5)
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ from importlib import import_module
 NAMES = {
     "op3_simhash_pigeonring": "simhash",
     "op5_toxicity_ftrl": "toxicity",
+    "op6_fingerprint_canonical": "fingerprint",
+    "op7_sentence_spans": "sentence_dedup",
     "op8_bpe_speculative": "bpe",
     "op9_mixing_systematic": "mixing",
     "op10_suffix_array_family": "suffix_dedup",

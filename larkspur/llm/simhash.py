@@ -14,6 +14,7 @@ the links are the same components, from rows in proportion to the bucket.
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, signed, text_bytes
+from .hashing import mix, words
 
 WIDTHS = (13, 13, 13, 13, 12)
 STARTS = (0, 13, 26, 39, 52)
@@ -67,21 +69,29 @@ def _segment(fp: str, i: int) -> str:
     return f"(shiftrightunsigned({fp}, {STARTS[i]}) & {(1 << WIDTHS[i]) - 1}L)"
 
 
+def _by_start(expression) -> str:
+    """SQL that picks expression(i) for the chain start i of a bucket."""
+    return "case shiftright(bucket, 26) % 5 " + " ".join(f"when {i} then {expression(i)}" for i in range(5)) + " end"
+
+
 def links(distinct: DataFrame, scratch: Scratch, limit: int = 64) -> DataFrame:
-    """Links (x, y) that give the components of distinct fingerprints within 2 bits."""
-    ring = scratch.keep(
-        distinct.select("fp", F.explode(F.expr("array(" + ",".join(f"named_struct('i', {i}, 'key', {_segment('fp', i)} * 8192L + {_segment('fp', i + 1)})" for i in range(5)) + ")")).alias("r")).select("fp", "r.i", "r.key")
-    )
-    sizes = ring.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
-    small = ring.join(sizes.where(F.col("n") <= limit).select("i", "key"), ["i", "key"])
-    chain = lambda n: " + ".join("case i " + " ".join(f"when {i} then bit_count({_segment('x', i + k)} ^ {_segment('y', i + k)})" for i in range(5)) + " end" for k in range(2, n))
-    pairs = small.withColumnRenamed("fp", "x").join(small.withColumnRenamed("fp", "y"), ["i", "key"]).where("x < y").where(f"{chain(3)} <= 1").where(f"{chain(4)} <= 1").where("bit_count(x ^ y) <= 2").select("x", "y")
-    free = "case i " + " ".join(f"when {i} then array({','.join(str(b) for k in (2, 3, 4) for b in range(STARTS[(i + k) % 5], STARTS[(i + k) % 5] + WIDTHS[(i + k) % 5]))})" for i in range(5)) + " end"
-    big = ring.join(sizes.where(F.col("n") > limit).select("i", "key"), ["i", "key"])
-    deals = big.select("i", "key", "fp", F.explode(F.expr(f"concat(array(fp), transform({free}, b -> fp ^ shiftleft(1L, b)))")).alias("deal"))
-    heads = deals.groupBy("i", "key", "deal").agg(F.min("fp").alias("y"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = deals.join(heads, ["i", "key", "deal"]).where("fp <> y").select(F.col("fp").alias("x"), "y")
-    return pairs.unionByName(stars).distinct()
+    """Links (ring, x, y) that give the components, in each ring, of its distinct fingerprints fp within 2 bits.
+
+    A bucket is a ring, the segment i at which a chain starts and the bits of segments i and i + 1.
+    """
+    starts = ",".join(f"shiftleft(ring * 5L + {i}L, 26) | ({_segment('fp', i)} * 8192L + {_segment('fp', i + 1)})" for i in range(5))
+    dealt = scratch.keep(distinct.select("fp", F.explode(F.expr(f"array({starts})")).alias("bucket")))
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    small = dealt.join(sizes.where(F.col("n") <= limit).drop("n"), "bucket")
+    chain = lambda n: " + ".join(_by_start(lambda i, k=k: f"bit_count({_segment('x', i + k)} ^ {_segment('y', i + k)})") for k in range(2, n))
+    pairs = small.withColumnRenamed("fp", "x").join(small.withColumnRenamed("fp", "y"), "bucket").where("x < y").where(f"{chain(3)} <= 1").where(f"{chain(4)} <= 1").where("bit_count(x ^ y) <= 2")
+    free = _by_start(lambda i: "array(" + ",".join(str(b) for k in (2, 3, 4) for b in range(STARTS[(i + k) % 5], STARTS[(i + k) % 5] + WIDTHS[(i + k) % 5])) + ")")
+    big = dealt.join(sizes.where(F.col("n") > limit).drop("n"), "bucket")
+    deals = big.select("bucket", "fp", F.explode(F.expr(f"concat(array(fp), transform({free}, b -> fp ^ shiftleft(1L, b)))")).alias("deal"))
+    heads = deals.groupBy("bucket", "deal").agg(F.min("fp").alias("y"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = deals.join(heads, ["bucket", "deal"]).where("fp <> y").withColumnRenamed("fp", "x")
+    ring = F.expr("cast(shiftright(bucket, 26) div 5 as int)").alias("ring")
+    return pairs.select(ring, "x", "y").unionByName(stars.select(ring, "x", "y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -94,7 +104,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     prints = scratch.keep(fingerprints(docs, shingle))
     heads = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    near = links(heads.select("fp"), scratch)
+    near = links(heads.select(F.lit(0).alias("ring"), "fp"), scratch)
     ids = heads.where("rep is not null")
     a, b = ids.select(F.col("fp").alias("x"), F.col("rep").alias("a")), ids.select(F.col("fp").alias("y"), F.col("rep").alias("b"))
     roots = components(near.join(a, "x").join(b, "y").select("a", "b"), scratch)
@@ -102,9 +112,87 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return prints.join(named, "fp")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """docs without the rows that are near-duplicates of a row with a smaller doc_id."""
-    gone = near_duplicates(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+def _majority(rows: np.ndarray, hashes: np.ndarray, n_rows: int, lanes: int) -> np.ndarray:
+    """(n_rows, lanes) SimHashes from hashes sorted by row; each lane rehashes with its own salt."""
+    out = np.zeros((n_rows, lanes), np.uint64)
+    cuts = np.searchsorted(rows, np.arange(n_rows + 1))
+    for lane in range(lanes):
+        cells = mix(hashes + np.uint64((0x9E3779B97F4A7C15 * (lane + 1)) & (2**64 - 1))).view(np.uint8).reshape(-1, 8)
+        for i in np.flatnonzero(np.diff(cuts)).tolist():
+            part = cells[cuts[i] : cuts[i + 1]]
+            if len(part) < 256:
+                ones = np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int32)
+            else:
+                ones = np.concatenate([np.bincount(part[:, k], minlength=256) @ _BITS for k in range(8)])
+            out[i, lane] = np.packbits(ones * 2 > len(part), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def signatures(docs: DataFrame, shingle: int, rings: int, lanes: int = 8) -> DataFrame:
+    """(doc_id, u, s): SimHashes of the distinct words, one long a ring, and of the distinct shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                row, word = words(part.column(1))
+                u = _majority(*_distinct(row, word), part.num_rows, rings)
+                gram = word.copy()
+                for k in range(1, shingle):
+                    gram[:-k] += np.where(row[k:] == row[:-k], mix(word[k:]) * np.uint64((2 * k + 1) ** 9), np.uint64(0))
+                size = np.bincount(row, minlength=part.num_rows)
+                place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+                whole = place <= np.maximum(size[row] - shingle, 0)
+                s = _majority(*_distinct(row[whole], mix(gram[whole])), part.num_rows, lanes)
+                arrays = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(signed(x.ravel()))) for x in (u, s)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", "u", "s"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, u array<long>, s array<long>")
+
+
+def _distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    return row[new], value[new]
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rings: int = 20, slack: int = 7) -> DataFrame:
+    """(doc_id, component_id) of documents whose sets of shingles have a Jaccard index of about similarity.
+
+    Such texts differ in far more than 2 of 64 bits, so the candidates come from ``rings`` 64-bit
+    SimHashes of the distinct words, in which an edit changes one element and not ``shingle``; a
+    pair within 2 bits in any ring, found by the pigeonring, is a candidate.  It is linked if the
+    512-bit SimHashes of its shingle sets are as close as the angle of that index,
+    cos = 2 J / (1 + J), and ``slack`` bits, one standard deviation, more.  Null texts are empty; texts without words are one group.
+    """
+    scratch = Scratch(docs.sparkSession)
+    marks = scratch.keep(signatures(docs, shingle, rings))
+    heads = scratch.keep(marks.where("doc_id is not null").groupBy("u", "s").agg(F.min("doc_id").alias("rep")))
+    ring = scratch.keep(heads.select("rep", F.posexplode("u").alias("ring", "fp")))
+    near = []
+    flat = ring.groupBy("ring", "fp").agg(F.min("rep").alias("head"))
+    near.append(ring.join(flat, ["ring", "fp"]).where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")))
+    found = links(flat.select("ring", "fp"), scratch)
+    x, y = flat.select("ring", F.col("fp").alias("x"), F.col("head").alias("a")), flat.select("ring", F.col("fp").alias("y"), F.col("head").alias("b"))
+    near.append(found.join(x, ["ring", "x"]).join(y, ["ring", "y"]).select("a", "b"))
+    pairs = near[0].unionByName(near[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    budget = int(64 * 8 * math.acos(2 * similarity / (1 + similarity)) / math.pi) + slack
+    s = heads.select("rep", "s")
+    apart = " + ".join(f"bit_count(p[{i}] ^ q[{i}])" for i in range(8))
+    pairs = pairs.join(s.select(F.col("rep").alias("a"), F.col("s").alias("p")), "a").join(s.select(F.col("rep").alias("b"), F.col("s").alias("q")), "b").where(f"{apart} <= {budget}").select("a", "b")
+    roots = components(pairs, scratch)
+    named = heads.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("u", "s", F.coalesce("component", "rep").alias("component_id"))
+    return marks.join(named, ["u", "s"], "left").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without the rows that are near-duplicates of a row with a smaller doc_id.
+
+    Of rows with one doc_id all stay or go together; rows without a doc_id stay.
+    """
+    gone = similar(docs, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
