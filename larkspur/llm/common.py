@@ -62,6 +62,14 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder with its partitioning kept."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
+    return df.checkpoint(eager=True)
+
+
 def text_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying its text; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):

@@ -6,7 +6,10 @@ from importlib import import_module
 
 #: query name -> module of this package that has query(spark, sf_dir)
 NAMES = {
+    "op1_html_host_suffix_array": "html_extract",
+    "op2_embedding_hnsw": "embedding_dedup",
     "op3_simhash_pigeonring": "simhash",
+    "op4_lm_deleted_interpolation": "lm_scoring",
     "op5_toxicity_ftrl": "toxicity",
     "op6_fingerprint_canonical": "fingerprint",
     "op7_sentence_spans": "sentence_dedup",
