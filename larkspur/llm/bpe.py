@@ -23,7 +23,7 @@ from .common import text_view
 # The published splitting pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker keeps the encodings of this many distinct words, and of those it kept before them.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 120_000
 NEVER = (1 << 60, -1)
 
 

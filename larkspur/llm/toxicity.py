@@ -10,7 +10,6 @@ at zero: what is sent to the scoring tasks is at most ``1 << BITS`` numbers, wha
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from .hashing import mix, sorted_distinct, words
 
 BITS = 20
 #: The fit takes at most this many labelled rows, those with the lowest digests of doc_id.
-SAMPLE = 24_000
+SAMPLE = 10_000
 THRESHOLD = 0.3
 #: Rates of the fit: alpha and beta of the per-coordinate rate, L1, L2, passes.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 8.0, 0.5, 3
@@ -87,17 +86,30 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(bucket, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "toxic", "x"])
 
-    def train(frames):
-        parts = list(frames)
-        if parts:
-            rows = pd.concat(parts).drop_duplicates("id")
-            rows = rows.iloc[np.argsort(mix(rows["id"].to_numpy().astype(np.uint64)), kind="stable")]
-            w, bias = fit([np.asarray(x, np.int64) for x in rows["x"]], (rows["toxic"].to_numpy() > 0).astype(float))
-            at = np.flatnonzero(w)
-            yield pd.DataFrame({"bucket": np.append(at, -1), "weight": np.append(w[at], bias)})
+    def train(batches):
+        ids, toxic, x = [], [], []
+        for batch in batches:
+            cuts, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            ids += batch.column(0).to_pylist()
+            toxic += batch.column(1).to_pylist()
+            x += [flat[a:b].copy() for a, b in zip(cuts[:-1], cuts[1:])]
+        if not ids:
+            return
+        # a bucket of few documents cannot reach the L1 bound, so it cannot change the fit
+        common = np.zeros(1 << BITS, np.int32)
+        for buckets in x:
+            common[buckets] += 1
+        common = common * PASSES > L1
+        x = [buckets[common[buckets]] for buckets in x]
+        number = np.array(ids, np.int64)
+        order = np.lexsort((number, mix(number.astype(np.uint64))))
+        order = order[np.concatenate([[True], number[order][1:] != number[order][:-1]])]
+        w, bias = fit([x[i] for i in order], np.array(toxic)[order] > 0)
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at], bias))], ["bucket", "weight"])
 
     rows = texts.mapInArrow(gather, "id long, toxic int, x array<int>").repartition(1)
-    found = rows.mapInPandas(train, "bucket long, weight double").toPandas()
+    found = rows.mapInArrow(train, "bucket long, weight double").toPandas()
     inside = found["bucket"] >= 0
     bias = float(found.loc[~inside, "weight"].iloc[0]) if len(found) else -2.0
     return found.loc[inside, "bucket"].to_numpy(), found.loc[inside, "weight"].to_numpy(), bias
