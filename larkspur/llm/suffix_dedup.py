@@ -203,7 +203,7 @@ def covered_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot:
             )
 
     anchors = scratch.keep(texts.mapInArrow(run, f"doc_id {id_type}, version long, pos int, lead short, more short, gram long, span long"))
-    again = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("a"), F.max("span").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed"))
+    again = scratch.keep(anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("a"), F.max("span").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")))
     repeated = scratch.keep(anchors.join(again, "gram"))
     scratch.drop(anchors)
     kinds = scratch.keep(repeated.groupBy("mixed", *KEY).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "pos", "lead", "more")).alias("one")))
