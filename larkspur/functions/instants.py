@@ -30,6 +30,7 @@ def canonical(ts: Column) -> Column:
 def normalize(text: Column) -> Column:
     """Canonical text of an ISO timestamp; one without a zone is taken as UTC; null if invalid."""
     t = F.trim(text)
+    t = F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.concat(t, F.lit("T00:00:00"))).otherwise(t)
     zoned = F.when(t.rlike(r"(?i)(Z|[+-][0-9]{2}:[0-9]{2})$"), t).otherwise(F.concat(t, F.lit("Z")))
     return canonical(F.try_to_timestamp(F.date_trunc("millisecond", F.try_to_timestamp(zoned)).cast("string")))
 

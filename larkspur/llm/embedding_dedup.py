@@ -119,21 +119,27 @@ class Graph:
         seen = np.zeros((r, limit + 1), bool)
         seen[np.arange(r)[:, None], ids] = True
         open_ = ids >= 0
+        width = ids.shape[1]
+        many = max(1, width // 16)  # nodes that a row opens at once
         while True:
             waiting = np.where(open_, sims, -np.inf)
-            pick = np.argmax(waiting, 1)
-            rows = np.flatnonzero(waiting[np.arange(r), pick] > -np.inf)
+            rows = np.flatnonzero(waiting.max(1) > -np.inf)
             if not len(rows):
                 break
-            pick = pick[rows]
-            open_[rows, pick] = False
-            to = links[ids[rows, pick]].astype(np.int64)
-            fresh = (to >= 0) & (to < limit)
-            to = np.where(fresh, to, limit)
-            fresh &= ~seen[rows[:, None], to]
-            seen[rows[:, None], to] = True
-            near = np.where(fresh, np.einsum("rwd,rd->rw", self.x[np.where(fresh, to, 0)], q[rows]), -np.inf).astype(np.float32)
-            width = ids.shape[1]
+            waiting = waiting[rows]
+            pick = np.argmax(waiting, 1)[:, None] if many == 1 else np.argpartition(-waiting, many - 1, axis=1)[:, :many]
+            good = np.take_along_axis(waiting, pick, 1) > -np.inf
+            at = rows[:, None]
+            open_[at, pick] &= ~good
+            to = links[np.maximum(ids[at, pick], 0)].astype(np.int64)
+            to = np.where(good[:, :, None] & (to >= 0) & (to < limit), to, limit).reshape(len(rows), -1)
+            to.sort(axis=1)
+            to[:, 1:][to[:, 1:] == to[:, :-1]] = limit
+            fresh = ~seen[at, to] & (to < limit)
+            seen[at, to] = True
+            near = np.full(to.shape, -np.inf, np.float32)
+            r_at, c_at = np.nonzero(fresh)
+            near[r_at, c_at] = np.einsum("nd,nd->n", self.x[to[r_at, c_at]], q[rows[r_at]])
             all_ids = np.concatenate([ids[rows], np.where(fresh, to, -1)], 1)
             all_sims = np.concatenate([sims[rows], near], 1)
             all_open = np.concatenate([open_[rows], fresh], 1)
