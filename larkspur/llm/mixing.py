@@ -79,15 +79,16 @@ def mixed(docs: DataFrame, share: float = SHARE, seed: int = 7) -> DataFrame:
     """docs with every row repeated as often as the mix takes it.
 
     Rows that share doc_id, source and size are told apart by their ordinal only in number: the
-    copies that they get together are handed to them in the order of their text.
+    copies that they get together are handed to them in the order of their text.  Other columns are
+    carried along, whatever their names.
     """
-    sized = docs.withColumn("size", F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long"))
-    dealt = deal(sized.select("doc_id", "source", "size"), share, seed)
-    twins = Window.partitionBy("doc_id", "source", "size")
-    dealt = dealt.withColumn("twin", F.row_number().over(twins.orderBy("ordinal"))).where("copies > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "copies", "twin")
-    sized = sized.withColumn("twin", F.row_number().over(twins.orderBy("text")))
-    on = sized["doc_id"].eqNullSafe(dealt["d"]) & sized["source"].eqNullSafe(dealt["s"]) & (sized["size"] == dealt["z"]) & (sized["twin"] == dealt["twin"])
-    return sized.join(dealt, on).withColumn("copy", F.explode(F.expr("sequence(1, cast(copies as int))"))).select(*[sized[c] for c in docs.columns])
+    size, twin = "_mixing_size", "_mixing_twin"
+    sized = docs.withColumn(size, F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long"))
+    dealt = deal(sized.select("doc_id", "source", F.col(size).alias("size")), share, seed)
+    dealt = dealt.withColumn(twin, F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("ordinal"))).where("copies > 0").select(F.col("doc_id").alias("_mixing_d"), F.col("source").alias("_mixing_s"), F.col("size").alias("_mixing_z"), F.col("copies").alias("_mixing_n"), F.col(twin).alias("_mixing_t"))
+    sized = sized.withColumn(twin, F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy("text")))
+    on = sized["doc_id"].eqNullSafe(dealt["_mixing_d"]) & sized["source"].eqNullSafe(dealt["_mixing_s"]) & (sized[size] == dealt["_mixing_z"]) & (sized[twin] == dealt["_mixing_t"])
+    return sized.join(dealt, on).withColumn("_mixing_copy", F.explode(F.expr("sequence(1, cast(_mixing_n as int))"))).select(*[sized[c] for c in docs.columns])
 
 
 def query(spark, sf_dir):

@@ -112,16 +112,16 @@ def deduplicated(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFra
     Null texts are empty.  Rows that agree in doc_id and text are one document.  Texts with fewer
     than ``run`` sentences or ``least`` words keep all; other columns are not looked at.
     """
-    found = covered(docs, Scratch(docs.sparkSession), run, least).withColumnsRenamed({"doc_id": "range_id", "version": "range_version"})
+    found = covered(docs, Scratch(docs.sparkSession), run, least).toDF("_range_id", "_range_version", "_range_froms", "_range_tos")
     id_type = dict(docs.dtypes)["doc_id"]
-    on = docs["doc_id"].eqNullSafe(found["range_id"]) & (F.xxhash64(docs["text"]) == found["range_version"])
+    on = docs["doc_id"].eqNullSafe(found["_range_id"]) & (F.xxhash64(docs["text"]) == found["_range_version"])
 
     def cut(batches):
         for batch in batches:
             left = [_left(*x) for x in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0].decode("utf-8", "replace") for x in left], pa.string()), pa.array([x[1] for x in left], pa.int64()), pa.array([x[2] for x in left], pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"])
 
-    joined = docs.join(found.hint("shuffle_hash"), on, "left").select(docs["doc_id"], docs["text"], "froms", "tos")
+    joined = docs.join(found.hint("shuffle_hash"), on, "left").select(docs["doc_id"], docs["text"], "_range_froms", "_range_tos")
     return joined.mapInArrow(cut, f"doc_id {id_type}, text string, n_sentences long, n_removed long")
 
 

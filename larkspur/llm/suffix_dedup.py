@@ -263,9 +263,9 @@ def _kept(batch: pa.RecordBatch, text: int):
 
 
 def _with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    named = ranges.withColumnsRenamed({"doc_id": "range_id", "version": "range_version"})
-    on = docs["doc_id"].eqNullSafe(named["range_id"]) & (F.xxhash64(docs["text"]) == named["range_version"])
-    return docs.join(named.hint("shuffle_hash"), on, "left").select(*[docs[c] for c in docs.columns], "froms", "tos")
+    named = ranges.toDF("_range_id", "_range_version", "_range_froms", "_range_tos")
+    on = docs["doc_id"].eqNullSafe(named["_range_id"]) & (F.xxhash64(docs["text"]) == named["_range_version"])
+    return docs.join(named.hint("shuffle_hash"), on, "left").select(*[docs[c] for c in docs.columns], "_range_froms", "_range_tos")
 
 
 def measured(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
