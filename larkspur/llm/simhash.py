@@ -14,7 +14,6 @@ the links are the same components, from rows in proportion to the bucket.
 
 from __future__ import annotations
 
-import math
 from itertools import repeat
 
 import numpy as np
@@ -112,44 +111,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return prints.join(named, "fp")
 
 
-def _majority(rows: np.ndarray, hashes: np.ndarray, n_rows: int, lanes: int) -> np.ndarray:
-    """(n_rows, lanes) SimHashes from hashes sorted by row; each lane rehashes with its own salt."""
-    out = np.zeros((n_rows, lanes), np.uint64)
-    cuts = np.searchsorted(rows, np.arange(n_rows + 1))
-    for lane in range(lanes):
-        cells = mix(hashes + np.uint64((0x9E3779B97F4A7C15 * (lane + 1)) & (2**64 - 1))).view(np.uint8).reshape(-1, 8)
-        for i in np.flatnonzero(np.diff(cuts)).tolist():
-            part = cells[cuts[i] : cuts[i + 1]]
-            if len(part) < 256:
-                ones = np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int32)
-            else:
-                ones = np.concatenate([np.bincount(part[:, k], minlength=256) @ _BITS for k in range(8)])
-            out[i, lane] = np.packbits(ones * 2 > len(part), bitorder="little").view(np.uint64)[0]
-    return out
-
-
-def signatures(docs: DataFrame, shingle: int, rings: int, lanes: int = 8) -> DataFrame:
-    """(doc_id, u, s): SimHashes of the distinct words, one long a ring, and of the distinct shingles."""
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                row, word = words(part.column(1))
-                u = _majority(*_distinct(row, word), part.num_rows, rings)
-                gram = word.copy()
-                for k in range(1, shingle):
-                    gram[:-k] += np.where(row[k:] == row[:-k], mix(word[k:]) * np.uint64((2 * k + 1) ** 9), np.uint64(0))
-                size = np.bincount(row, minlength=part.num_rows)
-                place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
-                whole = place <= np.maximum(size[row] - shingle, 0)
-                s = _majority(*_distinct(row[whole], mix(gram[whole])), part.num_rows, lanes)
-                arrays = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(signed(x.ravel()))) for x in (u, s)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", "u", "s"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, u array<long>, s array<long>")
-
-
 def _distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
@@ -158,33 +119,154 @@ def _distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row[new], value[new]
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rings: int = 20, slack: int = 7) -> DataFrame:
-    """(doc_id, component_id) of documents whose sets of shingles have a Jaccard index of about similarity.
+def _shingles(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of each text, sorted; a text of fewer words is one shingle."""
+    row, word = words(column)
+    gram = word.copy()
+    for k in range(1, shingle):
+        gram[:-k] += np.where(row[k:] == row[:-k], mix(word[k:]) * np.uint64((2 * k + 1) ** 9), np.uint64(0))
+    size = np.bincount(row, minlength=len(column))
+    place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+    whole = place <= np.maximum(size[row] - shingle, 0)
+    return _distinct(row[whole], mix(gram[whole]))
+
+
+def _pieces(batches, rows: int = 256):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(signed(values)))
+
+
+def common_shingles(docs: DataFrame, shingle: int, most: int = 1 << 17, least: int = 2, hold: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingles, counts) of at most ``most`` shingles that many documents share.
 
-    Such texts differ in far more than 2 of 64 bits, so the candidates come from ``rings`` 64-bit
-    SimHashes of the distinct words, in which an edit changes one element and not ``shingle``; a
-    pair within 2 bits in any ring, found by the pigeonring, is a candidate.  It is linked if the
-    512-bit SimHashes of its shingle sets are as close as the angle of that index,
-    cos = 2 J / (1 + J), and ``slack`` bits, one standard deviation, more.  Null texts are empty; texts without words are one group.
+    They only order shingles, so counts need not be whole: a task adds up what it sees of
+    ``hold`` shingles and tells those of ``least`` documents.
+    """
+
+    def run(batches):
+        held, n = [], 0
+
+        def told():
+            value, count = np.unique(np.concatenate(held), return_counts=True)
+            often = count >= least
+            return pa.RecordBatch.from_arrays([pa.array(signed(value[often])), pa.array(count[often])], ["shingle", "n"])
+
+        for part in _pieces(batches):
+            held.append(_shingles(part.column(0), shingle)[1])
+            n += len(held[-1])
+            if n >= hold:
+                yield told()
+                held, n = [], 0
+        if held:
+            yield told()
+
+    found = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "shingle").limit(most).toPandas()
+    value, count = top["shingle"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
+    order = np.argsort(value)
+    return value[order], count[order]
+
+
+def prefixes(docs: DataFrame, shingle: int, similarity: float, common) -> DataFrame:
+    """(doc_id, version, g, n, bits, keys): a digest, size and 512 parities of a text's set of shingles, and its prefix.
+
+    All sets are sorted alike: shingles that few documents have first.  A set that shares
+    ``similarity`` of the union with another shares one of its first n - similarity n + 1 shingles.
+    """
+
+    def run(batches):
+        table, counts = common.value
+        for part in _pieces(batches):
+            row, gram = _shingles(part.column(1), shingle)
+            n = np.bincount(row, minlength=part.num_rows)
+            cuts = np.concatenate([[0], np.cumsum(n)])
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(gram ^ np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)])
+            g = mix(sums[cuts[1:]] - sums[cuts[:-1]] + n.astype(np.uint64))
+            cell, times = np.unique(row * 512 + (gram >> np.uint64(55)).astype(np.int64), return_counts=True)
+            odd = np.zeros(512 * part.num_rows, np.uint8)
+            odd[cell] = times & 1
+            bits = np.packbits(odd, bitorder="little").view(np.uint64)
+            often = np.zeros(len(gram), np.int64)
+            if len(table):
+                at = np.minimum(np.searchsorted(table, gram), len(table) - 1)
+                often = np.where(table[at] == gram, counts[at], 0)
+            gram = gram[np.lexsort((gram, often, row))]
+            length = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + (n > 0)
+            keep = np.arange(len(gram)) - cuts[row] < length[row]
+            arrays = [part.column(0), part.column(2), pa.array(signed(g)), pa.array(n.astype(np.int32)), _lists(bits, np.arange(0, len(bits) + 1, 8)), _lists(gram[keep], np.concatenate([[0], np.cumsum(length)]))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "version", "g", "n", "bits", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version")).mapInArrow(run, "doc_id long, version long, g long, n int, bits array<long>, keys array<long>")
+
+
+def _sets(docs: DataFrame, shingle: int, heads: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(g, items) of the wanted sets, from the text of one document each."""
+
+    def run(batches):
+        for part in _pieces(batches):
+            row, gram = _shingles(part.column(1), shingle)
+            cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(gram, cuts)], ["g", "items"])
+
+    ids = heads.join(wanted, "g").select("g", F.col("rep").alias("doc_id"), F.col("version"))
+    if wanted.count() <= 1 << 19:
+        ids = F.broadcast(ids)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("version", F.xxhash64("text"))
+    return text.join(ids, ["doc_id", "version"]).select("g", "text").mapInArrow(run, "g long, items array<long>")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (x, y) of digests whose sets have a Jaccard index of similarity or more.
+
+    Sets differ in at least as many shingles as their parities differ in bits, which sends most
+    pairs away before the sets are compared.
+    """
+    marks = heads.select("g", "n", "bits")
+    x, y = (marks.select(F.col("g").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in "xy")
+    apart = " + ".join(f"bit_count(bx[{i}] ^ by[{i}])" for i in range(8))
+    near = scratch.keep(pairs.join(x, "x").join(y, "y").where(f"({apart}) * {1 + similarity}D <= (nx + ny) * {1 - similarity}D + 1e-6D").select("x", "y"))
+    sets = scratch.keep(_sets(docs, shingle, heads, near.select(F.explode(F.array("x", "y")).alias("g")).distinct()))
+    p, q = sets.select(F.col("g").alias("x"), F.col("items").alias("p")), sets.select(F.col("g").alias("y"), F.col("items").alias("q"))
+    same = "size(array_intersect(p, q))"
+    return scratch.keep(near.join(p, "x").join(q, "y").where(f"{same} * {1 + similarity}D >= (size(p) + size(q)) * {similarity}D - 1e-6D").select("x", "y").distinct())
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) over links of documents whose sets of shingles have a Jaccard index of similarity or more.
+
+    Equal sets are one node.  Sets that are similar enough share a shingle of their prefixes, at
+    places that leave enough shingles behind them: a join on the shingle proposes every such pair,
+    and a proposed pair is linked by the index of its 64-bit shingle hashes.  First each set meets
+    one other of every shingle (which of them is drawn anew by shingle), then all pairs of a shingle that
+    are not in one component yet: components stay the same, and a large group of copies makes few
+    pairs.  Null texts are empty; texts without words are one group.
     """
     scratch = Scratch(docs.sparkSession)
-    marks = scratch.keep(signatures(docs, shingle, rings))
-    heads = scratch.keep(marks.where("doc_id is not null").groupBy("u", "s").agg(F.min("doc_id").alias("rep")))
-    ring = scratch.keep(heads.select("rep", F.posexplode("u").alias("ring", "fp")))
-    near = []
-    flat = ring.groupBy("ring", "fp").agg(F.min("rep").alias("head"))
-    near.append(ring.join(flat, ["ring", "fp"]).where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")))
-    found = links(flat.select("ring", "fp"), scratch)
-    x, y = flat.select("ring", F.col("fp").alias("x"), F.col("head").alias("a")), flat.select("ring", F.col("fp").alias("y"), F.col("head").alias("b"))
-    near.append(found.join(x, ["ring", "x"]).join(y, ["ring", "y"]).select("a", "b"))
-    pairs = near[0].unionByName(near[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    budget = int(64 * 8 * math.acos(2 * similarity / (1 + similarity)) / math.pi) + slack
-    s = heads.select("rep", "s")
-    apart = " + ".join(f"bit_count(p[{i}] ^ q[{i}])" for i in range(8))
-    pairs = pairs.join(s.select(F.col("rep").alias("a"), F.col("s").alias("p")), "a").join(s.select(F.col("rep").alias("b"), F.col("s").alias("q")), "b").where(f"{apart} <= {budget}").select("a", "b")
-    roots = components(pairs, scratch)
-    named = heads.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("u", "s", F.coalesce("component", "rep").alias("component_id"))
-    return marks.join(named, ["u", "s"], "left").select("doc_id", "component_id")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+    marks = scratch.keep(prefixes(docs, shingle, similarity, common))
+    heads = scratch.keep(marks.where("doc_id is not null").groupBy("g").agg(F.min(F.struct("doc_id", "version")).alias("one"), *(F.first(c).alias(c) for c in ("n", "bits", "keys"))).select("g", F.col("one.doc_id").alias("rep"), F.col("one.version").alias("version"), "n", "bits", "keys"))
+    rows = heads.select("g", "n", F.posexplode("keys").alias("i", "key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    live = scratch.keep(rows.toDF("x", "nx", "i", "key").join(shared, "key").select("key", "x", "nx", "i", "members"))
+    drawn = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("x", "key").alias("draw"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("i").alias("j"))).alias("head"))
+    met = live.join(drawn, "key").select("x", "nx", "i", "head.y", "head.ny", "head.j")
+    fits = f"least(nx - i, ny - j) * {1 + similarity}D >= (nx + ny) * {similarity}D - 1e-6D"
+    ordered = (F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    stars = _verified(met.where("x <> y").where(fits).select(*ordered).distinct(), docs, heads, shingle, similarity, scratch)
+    first = components(stars.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
+    many = live.where("members > 2").select("key", "x", "nx", "i").join(first.withColumnRenamed("node", "x"), "x", "left").select("key", "x", "nx", "i", F.coalesce("component", "x").alias("c"))
+    many = scratch.keep(many)
+    other = many.toDF("key", "y", "ny", "j", "d")
+    rest = _verified(many.join(other, "key").where("x < y and c <> d").where(fits).select("x", "y").distinct(), docs, heads, shingle, similarity, scratch)
+    roots = components(stars.unionByName(rest).select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
+    named = heads.select("g", "rep").join(roots.withColumnRenamed("node", "g"), "g", "left").select("g", "rep", F.coalesce("component", "g").alias("c"))
+    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
+    return marks.select("doc_id", "g").join(named.join(least, "c").select("g", "component_id"), "g", "left").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

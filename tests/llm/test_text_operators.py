@@ -96,6 +96,31 @@ def test_keep_one(docs, empty, spark):
     assert simhash.keep_one(empty).count() == 0
 
 
+def brute_shingles(text, n=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(len(words) - n, 0) + 1)} if words else set()
+
+
+def brute_similar(texts, similarity=0.8):
+    sets = [brute_shingles(t) for t in texts]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9]
+    return brute_components(len(texts), linked)
+
+
+def test_similar_beside_a_head_that_is_no_copy(spark):
+    """Two copies of a text link, though a smaller doc_id has the same words in another order."""
+    rng = np.random.default_rng(5)
+    wide = [f"v{i}" for i in range(2000)]
+    rows = []
+    for _ in range(6):
+        text = rng.choice(wide, 120).tolist()
+        for order in range(3):
+            mixed = rng.permutation(text).tolist() if order else text
+            rows += [" ".join(mixed)] + ([" ".join([*mixed, "more"])] * 2 + [" ".join(mixed[1:])] if order else [])
+    found = simhash.similar(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == dict(enumerate(brute_similar(rows)))
+
+
 def brute_removed(texts, length):
     where = Counter()
     raw = [(t or "").encode() for t in texts]
