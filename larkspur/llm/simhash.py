@@ -131,7 +131,7 @@ def _shingles(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return _distinct(row[whole], mix(gram[whole]))
 
 
-def _pieces(batches, rows: int = 256):
+def _pieces(batches, rows: int = 64):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -141,7 +141,7 @@ def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(signed(values)))
 
 
-def common_shingles(docs: DataFrame, shingle: int, most: int = 1 << 17, least: int = 2, hold: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, shingle: int, most: int = 1 << 17, least: int = 2, hold: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """(sorted shingles, counts) of at most ``most`` shingles that many documents share.
 
     They only order shingles, so counts need not be whole: a task adds up what it sees of

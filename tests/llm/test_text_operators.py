@@ -121,6 +121,23 @@ def test_similar_beside_a_head_that_is_no_copy(spark):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == dict(enumerate(brute_similar(rows)))
 
 
+def test_similar_finds_every_copy(spark):
+    """Copies with the end cut off, a block appended or words changed here and there, about and below similarity 0.8."""
+    rng = np.random.default_rng(11)
+    wide = [f"v{i}" for i in range(5000)]
+    rows = []
+    for n in (9, 40, 203, 600):
+        for share in (0.02, 0.05, 0.1, 0.15, 0.19, 0.21, 0.25):
+            cut, added, some = (rng.choice(wide, n).tolist() for _ in range(3))
+            rows += [" ".join(cut), " ".join(cut[: round(n * (1 - share))]), " ".join(added), " ".join(added + rng.choice(wide, round(n * share)).tolist()), " ".join(some)]
+            for i in rng.choice(n, max(1, round(n * share / 10)), replace=False):
+                some[i] = "changed"
+            rows.append(" ".join(some))
+    rows += ["one common line of nine words at the top " + r for r in rows[::7]] + [None, "", "a", "a b", "A  B"]
+    found = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(found).collect()} == dict(enumerate(brute_similar(rows)))
+
+
 def brute_removed(texts, length):
     where = Counter()
     raw = [(t or "").encode() for t in texts]
