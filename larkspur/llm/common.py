@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: White space of the word definitions: space and the controls 09 to 0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Python workers return large arrays to the system when they are freed, and share one heap.
+MEMORY = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system", "OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1"}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,28 +23,39 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and bound what one Arrow batch holds."""
+    """Let Python workers import this package, bound what one Arrow batch holds, and give freed memory back.
+
+    Only settings of Python workers and of Arrow transfer change; both hold for this session.
+    """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    for name, value in MEMORY.items():
+        env.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session or its context; a temporary one only if driver and executors are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.environ.setdefault("LARKSPUR_SCRATCH", tempfile.mkdtemp(prefix="larkspur-"))
+
+
 class Scratch:
     """Tables in the shared checkpoint folder, which cut lineage and outlive lost executors.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (single-machine
-    tests) a temporary folder stands in.
+    The folder is ``shared_folder``'s.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = prepared(spark)
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = os.environ.setdefault("LARKSPUR_SCRATCH", tempfile.mkdtemp(prefix="larkspur-"))
-        self.base = f"{base}/larkspur-{uuid.uuid4().hex}"
+        self.base = f"{shared_folder(spark)}/larkspur-{uuid.uuid4().hex}"
         self.count = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -66,7 +79,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder with its partitioning kept."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -75,7 +88,7 @@ def text_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     if not len(column):

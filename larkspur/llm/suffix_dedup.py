@@ -16,7 +16,10 @@ than the text, so the work is narrowed in exact steps:
    asks of the order), is merge-scanned against the levels that exist, and becomes a level;
    levels of equal size merge, so a suffix is moved a logarithmic number of times.
 
-Strings under one gram with over ``hot`` kinds of spans are counted by a grouped sum instead.
+A gram with over ``hot`` kinds of spans is split: its suffixes are dealt to partitions by their own
+fingerprints, where they go through the same family of arrays.
+
+Spans are told apart by 128 bits (gram and span), suffixes by two fingerprints of 64 bits each.
 """
 
 from __future__ import annotations
@@ -34,8 +37,13 @@ from .hashing import PIECE, mix, prefix, span_hash
 
 LENGTH = 400
 GRAM = 64
-#: Kinds of spans under one gram that one task matches.
-HOT = 16_384
+#: Length of the shorter strings that ``measured`` counts beside those it removes.
+SHORTER = 256
+#: Kinds of spans from which on a gram's suffixes are dealt to several tasks.
+HOT = 1024
+#: Suffixes, or kinds of spans, that a task of the matching takes on average.
+SHARE = 1 << 14
+_SECOND = np.random.default_rng(611).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _LOW = np.uint64(PIECE - 1)
 
@@ -95,49 +103,47 @@ class Family:
     """Sorted arrays of suffix fingerprints whose sizes fall geometrically."""
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, prints: np.ndarray, ids: np.ndarray, repeated: np.ndarray) -> None:
-        """Take a batch (fingerprints, numbers of the suffixes); set repeated[number] for every match."""
-        order = np.argsort(prints, kind="stable")
-        prints, ids = prints[order], ids[order]
-        prints, ids = self._fold(prints, ids, repeated)
-        for have, numbers in self.levels:
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, prints: np.ndarray, checks: np.ndarray, ids: np.ndarray, repeated: np.ndarray) -> None:
+        """Take a batch (two fingerprints and the number of each suffix); set repeated[number] for every match."""
+        prints, checks, ids = self._sorted((prints, checks, ids), repeated)
+        for have, second, numbers in self.levels:
             at = np.minimum(np.searchsorted(have, prints), len(have) - 1)
-            same = have[at] == prints
+            same = (have[at] == prints) & (second[at] == checks)
             repeated[ids[same]] = True
             repeated[numbers[at[same]]] = True
-        self.levels.append((prints, ids))
+        self.levels.append((prints, checks, ids))
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            (a, i), (b, j) = self.levels.pop(), self.levels.pop()
-            both, numbers = np.concatenate([b, a]), np.concatenate([j, i])
-            order = np.argsort(both, kind="stable")
-            self.levels.append(self._fold(both[order], numbers[order], repeated))
+            new, old = self.levels.pop(), self.levels.pop()
+            self.levels.append(self._sorted(tuple(map(np.concatenate, zip(old, new))), repeated))
 
     @staticmethod
-    def _fold(prints: np.ndarray, ids: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One suffix of each fingerprint stays; the numbers of those that had company are set."""
+    def _sorted(level: tuple, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A level in order, one suffix of each kind; the numbers of those that had company are set."""
+        order = np.argsort(level[0], kind="stable")
+        prints, checks, ids = (x[order] for x in level)
         if not len(prints):
-            return prints, ids
-        equal = prints[1:] == prints[:-1]
+            return prints, checks, ids
+        equal = (prints[1:] == prints[:-1]) & (checks[1:] == checks[:-1])
         twice = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
         repeated[ids[twice]] = True
         first = np.concatenate([[True], ~equal])
-        return prints[first], ids[first]
+        return prints[first], checks[first], ids[first]
 
 
-def _suffixes(contexts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, fingerprint) of all length-byte strings of the contexts."""
+def _suffixes(contexts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, fingerprint, second fingerprint) of all length-byte strings of the contexts."""
     raw, at = text_view(contexts)
-    rows, prints = [], []
+    rows, prints, checks = [], [], []
     for first, last in groups_of(at, PIECE):
         part = raw[at[first] : at[last]]
-        sums = prefix(part)
         room = np.maximum(np.diff(at[first : last + 1]) - length + 1, 0)
         starts = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room) + np.repeat(at[first:last] - at[first], room)
         rows.append(np.repeat(np.arange(first, last), room))
-        prints.append(mix(span_hash(sums, starts, starts + length)))
-    return np.concatenate(rows), np.concatenate(prints)
+        prints.append(mix(span_hash(prefix(part), starts, starts + length)))
+        checks.append(span_hash(prefix(part, _SECOND), starts, starts + length))
+    return np.concatenate(rows), np.concatenate(prints), np.concatenate(checks)
 
 
 def _runs(repeated: np.ndarray, lead: int, length: int) -> tuple[list[int], list[int]]:
@@ -150,7 +156,13 @@ KEY = ["gram", "span"]
 _RUNS = "gram long, span long, froms array<int>, tos array<int>"
 
 
-def _covered(contexts: DataFrame, length: int, hot: int, parts: int) -> DataFrame:
+def _grown(flags: np.ndarray, size: int) -> np.ndarray:
+    while len(flags) < size:
+        flags = np.concatenate([flags, np.zeros(len(flags), bool)])
+    return flags
+
+
+def _covered(contexts: DataFrame, length: int, hot: int, scratch: Scratch) -> DataFrame:
     """(gram, span, froms, tos) for kinds of spans (gram, span, n, lead, context) that share a gram with others."""
 
     def match(batches):
@@ -158,30 +170,47 @@ def _covered(contexts: DataFrame, length: int, hot: int, parts: int) -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, prints = _suffixes(batch.column(4), length)
-            while len(flags) < size + len(row):
-                flags = np.concatenate([flags, np.zeros(len(flags), bool)])
+            row, prints, checks = _suffixes(batch.column(4), length)
+            flags = _grown(flags, size + len(row))
             flags[size : size + len(row)] |= (batch.column(2).to_numpy() > 1)[row]
-            family.add(prints, np.arange(size, size + len(row)), flags)
+            family.add(prints, checks, np.arange(size, size + len(row)), flags)
             kinds.append((batch.column(0), batch.column(1), batch.column(3).to_pylist(), size + np.searchsorted(row, np.arange(batch.num_rows + 1))))
             size += len(row)
         for gram, span, leads, cut in kinds:
             found = [_runs(flags[cut[i] : cut[i + 1]], lead, length) for i, lead in enumerate(leads)]
             yield pa.RecordBatch.from_arrays([gram, span, pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([y for _, y in found], pa.list_(pa.int32()))], ["gram", "span", "froms", "tos"])
 
-    def explode(batches):
+    def suffixes(batches):
         for batch in batches:
-            row, prints = _suffixes(batch.column(4), length)
+            row, prints, checks = _suffixes(batch.column(4), length)
             start = np.arange(len(row)) - np.searchsorted(row, np.arange(batch.num_rows))[row]
             rows = pa.array(row)
             relative = start - np.array(batch.column(3).to_pylist(), np.int64)[row]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(signed(prints)), pa.array(relative.astype(np.int32))], ["gram", "span", "n", "print", "start"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(signed(prints)), pa.array(signed(checks)), pa.array(relative.astype(np.int32))], ["gram", "span", "n", "print", "second", "start"])
 
-    many = contexts.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot).select("gram")
-    usual = contexts.join(many.hint("shuffle_hash"), "gram", "left_anti").repartition(parts, "gram").mapInArrow(match, _RUNS)
-    lines = contexts.join(many, "gram", "left_semi").mapInArrow(explode, "gram long, span long, n long, print long, start int")
-    totals = lines.groupBy("gram", "print", "start").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
-    shared = lines.join(totals, ["gram", "print", "start"]).groupBy(*KEY).agg(F.sort_array(F.collect_list("start")).alias("s"))
+    def match_dealt(batches):
+        family, held, flags, size = Family(), [], np.zeros(1 << 16, bool), 0
+        for batch in batches:
+            prints, checks = (batch.column(i).to_numpy().view(np.uint64) for i in (3, 4))
+            flags = _grown(flags, size + len(prints))
+            flags[size : size + len(prints)] |= batch.column(2).to_numpy() > 1
+            family.add(prints, checks, np.arange(size, size + len(prints)), flags)
+            held.append((batch.select(["gram", "span", "start"]), size))
+            size += len(prints)
+        for batch, at in held:
+            yield batch.filter(pa.array(flags[at : at + batch.num_rows]))
+
+    spark = contexts.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = scratch.keep(contexts.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot))
+    total = many.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    few = contexts.join(many.select("gram").hint("shuffle_hash"), "gram", "left_anti") if total else contexts
+    usual = few.repartition(max(least, contexts.count() // SHARE + 1), "gram").mapInArrow(match, _RUNS)
+    if not total:
+        return usual
+    dealt = contexts.join(many.select("gram"), "gram", "left_semi").mapInArrow(suffixes, "gram long, span long, n long, print long, second long, start int")
+    again = dealt.repartition(max(least, total // SHARE + 1), "print").mapInArrow(match_dealt, "gram long, span long, start int")
+    shared = again.groupBy(*KEY).agg(F.sort_array(F.collect_set("start")).alias("s"))
     return usual.unionByName(shared.select(*KEY, F.col("s").alias("froms"), F.transform("s", lambda x: x + length).alias("tos")))
 
 
@@ -223,13 +252,42 @@ def covered_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot:
             yield pa.RecordBatch.from_arrays([gram, span, n, lead, contexts], ["gram", "span", "n", "lead", "context"])
 
     contexts = scratch.keep(held.mapInArrow(cut, "gram long, span long, n long, lead short, context binary").dropDuplicates(KEY))
-    shuffle = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    borders = _covered(contexts, length, hot, max(shuffle, contexts.count() // HOT + 1))
+    borders = _covered(contexts, length, hot, scratch)
     parts = repeated.where("mixed").join(borders, KEY).select("doc_id", "version", F.arrays_zip(F.transform("froms", lambda x: x + F.col("pos")).alias("f"), F.transform("tos", lambda x: x + F.col("pos")).alias("t")).alias("z"))
     parts = parts.select("doc_id", "version", F.inline("z").alias("f", "t"))
     full = repeated.where("not mixed").select("doc_id", "version", (F.col("pos") - F.col("lead")).alias("f"), (F.col("pos") - F.col("lead") + F.col("more") + length).alias("t"))
     ranges = parts.unionByName(full).groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("f", "t"))).alias("r"))
-    return scratch.keep(ranges.select("doc_id", "version", F.col("r.f").alias("froms"), F.col("r.t").alias("tos")))
+    out = scratch.keep(ranges.select("doc_id", "version", F.col("r.f").alias("froms"), F.col("r.t").alias("tos")))
+    scratch.drop(again, repeated, kinds, contexts)
+    return out
+
+
+def _longer(docs: DataFrame, ranges: DataFrame, scratch: Scratch, length: int, hot: int) -> DataFrame:
+    """covered_ranges for a greater length, given those of a smaller one.
+
+    A repeated string consists of repeated shorter ones, so it lies in one of their maximal runs;
+    only runs of length bytes or more are looked at again.
+    """
+    id_type = dict(docs.dtypes)["doc_id"]
+    kind = f"struct<i:{id_type},v:bigint,at:int>"
+
+    def cut(batches):
+        for batch in batches:
+            for i, (body, runs) in enumerate(_with_runs(batch, 2)):
+                wide = [(x, y) for x, y in runs if y - x >= length]
+                for k in range(0, len(wide), 4096):
+                    some = wide[k : k + 4096]
+                    owner = pa.array([i] * len(some), pa.int32())
+                    ids = pa.StructArray.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array([x for x, _ in some], pa.int32())], ["i", "v", "at"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([body[x:y] for x, y in some], pa.binary())], ["doc_id", "text"])
+
+    met = _with_ranges(docs.select("doc_id", F.xxhash64("text").alias("version"), "text"), ranges.where(F.exists(F.arrays_zip("froms", "tos"), lambda z: z["tos"] > z["froms"])), inner=True)
+    pieces = scratch.keep(met.mapInArrow(cut, f"doc_id {kind}, text binary"))
+    found = covered_ranges(pieces, scratch, length, hot).select(F.col("doc_id").alias("piece"), "froms", "tos")
+    scratch.drop(pieces)
+    moved = F.arrays_zip(F.transform("froms", lambda x: x + F.col("piece.at")).alias("f"), F.transform("tos", lambda x: x + F.col("piece.at")).alias("t"))
+    rows = found.select(F.col("piece.i").alias("doc_id"), F.col("piece.v").alias("version"), moved.alias("z")).select("doc_id", "version", F.inline("z").alias("f", "t"))
+    return rows.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("f", "t"))).alias("r")).select("doc_id", "version", F.col("r.f").alias("froms"), F.col("r.t").alias("tos"))
 
 
 def _union(froms: np.ndarray, tos: np.ndarray) -> list[tuple[int, int]]:
@@ -241,54 +299,68 @@ def _union(froms: np.ndarray, tos: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(froms[new].tolist(), reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(froms) - 1]])].tolist()))
 
 
-def _kept(batch: pa.RecordBatch, text: int):
-    """(kept bytes, removed runs) of each row of a batch that ends with froms and tos."""
+def _with_runs(batch: pa.RecordBatch, text: int, froms: int = -2):
+    """(bytes, removed runs) of each row of a batch; froms and the column behind it have the ranges."""
     raw, at = text_view(batch.column(text))
-    froms, tos = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-    cut = froms.fill_null([]).offsets.to_numpy() if froms.null_count == 0 else None
-    f, t = froms.flatten().to_numpy(), tos.flatten().to_numpy()
-    if cut is None:
-        size = np.array([0 if x is None else x for x in pa.compute.list_value_length(froms).to_pylist()], np.int64)
-        cut = np.concatenate([[0], np.cumsum(size)])
-    else:
-        cut = cut - cut[0]
+    at_froms = batch.num_columns + froms
+    lists, ends = batch.column(at_froms), batch.column(at_froms + 1)
+    cut = np.concatenate([[0], np.cumsum([0 if x is None else x for x in pa.compute.list_value_length(lists).to_pylist()])]).astype(np.int64)
+    f, t = lists.flatten().to_numpy(), ends.flatten().to_numpy()
     for i in range(batch.num_rows):
-        body = raw[at[i] : at[i + 1]].tobytes()
-        runs = _union(f[cut[i] : cut[i + 1]], t[cut[i] : cut[i + 1]])
-        if runs:
-            edges = [0, *(x for r in runs for x in r), len(body)]
-            yield b"".join(body[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)), runs, len(body)
-        else:
-            yield body, runs, len(body)
+        yield raw[at[i] : at[i + 1]].tobytes(), _union(f[cut[i] : cut[i + 1]], t[cut[i] : cut[i + 1]])
 
 
-def _with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    named = ranges.toDF("_range_id", "_range_version", "_range_froms", "_range_tos")
-    on = docs["doc_id"].eqNullSafe(named["_range_id"]) & (F.xxhash64(docs["text"]) == named["_range_version"])
-    return docs.join(named.hint("shuffle_hash"), on, "left").select(*[docs[c] for c in docs.columns], "_range_froms", "_range_tos")
+def _without(body: bytes, runs: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(x for r in runs for x in r), len(body)]
+    return b"".join(body[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
 
 
-def measured(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def _with_ranges(docs: DataFrame, ranges: DataFrame, inner: bool = False, name: str = "_range") -> DataFrame:
+    named = ranges.toDF(f"{name}_id", f"{name}_version", f"{name}_froms", f"{name}_tos")
+    on = docs["doc_id"].eqNullSafe(named[f"{name}_id"]) & (F.xxhash64(docs["text"]) == named[f"{name}_version"])
+    return docs.join(named.hint("shuffle_hash"), on, "inner" if inner else "left").select(*[docs[c] for c in docs.columns], f"{name}_froms", f"{name}_tos")
+
+
+def measured(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shorter: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row of docs.
 
-    Null texts are empty.  Texts below length bytes have nothing to remove; repeated rows are
-    separate documents, so all of them go (strings are judged on the input).  Other columns are not
-    looked at; an empty table gives an empty result.
+    With ``shorter`` there is also n_repeated, the bytes under strings of that many bytes that start
+    elsewhere too; then the strings of length bytes are looked for in such runs only.
+
+    Null texts are empty.  Texts below length bytes have nothing to remove; texts of any length are
+    read whole; repeated rows are separate documents, so all of them go (strings are judged on the
+    input).  Other columns are not looked at; an empty table gives an empty result.
     """
-    ranges = covered_ranges(docs, Scratch(docs.sparkSession), length, hot)
+    scratch = Scratch(docs.sparkSession)
     id_type = dict(docs.dtypes)["doc_id"]
+    docs = docs.select("doc_id", "text")
+    if shorter is None:
+        ranges = covered_ranges(docs, scratch, length, hot)
+        joined = _with_ranges(docs, ranges)
+    else:
+        wide = covered_ranges(docs, scratch, shorter, hot)
+        ranges = _longer(docs, wide, scratch, length, hot)
+        both = ranges.toDF("doc_id", "version", "froms", "tos").join(wide.withColumnsRenamed({"froms": "wide_froms", "tos": "wide_tos", "doc_id": "wide_id", "version": "wide_version"}), F.col("doc_id").eqNullSafe(F.col("wide_id")) & (F.col("version") == F.col("wide_version")), "right")
+        named = both.select("wide_id", "wide_version", "wide_froms", "wide_tos", "froms", "tos")
+        joined = docs.join(named.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(named["wide_id"]) & (F.xxhash64(docs["text"]) == named["wide_version"]), "left").select(docs["doc_id"], docs["text"], "wide_froms", "wide_tos", "froms", "tos")
 
     def run(batches):
         for batch in batches:
             sizes, gone, spans, digests = [], [], [], []
-            for kept, runs, size in _kept(batch, 1):
-                sizes.append(size)
-                gone.append(size - len(kept))
+            for body, runs in _with_runs(batch, 1):
+                kept = _without(body, runs)
+                sizes.append(len(body))
+                gone.append(len(body) - len(kept))
                 spans.append(len(runs))
                 digests.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            if shorter is not None:
+                arrays.append(pa.array([sum(y - x for x, y in runs) for _, runs in _with_runs(batch, 1, -4)], pa.int64()))
+                names.append("n_repeated")
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return _with_ranges(docs.select("doc_id", "text"), ranges).mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", n_repeated long" if shorter is not None else ""))
 
 
 def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -303,7 +375,7 @@ def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     def run(batches):
         for batch in batches:
             valid = batch.column(text).is_valid().to_pylist()
-            texts = [kept.decode("utf-8", "ignore") if ok else None for ok, (kept, _, _) in zip(valid, _kept(batch, text))]
+            texts = [_without(*x).decode("utf-8", "ignore") if ok else None for ok, x in zip(valid, _with_runs(batch, text))]
             columns = [batch.column(i) for i in range(batch.num_columns - 2)]
             columns[text] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2])
@@ -315,4 +387,4 @@ def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
 def query(spark, sf_dir):
     from .common import read
 
-    return measured(read(spark, sf_dir, "documents"))
+    return measured(read(spark, sf_dir, "documents"), shorter=SHORTER)
