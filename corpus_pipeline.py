@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from larkspur.llm import bpe, mixing, simhash, suffix_dedup, toxicity
 from larkspur.llm.common import Scratch, read
 
+#: Bytes from which on a repeated string is a passage: some 50 words of English and its neighbours.
+PASSAGE = 256
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
@@ -23,8 +26,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that repeated 400-byte strings cover."""
-    return suffix_dedup.removed(docs)
+    """Texts without the bytes that repeated strings of PASSAGE bytes cover."""
+    return suffix_dedup.removed(docs, length=PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
