@@ -33,7 +33,7 @@ def prepared(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     for name, value in MEMORY.items():
         env.setdefault(name, value)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark
 
 
@@ -113,6 +113,14 @@ def groups_of(at: np.ndarray, limit: int):
         first = min(last, n)
 
 
+def slices(batch: pa.RecordBatch, text: int, rows: int = 64, size: int = 1 << 19):
+    """Slices of at most ``rows`` rows and about ``size`` bytes in the column text; a longer text is alone."""
+    at = text_view(batch.column(text))[1]
+    for a, b in groups_of(at, size):
+        for i in range(a, b, rows):
+            yield batch.slice(i, min(rows, b - i))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64, copy=False).view(np.int64)
 

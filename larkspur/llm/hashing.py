@@ -17,7 +17,7 @@ LOWER = np.arange(256)
 LOWER[65:91] += 32
 LOWER_TABLE = TABLE[LOWER]
 #: Bytes looked at together; bounds the temporary arrays.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _powers: dict[int, np.ndarray] = {}
 

@@ -2,22 +2,23 @@
 
     P(w | v) = a_b c(v, w) / c(v) + d_b c(w) / N + e_b / (V + 1)
 
-The weights (a, d, e) depend on the bucket b = floor(log2 c(v)) of the context.  Contexts outside
-the ``CONTEXTS`` most frequent tokens make one bucket without a bigram term.  The weights are learned
-by expectation-maximisation on counts from which the token at hand has been deleted (each training
-token is held out from its own estimate), gathered over all training tokens as a table of bucket
-and quantised probabilities.
+The weights (a, d, e) depend on the bucket b = floor(log2 c(v)) of the context; every context has
+its bigrams, whatever its frequency.  The weights are learned by expectation-maximisation on counts
+from which the token at hand has been deleted (each training token is held out from its own
+estimate), gathered over all training tokens as a table of bucket and quantised probabilities.
 
 Everything counted is counted over all training documents.  Tokens are 64-bit hashes.  Tasks
 aggregate what they read into sorted arrays, one per model part, and Spark shuffles those:
 
-1. counts of tokens; N, V, and the frequent tokens (a bounded table, broadcast);
-2. for every chunk of documents and every model part, the (context, token, document) triples whose
-   counts that part holds.  A part counts its own pairs, so it can answer for all of them: first
-   with the table for the EM, then, given the weights, with a sum per document;
-3. the sums of each chunk meet, and its documents come out.
-
-A frequent pair is spread over parts by the hash of the pair, a rare token by its own hash.
+1. counts of tokens, by parts of the hash; N, V, and the frequent tokens (a bounded table, broadcast:
+   it spreads the pairs of frequent tokens, and changes no result);
+2. every chunk of documents asks the parts about its pairs (context v, token w): two frequent tokens
+   go to the part of the pair's hash, a rare token to its own part, and a frequent token behind a
+   rare context to that of the context.  These parts have the counts that the broadcast lacks.  A
+   pair of rare tokens first goes to the part of the context, which adds c(v), then to that of w;
+3. a part counts its own pairs, so it can answer for all of them: first with the table for the EM,
+   then, given the weights, with a sum per document;
+4. the sums of each chunk meet, and its documents come out.
 """
 
 from __future__ import annotations
@@ -34,9 +35,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, checkpointed, prepared
 from .hashing import mix, words
 
-#: Frequent tokens that can be contexts; bounds the broadcast table to 3 MB.
-CONTEXTS = 1 << 18
-_ID = np.int64(19)  # bits of a context's number, one more value for "none"
+#: Tokens of the broadcast table of frequent ones (3 MB); no result depends on it.
+FREQUENT = 1 << 18
+#: Training tokens that a part answers for on average, at most.
+PART = 4_000_000
+_ID = np.int64(19)  # bits of a frequent token's number
+#: Order of a part's rows: its counts of tokens, pairs to pass on, pairs to answer for.
+COUNTS, PASS, ASK = 0, 1, 2
 END = np.uint64(0x8A5CD789635D2DFF)
 #: Steps in which the logarithm of a probability is quantised for the EM, per factor of two.
 STEPS = 4
@@ -145,7 +150,7 @@ def unigrams(docs: DataFrame, parts: int) -> DataFrame:
     return mine.repartition(parts, "part").mapInArrow(merge, "part int, n_types long, n_tokens long, data binary")
 
 
-def frequent(table: DataFrame, most: int = CONTEXTS) -> tuple[np.ndarray, np.ndarray]:
+def frequent(table: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """(sorted tokens, counts) of the tokens above the least count that at most ``most`` tokens exceed.
 
     Only a histogram of counts (512 numbers a part) and those tokens come to the driver.
@@ -185,11 +190,32 @@ def _ids(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, len(table))
 
 
+def split_counts(table: DataFrame, parts: int, times: int) -> DataFrame:
+    """The rows of the count table for ``times`` as many parts; a part is a range of hashes, so each is cut."""
+
+    def run(batches):
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                steps, counts = unpack(data)
+                keys = np.cumsum(steps, dtype=np.uint64)
+                cut = np.searchsorted(_part(keys, parts * times), np.arange(part * times, (part + 1) * times + 1))
+                at = [i for i in range(times) if cut[i] < cut[i + 1]]
+                out = [pack(_steps(keys[cut[i] : cut[i + 1]]), counts[cut[i] : cut[i + 1]]) for i in at]
+                yield pa.RecordBatch.from_arrays([pa.array([part * times + i for i in at], pa.int32()), pa.array(out, pa.binary())], ["part", "data"])
+
+    return table.select("part", "data").mapInArrow(run, "part int, data binary").select(F.lit(-1).cast("long").alias("chunk"), "part", F.lit(COUNTS).alias("kind"), "data")
+
+
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    return np.searchsorted(_part(keys, parts), np.arange(parts + 1))
+
+
 def requests(docs: DataFrame, top, parts: int) -> DataFrame:
-    """(chunk, part, data): what each chunk of documents asks of each part; part -1 describes the chunk.
+    """(chunk, part, kind, data, ids): what each chunk of documents asks of each part; part -1 describes the chunk.
 
-    A part gets, sorted by key, pairs of frequent tokens (key, document, times) and rare tokens with
-    their context (token, context, document, times), and which of the documents are for training.
+    A part gets, sorted by key, pairs of frequent tokens (key, document, times), rare tokens with a
+    frequent context, frequent tokens with a rare context, apart from those the pairs of rare tokens,
+    and which of the documents are for training.
     """
     id_type = dict(docs.dtypes)["doc_id"]
 
@@ -204,79 +230,121 @@ def requests(docs: DataFrame, top, parts: int) -> DataFrame:
             row, token, context = tokens(batch.column(1))
             n = batch.num_rows
             w, v = _ids(table, token), _ids(table, context)
-            common = w < none
-            base = np.bincount(row[common], np.log10(known[w[common]] + 0.5), minlength=n)
-            out = [(-1, pack(np.bincount(row, minlength=n), np.bincount(row[common], minlength=n), base, training))]
-            pair, times = _count((((v[common] << _ID) | w[common]).astype(np.uint64) << np.uint64(14)) | row[common].astype(np.uint64))
+            common, led = w < none, v < none
+            base = np.bincount(row[common], np.log10(known[w[common]] + 0.5), minlength=n).astype(float)
+            out = [(-1, ASK, pack(np.bincount(row, minlength=n), np.bincount(row[common], minlength=n), base, training))]
+            both = common & led
+            pair, times = _count((((v[both] << _ID) | w[both]).astype(np.uint64) << np.uint64(14)) | row[both].astype(np.uint64))
             key, doc = pair >> np.uint64(14), (pair & np.uint64((1 << 14) - 1)).astype(np.uint16)
             to = _part(mix(key), parts)
             order = np.argsort(to, kind="stable")
             cut = np.searchsorted(to[order], np.arange(parts + 1))
-            rare, asked, at = token[~common], v[~common].astype(np.uint32), row[~common].astype(np.uint16)
-            sort = np.lexsort((at, asked, rare))
-            rare, asked, at = rare[sort], asked[sort], at[sort]
-            rare_cut = np.searchsorted(_part(rare, parts), np.arange(parts + 1))
+            lists = []  # (key that says the part, other side, document) of each kind of pair with a rare side
+            for pick, rare, other in ((~common & led, token, v.astype(np.uint32)), (common & ~led, context, w.astype(np.uint32)), (~common & ~led, context, token)):
+                r, o, d = rare[pick], other[pick], row[pick].astype(np.uint16)
+                sort = np.lexsort((d, o, r))
+                lists.append((r[sort], o[sort], d[sort], _cuts(r[sort], parts)))
             for p in range(parts):
-                a, b = order[cut[p] : cut[p + 1]], slice(rare_cut[p], rare_cut[p + 1])
-                if len(a) or b.stop > b.start:
-                    out.append((p, pack(_steps(key[a]), doc[a], np.minimum(times[a], 2**31 - 1).astype(np.int32), _steps(rare[b]), asked[b], at[b], training)))
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([batch.column(0) if x[0] < 0 else [] for x in out], pa.list_(batch.schema.field(0).type))], ["chunk", "part", "data", "ids"])
-
-    return docs.select("doc_id", "text", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out")).mapInArrow(run, f"chunk long, part int, data binary, ids array<{id_type}>")
+                a = order[cut[p] : cut[p + 1]]
+                cells = [(x[c[p] : c[p + 1]], y[c[p] : c[p + 1]], z[c[p] : c[p + 1]]) for x, y, z, c in lists]
+                if len(a) or len(cells[0][0]) or len(cells[1][0]):
+                    out.append((p, ASK, pack(_steps(key[a]), doc[a], np.minimum(times[a], 2**31 - 1).astype(np.int32), *(z for x in cells[:2] for z in (_steps(x[0]), *x[1:])), training)))
+                if len(cells[2][0]):
+                    out.append((p, PASS, pack(_steps(cells[2][0]), *cells[2][1:], training)))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(out), pa.int64()), *(pa.array([x[i] for x in out], k) for i, k in ((0, pa.int32()), (1, pa.int32()), (2, pa.binary()))), pa.array([batch.column(0) if x[0] < 0 else [] for x in out], pa.list_(batch.schema.field(0).type))], ["chunk", "part", "kind", "data", "ids"])
 
-
-class Part:
-    """The counts of one model part, from the requests of all chunks."""
-
-    def __init__(self, asked: list[bytes]):
-        self.asked = asked
-        self.pairs, self.rare, self.rare_pairs = Tally(), Tally(), Tally()
-        for data in asked:
-            key, doc, times, rare, context, at, training = self._open(data)
-            mine = training[doc]
-            self.pairs.add(*_count(key[mine], times[mine].astype(np.int64)))
-            mine = training[at]
-            self.rare.add(*_count(rare[mine]))
-            self.rare_pairs.add(*_count(mix(rare[mine]) + context[mine]))
-
-    @staticmethod
-    def _open(data: bytes):
-        key, doc, times, rare, context, at, training = unpack(data)
-        return np.cumsum(key, dtype=np.uint64), doc, times, np.cumsum(rare, dtype=np.uint64), context.astype(np.uint64), at, training
-
-    def estimates(self, data: bytes, counts: np.ndarray, n: int):
-        """For each pair and each rare token asked for: (document, times, count of the context, of the pair, of the token)."""
-        key, doc, times, rare, context, at, training = self._open(data)
-        v, w = (key >> np.uint64(_ID)).astype(np.int64), (key & np.uint64((1 << int(_ID)) - 1)).astype(np.int64)
-        yield doc, times, counts[v], self.pairs.of(key), counts[w], training[doc], False
-        yield at, np.ones(len(at), np.int64), counts[context.astype(np.int64)], self.rare_pairs.of(mix(rare) + context), self.rare.of(rare), training[at], True
+    return docs.select("doc_id", "text", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out")).mapInArrow(run, f"chunk long, part int, kind int, data binary, ids array<{id_type}>")
 
 
 def _each_part(batches):
-    """(part, [data]) of a partition's rows; several parts can share a partition."""
-    found: dict[int, list] = {}
+    """(part, its counts of tokens, [(chunk, kind, data)]) of a partition's rows, which come sorted by part and kind."""
+    part, counts, held = -1, Tally(), []
     for batch in batches:
-        for chunk, part, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            found.setdefault(part, []).append((chunk, data))
-    for part, rows in found.items():
-        if part >= 0:
-            yield part, rows
+        for chunk, p, kind, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if p != part:
+                if held:
+                    yield part, counts, held
+                part, counts, held = p, Tally(), []
+            if p >= 0 and kind == COUNTS:
+                steps, c = unpack(data)
+                counts.add(np.cumsum(steps, dtype=np.uint64), c)
+            elif p >= 0:
+                held.append((chunk, kind, data))
+    if held:
+        yield part, counts, held
+
+
+def passed_on(asked: DataFrame, parts: int) -> DataFrame:
+    """The pairs of rare tokens (w, v, c(v), document) on their way to the part of w."""
+
+    def run(batches):
+        for _, counts, rows in _each_part(batches):
+            for chunk, kind, data in rows:
+                if kind != PASS:
+                    continue
+                steps, w, doc, training = unpack(data)
+                v = np.cumsum(steps, dtype=np.uint64)
+                cv = counts.of(v)
+                sort = np.lexsort((doc, v, w))
+                v, w, doc, cv = v[sort], w[sort], doc[sort], cv[sort]
+                cut = _cuts(w, parts)
+                at = np.flatnonzero(np.diff(cut))
+                out = [pack(_steps(w[x:y]), v[x:y], cv[x:y], doc[x:y], training) for x, y in zip(cut[at], cut[at + 1])]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array([PASS] * len(at), pa.int32()), pa.array(out, pa.binary())], ["chunk", "part", "kind", "data"])
+
+    return asked.select("chunk", "part", "kind", "data").where(f"kind <> {ASK}").mapInArrow(run, "chunk long, part int, kind int, data binary")
+
+
+class Part:
+    """The counts of one model part's pairs, from the requests of all chunks."""
+
+    def __init__(self, counts: Tally, rows: list[tuple]):
+        self.counts = counts
+        self.pairs, self.mixed = Tally(), Tally()
+        for _, kind, data in rows:
+            for key, _, times, _, _, doc, training, _, common in self._open(kind, data):
+                mine = training[doc]
+                (self.pairs if common else self.mixed).add(*_count(key[mine], times[mine]))
+
+    def _open(self, kind: int, data: bytes):
+        """(pair, context, times, token, context's count if known, document, training, rare token, two frequent tokens) of each kind of pair."""
+        if kind == PASS:
+            steps, v, cv, doc, training = unpack(data)
+            w = np.cumsum(steps, dtype=np.uint64)
+            yield mix(w) + mix(v + np.uint64(2)), v, np.ones(len(w), np.int64), w, cv, doc, training, True, False
+            return
+        steps, doc, times, rare, context, at, behind, token, there, training = unpack(data)
+        key = np.cumsum(steps, dtype=np.uint64)
+        yield key, (key >> np.uint64(_ID)).astype(np.int64), times.astype(np.int64), (key & np.uint64((1 << int(_ID)) - 1)).astype(np.int64), None, doc, training, False, True
+        w = np.cumsum(rare, dtype=np.uint64)
+        yield mix(w) + mix(context + np.uint64(1)), context.astype(np.int64), np.ones(len(w), np.int64), w, None, at, training, True, False
+        v = np.cumsum(behind, dtype=np.uint64)
+        yield mix(v ^ np.uint64(0x5851F42D4C957F2D)) + mix(token + np.uint64(3)), v, np.ones(len(v), np.int64), token.astype(np.int64), None, there, training, False, False
+
+    def estimates(self, kind: int, data: bytes, frequent: np.ndarray):
+        """(document, times, count of the context, of the pair, of the token, training, rare token) of what was asked."""
+        for key, v, times, w, cv, doc, training, rare, common in self._open(kind, data):
+            count = lambda x: self.counts.of(x) if x.dtype == np.uint64 else frequent[x]
+            yield doc, times, count(v) if cv is None else cv, (self.pairs if common else self.mixed).of(key), count(w), training[doc], rare
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))).astype(np.int64) + 1, 0)
 
 
-def _cells(asked: DataFrame, top, n: int) -> DataFrame:
+def _cells(asked: DataFrame, kinds: tuple, top, n: int) -> DataFrame:
     """(cell, weight, p2, p1): totals over all training tokens, each deleted from its own counts."""
 
     def run(batches):
-        counts = np.append(top.value[1], 0)
-        for _, rows in _each_part(batches):
-            model = Part([d for _, d in rows])
+        counts = top.value[1]
+        for _, known, rows in _each_part(batches):
+            rows = [r for r in rows if r[1] in kinds]
+            if not rows:
+                continue
+            model = Part(known, rows)
             totals: dict[str, list] = {"cell": [], "w": [], "p2": [], "p1": []}
-            for _, data in rows:
-                for _, times, cv, cvw, cw, training, _ in model.estimates(data, counts, n):
+            for _, kind, data in rows:
+                for _, times, cv, cvw, cw, training, _ in model.estimates(kind, data, counts):
                     t, cv, cvw, cw = times[training].astype(float), cv[training], cvw[training], cw[training]
                     p2 = np.where(cv > 1, (cvw - 1) / np.maximum(cv - 1, 1), 0.0)
                     p1 = (cw - 1) / max(n - 1, 1)
@@ -288,8 +356,11 @@ def _cells(asked: DataFrame, top, n: int) -> DataFrame:
                     totals["cell"].append(u)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in totals.values()], ["cell", "weight", "p2", "p1"])
 
-    found = asked.select("chunk", "part", "data").mapInArrow(run, "cell long, weight double, p2 double, p1 double")
-    return found.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("weight", "p2", "p1")))
+    return asked.select("chunk", "part", "kind", "data").mapInArrow(run, "cell long, weight double, p2 double, p1 double")
+
+
+def _totals(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("weight", "p2", "p1")))
 
 
 def mixture(bucket: np.ndarray, weight: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: float, rounds: int = 60) -> np.ndarray:
@@ -310,16 +381,17 @@ def mixture(bucket: np.ndarray, weight: np.ndarray, p2: np.ndarray, p1: np.ndarr
     return out / out.sum(1, keepdims=True)
 
 
-def _answers(asked: DataFrame, top, n: int, v: int, weights: np.ndarray) -> DataFrame:
+def _answers(asked: DataFrame, kinds: tuple, top, n: int, v: int, weights: np.ndarray) -> DataFrame:
     """(chunk, data): sums per document of each part's tokens."""
 
     def run(batches):
-        counts = np.append(top.value[1], 0)
-        for _, rows in _each_part(batches):
-            model = Part([d for _, d in rows])
-            for chunk, data in rows:
+        counts = top.value[1]
+        for _, mine, rows in _each_part(batches):
+            rows = [r for r in rows if r[1] in kinds]
+            model = Part(mine, rows)
+            for chunk, kind, data in rows:
                 docs, score, base, known = [], [], [], []
-                for doc, times, cv, cvw, cw, _, rare in model.estimates(data, counts, n):
+                for doc, times, cv, cvw, cw, _, rare in model.estimates(kind, data, counts):
                     a = weights[_bucket(cv)]
                     p = a[:, 0] * np.where(cv > 0, cvw / np.maximum(cv, 1), 0.0) + a[:, 1] * (cw / max(n, 1)) + a[:, 2] / (v + 1)
                     docs.append(doc)
@@ -332,55 +404,70 @@ def _answers(asked: DataFrame, top, n: int, v: int, weights: np.ndarray) -> Data
                 sums = [np.bincount(doc, np.concatenate(x), minlength=size)[at] for x in (score, base, known)]
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([pack(at.astype(np.uint16), sums[0], sums[1], sums[2].astype(np.float32))], pa.binary())], ["chunk", "data"])
 
-    return asked.select("chunk", "part", "data").mapInArrow(run, "chunk long, data binary")
+    return asked.select("chunk", "part", "kind", "data").mapInArrow(run, "chunk long, data binary")
 
 
-def scored(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
+def scored(docs: DataFrame, frequent_tokens: int = FREQUENT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs.
 
-    Null and empty texts are one END token.  A null doc_id counts as training.  Repeated rows are
-    counted and scored each; columns other than doc_id and text are not looked at.  Without any
-    training row, N and V are 0 and all scores are those of the uniform estimate.
+    Null and empty texts are one END token; texts of any length are read whole.  A null doc_id counts
+    as training.  Repeated rows are counted and scored each; columns other than doc_id and text are
+    not looked at.  Without any training row, N and V are 0 and all scores are those of the uniform
+    estimate.  ``frequent_tokens`` bounds the broadcast table and changes no result.
     """
     spark = prepared(docs.sparkSession)
     scratch = Scratch(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = dict(docs.dtypes)["doc_id"]
-    table = scratch.keep(unigrams(docs, parts))
+    table = scratch.keep(unigrams(docs, least))
     total = table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
     n, v = int(total[0]), int(total[1])
-    top = spark.sparkContext.broadcast(frequent(table, contexts))
+    times = max(1, -(-n // (PART * least)))
+    parts = least * times
+    top = spark.sparkContext.broadcast(frequent(table, min(frequent_tokens, (1 << int(_ID)) - 1)))
+    counts = split_counts(table, least, times)
+    everything = requests(docs, top, parts).unionByName(counts.withColumn("ids", F.lit(None).cast(f"array<{id_type}>")))
+    asked = checkpointed(everything.repartition(parts, "part").sortWithinPartitions("part", "kind"))
+    rare = passed_on(asked, parts).unionByName(counts)
+    rare = checkpointed(rare.repartition(parts, "part").sortWithinPartitions("part", "kind"))
     scratch.drop(table)
-    asked = checkpointed(requests(docs, top, parts).repartition(parts, "part"))
-    cells = _cells(asked, top, n).toPandas()
+    cells = _totals(_cells(asked, (ASK,), top, n).unionByName(_cells(rare, (PASS,), top, n))).toPandas()
     w = np.maximum(cells["weight"].to_numpy(), 1e-300)
     weights = mixture(cells["cell"].to_numpy().astype(np.int64) >> 16, cells["weight"].to_numpy(), cells["p2"].to_numpy() / w, cells["p1"].to_numpy() / w, 1.0 / (v + 1))
-    answers = _answers(asked, top, n, v, weights)
+    answers = _answers(asked, (ASK,), top, n, v, weights).unionByName(_answers(rare, (PASS,), top, n, v, weights))
     own = asked.where("part < 0").select("chunk", "data", "ids")
     floor = float(np.log10(n + 0.5 * (v + 1)))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def finish(batches):
-        rows: dict[int, list] = {}
-        heads: dict[int, tuple] = {}
+    def chunks(batches):
+        """(description of a chunk, its ids, [answers]) of rows that come sorted by chunk."""
+        at, head, ids, rows = None, None, None, []
         for batch in batches:
             lists = batch.column(2)
             for i, (chunk, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if chunk != at:
+                    if head is not None:
+                        yield head, ids, rows
+                    at, head, rows = chunk, None, []
                 if lists[i].is_valid:
-                    heads[chunk] = data, lists[i].values
+                    head, ids = data, lists[i].values
                 else:
-                    rows.setdefault(chunk, []).append(data)
-        for chunk, (data, ids) in heads.items():
-            sizes, common, base, training = unpack(data)
+                    rows.append(data)
+        if head is not None:
+            yield head, ids, rows
+
+    def finish(batches):
+        for head, ids, rows in chunks(batches):
+            sizes, common, base, training = unpack(head)
             score, known = np.zeros(len(sizes)), common.astype(float)
-            for answer in rows.get(chunk, ()):
+            for answer in rows:
                 at, s, b, k = unpack(answer)
                 score[at] += s
                 base[at] += b
                 known[at] += k
             yield pa.RecordBatch.from_arrays([ids, pa.array(~training), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(np.full(len(sizes), n)), pa.array(base - sizes * floor), pa.array(score)], names)
 
-    met = own.unionByName(answers.withColumn("ids", F.lit(None).cast(f"array<{id_type}>"))).repartition(parts, "chunk")
+    met = own.unionByName(answers.withColumn("ids", F.lit(None).cast(f"array<{id_type}>"))).repartition(parts, "chunk").sortWithinPartitions("chunk")
     return met.mapInArrow(finish, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -4,16 +4,15 @@ Every run of ``run`` consecutive sentences (and as many more as it takes to reac
 is hashed; the hashes are joined over the whole corpus; sentences under a repeated run that is not
 its first occurrence, in order of doc_id and position, are removed.
 
-A sentence ends at . ! or ? before white space, or at a line feed.  Text of over ``LONG`` words
-without such an end is cut behind words whose checksum is a multiple of eight, so that a passage
-falls into the same pieces wherever it stands.
+A sentence ends at . ! or ? before white space, or at a line feed, whatever its length.  Runs start
+at two sentences: a passage usually begins behind, and ends before, an unfinished sentence of the
+document around it, which leaves it its inner sentences only.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, signed, text_bytes
+from .common import Scratch, signed, slices, text_bytes
 
-RUN = 3
+RUN = 2
 LEAST = 12
-LONG = 24
 _END = re.compile(rb"(?<=[.!?])[ \t-\r]+|\n+")
-_WORD = re.compile(rb"[^ \t-\r]+[ \t-\r]*")
 
 
 def sentences(text: bytes) -> tuple[list[bytes], list[bytes], list[int]]:
@@ -42,24 +39,14 @@ def sentences(text: bytes) -> tuple[list[bytes], list[bytes], list[int]]:
             elif piece:
                 pieces, forms, counts = [piece], [b""], [0]
             continue
-        if len(words) <= LONG:
-            pieces.append(piece)
-            forms.append(b" ".join(words))
-            counts.append(len(words))
-            continue
-        spots = [m.end() for m in _WORD.finditer(piece)]
-        first = 0
-        for i, word in enumerate(words):
-            if zlib.crc32(word) % 8 == 0 or i == len(words) - 1:
-                pieces.append(piece[spots[first - 1] if first else 0 : spots[i] if i < len(words) - 1 else len(piece)])
-                forms.append(b" ".join(words[first : i + 1]))
-                counts.append(i + 1 - first)
-                first = i + 1
+        pieces.append(piece)
+        forms.append(b" ".join(words))
+        counts.append(len(words))
     return pieces, forms, counts
 
 
 def runs(forms: list[bytes], counts: list[int], run: int = RUN, least: int = LEAST) -> list[tuple[int, int, int, int]]:
-    """(hash, length in bytes, first, end) of each run; a text that is shorter than one run has none."""
+    """(128-bit hash as two halves, first, end) of each run; a text that is shorter than one run has none."""
     total = np.concatenate([[0], np.cumsum(counts)])
     starts = np.arange(len(forms))
     ends = np.maximum(starts + run, np.searchsorted(total, total[:-1] + least))
@@ -67,8 +54,8 @@ def runs(forms: list[bytes], counts: list[int], run: int = RUN, least: int = LEA
     for i, j in zip(starts.tolist(), ends.tolist()):
         if j > len(forms):
             break
-        key = b"\n".join(forms[i:j])
-        out.append((xxhash.xxh3_64_intdigest(key), len(key), i, j))
+        h = xxhash.xxh3_128_intdigest(b"\n".join(forms[i:j]))
+        out.append((h >> 64, h & (1 << 64) - 1, i, j))
     return out
 
 
@@ -78,20 +65,19 @@ def covered(docs: DataFrame, scratch: Scratch, run: int, least: int) -> DataFram
 
     def spans(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 2, 512):
                 rows, found = [], []
                 for row, text in enumerate(text_bytes(part.column(2))):
                     got = runs(*sentences(text)[1:], run, least)
                     found += got
                     rows += [row] * len(got)
                 take = pa.array(rows, pa.int32())
-                h, n, i, j = (np.array(x, np.uint64) for x in zip(*found)) if found else [np.zeros(0, np.uint64)] * 4
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(signed(h)), *(pa.array(x.astype(np.int32)) for x in (n, i, j))], ["doc_id", "version", "hash", "size", "i", "j"])
+                h, l, i, j = (np.array(x, np.uint64) for x in zip(*found)) if found else [np.zeros(0, np.uint64)] * 4
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(signed(h)), pa.array(signed(l)), *(pa.array(x.astype(np.int32)) for x in (i, j))], ["doc_id", "version", "hash", "low", "i", "j"])
 
-    rows = scratch.keep(docs.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(spans, f"doc_id {id_type}, version long, hash long, size int, i int, j int"))
-    again = scratch.keep(rows.groupBy("hash", "size").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "i")).alias("one")).where("n > 1").drop("n"))
-    later = rows.join(again, ["hash", "size"]).where(~F.struct("doc_id", "version", "i").eqNullSafe(F.col("one")))
+    rows = scratch.keep(docs.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(spans, f"doc_id {id_type}, version long, hash long, low long, i int, j int"))
+    again = scratch.keep(rows.groupBy("hash", "low").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "i")).alias("one")).where("n > 1").drop("n"))
+    later = rows.join(again, ["hash", "low"]).where(~F.struct("doc_id", "version", "i").eqNullSafe(F.col("one")))
     ranges = later.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("i", "j"))).alias("r"))
     return ranges.select("doc_id", "version", F.col("r.i").alias("froms"), F.col("r.j").alias("tos"))
 
@@ -109,8 +95,10 @@ def _left(text: bytes, froms, tos) -> tuple[bytes, int, int]:
 def deduplicated(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed) per row of docs.
 
-    Null texts are empty.  Rows that agree in doc_id and text are one document.  Texts with fewer
-    than ``run`` sentences or ``least`` words keep all; other columns are not looked at.
+    Null texts are empty; texts of any length are read whole.  Rows that agree in doc_id and text are
+    one document; of equal texts with different ids the one with the smallest keeps its runs.  Texts
+    with fewer than ``run`` sentences or ``least`` words keep all; other columns are not looked at;
+    an empty table gives an empty result.
     """
     found = covered(docs, Scratch(docs.sparkSession), run, least).toDF("_range_id", "_range_version", "_range_froms", "_range_tos")
     id_type = dict(docs.dtypes)["doc_id"]

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, groups_of, signed, text_bytes, text_view
+from .common import Scratch, components, signed, slices, text_bytes
 from .hashing import mix, words
 
 WIDTHS = (13, 13, 13, 13, 12)
@@ -155,20 +155,15 @@ def _shingles(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return _distinct(row[whole], mix(gram[whole]))
 
 
-def _pieces(batches, text: int, rows: int = 64, size: int = 1 << 19):
-    """Slices of at most ``rows`` rows and about ``size`` bytes in the column text; a longer text is alone."""
-    for batch in batches:
-        at = text_view(batch.column(text))[1]
-        for a, b in groups_of(at, size):
-            for i in range(a, b, rows):
-                yield batch.slice(i, min(rows, b - i))
+def _pieces(batches, text: int):
+    return (part for batch in batches for part in slices(batch, text))
 
 
 def _wide(row: np.ndarray, gram: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     """The four words of each text's SimHash of 256 bits, from its distinct shingles."""
     out = []
     for seed in range(4):
-        cells = mix(gram + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)).view(np.uint8).reshape(-1, 8)
+        cells = mix(gram + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.uint8).reshape(-1, 8)
         ones = [np.bincount(row * 256 + cells[:, k], minlength=256 * len(n)).reshape(-1, 256).astype(float) @ _BITS.astype(float) for k in range(8)]
         out.append(np.packbits(np.concatenate(ones, 1) * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0])
     return out

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepared
+from .common import prepared, slices
 from .hashing import mix, sorted_distinct, words
 
 BITS = 20
@@ -80,7 +80,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).select("id", "toxic", "text")
 
     def gather(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, 1024)):
             row, bucket = distinct(*features(batch.column(2)))
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(bucket, pa.int32()))
@@ -140,7 +140,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep_be
         at, values, bias = sent.value
         weights = np.zeros(1 << BITS)
         weights[at] = values
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text, 1024)):
             score = _scores(batch.column(text), weights, bias)
             if keep_below is None:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])

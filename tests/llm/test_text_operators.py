@@ -1,6 +1,7 @@
 """Operators on texts against brute force, with null, empty, long and repeated rows and clashing columns."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -210,10 +211,44 @@ def test_lm_distribution():
     assert w[2][0] < w[1][0]
 
 
-def test_lm_rare_contexts(docs):
-    few = {r["doc_id"]: r for r in lm_scoring.scored(docs, contexts=8).collect()}
-    many = {r["doc_id"]: r for r in lm_scoring.scored(docs).collect()}
-    assert all(few[i]["base_score"] == pytest.approx(many[i]["base_score"], abs=1e-6) and few[i]["n_known"] == many[i]["n_known"] for i in many)
+def brute_scores(texts, ids):
+    """The model of lm_scoring counted with dictionaries, its weights from the same table of cells."""
+    tokens = [[*(t or "").lower().split(), None] for t in texts]
+    train = [zlib.crc32(str(i).encode()) % 5 != 1 for i in ids]
+    uni, pairs = Counter(), Counter()
+    for ts, mine in zip(tokens, train):
+        if mine:
+            uni.update(ts)
+            pairs.update(zip([None, *ts], ts))
+    n, v = sum(uni.values()), len(uni)
+    bucket = lambda c: int(np.floor(np.log2(c))) + 1 if c else 0
+    step = lambda p: min(int(np.floor(-np.log2(p) * lm_scoring.STEPS)), 253) if p > 0 else 255
+    cells = defaultdict(lambda: np.zeros(3))
+    for ts, mine in zip(tokens, train):
+        for c, w in zip([None, *ts], ts) if mine else ():
+            p2 = (pairs[c, w] - 1) / (uni[c] - 1) if uni[c] > 1 else 0.0
+            p1 = (uni[w] - 1) / (n - 1)
+            cells[bucket(uni[c]), step(p2), step(p1)] += 1, p2, p1
+    total = np.array(list(cells.values()))
+    weights = lm_scoring.mixture(np.array([k[0] for k in cells]), total[:, 0], total[:, 1] / total[:, 0], total[:, 2] / total[:, 0], 1 / (v + 1))
+    chance = lambda c, w: weights[bucket(uni[c])] @ [pairs[c, w] / uni[c] if uni[c] else 0.0, uni[w] / n, 1 / (v + 1)]
+    return [sum(log10(chance(c, w)) for c, w in zip([None, *ts], ts)) for ts in tokens]
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 8, 1 << 18])
+def test_lm_scores(docs, texts, frequent):
+    """Frequent and rare contexts and tokens alike, whichever side of the broadcast table they are on."""
+    want = brute_scores([*texts, texts[0]], [*range(len(texts)), 0])
+    got = lm_scoring.scored(docs, frequent).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
+
+
+def test_lm_without_training_rows(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1]
+    got = lm_scoring.scored(spark.createDataFrame([(i, "two words") for i in held], "doc_id long, text string")).collect()
+    assert len(got) == len(held) and all(r["held_out"] and r["train_tokens"] == r["n_known"] == 0 and r["score"] <= 0 for r in got)
 
 
 def test_toxicity(spark, empty):
@@ -250,14 +285,53 @@ def test_fingerprints(spark, docs, empty, texts):
     assert fingerprint.edits(empty).count() == 0
 
 
+def brute_sentences(rows, run, least):
+    """{(doc_id, text): (sentences, removed, text left)} by comparing every run of every pair of documents."""
+    cut = {(i, t): [x for x in re.split(r"(?<=[.!?])(?=[ \t-\r])|(?<=\n)", t or "")] for i, t in rows}
+    units = {k: [x.lower().split() for x in v] for k, v in cut.items()}
+    runs = []
+    for k in sorted(units, key=lambda k: (k[0], k[1] or "")):
+        said = [(p, u) for p, u in enumerate(units[k]) if u]
+        for a in range(len(said)):
+            for b in range(a + run, len(said) + 1):
+                if sum(len(u) for _, u in said[a:b]) >= least:
+                    runs.append((tuple(" ".join(u) for _, u in said[a:b]), k, a, b))
+                    break
+    first, gone = {}, defaultdict(set)
+    for key, k, a, b in runs:
+        if key in first:
+            gone[k] |= set(range(a, b))
+        else:
+            first[key] = True
+    return {k: (sum(1 for u in units[k] if u), len(gone[k]), " ".join(" ".join(u) for j, u in enumerate(x for x in units[k] if x) if j not in gone[k])) for k in units}
+
+
+@pytest.mark.parametrize(("run", "least"), [(2, 12), (3, 0), (2, 0)])
+def test_sentence_spans_beside_brute_force(spark, run, least):
+    rng = np.random.default_rng(run * 50 + least)
+    bank = [prose(int(rng.integers(1, 30)), rng).capitalize() + str(rng.choice([".", "!", "?"])) for _ in range(40)]
+    rows = [(i, str(rng.choice([" ", "\n", "  "])).join(bank[j] for j in rng.integers(0, 40, rng.integers(0, 14)))) for i in range(40)]
+    passage = " ".join(bank[:5])
+    rows += [(50, f"unfinished words {passage} and more"), (51, f"{prose(40, rng)} {passage}"), (52, passage), (53, passage), (54, None), (55, ""), (56, " "), (57, prose(5000, rng)), (3, rows[4][1])]
+    want = brute_sentences(rows, run, least)
+    got = sentence_dedup.deduplicated(spark.createDataFrame([(*r, 1) for r in rows] + [(*rows[0], 1)], "doc_id long, text string, hash int"), run, least).collect()
+    assert len(got) == len(rows) + 1
+    by_id = defaultdict(list)
+    for (i, _), w in want.items():
+        by_id[i].append(w)
+    for r in got:
+        left = " ".join(r["text"].lower().split())
+        assert any(r["n_removed"] == w[1] and left == w[2] for w in by_id[r["doc_id"]])
+
+
 def test_sentence_spans(spark, empty):
     s = [f"Sentence number {i} has {i * i} little words." for i in range(12)]
-    bodies = [" ".join(s[:6]), " ".join(["Start here my friend."] + s[1:5] + ["End it now please."]), " ".join(s[6:]), None, "", "no end"]
+    bodies = [" ".join(s[:6]), " ".join(["Start here my friend."] + s[1:5] + ["End it now please."]), " ".join(s[6:]), None, "", "no end", "No one wrote this line of many words that goes on and on and has no end for a long time at all yes. Nor this one which is as long as the other line was and says nothing more."]
     rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(bodies)], "doc_id long, text string, hash int")
     got = {r["doc_id"]: r for r in sentence_dedup.deduplicated(rows).collect()}
     assert got[0]["n_removed"] == 0 and got[2]["n_removed"] == 0
     assert (got[1]["n_removed"], got[1]["text"]) == (4, "Start here my friend. End it now please.")
-    assert got[3]["text"] == got[4]["text"] == "" and got[5]["text"] == "no end"
+    assert got[3]["text"] == got[4]["text"] == "" and got[5]["text"] == "no end" and got[6]["n_sentences"] == 2
     assert sentence_dedup.deduplicated(empty).count() == 0
 
 
