@@ -1,68 +1,103 @@
 """Main text of web pages: structure first, then a suffix array over the pages of a host.
 
-Structure: menus, page headers and footers, sidebars, notices, adverts, forms, reader comments,
-scripts and styles go by their elements, roles and class names; if a page has an article or main
-element with text, only the text inside is looked at.
+Structure: scripts, styles, menus, sidebars, page headers and footers, dialogs and reader comments go
+by their elements and roles.  Forms and elements whose class or id names such a part go only if less
+than half of the page's text is inside, or an article stands outside of them, so that a page wrapped
+in one form, or a layout class with a telling name, keeps its story.  If the articles of a page hold most of its text, only they are kept.
 
 Host suffix array: the token streams of a host's pages are concatenated and their suffixes sorted
 to a depth of ``RUN`` tokens.  Neighbouring suffixes that agree to that depth are a substring
-repeated in the host; if it stands on most of the pages, at least ``PAGES`` and ``SHARE`` of them,
-its tokens are boilerplate and are removed, and the unique runs stay.  A passage that a few
-articles share is no boilerplate.
+repeated in the host; it is boilerplate if it stands on enough distinct pages of the host: a third
+outside of articles, three fifths inside.  Its tokens are removed and the unique runs stay.
 
-Hosts of over ``SHARD`` pages are dealt into shards by a hash of page_id.  Boilerplate stands on most
-pages of a host and thus of each of its shards, so a shard decides for itself.
+Hosts of over ``SHARD`` pages are dealt into shards by a hash of page_id, yet judged as a whole: a run
+on a share of a host's pages is on that share in one shard at least, so the shards name candidates,
+count them, and remove those whose sum suffices.  The result is the same for any size of shard.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepared
+from .common import Scratch, prepared, signed
+from .hashing import mix
 
 RUN = 8
-PAGES = 4
-SHARE = 0.6
+#: Least number and least share of a host's pages for a run outside (False) and inside (True) of articles.
+LEAST = {False: (3, 1 / 3), True: (4, 0.6)}
 SHARD = 256
 #: Hosts with several shards that may be broadcast; beyond it the host table is joined by a shuffle.
 FEW_HOSTS = 10_000
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("head nav footer aside form button menu dialog fieldset header".split())
+DROPPED = frozenset("head nav footer aside button menu dialog".split())
+DOUBTFUL = frozenset("form fieldset".split())
 OWN_TEXT = frozenset("article main".split())
-# Words of class, id and role names that mark parts other than the article.
-OTHER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|sidebar|side-bar|sidenav|rail|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|header|masthead|topbar|comment|comments|commentlist|respond|reply|replies|disqus|discussion|share|sharing|social|newsletter|subscribe|subscription|signup|popup|modal|overlay|related|recommended|widget|login|search|toolbar|pager|pagination|complementary|contentinfo|navigation|dialog)(?=$|[\s_-])",
-    re.I,
+TEXTUAL = frozenset("html body article main p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption td th tr tbody".split())
+# Roles, and names of classes and ids, of parts other than the article.
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+PARTS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar sidenav rail nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist respond reply replies disqus discussion share sharing social newsletter subscribe subscription signup popup modal overlay related recommended widget login search toolbar pager pagination".split()
 )
+HOLDERS = frozenset("area bar block body bottom box button buttons container content form group holder icons inner item items left link links list main message nav outer panel posts region right row section slot space stories text thread top unit wrap wrapper zone".split())
 
 
-def blocks(page: str) -> list[str]:
-    """Texts of the blocks of a page that structure does not rule out, in page order."""
-    trusted: list[str] = []
-    rest: list[str] = []
+def _named_part(tag: str, attributes: str) -> bool:
+    """Does a class, id or role say that the element is no part of the article?
+
+    One-word names count for any element but those of page structure; of compound names the last
+    word counts (site-footer), or the first before a word for a holder (comment-list), and neither
+    for elements of running text (an h2 of class section-header).
+    """
+    for kind, a, b, c in _NAMES.findall(attributes):
+        value = (a or b or c).lower()
+        if kind.lower() == "role":
+            if value.strip() in ROLES:
+                return True
+            continue
+        if tag in ("html", "body", "article", "main"):
+            continue
+        for name in value.split():
+            words = [w for w in re.split(r"[-_:]+", name) if w]
+            if len(words) == 1 and words[0] in PARTS and not (tag in TEXTUAL and words[0] in ("header", "banner", "related", "social")):
+                return True
+            if len(words) > 1 and tag not in TEXTUAL and words[0] not in ("no", "has", "with", "without", "non", "is", "not"):
+                if words[-1] in PARTS or words[0] in PARTS and all(w in HOLDERS or w in PARTS or w.isdigit() for w in words[1:]):
+                    return True
+    return False
+
+
+def blocks(page: str) -> list[tuple[bool, str]]:
+    """(within an article or main, text) of the blocks of a page that structure does not rule out, in page order."""
+    found: list[tuple[bool, str, tuple[int, ...]]] = []  # with the doubtful elements around it
+    weights: list[int] = []  # characters in each doubtful element
     part: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # (element, ruled out, within article or main)
-    out, own, at, size = False, False, 0, len(page)
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # (element, ruled out, within an article, doubtful elements)
+    at, size = 0, len(page)
+    out, own, doubts = False, False, ()
 
     def flush():
         if part:
             text = " ".join(html.unescape("".join(part)).split())
             part.clear()
             if text:
-                (trusted if own else rest).append(text)
+                found.append((own, text, doubts))
+                for d in doubts:
+                    weights[d] += len(text)
 
     while at < size:
         m = _MARK.search(page, at)
@@ -82,7 +117,7 @@ def blocks(page: str) -> list[str]:
                 if stack[i][0] == tag:
                     flush()
                     del stack[i:]
-                    out, own = stack[-1][1:] if stack else (False, False)
+                    out, own, doubts = stack[-1][1:] if stack else (False, False, ())
                     break
             continue
         if tag in RAW:
@@ -98,33 +133,43 @@ def blocks(page: str) -> list[str]:
             continue
         if tag in ("p", "li") and stack and stack[-1][0] == tag:  # their end tags are optional
             stack.pop()
-            out, own = stack[-1][1:] if stack else (False, False)
-        gone = out or tag in DROPPED
-        if not gone and tag not in ("html", "body") and m[3]:
-            gone = any(OTHER.search(a or b or c) for a, b, c in _NAMES.findall(m[3]))
-        if gone != out or tag in OWN_TEXT or tag not in INLINE or tag == "a":
+            out, own, doubts = stack[-1][1:] if stack else (False, False, ())
+        gone = out or tag in DROPPED or (tag == "header" and not own)
+        inside = doubts
+        if not gone and (tag in DOUBTFUL or (m[3] and _named_part(tag, m[3]))):
+            flush()
+            inside = (*doubts, len(weights))
+            weights.append(0)
+        if gone != out or inside != doubts or tag in OWN_TEXT or tag not in INLINE or tag == "a":
             if gone != out:
                 flush()
-            stack.append((tag, gone, own or (tag in OWN_TEXT and not gone)))
-            out, own = stack[-1][1:]
+            stack.append((tag, gone, own or (tag in OWN_TEXT and not gone), inside))
+            out, own, doubts = stack[-1][1:]
     flush()
-    return trusted or rest
+    total = sum(len(text) for _, text, _ in found)
+    article = any(mine and not inside for mine, _, inside in found)
+    kept = [(mine, text) for mine, text, inside in found if all(2 * weights[d] > total for d in inside) and (mine or not inside or not article)]
+    trusted = [b for b in kept if b[0]]
+    return trusted if 2 * sum(len(t) for _, t in trusted) >= sum(len(t) for _, t in kept) else kept
 
 
-def boilerplate(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int = PAGES, share: float = SHARE) -> np.ndarray:
-    """Which tokens of the concatenated streams lie in runs repeated on most pages."""
-    n, total = len(tokens), len(np.unique(page))
-    covered = np.zeros(n, bool)
-    need = max(pages, int(np.ceil(share * total)))
-    if n < run or total < need:
-        return covered
+def repeats(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, class of each, distinct pages of each class) of all runs of ``run`` tokens, by a suffix array.
+
+    tokens are the concatenated streams of the pages; page numbers them, and several streams can
+    have one number.
+    """
+    n, stream = len(tokens), np.zeros(len(tokens), np.int64)
+    if n < run:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    stream[1:] = np.cumsum(page[1:] != page[:-1])
     _, rank = np.unique(tokens, return_inverse=True)
     depth = 1
     while depth < run:  # prefix doubling: ranks of suffixes to twice the depth, the last step overlaps
         step = min(depth, run - depth)
         after = np.full(n, -1, np.int64)
         after[: n - step] = rank[step:]
-        after[: n - step][page[: n - step] != page[step:]] = -1
+        after[: n - step][stream[: n - step] != stream[step:]] = -1
         key = rank * np.int64(n + 1) + after + 1
         order = np.argsort(key, kind="stable")
         new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
@@ -132,89 +177,194 @@ def boilerplate(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int
         rank[order] = new
         depth += step
     inside = np.zeros(n, bool)
-    inside[: n - run + 1] = page[: n - run + 1] == page[run - 1 :]
+    inside[: n - run + 1] = stream[: n - run + 1] == stream[run - 1 :]
     suffixes = np.lexsort((page, rank))  # the suffix array, and pages in order within equal prefixes
     suffixes = suffixes[inside[suffixes]]
+    if not len(suffixes):
+        return suffixes, suffixes, suffixes
     r, p = rank[suffixes], page[suffixes]
-    if not len(r):
-        return covered
     first = np.concatenate([[True], r[1:] != r[:-1]])
     fresh = first | np.concatenate([[True], p[1:] != p[:-1]])
     cls = np.cumsum(first) - 1
-    often = np.bincount(cls, fresh)[cls] >= need
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, suffixes[often], 1)
-    np.add.at(edge, suffixes[often] + run, -1)
-    return np.cumsum(edge)[:-1] > 0
-
-
-def _texts(pages: list[list[str]]) -> list[str]:
-    """Texts of a shard's pages from their blocks."""
-    words = [[b.split(" ") for b in page] for page in pages]
-    sizes = [sum(map(len, page)) for page in words]
-    numbers: dict[str, int] = {}
-    stream = np.fromiter((numbers.setdefault(w, len(numbers)) for page in words for b in page for w in b), np.int64, sum(sizes))
-    covered = boilerplate(stream, np.repeat(np.arange(len(pages)), sizes))
-    out, at = [], 0
-    for page, block_texts, size in zip(words, pages, sizes):
-        if not covered[at : at + size].any():
-            out.append("\n".join(block_texts))
+    return suffixes, cls, np.bincount(cls, fresh).astype(np.int64)
+
+
+def boilerplate(starts: np.ndarray, support: np.ndarray, own: np.ndarray, total: int, run: int = RUN) -> np.ndarray:
+    """Which tokens lie in a run that stands on enough of a host's ``total`` pages; support is that of the run at each start."""
+    n = len(own)
+    covered = np.zeros(n, bool)
+    for inside, (pages, share) in LEAST.items():
+        often = support >= max(pages, int(np.ceil(share * total)))
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, starts[often], 1)
+        np.add.at(edge, starts[often] + run, -1)
+        covered |= (np.cumsum(edge)[:-1] > 0) & (own == inside)
+    return covered
+
+
+class Shard:
+    """The pages of one host, or of one shard of it: their blocks as one stream of token hashes."""
+
+    def __init__(self, ids: list, pages: list[list[tuple[bool, str]]]):
+        self.pages = [[(own, text.split(" ")) for own, text in page] for page in pages]
+        words = [w for page in self.pages for _, b in page for w in b]
+        self.tokens = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+        self.sizes = [sum(len(b) for _, b in page) for page in self.pages]
+        number = {x: i for i, x in enumerate(dict.fromkeys(ids))}
+        self.count = len(number)
+        page = np.repeat([number[x] for x in ids], self.sizes).astype(np.int64) if ids else np.zeros(0, np.int64)
+        self.own = np.repeat([own for p in self.pages for own, _ in p], [len(b) for p in self.pages for _, b in p]).astype(bool)
+        self.starts, self.cls, self.support = repeats(self.tokens, page)
+
+    def keys(self) -> np.ndarray:
+        """A hash of each class of runs that other shards have too."""
+        first = np.searchsorted(self.cls, np.arange(len(self.support)))
+        at = self.starts[first] if len(first) else first
+        key = np.zeros(len(at), np.uint64)
+        for k in range(RUN):
+            key += mix(self.tokens[at + k]) * np.uint64((2 * k + 3) ** 11)
+        return mix(key)
+
+    def texts(self, support: np.ndarray, total: int) -> list[str]:
+        """Texts without boilerplate; a page of nothing else is a copy of others and stays."""
+        covered = boilerplate(self.starts, support[self.cls], self.own, total)
+        out, at = [], 0
+        for page, size in zip(self.pages, self.sizes):
+            gone = covered[at : at + size]
+            if not gone.any() or gone.all():
+                out.append("\n".join(" ".join(b) for _, b in page))
+            else:
+                left, i = [], 0
+                for _, b in page:
+                    left.append(" ".join(w for w, c in zip(b, gone[i : i + len(b)]) if not c))
+                    i += len(b)
+                out.append("\n".join(x for x in left if x))
             at += size
-            continue
-        kept = []
-        for b in page:
-            left = [w for w, c in zip(b, covered[at : at + len(b)]) if not c]
-            at += len(b)
-            if left:
-                kept.append(" ".join(left))
-        out.append("\n".join(kept))
-    return out
+        return out
+
+
+_OPEN = zstandard.ZstdDecompressor()
+
+
+def _shards(batches) -> Iterator[tuple[tuple, list, bytes | None, Shard]]:
+    """((host, shard), [(page_id, url)], the host's counts if a row without page brings them, pages) of rows sorted by host, shard and kind."""
+    key, held, told = None, [], None
+
+    def done():
+        pages = [[(x[0] == "1", x[1:]) for x in _OPEN.decompress(d).decode().split("\n") if x] for _, _, d in held]
+        return key, [(a, b) for a, b, _ in held], told, Shard([a for a, _, _ in held], pages)
+
+    for batch in batches:
+        for host, shard, kind, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (host, shard) != key:
+                if held:
+                    yield done()
+                key, held, told = (host, shard), [], None
+            if kind == 0:
+                told = row[2]
+            else:
+                held.append(row)
+    if held:
+        yield done()
+
+
+def _counted(parsed: DataFrame, hosts: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
+    """(host, kind, data): for each sharded host, its number of pages, and its runs that may be boilerplate with their pages."""
+    low = min(share for _, share in LEAST.values())
+
+    def propose(batches):
+        for (host, _), _, _, shard in _shards(batches):
+            keys = shard.keys()[shard.support >= np.ceil(low * shard.count)]
+            yield pa.RecordBatch.from_arrays([pa.array([host] * (len(keys) + 1)), pa.array(np.append(signed(keys), 0)), pa.array([0] * len(keys) + [shard.count], pa.int64())], ["host", "key", "pages"])
+
+    def count(batches):
+        for (host, _), _, told, shard in _shards(batches):
+            asked = np.frombuffer(told or b"", np.int64)
+            keys = signed(shard.keys())
+            hit = np.isin(keys, asked)
+            yield pa.RecordBatch.from_arrays([pa.array([host] * int(hit.sum())), pa.array(keys[hit]), pa.array(shard.support[hit])], ["host", "key", "n"])
+
+    def packed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, np.int64).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["host", "data"])
+
+    proposed = scratch.keep(_dealt(parsed, parts).mapInArrow(propose, "host string, key long, pages long"))
+    totals = proposed.groupBy("host").agg(F.sum("pages").alias("total"))
+    candidates = proposed.where("key <> 0").select("host", "key").distinct().groupBy("host").agg(F.collect_list("key").alias("k"))
+    asked = _told(candidates.mapInArrow(packed, "host string, data binary"), hosts)
+    counts = _dealt(parsed.unionByName(asked), parts).mapInArrow(count, "host string, key long, n long").groupBy("host", "key").agg(F.sum("n").alias("n"))
+    pairs = counts.join(totals, "host").where(F.col("n") >= F.ceil(F.col("total") * F.lit(low))).groupBy("host").agg(F.flatten(F.collect_list(F.array("key", "n"))).alias("k"))
+    told = totals.join(pairs, "host", "left").select("host", F.concat(F.array("total"), F.coalesce("k", F.array().cast("array<bigint>"))).alias("k"))
+    return _told(told.mapInArrow(packed, "host string, data binary"), hosts)
+
+
+def _told(data: DataFrame, hosts: DataFrame) -> DataFrame:
+    """One row of kind 0 for each shard of a host."""
+    rows = hosts.join(data, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(0).alias("kind"), "data")
+    return rows.select("host", "shard", "kind", F.lit(None).alias("page_id"), F.lit(None).cast("string").alias("url"), "data")
+
+
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(parts, "host", "shard").sortWithinPartitions("host", "shard", "kind", "page_id", "url")
 
 
 def main_text(pages: DataFrame, shard: int = SHARD) -> DataFrame:
     """(page_id, url, text, n_chars) per row of pages (page_id, url, html).
 
-    Null and empty html give an empty text; a null url is a host of its own.  Repeated rows are
-    separate pages with one page_id, and stand for one page when repeats are counted; other columns
-    are not looked at.
+    Null and empty html give an empty text; pages without a host in their url are one host.  Pages of
+    any length are read whole.  Repeated rows are separate pages with one page_id, and stand for one
+    page when repeats are counted; other columns are not looked at; an empty table gives an empty
+    result.
     """
     spark = prepared(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
     large = rows.groupBy("host").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")).where("shards > 1")
-    large = F.broadcast(large) if large.count() <= FEW_HOSTS else large
-    dealt = rows.join(large, "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id"), F.coalesce("shards", F.lit(1))).cast("int"))
+    many = large.count()
+    large = F.broadcast(large) if many <= FEW_HOSTS else large
     id_type = dict(pages.dtypes)["page_id"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def parse(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            data = [pack.compress("\n".join(blocks(x or "")).encode("utf-8", "replace")) for x in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(data, pa.binary())], ["host", "shard", "page_id", "url", "data"])
+            data = [pack.compress("\n".join("01"[own] + text for own, text in blocks(x or "")).encode("utf-8", "replace")) for x in batch.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(data, pa.binary())], ["host", "shard", "kind", "page_id", "url", "data"])
 
     def extract(batches):
-        key, held = None, []
-        open_ = zstandard.ZstdDecompressor()
+        kind = None
 
-        def done():
-            texts = _texts([[b for b in open_.decompress(d).decode().split("\n") if b] for _, _, d in held])
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], id_kind), pa.array([x[1] for x in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        def looked(batches):
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field(3).type
+                yield batch
 
-        for batch in batches:
-            id_kind = batch.schema.field(2).type
-            for h, s, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (h, s) != key:
-                    if held:
-                        yield done()
-                    key, held = (h, s), []
-                held.append(row)
-        if held:
-            yield done()
+        for _, held, told, pages in _shards(looked(batches)):
+            support, total = pages.support, pages.count
+            if told is not None:
+                values = np.frombuffer(told, np.int64)
+                total, keys, n = int(values[0]), values[1::2], values[2::2]
+                support = np.zeros(len(pages.support), np.int64)
+                if len(keys):
+                    order = np.argsort(keys)
+                    mine = signed(pages.keys())
+                    at = np.minimum(np.searchsorted(keys[order], mine), len(keys) - 1)
+                    support = np.where(keys[order][at] == mine, n[order][at], 0)
+            texts = pages.texts(support, total)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], kind), pa.array([x for _, x in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    parsed = dealt.select("host", "shard", "page_id", "url", "html").mapInArrow(parse, f"host string, shard int, page_id {id_type}, url string, data binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ready = parsed.repartition(parts, "host", "shard").sortWithinPartitions("host", "shard", "page_id", "url")
-    return ready.mapInArrow(extract, f"page_id {id_type}, url string, text string, n_chars long")
+    def parsed(some: DataFrame, shards) -> DataFrame:
+        return some.select("host", shards.alias("shard"), F.lit(1).alias("kind"), "page_id", "url", "html").mapInArrow(parse, f"host string, shard int, kind int, page_id {id_type}, url string, data binary")
+
+    if not many:
+        ready = parsed(rows, F.lit(0))
+    else:
+        scratch = Scratch(spark)
+        spread = scratch.keep(parsed(rows.join(large, "host"), F.pmod(F.xxhash64("page_id"), F.col("shards")).cast("int")))
+        told = _counted(spread, large, scratch, parts)
+        ready = parsed(rows.join(large, "host", "left_anti"), F.lit(0)).unionByName(spread).unionByName(told)
+    return _dealt(ready, parts).mapInArrow(extract, f"page_id {id_type}, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir):

@@ -371,12 +371,79 @@ def test_pages(spark):
     assert html_extract.main_text(df.where("false")).count() == 0
 
 
-def test_boilerplate_is_what_most_pages_share():
-    rng = np.random.default_rng(2)
-    streams = [np.concatenate([rng.integers(100, 10**6, 30), np.arange(10), rng.integers(100, 10**6, 20)]) for _ in range(8)]
-    streams[0][:9] = streams[1][:9]  # two pages share this
-    covered = html_extract.boilerplate(np.concatenate(streams), np.repeat(np.arange(8), 60))
-    assert np.flatnonzero(covered).tolist() == [60 * k + 30 + j for k in range(8) for j in range(10)]
+STORY = "The long story of the day goes here and tells what happened in the town by the river. " * 3
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<main class="content no-sidebar"><p>{STORY}</p></main>',
+        f'<div class="has-sidebar"><article><p>{STORY}</p></article></div>',
+        f'<form action="/"><div><p>{STORY}</p></div></form>',
+        f'<div class="comment-free-analysis"><p>{STORY}</p></div>',
+        f"<article><header><h1>{STORY}</h1></header></article>",
+        f'<div><h2 class="section-header">{STORY}</h2></div>',
+        f'<div><p class="social-policy">{STORY}</p></div>',
+        f'<article class="teaser"><p>Read this too.</p></article><div><p>{STORY}</p></div>',
+        f'<div class="sidebar-layout"><p>{STORY}</p></div>',
+        f'<div id="page-header-less"><p>{STORY}</p></div>',
+    ],
+)
+def test_structure_keeps_the_story(page):
+    got = html_extract.blocks(f'<html><body><nav>menu</nav><div class="ad">Buy this now.</div>{page}<div class="site-footer">foot</div></body></html>')
+    assert STORY.strip() in [text for _, text in got]
+    assert not [t for _, t in got if "menu" in t or "Buy" in t or "foot" in t]
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-banner", "cookie-notice", "comments", "comment-list", "user-comments", "related-posts", "share-buttons", "newsletter-signup", "left-sidebar", "main-nav", "page-header"])
+def test_named_parts_go(name):
+    for attribute in ("class", "id"):
+        assert [t for _, t in html_extract.blocks(f'<div><p>{STORY}</p></div><div {attribute}="{name} x"><p>not this</p></div>')] == [STORY.strip()]
+
+
+def brute_runs(pages, ids, run=html_extract.RUN):
+    """Texts without the tokens under runs on enough pages, counted with dictionaries."""
+    streams = [[(w, own) for own, text in html_extract.blocks(p or "") for w in [*text.split(" "), None]] for p in pages]
+    flat = [[(w, own) for w, own in s if w is not None] for s in streams]
+    seen = defaultdict(set)
+    for i, s in zip(ids, flat):
+        for k in range(len(s) - run + 1):
+            seen[tuple(w for w, _ in s[k : k + run])].add(i)
+    out = []
+    for s, f in zip(streams, flat):
+        gone = [False] * len(f)
+        for k in range(len(f) - run + 1):
+            for j in range(k, k + run):
+                pages_, share = html_extract.LEAST[f[j][1]]
+                gone[j] |= len(seen[tuple(w for w, _ in f[k : k + run])]) >= max(pages_, int(np.ceil(share * len(set(ids)))))
+        gone = [False] * len(f) if all(gone) else gone
+        left, j, block = [], 0, []
+        for w, _ in s:
+            if w is None:
+                left.append(" ".join(block))
+                block = []
+            else:
+                block += [] if gone[j] else [w]
+                j += 1
+        out.append("\n".join(x for x in left if x))
+    return out
+
+
+@pytest.mark.parametrize("shard", [1000, 16, 3])
+def test_host_runs_beside_brute_force(spark, shard):
+    """Runs on some of a host's pages, repeated rows, one long page: the same for any size of shard."""
+    rng = np.random.default_rng(9)
+    lines = {0.9: prose(12, rng), 0.5: prose(10, rng), 0.36: prose(9, rng), 0.2: prose(15, rng)}
+    rows = []
+    for i in range(50):
+        body = [f"<p>{' '.join(f'u{rng.integers(10**6)}' for _ in range(30))}</p>"] + [f"<{t}>{x}</{t}>" for s, x in lines.items() if i % 50 < 50 * s for t in ("div",)]
+        rng.shuffle(body)
+        body = "".join(body)
+        rows.append((i, "http://big.example/" + str(i), f"<article>{body}</article>" if i % 3 == 0 else f"<div>{body}</div>"))
+    rows += [rows[4], rows[4], (60, "http://big.example/long", f"<p>{' '.join(f'w{k}' for k in range(4000))} {lines[0.9]}</p>"), (61, "http://big.example/null", None)]
+    want = Counter(zip((r[0] for r in rows), brute_runs([r[2] for r in rows], [r[0] for r in rows])))
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), shard)
+    assert Counter((r["page_id"], r["text"]) for r in got.collect()) == want
 
 
 def test_grouping_helpers():
