@@ -1,8 +1,9 @@
 """Embedding near-duplicates: a hierarchical navigable small-world graph per shard.
 
 Vectors are compared within one label.  Equal vectors are collapsed first, so a group of copies is
-one node however large it is.  The nodes of a label are dealt into shards of about ``SHARD``; each
-shard gets a graph, built once and kept as one row.  Then every shard is searched with the vectors
+one node however large it is.  The nodes of a label are dealt into shards: of ``SHARD`` nodes up to
+``SHARDS`` shards, then as many as ``BYTES`` of vectors a shard ask for, so that few pairs of shards
+meet however large a label is.  Each shard gets a graph, built once and kept as one row.  Then every shard is searched with the vectors
 of every shard of its label, both ways in one task per pair of shards.  A search that ends with a
 full beam of near vectors is repeated with a beam twice as wide, and all searches of a pair of
 shards are widened until an audit of its recall against brute force passes.  Found pairs are
@@ -22,12 +23,16 @@ from pyspark.sql import functions as F
 from .common import Scratch, components
 
 SHARD = 4096
+SHARDS = 64
+BYTES = 64 << 20
 #: Links of a node above the ground level; twice as many on it.
 LINKS = 12
 #: Beam while building, and the first one while searching.
 BEAM = 48
 #: Vectors audited per search of a shard, and the recall that they must reach.
 AUDITED, RECALL = 128, 0.99
+#: Share of the audited vectors whose nearest neighbour a search must meet, links or not.
+NEAREST = 0.95
 BLOCK = 256
 
 
@@ -50,6 +55,10 @@ class Graph:
             self._insert(done, end, int(level[done]))
             done = end
 
+    def __getstate__(self):
+        """Without the vectors, which the shard has beside the graph."""
+        return {k: v for k, v in self.__dict__.items() if k != "x"}
+
     def _insert(self, first: int, end: int, level: int) -> None:
         new = np.arange(first, end)
         q = self.x[first:end]
@@ -158,13 +167,16 @@ class Graph:
         """(query, node) pairs whose similarity is least or more, as far as the audited beams find them."""
         n, beam = self.sizes[0], min(BEAM, self.sizes[0])
         audited = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
-        truth = [np.flatnonzero(self.x @ q[i] >= least) for i in audited]
+        near = [self.x @ q[i] for i in audited]
+        truth = [np.flatnonzero(x >= least) for x in near]
+        first = np.array([np.argmax(np.where(x > 1 - 1e-6, -2.0, x)) for x in near])  # the nearest that is not the vector itself
         while True:
             pairs = [self._ranged(q[a : a + BLOCK], a, beam, least) for a in range(0, len(q), BLOCK)]
             query, node = (np.concatenate(z) for z in zip(*pairs))
             have = set((query * n + node).tolist())
             wanted = [int(i) * n + int(j) for i, t in zip(audited, truth) for j in t]
-            if beam >= n or sum(w in have for w in wanted) >= RECALL * len(wanted):
+            nearest = (self.search(q[audited], beam)[0] == first[:, None]).any(1).mean() if len(audited) else 1.0
+            if beam >= n or (sum(w in have for w in wanted) >= RECALL * len(wanted) and nearest >= NEAREST):
                 return query, node
             beam = min(n, 2 * beam)
 
@@ -239,7 +251,9 @@ def _links(left: dict, right: dict | None, least: float) -> pd.DataFrame:
 def linked(vectors: DataFrame, least: float = 0.93, shard: int = SHARD) -> DataFrame:
     """(vec_id, n_links, component_id) per row of vectors (vec_id, embedding, label).
 
-    Vectors without a label, null vectors, zero vectors and those with null or non-finite components
+    A node is a kind of vector (label, length, components), named by a number of its own, so rows
+    with one vec_id and different labels or vectors stay apart; a row's component_id is the smallest
+    vec_id of its component.  An empty table gives an empty result.  Vectors without a label, null vectors, zero vectors and those with null or non-finite components
     link with nothing; neither do vectors of different lengths.  Equal vectors of one label are
     linked, repeated rows too.  Other columns are not looked at.
     """
@@ -249,15 +263,16 @@ def linked(vectors: DataFrame, least: float = 0.93, shard: int = SHARD) -> DataF
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     valid = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     sound = rows.where(valid).withColumn("dim", F.size("embedding"))
-    kinds = scratch.keep(sound.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")))
-    sizes = kinds.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
-    dealt = kinds.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
+    kinds = scratch.keep(sound.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")).withColumn("node", F.monotonically_increasing_id()))
+    n = F.count("*")
+    sizes = kinds.groupBy("label", "dim").agg(F.greatest(F.least(F.ceil(n / shard), F.lit(SHARDS)), F.ceil(n * F.col("dim") * 4 / BYTES)).cast("int").alias("shards"))
+    dealt = kinds.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
     label = dict(kinds.dtypes)["label"]
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep", kind="stable")
+        rows = rows.sort_values(["rep", "node"], kind="stable")
         x = np.stack(rows["embedding"].to_numpy())
-        data = {"x": x, "ids": rows["rep"].to_numpy(), "times": rows["times"].to_numpy(), "graph": Graph(_unit(x.astype(float)))}
+        data = {"x": x, "ids": rows["node"].to_numpy(), "times": rows["times"].to_numpy(), "graph": Graph(_unit(x.astype(float)))}
         return pd.DataFrame({"label": rows["label"].iloc[:1], "dim": rows["dim"].iloc[:1], "shards": rows["shards"].iloc[:1], "shard": rows["shard"].iloc[:1], "data": [pickle.dumps(data, 5)]})
 
     graphs = scratch.keep(dealt.groupBy("label", "dim", "shards", "shard").applyInPandas(build, f"label {label}, dim int, shards int, shard int, data binary"))
@@ -266,14 +281,19 @@ def linked(vectors: DataFrame, least: float = 0.93, shard: int = SHARD) -> DataF
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         data = [pickle.loads(d) for d in rows.sort_values("shard")["data"]]
+        for d in data:
+            d["graph"].x = np.ascontiguousarray(_unit(d["x"].astype(float))[d["graph"].order])
         return _links(data[0], data[1] if len(data) > 1 else None, least)
 
     found = scratch.keep(met.groupBy("label", "dim", "i", "j").applyInPandas(match, "a long, b long, n long"))
-    counts = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    roots = components(found.where("n = 0").select("a", "b"), scratch).withColumnRenamed("node", "rep")
+    counts = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    roots = scratch.keep(components(found.where("n = 0").select("a", "b"), scratch))
+    least_ids = roots.join(kinds.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    roots = roots.join(least_ids, "component").select("node", "component_id")
     named = scratch.keep(
-        kinds.join(counts, "rep", "left").join(roots, "rep", "left").select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        kinds.join(counts, "node", "left").join(roots, "node", "left").select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     )
+    scratch.drop(graphs, found, kinds)
     out = rows.withColumn("valid", valid).join(named, F.col("valid") & (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
 

@@ -43,21 +43,37 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string, canon string")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, group_id): group_id is the smallest doc_id of equal canonical texts.
+#: Fingerprints with company that may be broadcast; beyond it they are joined by a shuffle.
+FEW = 1 << 18
+
+
+def exact_groups(docs: DataFrame, prints: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """prints (by default doc_id and fingerprint of each row of docs) with group_id, the smallest doc_id of equal canonical texts.
 
     Buckets of one fingerprint are counted first; only texts of buckets with company are shuffled,
-    and grouping them by their bytes keeps apart what a collision would join.
+    and there grouped by their bytes.  A bucket of one kind of bytes is a group; members of a bucket
+    with several, which only a collision makes, are told apart by their bytes.
+
+    Null and empty texts are one group; texts of any length are read whole; repeated rows and ties
+    share a group; columns other than doc_id and text are not looked at; an empty table gives an
+    empty result.
     """
-    scratch = Scratch(docs.sparkSession)
-    prints = fingerprints(docs)
-    ids = scratch.keep(prints.select("doc_id", "fingerprint"))
-    many = ids.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    held = prints.join(many.hint("shuffle_hash"), "fingerprint", "left_semi")
-    groups = scratch.keep(held.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).select("fingerprint", F.sha2("canon", 256).alias("exact"), "group_id"))
-    members = held.select("doc_id", "fingerprint", F.sha2("canon", 256).alias("exact")).join(groups, ["fingerprint", "exact"]).select("doc_id", "fingerprint", "group_id")
-    alone = ids.join(many.hint("shuffle_hash"), "fingerprint", "left_anti").select("doc_id", "fingerprint", F.col("doc_id").alias("group_id"))
-    return members.unionByName(alone)
+    scratch = scratch or Scratch(docs.sparkSession)
+    canons = fingerprints(docs)
+    prints = scratch.keep(canons.select("doc_id", "fingerprint")) if prints is None else prints
+    many = scratch.keep(prints.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
+    light = many.count() <= FEW
+    hint = F.broadcast if light else lambda df: df.hint("shuffle_hash")
+    held = canons.join(hint(many), "fingerprint", "left_semi")
+    kinds = scratch.keep(held.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id")))
+    by_print = kinds.groupBy("fingerprint").agg(F.min("group_id").alias("group_id"), F.count("*").alias("kinds"))
+    out = prints.join(hint(by_print), "fingerprint", "left").withColumn("group_id", F.coalesce("group_id", "doc_id"))
+    if not by_print.where("kinds > 1").head(1):
+        return out.drop("kinds")
+    collided = kinds.join(by_print.where("kinds > 1").select("fingerprint"), "fingerprint")
+    exact = canons.join(collided, ["fingerprint", "canon"]).select(F.col("doc_id").alias("i"), F.col("fingerprint").alias("f"), F.col("group_id").alias("exact")).distinct()
+    met = out.join(exact, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("fingerprint") == F.col("f")), "left")
+    return met.withColumn("group_id", F.coalesce("exact", "group_id")).drop("kinds", "i", "f", "exact")
 
 
 def edited_text(text: str, following: str) -> str:
@@ -93,8 +109,9 @@ def neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
 def edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row.
 
-    Null texts are empty.  A single row is followed by itself.  Of rows with one doc_id each is
-    followed by the next in order of a digest of the text.
+    Null texts are empty; texts of any length are read whole.  A single row is followed by itself.  Of
+    rows with one doc_id each is followed by the next in order of a digest of the text.  Other columns
+    are not looked at; an empty table gives an empty result.
     """
     id_type = dict(docs.dtypes)["doc_id"]
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -124,4 +141,6 @@ def edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
 def query(spark, sf_dir):
     from .common import read
 
-    return edits(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    scratch = Scratch(spark)
+    return exact_groups(docs, scratch.keep(edits(docs)), scratch)

@@ -43,18 +43,19 @@ def targets(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] = W
     return levels.withColumn("found", first["level"]).select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("weight") * F.col("found"), F.col("cap"))).alias("target"))
 
 
-def plan(docs: DataFrame, share: float = SHARE, seed: int = 7) -> DataFrame:
+def plan(docs: DataFrame, share: float = SHARE, seed: int = 7, most: int = 2) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, ordinal) per row of docs.
 
     Null texts have size 0; the null source is a source, the last in order.  Rows with equal doc_id
     are separate documents.  A source without words has target 0 and gets no copies.  Reruns agree:
-    the offset is a digest of source and seed.
+    the offset is a digest of source and seed.  Texts of any length are counted whole, ties in size go
+    by doc_id, other columns are not looked at, an empty table gives an empty result.
     """
     rows = docs.select("doc_id", "source", F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long").alias("size"))
-    return deal(rows, share, seed)
+    return deal(rows, share, seed, most)
 
 
-def deal(rows: DataFrame, share: float = SHARE, seed: int = 7) -> DataFrame:
+def deal(rows: DataFrame, share: float = SHARE, seed: int = 7, most: int = 2) -> DataFrame:
     """plan() over (doc_id, source, size)."""
     rows = rows.withColumn("bucket", F.coalesce(F.pmod("doc_id", F.lit(BUCKETS)), F.lit(0)).cast("long"))
     buckets = rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
@@ -62,7 +63,7 @@ def deal(rows: DataFrame, share: float = SHARE, seed: int = 7) -> DataFrame:
     parts = buckets.withColumn("lower", F.coalesce(F.sum("n").over(before(Window.partitionBy("source", "size").orderBy("bucket"))), F.lit(0)))
     levels = buckets.groupBy("source", "size").agg(F.sum("n").alias("n"))
     levels = levels.withColumn("smaller", F.coalesce(F.sum("n").over(before(Window.partitionBy("source").orderBy("size"))), F.lit(0))).drop("n")
-    goal = targets(buckets.select("source", (F.col("size") * F.col("n")).alias("size")), share)
+    goal = targets(buckets.select("source", (F.col("size") * F.col("n")).alias("size")), share, most=most)
     offset = F.conv(F.substring(F.md5(F.concat(F.coalesce("source", F.lit("")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     goal = goal.withColumn("each", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("offset", offset)
     same = lambda a, b, on: [a[c].eqNullSafe(b[c]) for c in on]
@@ -72,7 +73,7 @@ def deal(rows: DataFrame, share: float = SHARE, seed: int = 7) -> DataFrame:
     out = ranked.alias("r").join(x.alias("x"), [F.col(f"r.{c}").eqNullSafe(F.col(f"x.{c}")) for c in ("source", "size", "bucket")])
     end = F.floor(F.col("offset") + (F.col("base") + F.col("rank")) * F.col("each"))
     start = F.floor(F.col("offset") + (F.col("base") + F.col("rank") - 1) * F.col("each"))
-    return out.select("doc_id", F.col("r.source").alias("source"), F.col("r.size").alias("size"), "source_size", "target", F.least(end - start, F.lit(2)).alias("copies"), F.col("rank").alias("ordinal"))
+    return out.select("doc_id", F.col("r.source").alias("source"), F.col("r.size").alias("size"), "source_size", "target", F.least(end - start, F.lit(most)).alias("copies"), F.col("rank").alias("ordinal"))
 
 
 def mixed(docs: DataFrame, share: float = SHARE, seed: int = 7) -> DataFrame:

@@ -9,6 +9,7 @@ from math import log10
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, fingerprint, html_extract, lm_scoring, sentence_dedup, simhash, suffix_dedup, toxicity
 
@@ -281,6 +282,7 @@ def test_fingerprints(spark, docs, empty, texts):
         assert r["near_next"] == float(fingerprint.canonical(t) == fingerprint.canonical(following))
     groups = {r["doc_id"]: r["group_id"] for r in fingerprint.exact_groups(rows).collect()}
     assert groups[26] == 25 and groups[12] == 0 and groups[23] == 22 and groups[17] == groups[15] == 15
+    assert {r["doc_id"] for r in fingerprint.exact_groups(docs).collect()} == set(range(len(texts))) and fingerprint.exact_groups(empty).count() == 0
     assert fingerprint.edits(docs).count() == len(texts) + 1
     assert fingerprint.edits(empty).count() == 0
 
@@ -371,6 +373,14 @@ def test_pages(spark):
     assert html_extract.main_text(df.where("false")).count() == 0
 
 
+def test_collisions_are_told_apart(spark, monkeypatch):
+    """If every text had one fingerprint, bytes would still make the groups."""
+    rows = spark.createDataFrame([(5, "one"), (3, "ONE "), (2, "two"), (9, None), (1, "")], "doc_id long, text string")
+    prints = fingerprint.fingerprints(rows).withColumn("fingerprint", F.lit("0"))
+    monkeypatch.setattr(fingerprint, "fingerprints", lambda _: prints)
+    assert {r["doc_id"]: r["group_id"] for r in fingerprint.exact_groups(rows).collect()} == {5: 3, 3: 3, 2: 2, 9: 1, 1: 1}
+
+
 STORY = "The long story of the day goes here and tells what happened in the town by the river. " * 3
 
 

@@ -44,6 +44,14 @@ def test_embeddings(spark):
     assert embedding_dedup.linked(df.where("false")).count() == 0
 
 
+def test_one_id_under_two_labels(spark):
+    """Rows of one vec_id with different labels or vectors are different nodes."""
+    e = np.eye(4)
+    rows = [(1, e[0], "a"), (1, e[1], "b"), (2, e[0] + 0.1 * e[2], "a"), (3, e[1] + 0.1 * e[3], "b"), (1, e[3], "a"), (1, e[0], "a")]
+    got = embedding_dedup.linked(spark.createDataFrame([(i, v.tolist(), y) for i, v, y in rows], "vec_id long, embedding array<double>, label string"))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == [(1, 0, 1), (1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1)]
+
+
 def test_graph_recall():
     rng = np.random.default_rng(6)
     x = embedding_dedup._unit(rng.normal(size=(80, 24))[rng.integers(0, 80, 1500)] + 0.15 * rng.normal(size=(1500, 24)))
@@ -71,6 +79,19 @@ def test_mixing(spark):
     assert mixing.plan(df.where("false")).count() == mixing.mixed(df.where("false")).count() == 0
 
 
+@needs_tables
+def test_stages_of_an_empty_table_and_extra_columns(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"{i} words of a text that is told here {i * i}", "en", "s", 1, "x", "y") for i in range(30)] + [(40, None, None, None, None, None, None), (41, "", "en", "s", 0, "x", "y")], "doc_id long, text string, lang string, source string, n_chars long, version string, g string")
+    for some in (docs, docs.where("false")):
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, some, DIR)
+            assert out.dtypes == docs.dtypes
+            assert out.count() <= 2 * some.count()
+        assert corpus_pipeline.encode(spark, some, DIR).count() == some.count()
+
+
 @needs_tables
 def test_mixing_sql(spark):
     con = duckdb.connect()
@@ -97,7 +118,7 @@ def test_pipeline(spark):
         seen.append(docs.toPandas())
     assert count > len(seen[0]) > 0.8 * count and len(seen[0]) > len(seen[1])
     assert not seen[1]["text"].duplicated().any()
-    want = dict(zip(seen[1]["doc_id"], brute_removed(seen[1]["text"], 400)))
+    want = dict(zip(seen[1]["doc_id"], brute_removed(seen[1]["text"], corpus_pipeline.PASSAGE)))
     cut = dict(zip(seen[2]["doc_id"], seen[2]["text"]))
     for i, (size, gone, _, _) in want.items():
         assert size - gone - 8 <= len(cut[i].encode()) <= size - gone
