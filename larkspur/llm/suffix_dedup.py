@@ -16,8 +16,8 @@ than the text, so the work is narrowed in exact steps:
    asks of the order), is merge-scanned against the levels that exist, and becomes a level;
    levels of equal size merge, so a suffix is moved a logarithmic number of times.
 
-A gram with over ``hot`` kinds of spans is split: its suffixes are dealt to partitions by their own
-fingerprints, where they go through the same family of arrays.
+A gram with over ``hot`` kinds of spans is split: each span's suffixes are dealt to buckets by their
+fingerprints, as arrays, and the buckets go through the same family apart.
 
 Spans are told apart by 128 bits (gram and span), suffixes by two fingerprints of 64 bits each.
 """
@@ -181,24 +181,36 @@ def _covered(contexts: DataFrame, length: int, hot: int, scratch: Scratch) -> Da
             yield pa.RecordBatch.from_arrays([gram, span, pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([y for _, y in found], pa.list_(pa.int32()))], ["gram", "span", "froms", "tos"])
 
     def suffixes(batches):
+        """One row for each kind of span and bucket of its suffixes' fingerprints."""
         for batch in batches:
             row, prints, checks = _suffixes(batch.column(4), length)
-            start = np.arange(len(row)) - np.searchsorted(row, np.arange(batch.num_rows))[row]
-            rows = pa.array(row)
-            relative = start - np.array(batch.column(3).to_pylist(), np.int64)[row]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(signed(prints)), pa.array(signed(checks)), pa.array(relative.astype(np.int32))], ["gram", "span", "n", "print", "second", "start"])
+            start = np.arange(len(row)) - np.searchsorted(row, np.arange(batch.num_rows))[row] - np.array(batch.column(3).to_pylist(), np.int64)[row]
+            bucket = (prints % batch.column(5).to_numpy().astype(np.uint64)[row]).astype(np.int64)
+            order = np.lexsort((bucket, row))
+            row, bucket = row[order], bucket[order]
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])])) if len(row) else np.zeros(0, np.int64)
+            cuts = pa.array(np.append(first, len(row)), pa.int32())
+            take = pa.array(row[first])
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x[order])) for x in (signed(prints), signed(checks), start.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(3)), pa.array(bucket[first].astype(np.int32)), *lists], ["gram", "span", "n", "bucket", "prints", "seconds", "starts"])
 
     def match_dealt(batches):
         family, held, flags, size = Family(), [], np.zeros(1 << 16, bool), 0
         for batch in batches:
-            prints, checks = (batch.column(i).to_numpy().view(np.uint64) for i in (3, 4))
+            prints, checks, starts = (batch.column(i).flatten().to_numpy() for i in (4, 5, 6))
+            sizes = pa.compute.list_value_length(batch.column(4)).to_numpy()
             flags = _grown(flags, size + len(prints))
-            flags[size : size + len(prints)] |= batch.column(2).to_numpy() > 1
-            family.add(prints, checks, np.arange(size, size + len(prints)), flags)
-            held.append((batch.select(["gram", "span", "start"]), size))
+            flags[size : size + len(prints)] |= np.repeat(batch.column(2).to_numpy() > 1, sizes)
+            family.add(prints.view(np.uint64), checks.view(np.uint64), np.arange(size, size + len(prints)), flags)
+            held.append((batch.select(["gram", "span"]), sizes, starts, size))
             size += len(prints)
-        for batch, at in held:
-            yield batch.filter(pa.array(flags[at : at + batch.num_rows]))
+        for names, sizes, starts, at in held:
+            hit = flags[at : at + len(starts)]
+            owner = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            have = np.flatnonzero(np.bincount(owner, minlength=len(sizes)))
+            cuts = np.append(np.searchsorted(owner, have), len(owner))
+            take = pa.array(have)
+            yield pa.RecordBatch.from_arrays([names.column(0).take(take), names.column(1).take(take), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(starts[hit]))], ["gram", "span", "starts"])
 
     spark = contexts.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -208,9 +220,10 @@ def _covered(contexts: DataFrame, length: int, hot: int, scratch: Scratch) -> Da
     usual = few.repartition(max(least, contexts.count() // SHARE + 1), "gram").mapInArrow(match, _RUNS)
     if not total:
         return usual
-    dealt = contexts.join(many.select("gram"), "gram", "left_semi").mapInArrow(suffixes, "gram long, span long, n long, print long, second long, start int")
-    again = dealt.repartition(max(least, total // SHARE + 1), "print").mapInArrow(match_dealt, "gram long, span long, start int")
-    shared = again.groupBy(*KEY).agg(F.sort_array(F.collect_set("start")).alias("s"))
+    buckets = F.least(F.ceil(F.col("kinds") / hot), F.lit(length)).cast("int").alias("buckets")
+    dealt = contexts.join(many.select("gram", buckets), "gram").select(*KEY, "n", "lead", "context", "buckets").mapInArrow(suffixes, "gram long, span long, n long, bucket int, prints array<long>, seconds array<long>, starts array<int>")
+    again = dealt.repartition(max(least, total // SHARE + 1), "gram", "bucket").mapInArrow(match_dealt, "gram long, span long, starts array<int>")
+    shared = again.groupBy(*KEY).agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("s"))
     return usual.unionByName(shared.select(*KEY, F.col("s").alias("froms"), F.transform("s", lambda x: x + length).alias("tos")))
 
 
