@@ -15,6 +15,11 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields, key=lambda k: k.encode("utf-16-be"))]))
 
 
+def canonical_text(json_text: Column) -> Column:
+    """A JSON text with sorted keys and without white space; a text that is no JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(json_text)), json_text)
+
+
 def digest(fields: dict[str, Column]) -> Column:
     return F.sha2(canonical_json(fields), 256)
 

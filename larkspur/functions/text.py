@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ PHONE_TOKENS = ("android", "iphone", "ipad")
 # Separator of the fields of a signed postback message.
 SEPARATOR = "⁣"
 
+# White space at the edges of a text, line ends and the byte order mark included.
+EDGES = r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$"
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,7 +25,7 @@ def lower_ascii(text: Column) -> Column:
 
 def matching_key(kind: Column, value: Column, normalization: Column, encoding: Column | None = None) -> Column:
     """type:[encoding:]value with the value as its normalization says."""
-    form = F.when(normalization == "lowercase_ascii", lower_ascii(value)).when(normalization == "trim", F.trim(value)).otherwise(value)
+    form = F.when(normalization == "lowercase_ascii", lower_ascii(value)).when(normalization == "trim", F.regexp_replace(value, EDGES, "")).otherwise(value)
     middle = F.coalesce(F.concat(encoding, F.lit(":")), F.lit("")) if encoding is not None else F.lit("")
     return F.concat(kind, F.lit(":"), middle, form)
 
@@ -54,9 +59,28 @@ def referrer_outcome(response: Column, referrer: Column) -> Column:
     return F.struct(status.alias("referrer_status"), retry.alias("retry"), reason.alias("terminal_reason"), F.when(given, click).alias("click_id"))
 
 
-def allowed_destination(url: Column, hosts: list[str]) -> Column:
-    """Whether a URL is https and its host is listed."""
-    return F.coalesce((F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & F.lower(F.try_parse_url(url, F.lit("HOST"))).isin([h.lower() for h in hosts]), F.lit(False))
+def destination_error(url: Column, origins: list[str]) -> Column:
+    """Why a redirect must not go to a URL; null if it may.
+
+    Store pages may always be opened; else the scheme is https and the origin (host and port) is listed.
+    """
+    part = lambda name: F.try_parse_url(url, F.lit(name))
+    scheme, host, path = F.lower(part("PROTOCOL")), F.lower(part("HOST")), part("PATH")
+    port = F.regexp_extract(part("AUTHORITY"), r":([0-9]+)$", 1)
+    origin = F.concat(scheme, F.lit("://"), host, F.when(port.isin("", "443"), "").otherwise(F.concat(F.lit(":"), port)))
+    store = ((scheme == "market") & (host == "details")) | ((scheme == "https") & (host == "play.google.com") & (path == "/store/apps/details") & port.isin("", "443"))
+    listed = [re.sub(r":443$", "", o.lower().rstrip("/")) for o in origins]
+    return (
+        F.when(scheme.isNull() | host.isNull(), "destination_invalid")
+        .when(part("USERINFO").isNotNull(), "destination_credentials_forbidden")
+        .when(store, F.lit(None).cast("string"))
+        .when(scheme != "https", "destination_scheme_not_allowed")
+        .when(~origin.isin(listed), "destination_origin_not_allowed")
+    )
+
+
+def allowed_destination(url: Column, origins: list[str]) -> Column:
+    return destination_error(url, origins).isNull()
 
 
 def signed_message(fields: list[Column]) -> Column:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from larkspur.functions import canon, instants
 
 
+SCOPE = ("tenant_id", "app_id")
+
+
 @dataclass(frozen=True)
 class Bundle:
     """Versioned parameters and actions of the rules."""
@@ -102,27 +105,27 @@ def install_rules(installs: DataFrame, bundle: Bundle | None = None) -> DataFram
     return installs.select("tenant_id", "app_id", "record_id", F.explode(hits).alias("h")).select("tenant_id", "app_id", "record_id", "h.*")
 
 
-def source_days(clicks: DataFrame, installs: DataFrame, sources: list[str]) -> DataFrame:
-    """Clicks, installs and click-to-install times of each source and day.
+def source_days(clicks: DataFrame, installs: DataFrame, sources: list[str], scope: tuple[str, ...] = SCOPE) -> DataFrame:
+    """Clicks, installs and click-to-install times of each tenant, app, source and day.
 
-    clicks: click_id, day, clicked_ms and the source columns; installs: click_id, install_id,
-    installed_ms.  Sources without a value are one group 'unattributed'.  Percentiles are rounded half to even.
+    clicks: tenant_id, app_id, click_id, day, clicked_ms and the source columns; installs: tenant_id,
+    app_id, click_id, install_id, installed_ms.  Sources without a value are one group 'unattributed'.  Percentiles are rounded half to even.
     """
     named = [F.coalesce(F.col(s), F.lit("unattributed")).alias(s) for s in sources]
-    joined = clicks.select("click_id", "day", "clicked_ms", *named).join(installs.select("click_id", "install_id", "installed_ms"), "click_id", "left").withColumn("ctit", F.col("installed_ms") - F.col("clicked_ms"))
+    joined = clicks.select(*scope, "click_id", "day", "clicked_ms", *named).join(installs.select(*scope, "click_id", "install_id", "installed_ms"), [*scope, "click_id"], "left").withColumn("ctit", F.col("installed_ms") - F.col("clicked_ms"))
     share = lambda q: F.bround(F.expr(f"percentile_cont({q}) within group (order by ctit) filter (where ctit >= 0)")).cast("long")
-    return joined.groupBy("day", *sources).agg(
+    return joined.groupBy(*scope, "day", *sources).agg(
         F.count_distinct("click_id").alias("clicks"), F.count_distinct("install_id").alias("installs"), F.expr("count(distinct install_id) filter (where ctit < 0)").alias("ctit_negative_count"), share(0.05).alias("ctit_p05_ms"), share(0.5).alias("ctit_p50_ms"), share(0.95).alias("ctit_p95_ms")
     )
 
 
-def with_median_rate(days: DataFrame) -> DataFrame:
-    """days with the median conversion rate of all sources of the day.
+def with_median_rate(days: DataFrame, scope: tuple[str, ...] = SCOPE) -> DataFrame:
+    """days with the median conversion rate of all sources of a tenant's app on the day.
 
-    Rates are one row a source and day; the medians, one row a day, are joined back.
+    Rates are one row a source and day; the medians, one row a scope and day, are joined back.
     """
     rated = days.withColumn("cvr", F.col("installs") / F.col("clicks"))
-    return rated.join(rated.groupBy("day").agg(F.expr("percentile_cont(0.5) within group (order by cvr)").alias("median_cvr")), "day")
+    return rated.join(rated.groupBy(*scope, "day").agg(F.expr("percentile_cont(0.5) within group (order by cvr)").alias("median_cvr")), [*scope, "day"])
 
 
 def flooding(days: DataFrame, bundle: Bundle | None = None) -> DataFrame:
@@ -137,10 +140,10 @@ def flooding(days: DataFrame, bundle: Bundle | None = None) -> DataFrame:
     return days.where(test).withColumn("rule_id", F.lit("source-day-click-flooding-v1")).withColumn("reason_code", F.lit("click_flooding_suspected")).withColumn("action", F.lit(b.action("source-day-click-flooding-v1")))
 
 
-def negative_rates(days: DataFrame, bundle: Bundle | None = None) -> DataFrame:
-    """Share of negative click-to-install times of a day over all sources, and whether the clock guard steps in."""
+def negative_rates(days: DataFrame, bundle: Bundle | None = None, scope: tuple[str, ...] = SCOPE) -> DataFrame:
+    """Share of negative click-to-install times of a tenant's app and day over all sources, and whether the clock guard steps in."""
     b = bundle or Bundle()
-    totals = days.groupBy("day").agg(F.sum("ctit_negative_count").alias("negative"), F.sum("installs").alias("installs"))
+    totals = days.groupBy(*scope, "day").agg(F.sum("ctit_negative_count").alias("negative"), F.sum("installs").alias("installs"))
     rate = F.when(F.col("installs") > 0, F.col("negative") / F.col("installs")).otherwise(0.0)
     return totals.withColumn("negative_rate", rate).withColumn("guarded", F.col("negative_rate") > b.number("ctit_negative_rate_threshold"))
 
@@ -154,10 +157,51 @@ def expired(quarantines: DataFrame, now_ms: int) -> DataFrame:
     return quarantines.where(F.col("until_ms") <= F.lit(now_ms))
 
 
-def active_bundle(revisions: DataFrame) -> DataFrame:
-    """The revision without a successor; raises when it is evaluated unless there is exactly one."""
+def active_bundles(revisions: DataFrame, scope: list[str]) -> DataFrame:
+    """The revision of each scope that no other supersedes; evaluation raises for a scope with none or several."""
     from .ledger import not_superseded
 
     live = not_superseded(revisions, "revision_id", "supersedes_revision_id")
-    n = live.agg(F.count("*").alias("_n"))
-    return live.crossJoin(F.broadcast(n)).where(F.assert_true(F.col("_n") == 1, F.lit("fraud_bundle_not_unique")).isNull()).drop("_n")
+    counted = live.groupBy(*scope).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in live.columns if c not in scope])
+    every = revisions.select(*scope).distinct().join(counted, scope, "left")
+    return every.where(F.assert_true(F.coalesce("n", F.lit(0)) == 1, F.lit("fraud_bundle_not_unique")).isNull()).drop("n").select(*live.columns)
+
+
+def install_fraud(installs: DataFrame, clicks: DataFrame, bundle: Bundle | None = None) -> DataFrame:
+    """Decisions of the install rules with the click that an install names, if one usable click has its id.
+
+    A click with an invalid time, or without one, is not usable.  installs: tenant_id, app_id,
+    record_id, click_id, received_at, install_begin_at_server, referrer_click_at_server(_status).
+    """
+    b = bundle or Bundle()
+    usable = clicks.where("click_id is not null and redirector_click_at is not null and coalesce(redirector_time_status, '') <> 'invalid'")
+    one = usable.groupBy(*SCOPE, "click_id").agg(F.count("*").alias("n"), F.first(F.struct("record_id", "redirector_click_at")).alias("c")).where("n = 1").select(*SCOPE, "click_id", F.col("c.record_id").alias("click_record_id"), F.col("c.redirector_click_at").alias("click_at"))
+    joined = installs.join(one, [*SCOPE, "click_id"], "left")
+    hits = install_hits(*(instants.millis(F.col(c)) for c in ("install_begin_at_server", "click_at", "referrer_click_at_server")), F.col("referrer_click_at_server_status"), bundle=b)
+    df = joined.select(*SCOPE, "record_id", "received_at", "click_record_id", F.explode(hits).alias("h")).select(*SCOPE, "record_id", "received_at", "click_record_id", "h.*")
+    name = F.when(F.col("rule_id") == "ctit-lower-bound-v1", "click-injection").otherwise(F.col("rule_id"))
+    until = F.when(F.col("action") == "quarantine", instants.canonical(F.timestamp_millis(quarantine_until(instants.millis(F.col("received_at")), b))))
+    return df.select(
+        *SCOPE, F.concat(F.lit("fraud:"), "record_id", F.lit(":"), name).alias("fraud_decision_id"), F.col("record_id").alias("subject_ref"), "rule_id", "decision", "action", "reason_code", F.col("received_at").alias("evaluated_at"), until.alias("quarantine_until"),
+        canon.digest_array([F.col("rule_id"), F.coalesce("click_record_id", F.lit("no-redirector-click")), F.col("record_id")]).alias("evidence_digest"),
+    )
+
+
+def clock_guard(attributions: DataFrame, installs: DataFrame, clicks: DataFrame, days: DataFrame, bundle: Bundle | None = None) -> DataFrame:
+    """Provisional attributions of installs whose click fell on a day with too many negative click-to-install times.
+
+    days: tenant_id, app_id, day, installs, ctit_negative_count, input_snapshot_id, computed_at, one row
+    a source.  A decision that rests on a click of such a day, and that nothing supersedes, is
+    superseded by a provisional one.  Days are narrowed first, so only their clicks are joined.
+    """
+    from .ledger import not_superseded
+
+    guarded = negative_rates(days, bundle).where("guarded").select(*SCOPE, "day")
+    snapshot = days.groupBy(*SCOPE, "day").agg(F.sha2(F.to_json(F.sort_array(F.collect_list("input_snapshot_id"))), 256).alias("snapshot"), F.max("computed_at").alias("computed_at"))
+    guarded = guarded.join(snapshot, [*SCOPE, "day"])
+    hit = clicks.where("click_id is not null").withColumn("day", F.substring("redirector_click_at", 1, 10)).join(guarded, [*SCOPE, "day"]).groupBy(*SCOPE, "click_id", "day").agg(F.first("snapshot").alias("snapshot"), F.first("computed_at").alias("computed_at"))
+    subjects = installs.where("click_id is not null").select(*SCOPE, F.col("installation_id").alias("subject_ref"), "click_id").join(hit, [*SCOPE, "click_id"])
+    live = not_superseded(attributions, "attribution_id", "supersedes_attribution_id").where("reason_code = 'valid_install_referrer'")
+    new = live.join(subjects.drop("click_id"), [*SCOPE, "subject_ref"])
+    new = new.withColumn("supersedes_attribution_id", F.col("attribution_id")).withColumn("attribution_id", F.concat("attribution_id", F.lit(":ctit-clock-provisional:"), F.substring("snapshot", 1, 12)))
+    return new.withColumn("decided_at", F.col("computed_at")).withColumn("finality", F.lit("provisional")).select(*attributions.columns)

@@ -30,8 +30,14 @@ CONTROL_EVENTS = ("consent_changed",)
 
 
 def attempt_order() -> list[Column]:
-    """The total order of attempts, in UTF-16 order."""
-    return [canon.utf16_key(F.coalesce(F.col(c), F.lit(""))) for c in ("received_at", "record_id", "delivery_id", "tenant_id", "app_id", "schema_version", "payload_sha256")]
+    """The total order of attempts, in UTF-16 order; a digest of the whole record is last."""
+    return [canon.utf16_key(F.coalesce(F.col(c), F.lit(""))) for c in ("received_at", "record_id", "delivery_id", "tenant_id", "app_id", "schema_version", "_record_sha256")]
+
+
+def record_digest() -> Column:
+    """Digest of what the client sent, its payload in canonical form."""
+    fields = ("record_id", "delivery_id", "record_tenant_id", "record_app_id", "producer", "event_id", "event_name", "schema_version", "occurred_at", "received_at", "subject_scope", "processing_purpose_id", "alternative_legal_basis_id")
+    return canon.digest({**{c: F.col(c) for c in fields}, "payload": canon.canonical_text(F.col("payload"))})
 
 
 def first_of(array: str, test) -> Column:
@@ -62,16 +68,19 @@ def decide(attempts: DataFrame) -> DataFrame:
     """attempts with their decision.
 
     A record_id met more than once rejects all its copies.  Of one logical key the first attempt is
-    unique; later ones with its payload are duplicates, others conflicts.  Reasons rank: invalid time,
-    scope, collision, consent, staleness, aggregate scope with an installation, conflict.
+    unique; later ones with its payload are duplicates, others conflicts; payloads are compared in
+    canonical form, so the order of keys does not matter.  An attempt with an invalid time is looked at
+    by itself: unique, on time and rejected.  Reasons rank: invalid time, scope, collision, consent,
+    staleness, aggregate scope with an installation, conflict.
     """
-    df = attempts if "payload_sha256" in attempts.columns else attempts.withColumn("payload_sha256", F.sha2("payload", 256))
+    df = attempts if "payload_sha256" in attempts.columns else attempts.withColumn("payload_sha256", F.sha2(canon.canonical_text(F.col("payload")), 256))
+    df = df.withColumn("_record_sha256", record_digest())
     occurred, received = instants.instant(F.col("occurred_at")), instants.instant(F.col("received_at"))
     df = df.withColumn("_bad_time", occurred.isNull() | received.isNull())
     df = df.withColumn("_copies", F.count("*").over(Window.partitionBy("record_id")))
     by_key = Window.partitionBy("_bad_time", *LOGICAL_KEY).orderBy(*attempt_order())
     df = df.withColumn("_first", F.first(F.struct("record_id", "payload_sha256")).over(by_key)).withColumn("_place", F.row_number().over(by_key))
-    resolution = F.when(F.col("_bad_time"), "not_evaluated").when(F.col("_copies") > 1, "record_id_collision").when(F.col("_place") == 1, "unique").when(F.col("_first.payload_sha256") == F.col("payload_sha256"), "duplicate_delivery").otherwise("event_id_conflict")
+    resolution = F.when(F.col("_bad_time"), "unique").when(F.col("_copies") > 1, "record_id_collision").when(F.col("_place") == 1, "unique").when(F.col("_first.payload_sha256") == F.col("payload_sha256"), "duplicate_delivery").otherwise("event_id_conflict")
     df = with_consent(df.withColumn("duplicate_resolution", resolution))
     installed = F.get_json_object("payload", "$.installation_id").isNotNull()
     reason = (
@@ -84,11 +93,11 @@ def decide(attempts: DataFrame) -> DataFrame:
         .when(F.col("duplicate_resolution") == "event_id_conflict", "event_id_conflict")
     )
     df = df.withColumn("reason_code", reason).withColumn("ingestion_status", F.when(F.col("reason_code").isNull(), "accepted").otherwise("rejected"))
-    df = df.withColumn("canonical_record_id", F.when(F.col("duplicate_resolution") == "unique", F.col("record_id")).when(F.col("duplicate_resolution").isin("duplicate_delivery", "event_id_conflict"), F.col("_first.record_id")))
-    df = df.withColumn("timeliness", F.when(F.col("late"), "late").otherwise("on_time"))
+    df = df.withColumn("canonical_record_id", F.when(F.col("_bad_time"), F.lit(None)).when(F.col("duplicate_resolution") == "unique", F.col("record_id")).when(F.col("duplicate_resolution").isin("duplicate_delivery", "event_id_conflict"), F.col("_first.record_id")))
+    df = df.withColumn("timeliness", F.when(F.col("late") & ~F.col("_bad_time"), "late").otherwise("on_time"))
     df = df.withColumn("clock_skew_suspected", F.coalesce(instants.skewed(F.unix_millis(occurred), F.unix_millis(received)), F.lit(False)))
     df = df.withColumn("payload_disposition", F.when(F.col("reason_code").isNotNull() & (F.col("reason_code") != "event_id_conflict"), "discarded").otherwise("protected"))
-    return df.drop("_bad_time", "_copies", "_first", "_place")
+    return df.drop("_bad_time", "_copies", "_first", "_place", "_record_sha256")
 
 
 def deliveries(decided: DataFrame) -> DataFrame:
@@ -161,3 +170,84 @@ def assert_anchors(revenue: DataFrame, installs: DataFrame) -> DataFrame:
     """Revenue rows of installation scope that have no install to stand on (empty: the input is sound)."""
     keys = ["tenant_id", "app_id", "installation_id"]
     return revenue.where(F.col("installation_id").isNotNull()).join(installs.select(*keys).distinct(), keys, "left_anti")
+
+
+def assert_provider_context(attempts: DataFrame) -> DataFrame:
+    """Imported attempts whose context names another provider than their producer (empty: the input is sound).
+
+    attempts: producer, import_provider.
+    """
+    return attempts.where(F.col("producer").startswith("import:") & F.col("import_provider").isNotNull() & (F.col("producer") != F.concat(F.lit("import:"), "import_provider")))
+
+
+def assert_revenue_sources(attempts: DataFrame) -> DataFrame:
+    """Ad revenue with an anchor source from a producer that is no postback (empty: the input is sound)."""
+    return attempts.where((F.col("event_name") == "ad_revenue") & F.col("anchor_source").isNotNull() & ~F.col("producer").startswith("postback:"))
+
+
+def assert_install_anchors(installs: DataFrame) -> DataFrame:
+    """(record_id, error) of accepted installs that cannot stand: repeated anchors, reinstalls without their prior one.
+
+    installs: tenant_id, app_id, record_id, installation_id, install_type, prior_installation_id.
+    """
+    scope = ["tenant_id", "app_id"]
+    repeated = F.count("*").over(Window.partitionBy(*scope, "installation_id")) > 1
+    known = installs.select(*scope, F.col("installation_id").alias("prior_installation_id")).distinct().withColumn("_known", F.lit(True))
+    again = F.col("install_type").isin("reinstall", "redownload")
+    error = (
+        F.when(F.col("_repeated"), "ambiguous installation anchor")
+        .when(again & (F.col("prior_installation_id").isNull() | (F.col("prior_installation_id") == F.col("installation_id"))), "invalid reinstall installation anchor")
+        .when(again & F.col("_known").isNull(), "missing prior installation anchor")
+        .when(~F.coalesce(again, F.lit(False)) & F.col("prior_installation_id").isNotNull(), "first install must not name a prior installation")
+    )
+    joined = installs.withColumn("_repeated", repeated).join(known, [*scope, "prior_installation_id"], "left")
+    return joined.select(*scope, "record_id", error.alias("error")).where("error is not null")
+
+
+def assert_references(references: DataFrame, records: DataFrame) -> DataFrame:
+    """References (tenant_id, app_id, kind, ref_id, record_id) of privacy requests, corrections, expirations and refunds to records that their scope does not have."""
+    return references.join(records.select("tenant_id", "app_id", "record_id").distinct(), ["tenant_id", "app_id", "record_id"], "left_anti")
+
+
+def with_pre_ingestion(decided: DataFrame, refused: DataFrame) -> DataFrame:
+    """Deliveries, and those that were refused before ingestion, which are unique, on time and discarded.
+
+    refused: delivery_id, record_id, tenant_id, app_id, reason_code and the consent decision's columns.
+    """
+    fixed = {"ingestion_status": "rejected", "duplicate_resolution": "unique", "timeliness": "on_time", "payload_disposition": "discarded"}
+    rows = refused.select("*", *[F.lit(v).alias(k) for k, v in fixed.items()], F.lit(False).alias("clock_skew_suspected"))
+    return deliveries(decided).unionByName(rows, allowMissingColumns=True)
+
+
+# Extension fields that carry secrets, or that only serve to open them.
+PROTECTED = ("meta_install_referrer_protected", "meta_is_ct_unverified", "meta_actual_timestamp_unverified", "adservices_attribution_token_protected", "integrity_token_protected", "integrity_binding", "integrity_binding_mode", "integrity_provider")
+
+
+def without_protected(records: DataFrame) -> DataFrame:
+    """records whose extensions (a map) hold no secrets, with references to the stored body instead, and what to look up.
+
+    records: record_id, producer, event_name, body_ref, extensions.  ``lookup`` and ``verification`` are
+    null unless a token came; ``error`` says that a token came from a producer that cannot have it.
+    """
+    e = lambda name: F.try_element_at("extensions", F.lit(name))
+    install = F.col("event_name") == "install"
+    token, proof = F.when(install, e("adservices_attribution_token_protected")), e("integrity_token_protected")
+    provider = F.when(F.col("producer") == "sdk-ios", "app_attest").otherwise("play_integrity")
+    mode = F.when(install, "challenge").otherwise("request_hash")
+    error = F.when(token.isNotNull() & ((F.col("producer") != "sdk-ios") | (token == "")), "adservices_token_scope_invalid").when(
+        proof.isNotNull() & ~F.coalesce((e("integrity_provider") == provider) & (e("integrity_binding_mode") == mode) & (proof != "") & e("integrity_binding").isNotNull(), F.lit(False)), "integrity_token_scope_invalid"
+    )
+    referrer = install & e("meta_install_referrer_protected").isNotNull()
+    refs = F.filter(
+        F.array(*[F.when(c, F.struct(F.lit(k).alias("key"), v.alias("value"))) for c, k, v in ((token.isNotNull(), "adservices_token_evidence_ref", F.col("body_ref")), (proof.isNotNull(), "integrity_token_evidence_ref", F.col("body_ref")))]),
+        lambda x: x.isNotNull(),
+    )
+    clean = F.map_concat(F.map_filter(F.coalesce("extensions", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*PROTECTED)), F.map_from_entries(refs))
+    binding = F.when(mode == "request_hash", e("integrity_binding")).otherwise(F.sha2(e("integrity_binding"), 256))
+    return (
+        records.withColumn("error", error)
+        .withColumn("lookup", F.when(token.isNotNull(), F.struct(F.col("record_id").alias("install_record_id"), F.col("body_ref").alias("token_ref"))))
+        .withColumn("verification", F.when(proof.isNotNull(), F.struct(F.col("record_id").alias("subject_record_id"), provider.alias("provider"), binding.alias("binding_digest"))))
+        .withColumn("protected_referrer_evidence_ref", F.when(referrer, F.concat(F.lit("payload:"), "body_ref")))
+        .withColumn("extensions", clean)
+    )

@@ -13,10 +13,18 @@ SCOPE = ["tenant_id", "app_id"]
 
 
 def lifecycle(requests: DataFrame, expirations: DataFrame) -> DataFrame:
-    """(tenant_id, app_id, record_id, lifecycle_status): completed requests, overridden by expirations."""
-    done = requests.where("status = 'completed'").select(*SCOPE, F.explode("affected_records").alias("r")).select(*SCOPE, "r.record_id", "r.lifecycle_status", F.lit(0).alias("rank"))
-    gone = expirations.select(*SCOPE, "record_id", "lifecycle_status", F.lit(1).alias("rank"))
-    return done.unionByName(gone).groupBy(*SCOPE, "record_id").agg(F.max(F.struct("rank", "lifecycle_status"))["lifecycle_status"].alias("lifecycle_status"))
+    """(tenant_id, app_id, record_id, lifecycle_status): the last completed request, overridden by expirations, which purge.
+
+    Requests are in order of completed_at and privacy_request_id, where they have these columns; of one
+    request's entries for a record the last counts.
+    """
+    known = [c for c in ("completed_at", "privacy_request_id") if c in requests.columns]
+    order = F.struct(F.lit(0).alias("rank"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in known], F.col("at"))
+    done = requests.where("status = 'completed'").select(*SCOPE, *known, F.posexplode("affected_records").alias("at", "r")).select(*SCOPE, "r.record_id", "r.lifecycle_status", order.alias("o"))
+    gone = expirations.select(*SCOPE, "record_id").distinct().withColumn("purged", F.lit(True))
+    last = done.groupBy(*SCOPE, "record_id").agg(F.max_by("lifecycle_status", "o").alias("lifecycle_status"))
+    both = last.join(gone, [*SCOPE, "record_id"], "full")
+    return both.select(*SCOPE, "record_id", F.when(F.col("purged"), "purged").otherwise(F.col("lifecycle_status")).alias("lifecycle_status"))
 
 
 def corrections(refunds: DataFrame, redactions: DataFrame, supplied: DataFrame) -> DataFrame:
@@ -27,9 +35,9 @@ def corrections(refunds: DataFrame, redactions: DataFrame, supplied: DataFrame)
 
 
 def tombstones(requests: DataFrame) -> DataFrame:
-    """A tombstone for each record a completed request reached, with a digest of where it comes from."""
+    """A tombstone for each record a request reached, with a digest of where it comes from and when it was completed."""
     rows = requests.where("status = 'completed'").select("*", F.explode("affected_records").alias("r"))
-    parts = [F.col(c) for c in ("tenant_id", "app_id", "privacy_request_id")] + [F.col("r.record_id"), F.col("r.lifecycle_status")]
+    parts = [F.col(c) for c in ("tenant_id", "app_id", "privacy_request_id")] + [F.col("r.record_id"), F.col("completed_at")]
     return rows.select(*SCOPE, "privacy_request_id", F.col("r.record_id").alias("record_id"), F.col("r.lifecycle_status").alias("lifecycle_status"), canon.digest_array(parts).alias("provenance_digest"))
 
 

@@ -41,7 +41,7 @@ sent AS (
   SELECT event_id, 'a' AS tag, 0 AS turn, ms, cents, event_type FROM base UNION ALL SELECT event_id, 'b', 1, ms, cents + event_id % 2, event_type FROM base WHERE event_id % 7 = 0
 ), decided AS (
   SELECT *, tag || ':' || event_id AS delivery_id,
-    CASE WHEN event_id % 83 = 0 THEN 'not_evaluated' WHEN event_id % 97 = 0 AND event_id % 7 = 0 THEN 'record_id_collision' WHEN turn = 0 THEN 'unique' WHEN event_id % 2 = 0 THEN 'duplicate_delivery' ELSE 'event_id_conflict' END AS resolution FROM sent
+    CASE WHEN event_id % 83 = 0 THEN 'unique' WHEN event_id % 97 = 0 AND event_id % 7 = 0 THEN 'record_id_collision' WHEN turn = 0 THEN 'unique' WHEN event_id % 2 = 0 THEN 'duplicate_delivery' ELSE 'event_id_conflict' END AS resolution FROM sent
 ), final AS (
   SELECT *, CASE WHEN event_id % 83 = 0 THEN 'timestamp_invalid' WHEN event_id % 89 = 0 THEN 'client_scope_mismatch' WHEN resolution = 'record_id_collision' THEN 'record_id_collision'
     WHEN event_id % 2 = 0 AND event_id >= 9000 THEN 'consent_withdrawn' WHEN ms < 1704153600000 THEN 'timestamp_stale' WHEN event_id % 79 = 0 THEN 'aggregate_installation_join_forbidden' WHEN resolution = 'event_id_conflict' THEN 'event_id_conflict' END AS reason FROM decided
@@ -55,7 +55,7 @@ def _sent(sql: str) -> str:
     return f"WITH base AS ({CTES['base']}), {SENT} {sql}"
 
 
-@query("d5_ingestion_decisions", _sent("SELECT delivery_id, resolution AS duplicate_resolution, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS ingestion_status, reason AS reason_code, CASE WHEN event_id % 10 = 0 THEN 'late' ELSE 'on_time' END AS timeliness, CASE WHEN reason IS NULL OR reason = 'event_id_conflict' THEN 'protected' ELSE 'discarded' END AS payload_disposition FROM final"))
+@query("d5_ingestion_decisions", _sent("SELECT delivery_id, resolution AS duplicate_resolution, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS ingestion_status, reason AS reason_code, CASE WHEN event_id % 10 = 0 AND event_id % 83 <> 0 THEN 'late' ELSE 'on_time' END AS timeliness, CASE WHEN reason IS NULL OR reason = 'event_id_conflict' THEN 'protected' ELSE 'discarded' END AS payload_disposition FROM final"))
 def _(t):
     return ingest.decide(attempts(t)).select("delivery_id", "duplicate_resolution", "ingestion_status", "reason_code", "timeliness", "payload_disposition")
 
@@ -75,7 +75,7 @@ def _(t):
     return ingest.with_consent(attempts(t)).select("delivery_id", "consent_reason")
 
 
-@query("d9_canonical_records", _sent("SELECT delivery_id, CASE WHEN resolution IN ('unique', 'duplicate_delivery', 'event_id_conflict') THEN CASE WHEN event_id % 97 = 0 THEN 'same:' ELSE 'a:' END || event_id END AS canonical_record_id FROM final"))
+@query("d9_canonical_records", _sent("SELECT delivery_id, CASE WHEN event_id % 83 <> 0 AND resolution IN ('unique', 'duplicate_delivery', 'event_id_conflict') THEN CASE WHEN event_id % 97 = 0 THEN 'same:' ELSE 'a:' END || event_id END AS canonical_record_id FROM final"))
 def _(t):
     return ingest.deliveries(ingest.decide(attempts(t))).select("delivery_id", "canonical_record_id")
 
@@ -335,16 +335,17 @@ def _(t):
 
 
 def _days(t) -> DataFrame:
-    clicks = t.clicks().select(F.col("event_id").alias("click_id"), F.to_date("ts").cast("string").alias("day"), "clicked_ms", F.concat(F.lit("s"), F.col("user_id") % 5).alias("source"))
-    installs = ledger.as_of(t.base().where("event_type = 'signup'"), t.clicks().withColumn("c", F.col("event_id")), ["user_id"], "ms", "clicked_ms", "c", "click_id").where("click_id is not null").select("click_id", F.col("event_id").alias("install_id"), F.when(F.col("event_id") % 20 == 0, F.col("ms") - 40 * instants.DAY_MS).otherwise(F.col("ms")).alias("installed_ms"))
+    scope = [F.concat(F.lit("t"), F.col("user_id") % 2).alias("tenant_id"), F.lit("a").alias("app_id")]
+    clicks = t.clicks().select(*scope, F.col("event_id").alias("click_id"), F.to_date("ts").cast("string").alias("day"), "clicked_ms", F.concat(F.lit("s"), F.col("user_id") % 5).alias("source"))
+    installs = ledger.as_of(t.base().where("event_type = 'signup'"), t.clicks().withColumn("c", F.col("event_id")), ["user_id"], "ms", "clicked_ms", "c", "click_id").where("click_id is not null").select(*scope, "click_id", F.col("event_id").alias("install_id"), F.when(F.col("event_id") % 20 == 0, F.col("ms") - 40 * instants.DAY_MS).otherwise(F.col("ms")).alias("installed_ms"))
     return fraud.source_days(clicks, installs, ["source"])
 
 
 DAYS = """
 named AS (SELECT s.event_id AS install_id, CASE WHEN s.event_id % 20 = 0 THEN s.ms - 3456000000 ELSE s.ms END AS installed_ms, (SELECT arg_max(c.event_id, c.clicked_ms) FROM clicks c WHERE c.user_id = s.user_id AND c.clicked_ms <= s.ms) AS click_id FROM base s WHERE event_type = 'signup'),
-j AS (SELECT c.event_id AS click_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, 's' || user_id % 5 AS source, install_id, installed_ms - clicked_ms AS ctit FROM clicks c LEFT JOIN named n ON n.click_id = c.event_id),
-days AS (SELECT day, source, count(DISTINCT click_id) AS clicks, count(DISTINCT install_id) AS installs, count(DISTINCT install_id) FILTER (WHERE ctit < 0) AS neg,
-  CAST(round_even(quantile_cont(ctit, 0.5) FILTER (WHERE ctit >= 0), 0) AS BIGINT) AS p50, CAST(round_even(quantile_cont(ctit, 0.95) FILTER (WHERE ctit >= 0), 0) AS BIGINT) AS p95 FROM j GROUP BY day, source)
+j AS (SELECT c.event_id AS click_id, 't' || c.user_id % 2 AS tenant_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, 's' || c.user_id % 5 AS source, install_id, installed_ms - clicked_ms AS ctit FROM clicks c LEFT JOIN named n ON n.click_id = c.event_id),
+days AS (SELECT tenant_id, day, source, count(DISTINCT click_id) AS clicks, count(DISTINCT install_id) AS installs, count(DISTINCT install_id) FILTER (WHERE ctit < 0) AS neg,
+  CAST(round_even(quantile_cont(ctit, 0.5) FILTER (WHERE ctit >= 0), 0) AS BIGINT) AS p50, CAST(round_even(quantile_cont(ctit, 0.95) FILTER (WHERE ctit >= 0), 0) AS BIGINT) AS p95 FROM j GROUP BY tenant_id, day, source)
 """
 
 
@@ -354,30 +355,30 @@ def _days_sql(sql: str) -> str:
     return f"WITH base AS ({CTES['base']}), clicks AS ({CTES['clicks']}), {DAYS} {sql}"
 
 
-@query("a10_source_days", _days_sql("SELECT day, source, CAST(clicks AS BIGINT) AS clicks, CAST(installs AS BIGINT) AS installs, CAST(neg AS BIGINT) AS ctit_negative_count FROM days"))
+@query("a10_source_days", _days_sql("SELECT tenant_id, day, source, CAST(clicks AS BIGINT) AS clicks, CAST(installs AS BIGINT) AS installs, CAST(neg AS BIGINT) AS ctit_negative_count FROM days"))
 def _(t):
-    return _days(t).select("day", "source", "clicks", "installs", "ctit_negative_count")
+    return _days(t).select("tenant_id", "day", "source", "clicks", "installs", "ctit_negative_count")
 
 
-@query("a11_percentiles", _days_sql("SELECT day, source, p50 AS ctit_p50_ms, p95 // 1000 AS ctit_p95_s FROM days"))
+@query("a11_percentiles", _days_sql("SELECT tenant_id, day, source, p50 AS ctit_p50_ms, p95 // 1000 AS ctit_p95_s FROM days"))
 def _(t):
-    return _days(t).select("day", "source", "ctit_p50_ms", F.expr("ctit_p95_ms div 1000").alias("ctit_p95_s"))
+    return _days(t).select("tenant_id", "day", "source", "ctit_p50_ms", F.expr("ctit_p95_ms div 1000").alias("ctit_p95_s"))
 
 
-@query("a12_median_rate", _days_sql("SELECT day, round(quantile_cont(installs / clicks, 0.5), 9) AS median_cvr FROM days GROUP BY day"))
+@query("a12_median_rate", _days_sql("SELECT tenant_id, day, round(quantile_cont(installs / clicks, 0.5), 9) AS median_cvr FROM days GROUP BY tenant_id, day"))
 def _(t):
-    return fraud.with_median_rate(_days(t)).select("day", F.round("median_cvr", 9).alias("median_cvr")).distinct()
+    return fraud.with_median_rate(_days(t)).select("tenant_id", "day", F.round("median_cvr", 9).alias("median_cvr")).distinct()
 
 
-@query("a13_negative_rate", _days_sql("SELECT day, round(CASE WHEN sum(installs) > 0 THEN sum(neg) / sum(installs) ELSE 0 END, 9) AS negative_rate, CASE WHEN sum(installs) > 0 THEN sum(neg) / sum(installs) ELSE 0 END > 0.05 AS guarded FROM days GROUP BY day"))
+@query("a13_negative_rate", _days_sql("SELECT tenant_id, day, round(CASE WHEN sum(installs) > 0 THEN sum(neg) / sum(installs) ELSE 0 END, 9) AS negative_rate, CASE WHEN sum(installs) > 0 THEN sum(neg) / sum(installs) ELSE 0 END > 0.05 AS guarded FROM days GROUP BY tenant_id, day"))
 def _(t):
-    return fraud.negative_rates(_days(t)).select("day", F.round("negative_rate", 9).alias("negative_rate"), "guarded")
+    return fraud.negative_rates(_days(t)).select("tenant_id", "day", F.round("negative_rate", 9).alias("negative_rate"), "guarded")
 
 
-@query("r5_flooding", _days_sql("SELECT day, source FROM days JOIN (SELECT day AS d, quantile_cont(installs / clicks, 0.5) AS m FROM days GROUP BY day) ON d = day WHERE clicks >= 10 AND installs / clicks <= m * 0.9 AND p50 >= 3600000 AND p95 / p50 <= 20"))
+@query("r5_flooding", _days_sql("SELECT tenant_id, day, source FROM days JOIN (SELECT tenant_id AS t, day AS d, quantile_cont(installs / clicks, 0.5) AS m FROM days GROUP BY ALL) ON d = day AND t = tenant_id WHERE clicks >= 10 AND installs / clicks <= m * 0.9 AND p50 >= 3600000 AND p95 / p50 <= 20"))
 def _(t):
     bundle = fraud.Bundle(base={"source_day_min_clicks": 10, "source_day_cvr_median_multiplier": 0.9, "source_day_ctit_p50_min_seconds": 3600, "source_day_ctit_p95_p50_max_ratio": 20})
-    return fraud.flooding(fraud.with_median_rate(_days(t)), bundle).select("day", "source")
+    return fraud.flooding(fraud.with_median_rate(_days(t)), bundle).select("tenant_id", "day", "source")
 
 
 @query("r1_transport", "SELECT CAST(event_id AS VARCHAR) AS record_id, CASE WHEN event_id % 13 = 0 THEN 'transport-bot-prefetch-v1' ELSE 'transport-replay-v1' END AS rule_id, CASE WHEN event_id % 13 = 0 THEN 'confirmed' ELSE 'suspected' END AS decision FROM events WHERE event_type = 'click' AND (event_id % 13 = 0 OR event_id % 7 = 0)")
@@ -400,11 +401,10 @@ def _(t):
     return fraud.expired(held, 1705000000000)
 
 
-@query("r9_active_bundle", "SELECT id AS revision_id FROM chain WHERE subject = (SELECT min(subject) FROM chain) AND id NOT IN (SELECT supersedes_id FROM chain WHERE supersedes_id IS NOT NULL)", ("chain",))
+@query("r9_active_bundle", "SELECT CAST(subject AS BIGINT) AS subject, id AS revision_id FROM chain WHERE id NOT IN (SELECT supersedes_id FROM chain WHERE supersedes_id IS NOT NULL)", ("chain",))
 def _(t):
-    chain = t.chain()
-    one = chain.join(F.broadcast(chain.agg(F.min("subject").alias("subject"))), "subject", "left_semi").select(F.col("id").alias("revision_id"), F.col("supersedes_id").alias("supersedes_revision_id"))
-    return fraud.active_bundle(one).select("revision_id")
+    revisions = t.chain().select(F.col("subject").cast("long").alias("subject"), F.col("id").alias("revision_id"), F.col("supersedes_id").alias("supersedes_revision_id"))
+    return fraud.active_bundles(revisions, ["subject"]).select("subject", "revision_id")
 
 
 def _key(kind: str, value, cardinality: str = "one_to_one"):
@@ -433,20 +433,21 @@ def _(t):
     return reconcile.duplicate_identities(rows).select("reconciliation_id", "n")
 
 
-@query("v1_lifecycle", "SELECT CAST(event_id AS VARCHAR) AS record_id, CASE WHEN event_id % 9 = 0 THEN 'expired' ELSE 'redacted' END AS lifecycle_status FROM events WHERE event_id % 9 = 0 OR event_id % 6 = 0")
+@query("v1_lifecycle", "SELECT CAST(event_id AS VARCHAR) AS record_id, CASE WHEN event_id % 9 = 0 THEN 'purged' WHEN event_id % 12 = 0 THEN 'purged' ELSE 'redacted' END AS lifecycle_status FROM events WHERE event_id % 9 = 0 OR event_id % 6 = 0")
 def _(t):
     scope = [F.lit("t").alias("tenant_id"), F.lit("a").alias("app_id")]
     e = t.read("events").withColumn("record_id", F.col("event_id").cast("string"))
-    done = e.where("event_id % 6 = 0").groupBy("user_id").agg(F.collect_list(F.struct("record_id", F.lit("redacted").alias("lifecycle_status"))).alias("affected_records")).select(*scope, F.lit("completed").alias("status"), "affected_records")
+    asked = lambda rows, at, status: rows.groupBy("user_id").agg(F.collect_list(F.struct("record_id", F.lit(status).alias("lifecycle_status"))).alias("affected_records")).select(*scope, F.lit("completed").alias("status"), F.lit(at).alias("completed_at"), "affected_records")
+    done = asked(e.where("event_id % 6 = 0"), "2024-01-02", "redacted").unionByName(asked(e.where("event_id % 12 = 0"), "2024-01-03", "purged")).unionByName(asked(e.where("event_id % 6 = 0"), "2024-01-01", "purged"))
     gone = e.where("event_id % 9 = 0").select(*scope, "record_id", F.lit("expired").alias("lifecycle_status"))
     return privacy.lifecycle(done, gone).select("record_id", "lifecycle_status")
 
 
-@query("v3_tombstones", """SELECT CAST(event_id AS VARCHAR) AS record_id, sha256('["t","a","q' || user_id || '","' || event_id || '","redacted"]') AS provenance_digest FROM events WHERE event_id % 6 = 0""")
+@query("v3_tombstones", """SELECT CAST(event_id AS VARCHAR) AS record_id, sha256('["t","a","q' || user_id || '","' || event_id || '","2024-01-0' || (user_id % 9 + 1) || '"]') AS provenance_digest FROM events WHERE event_id % 6 = 0""")
 def _(t):
     e = t.read("events").where("event_id % 6 = 0")
     done = e.groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_id").cast("string").alias("record_id"), F.lit("redacted").alias("lifecycle_status"))).alias("affected_records"))
-    done = done.select(F.lit("t").alias("tenant_id"), F.lit("a").alias("app_id"), F.concat(F.lit("q"), "user_id").alias("privacy_request_id"), F.lit("completed").alias("status"), "affected_records")
+    done = done.select(F.lit("t").alias("tenant_id"), F.lit("a").alias("app_id"), F.concat(F.lit("q"), "user_id").alias("privacy_request_id"), F.lit("completed").alias("status"), F.concat(F.lit("2024-01-0"), F.col("user_id") % 9 + 1).alias("completed_at"), "affected_records")
     return privacy.tombstones(done).select("record_id", "provenance_digest")
 
 
@@ -489,7 +490,7 @@ MAPPING = {
 
 @query("p12_import_mapping", r"""
 SELECT 'o-' || o_orderkey AS event_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'click' WHEN '2-HIGH' THEN 'install' ELSE 'custom_event' END AS event_name, strftime(o_orderdate, '%Y-%m-%dT00:00:00.000Z') AS occurred_at,
-  CAST(o_custkey AS VARCHAR) AS customer, o_orderpriority = '1-URGENT' AS urgent, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey || '500000' END AS amount, CASE WHEN o_orderkey % 5 = 0 THEN 'money decimal source must be a non-negative base-10 decimal string without exponent notation' END AS error
+  CAST(o_custkey AS VARCHAR) AS customer, o_orderpriority = '1-URGENT' AS urgent, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey || '500000' END AS amount, CASE WHEN o_orderkey % 5 = 0 THEN 'money_decimal_unreadable' END AS error
 FROM orders WHERE o_orderstatus = 'O'""")
 def _(t):
     rows = t.read("orders").withColumn("at", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).withColumn("amount", F.expr("case when o_orderkey % 5 = 0 then '1e5' else concat(o_orderkey, '.5') end"))

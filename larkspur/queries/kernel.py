@@ -117,10 +117,10 @@ def _(t):
     return df.select("event_id", F.col("o.referrer_status").alias("status"), "o.retry", "o.click_id", F.col("o.terminal_reason").alias("reason"))
 
 
-@query("f19_allowed_destination", "SELECT event_id, event_id % 3 = 0 AS allowed FROM events")
+@query("f19_allowed_destination", "SELECT event_id, CASE event_id % 3 WHEN 1 THEN 'destination_origin_not_allowed' WHEN 2 THEN 'destination_credentials_forbidden' END AS error FROM events")
 def _(t):
-    url = F.expr("case event_id % 3 when 0 then 'https://Shop.example/x' when 1 then 'http://shop.example/x' else 'https://other.example/' end")
-    return t.read("events").select("event_id", text.allowed_destination(url, ["shop.example"]).alias("allowed"))
+    host = F.expr("case event_id % 3 when 0 then 'https://Shop.example:443/' when 1 then 'https://shop.example:8443/' else 'https://u:p@shop.example/' end")
+    return t.read("events").select("event_id", text.destination_error(F.concat(host, F.lit("e"), "event_id"), ["https://shop.example"]).alias("error"))
 
 
 @query("f20_signed_message", "SELECT event_id, '4.0' || chr(8291) || event_id || CASE WHEN event_id % 2 = 0 THEN chr(8291) || user_id ELSE '' END || chr(8291) || 'true' AS message FROM events")
@@ -154,12 +154,11 @@ def _(t):
     return ledger.latest_by(t.chain(), ["subject"], ["o_orderdate", "id"]).select("subject", "id", "cents")
 
 
-@query("w3_binary_order", "SELECT c_name, c_mktsegment, CAST(row_number() OVER (ORDER BY c_mktsegment, c_name DESC) AS INTEGER) AS place FROM customer QUALIFY place <= 100")
+@query("w3_binary_order", "SELECT c_name, c_mktsegment, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name DESC) AS INTEGER) AS place FROM customer")
 def _(t):
     from pyspark.sql import Window
 
-    top = t.read("customer").orderBy("c_mktsegment", F.col("c_name").desc()).limit(100)
-    return top.select("c_name", "c_mktsegment", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("c_mktsegment", F.col("c_name").desc())).alias("place"))
+    return t.read("customer").select("c_name", "c_mktsegment", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.col("c_name").desc())).alias("place"))
 
 
 @query("w5_keyset_page", "SELECT c_mktsegment, c_custkey FROM customer WHERE (c_mktsegment, c_custkey) > ('BUILDING', 100) ORDER BY c_mktsegment, c_custkey LIMIT 51")
@@ -232,12 +231,12 @@ def _(t):
 
 
 @query("j23_key_overlap", """
-SELECT DISTINCT a.l_orderkey AS left_id, b.l_orderkey AS right_id, a.l_returnflag AS scope FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_returnflag = b.l_returnflag
-WHERE a.l_orderkey % 50 = 0 AND b.l_orderkey % 50 = 1""")
+SELECT DISTINCT a.l_orderkey AS left_id, b.l_orderkey AS right_id, a.l_linestatus AS scope FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey AND a.l_linestatus = b.l_linestatus
+WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'A'""")
 def _(t):
-    grouped = t.read("lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("scope")).agg(F.collect_set("l_partkey").alias("keys"))
-    a = grouped.where("l_orderkey % 50 = 0").select("scope", F.col("l_orderkey").alias("left_id"), F.col("keys").alias("a"))
-    b = grouped.where("l_orderkey % 50 = 1").select("scope", F.col("l_orderkey").alias("right_id"), F.col("keys").alias("b"))
+    lines = t.read("lineitem").withColumn("key", F.concat_ws(":", "l_partkey", "l_suppkey"))
+    side = lambda flag, name, keys: lines.where(F.col("l_returnflag") == flag).groupBy(F.col("l_linestatus").alias("scope"), F.col("l_orderkey").alias(name)).agg(F.collect_set("key").alias(keys))
+    a, b = side("R", "left_id", "a"), side("A", "right_id", "b")
     return ledger.overlap(a, b, "left_id", "right_id", "a", "b", ["scope"])
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions import canon, money
+from larkspur.functions import canon, instants, money
 from larkspur.functions.text import query_value
+from larkspur.operators.ledger import append_once
+
+from . import mapping
 
 COST = ["tenant_id", "app_id", "network", "campaign_id", "ad_group_id", "country", "date", "amount_unscaled", "amount_scale", "currency", "source", "as_of"]
 
@@ -51,6 +54,44 @@ def cost_records(rows: DataFrame, dims: tuple[str, ...] = ("tenant_id", "app_id"
     return keyed.withColumn("cost_record_id", ids).dropDuplicates(["cost_record_id"])
 
 
+def cost_file(plan: dict, rows: DataFrame) -> DataFrame:
+    """Cost rows of an imported file: its rows filtered and mapped by a mapping of kind manual_cost.
+
+    Rows that lack a required value, or whose date or time is none, raise when they are evaluated.
+    """
+    if plan.get("kind") != "manual_cost":
+        raise ValueError("a cost import requires a manual_cost mapping")
+    mapped = mapping.apply(plan, rows)
+    have = {f.name for f in mapped.schema["mapped"].dataType.fields}
+    get = lambda name: F.col(f"mapped.{name}") if name in have else F.lit(None).cast("string")
+    date, as_of = get("date"), instants.normalize(get("as_of"))
+    wrong = F.coalesce(
+        F.col("error"),
+        F.when(get("network").isNull() | (get("network") == ""), "mapped network is required"),
+        F.when(~F.coalesce(date.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.lit(False)), "mapped date must be YYYY-MM-DD"),
+        F.when(as_of.isNull(), "mapped as_of must be a timestamp"),
+    )
+    checked = mapped.where(F.assert_true(wrong.isNull(), wrong).isNull())
+    money_ = F.col("mapped.money")
+    values = {"tenant_id": F.lit(plan["tenant_id"]), "app_id": F.lit(plan["app_id"]), "network": get("network"), "campaign_id": get("campaign_id"), "ad_group_id": get("ad_group_id"), "country": get("country"), "date": date, "amount_unscaled": money_["amount_unscaled"].cast("string"), "amount_scale": money_["amount_scale"].cast("int"), "currency": money_["currency"], "source": F.lit("imported_reported"), "as_of": as_of}
+    return checked.select(*[v.alias(k) for k, v in values.items()])
+
+
+def append_costs(rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """The cost records that an import adds: of one scope, in a sound money form, and not stored yet.
+
+    Each has the digest of its content, which is its id, and the digest of its dimensions; repeated
+    rows of a file add one record.
+    """
+    sound = F.col("currency").rlike("^[A-Z]{3}$") & F.col("amount_unscaled").rlike("^[0-9]+$")
+    checked = rows.where(F.assert_true(F.coalesce(sound, F.lit(False)), F.lit("cost money representation is invalid")).isNull())
+    scopes = rows.select("tenant_id", "app_id").distinct().limit(2).count()
+    if scopes > 1:
+        raise ValueError("a cost import cannot mix tenant or app scopes")
+    new = cost_records(checked)
+    return new if stored is None else append_once(new, stored, ["cost_record_id"])
+
+
 def query_postbacks(lines: DataFrame, query: str = "query") -> DataFrame:
     """Revenue postbacks from query strings: a user id decides their scope; times are unix seconds."""
     q = F.col(query)

@@ -74,15 +74,20 @@ def _bucket(rate: float, burst: float):
             allowed.append(tokens >= 1)
             tokens -= 1 if allowed[-1] else 0
         state.update((tokens, last))
-        state.setTimeoutDuration(int(burst / rate * 1000) + 1000)
+        state.setTimeoutTimestamp(max(last + int(burst / rate * 1000), state.getCurrentWatermarkMs()) + 1000)
         yield rows.assign(key_id=key[0], allowed=allowed)[["key_id", "request_id", "at_ms", "allowed"]]
 
     return run
 
 
-def token_buckets(requests: DataFrame, rate: float, burst: float) -> DataFrame:
-    """Requests (key_id, request_id, at_ms) let through by a token bucket per key; idle keys are forgotten."""
-    return requests.groupBy("key_id").applyInPandasWithState(_bucket(rate, burst), "key_id string, request_id string, at_ms long, allowed boolean", "tokens double, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def token_buckets(requests: DataFrame, rate: float, burst: float, delay: str = "10 minutes") -> DataFrame:
+    """Requests (key_id, request_id, at_ms) let through by a token bucket per key.
+
+    A key is forgotten when event time, as far as the watermark knows it, has filled its bucket; no
+    clock of the machine takes part, so a stream without new rows comes to rest.
+    """
+    timed = requests.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", delay)
+    return timed.groupBy("key_id").applyInPandasWithState(_bucket(rate, burst), "key_id string, request_id string, at_ms long, allowed boolean", "tokens double, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _release(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -94,39 +99,66 @@ def _release(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
         return
     until = max([*(int(v) for f in frames for v in f["until_ms"]), state.getOption[0] if state.exists else 0])
     state.update((until,))
-    now = state.getCurrentProcessingTimeMs()
-    state.setTimeoutDuration(max(1, until - now))
+    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame([[key[0], until, "quarantined"]], columns=columns)
 
 
-def quarantines(decisions: DataFrame) -> DataFrame:
-    """Quarantined decisions (decision_id, until_ms), and their release when the deadline comes."""
-    return decisions.groupBy("decision_id").applyInPandasWithState(_release, "decision_id string, until_ms long, status string", "until_ms long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def quarantines(decisions: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """Quarantined decisions (decision_id, decided_ms, until_ms), and their release when event time passes the deadline."""
+    timed = decisions.withColumn("at", F.timestamp_millis("decided_ms")).withWatermark("at", delay)
+    return timed.groupBy("decision_id").applyInPandasWithState(_release, "decision_id string, until_ms long, status string", "until_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _withdrawn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(frames)).sort_values("processing_sequence", kind="stable")
+    since = state.getOption[0] if state.exists else None
+    out = []
+    for record, sequence, withdrawn in zip(rows["record_id"], rows["processing_sequence"], rows["withdraws"]):
+        if withdrawn:
+            since = int(sequence)
+        out.append((record, *key, int(sequence), since))
+    if since is not None:
+        state.update((since,))
+    yield pd.DataFrame(out, columns=["record_id", "tenant_id", "installation_key_id", "processing_sequence", "withdrawn_at_sequence"]).astype({"withdrawn_at_sequence": "Int64"})
+
+
+def withdrawals(records: DataFrame) -> DataFrame:
+    """Records (tenant_id, installation_key_id, record_id, event_name, consent_state, processing_sequence) with the sequence of the last withdrawal of their installation key up to them.
+
+    The state is one number a key, kept for good: a withdrawal holds for all that comes later.
+    """
+    marked = records.withColumn("withdraws", F.coalesce((F.col("event_name") == "consent_changed") & F.col("consent_state").isin("withdrawn", "denied"), F.lit(False)))
+    schema = "record_id string, tenant_id string, installation_key_id string, processing_sequence long, withdrawn_at_sequence long"
+    return marked.groupBy("tenant_id", "installation_key_id").applyInPandasWithState(_withdrawn, schema, "since long", "append", GroupStateTimeout.NoTimeout)
 
 
-def next_attempt(attempts, missing, now_ms, first_ms: int = 5000, cap_ms: int = 3_600_000, give_up_ms: int = 23 * 3_600_000, enqueued_ms=None):
-    """When a lookup is tried again: every 5 s for three misses, then doubling up to a cap; null once it is given up."""
-    wait = F.when(missing & (attempts <= 3), F.lit(first_ms)).otherwise(F.least(F.lit(cap_ms), (F.lit(float(first_ms)) * F.pow(F.lit(2.0), attempts)).cast("long")))
-    out = now_ms + wait
-    stop = missing & (attempts > 3)
-    if enqueued_ms is not None:
-        stop = stop | (out - enqueued_ms > give_up_ms)
-    return F.when(~stop, out)
+def drained_postbacks(inbox: DataFrame) -> DataFrame:
+    """An inbox of query strings (inbox_id, query, received_at) as decoded postbacks, processed or rejected with their error."""
+    from larkspur.sources.connectors import query_postbacks
+
+    return query_postbacks(inbox).withColumn("status", F.when(F.col("error").isNull(), "processed").otherwise("rejected"))
+
+
+def since_install(installs: DataFrame, events: DataFrame, days: int, delay: str = "1 day") -> DataFrame:
+    """Events (installation_id, occurred_at) within days of their install (installation_id, installed_at), stream against stream.
+
+    The bound on time lets Spark drop the state of both sides when the watermark has passed it.
+    """
+    a = installs.withWatermark("installed_at", delay).alias("i")
+    b = events.withWatermark("occurred_at", delay).alias("e")
+    near = F.expr(f"e.installation_id = i.installation_id and e.occurred_at >= i.installed_at and e.occurred_at < i.installed_at + interval {int(days)} days")
+    return b.join(a, near).select("e.*", F.col("i.installed_at").alias("installed_at"))
 
 
 def append_idempotent(df: DataFrame, target: str, keys: list[str], checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Write a stream to a Parquet folder; a replayed batch adds nothing that is stored."""
-    from larkspur.operators.ledger import append_once
+    """Write a stream to a Parquet folder, one subfolder a batch; a replayed batch replaces its own.
+
+    What was stored before is not read again: repeats across batches are for the stream's keyed state
+    (``resolved``), repeats within a batch go by keys.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            batch = append_once(batch, spark.read.schema(batch.schema).parquet(target), keys)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            batch = batch.dropDuplicates(keys)
-        batch.write.mode("append").parquet(target)
+        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

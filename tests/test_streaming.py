@@ -1,4 +1,5 @@
 import json
+import os
 
 from larkspur.streaming import ingestion as s
 
@@ -25,17 +26,75 @@ def test_conflicts_are_told_across_batches(spark, tmp_path):
     assert got == {"d1": "unique", "d2": "duplicate_delivery", "d3": "unique", "d4": "event_id_conflict", "d5": "duplicate_delivery"}
 
 
-def test_token_bucket(spark, tmp_path):
-    land = tmp_path / "in"
-    land.mkdir()
-    (land / "1.json").write_text("\n".join(json.dumps({"key_id": "k", "request_id": str(i), "at_ms": at}) for i, at in enumerate([0, 0, 0, 1000])))
-    df = s.token_buckets(s.landing(spark, str(land), "key_id string, request_id string, at_ms long"), 1.0, 2.0)
-    q = df.writeStream.format("memory").queryName("buckets").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").start()
+def run(df, name, tmp_path):
+    q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"ck-{name}")).outputMode("append").trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
+        assert q.awaitTermination(120)
     finally:
         q.stop()
-    assert [r["allowed"] for r in spark.table("buckets").orderBy("request_id").collect()] == [True, True, False, True]
+    return df.sparkSession.table(name)
+
+
+def landed(tmp_path, *batches):
+    land = tmp_path / "in"
+    land.mkdir()
+    for i, batch in enumerate(batches):
+        (land / f"{i}.json").write_text("\n".join(json.dumps(r) for r in batch))
+        os.utime(land / f"{i}.json", (1_700_000_000 + i,) * 2)  # files are read in order of their time
+    return str(land)
+
+
+def test_token_bucket(spark, tmp_path):
+    land = landed(tmp_path, [{"key_id": "k", "request_id": str(i), "at_ms": 10**12 + at} for i, at in enumerate([0, 0, 0, 1000])], [{"key_id": "k", "request_id": "4", "at_ms": 10**12 + 1100}, {"key_id": "other", "request_id": "5", "at_ms": 10**12 + 10**7}], [{"key_id": "k", "request_id": "6", "at_ms": 10**12 + 10**7}])
+    df = s.token_buckets(s.landing(spark, land, "key_id string, request_id string, at_ms long", 1), 1.0, 2.0)
+    assert [r["allowed"] for r in run(df, "buckets", tmp_path).orderBy("request_id").collect()] == [True, True, False, True, False, True, True]
+
+
+def test_quarantine_ends_with_event_time(spark, tmp_path):
+    land = landed(tmp_path, [{"decision_id": "a", "decided_ms": 10**12, "until_ms": 10**12 + 60_000}, {"decision_id": "b", "decided_ms": 10**12, "until_ms": 2 * 10**12}], [{"decision_id": "c", "decided_ms": 10**12 + 10**6, "until_ms": 2 * 10**12}], [{"decision_id": "d", "decided_ms": 10**12 + 10**6, "until_ms": 2 * 10**12}])
+    df = s.quarantines(s.landing(spark, land, "decision_id string, decided_ms long, until_ms long", 1))
+    got = {(r["decision_id"], r["status"]) for r in run(df, "quarantines", tmp_path).collect()}
+    assert got == {("a", "quarantined"), ("a", "released"), ("b", "quarantined"), ("c", "quarantined"), ("d", "quarantined")}
+
+
+def test_withdrawals_hold_for_later_records(spark, tmp_path):
+    row = lambda n, event="session_start", state=None, key="k": {"tenant_id": "t", "installation_key_id": key, "record_id": f"{key}{n}", "event_name": event, "consent_state": state, "processing_sequence": n}
+    land = landed(tmp_path, [row(1), row(2, "consent_changed", "withdrawn"), row(3)], [row(4), row(4, key="other"), row(5, "consent_changed", "granted")])
+    df = s.withdrawals(s.landing(spark, land, "tenant_id string, installation_key_id string, record_id string, event_name string, consent_state string, processing_sequence long", 1))
+    got = {r["record_id"]: r["withdrawn_at_sequence"] for r in run(df, "withdrawals", tmp_path).collect()}
+    assert got == {"k1": None, "k2": 2, "k3": 2, "k4": 2, "k5": 2, "other4": None}
+
+
+def test_inbox_of_query_strings(spark, tmp_path):
+    land = landed(tmp_path, [{"inbox_id": "1", "query": "user_id=u&revenue=1.5&ts=1700000000&network=n"}, {"inbox_id": "2", "query": "revenue=x&ts=1"}])
+    got = {r["inbox_id"]: (r["status"], r["error"]) for r in run(s.drained_postbacks(s.landing(spark, land, "inbox_id string, query string")), "inbox", tmp_path).collect()}
+    assert got == {"1": ("processed", None), "2": ("rejected", "revenue_invalid")}
+
+
+def test_events_since_install(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    a = landed(tmp_path / "a", [{"installation_id": "i", "installed_at": "2026-01-01T12:00:00Z"}])
+    b = landed(tmp_path / "b", [{"installation_id": "i", "occurred_at": t} for t in ("2026-01-01T11:59:59Z", "2026-01-01T12:00:00Z", "2026-01-02T11:59:59Z", "2026-01-02T12:00:00Z")])
+    df = s.since_install(s.landing(spark, a, "installation_id string, installed_at timestamp"), s.landing(spark, b, "installation_id string, occurred_at timestamp"), 1)
+    assert sorted(str(r["occurred_at"]) for r in run(df, "since", tmp_path).collect()) == ["2026-01-01 12:00:00", "2026-01-02 11:59:59"]
+
+
+def test_nonces_and_quotas(spark, tmp_path):
+    land = landed(tmp_path, [{"ts": "2026-01-01T00:00:00Z", "key_id": "k", "nonce": n} for n in "aab"], [{"ts": "2026-01-01T00:05:00Z", "key_id": "k", "nonce": "a"}], [{"ts": "2026-01-01T09:00:00Z", "key_id": "k", "nonce": "c"}], [{"ts": "2026-01-01T09:00:01Z", "key_id": "k", "nonce": "d"}])
+    read = lambda: s.landing(spark, land, "ts timestamp, key_id string, nonce string", 1)
+    assert sorted(r["nonce"] for r in run(s.fresh_nonces(read()), "nonces", tmp_path).collect()) == ["a", "b", "c", "d"]
+    got = {str(r["hour"]): (r["n"], r["over"]) for r in run(s.hourly_quota(read(), 3), "quota", tmp_path).collect()}
+    assert got["2026-01-01 00:00:00"] == (4, True)
+
+
+def test_replayed_batch_adds_nothing(spark, tmp_path):
+    land = landed(tmp_path, [rows("e1", 1, "x"), rows("e1", 1, "x")])
+    for _ in range(2):
+        s.append_idempotent(s.landing(spark, land, SCHEMA), str(tmp_path / "out"), ["delivery_id"], str(tmp_path / "same")).awaitTermination(60)
+    first = spark.read.parquet(str(tmp_path / "out")).count()
+    s.append_idempotent(s.landing(spark, land, SCHEMA), str(tmp_path / "out"), ["delivery_id"], str(tmp_path / "lost")).awaitTermination(60)
+    assert first == spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
 def test_daily_windows(spark, tmp_path):
