@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ ATTEST = "binding_digest string, app_id_valid boolean, signature_valid boolean,
 META_FIELDS = ("campaign_group_id", "campaign_id", "adgroup_id", "ad_id", "account_id", "ad_objective_name", "is_instagram", "publisher_platform", "platform_position")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lookup_answer(body: Column) -> Column:
     """struct(status, campaign_id, ..., error): an attribution lookup's answer in one form."""
     a = F.from_json(body, LOOKUP)
@@ -66,15 +73,19 @@ def decrypt_referrer(data_hex: Column, nonce_hex: Column, keys: dict[str, str])
     shaped = F.coalesce(data_hex.rlike("^[a-fA-F0-9]+$") & nonce_hex.rlike("^[a-fA-F0-9]{24}$") & (F.length(data_hex) >= 34) & (F.length(data_hex) % 2 == 0), F.lit(False))
     found = [F.struct(F.lit(i).alias("key_id"), F.try_aes_decrypt(F.concat(F.unhex(nonce_hex), F.unhex(data_hex)), F.unhex(F.lit(k)), F.lit("GCM")).cast("string").alias("plaintext")) for i, k in keys.items() if len(k) == 64]
     first = F.try_element_at(F.filter(F.array(*found), lambda x: x["plaintext"].isNotNull()), F.lit(1)) if found else F.lit(None).cast("struct<key_id:string,plaintext:string>")
-    opened = F.when(shaped, first)
-    value = F.try_parse_json(opened["plaintext"])
-    parts = [F.struct(F.lit(f).alias("key"), F.try_variant_get(value, f"$.{f}", "string").alias("value"), F.schema_of_variant(F.try_variant_get(value, f"$.{f}", "variant")).alias("kind")) for f in META_FIELDS]
-    present = F.filter(F.array(*parts), lambda p: p["kind"].isNotNull())
-    good = F.json_object_keys(opened["plaintext"]).isNotNull() & (F.size(present) > 0) & F.forall(present, lambda p: p["kind"].isin("STRING", "BOOLEAN"))
-    status = F.when(given.isNull(), "absent").when(~shaped | F.lit(not found), "malformed").when(opened.isNull(), "auth_failed").when(F.coalesce(good, F.lit(False)), "decrypted").otherwise("malformed")
-    done = status == "decrypted"
-    context = F.map_from_entries(F.transform(present, lambda p: F.struct(p["key"], p["value"])))
-    return F.struct(status.alias("status"), F.when(done, opened["key_id"]).alias("key_id"), F.when(done, context).alias("context"))
+
+    def read(opened: Column) -> Column:
+        value = F.try_parse_json(opened["plaintext"])
+        parts = [F.struct(F.lit(f).alias("key"), F.try_variant_get(value, f"$.{f}", "string").alias("value"), F.schema_of_variant(F.try_variant_get(value, f"$.{f}", "variant")).alias("kind")) for f in META_FIELDS]
+        return F.struct(opened["key_id"].alias("key_id"), opened.isNotNull().alias("opened"), F.json_object_keys(opened["plaintext"]).isNotNull().alias("object"), F.filter(F.array(*parts), lambda p: p["kind"].isNotNull()).alias("present"))
+
+    def judged(r: Column) -> Column:
+        good = r["object"] & (F.size(r["present"]) > 0) & F.forall(r["present"], lambda p: p["kind"].isin("STRING", "BOOLEAN"))
+        status = F.when(given.isNull(), "absent").when(~shaped | F.lit(not found), "malformed").when(~r["opened"], "auth_failed").when(F.coalesce(good, F.lit(False)), "decrypted").otherwise("malformed")
+        context = F.map_from_entries(F.transform(r["present"], lambda p: F.struct(p["key"], p["value"])))
+        return F.struct(status.alias("status"), F.when(status == "decrypted", r["key_id"]).alias("key_id"), F.when(status == "decrypted", context).alias("context"))
+
+    return bound(bound(F.when(shaped, first), read), judged)
 
 
 def conversion_schema(definition: Column) -> Column:
