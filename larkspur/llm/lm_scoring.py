@@ -206,6 +206,19 @@ def split_counts(table: DataFrame, parts: int, times: int) -> DataFrame:
     return table.select("part", "data").mapInArrow(run, "part int, data binary").select(F.lit(-1).cast("long").alias("chunk"), "part", F.lit(COUNTS).alias("kind"), "data")
 
 
+def _chunks(batches, rows: int = 1 << 14, size: int = 8 << 20):
+    """Batches of at most ``rows`` rows, put together until they have about ``size`` bytes."""
+    held, n, total = [], 0, 0
+    for batch in (whole.slice(i, rows) for whole in batches for i in range(0, whole.num_rows, rows)):
+        if held and (n + batch.num_rows > rows or total + batch.nbytes > size):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n, total = [], 0, 0
+        held.append(batch)
+        n, total = n + batch.num_rows, total + batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(_part(keys, parts), np.arange(parts + 1))
 
@@ -223,8 +236,7 @@ def requests(docs: DataFrame, top, parts: int) -> DataFrame:
         table, counts = top.value
         none = len(table)
         known = np.append(counts, 0)
-        pieces = (batch.slice(i, 1 << 14) for batch in batches for i in range(0, batch.num_rows, 1 << 14))
-        for number, batch in enumerate(pieces):
+        for number, batch in enumerate(_chunks(batches)):
             chunk = (TaskContext.get().partitionId() << 32) | number
             training = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             row, token, context = tokens(batch.column(1))
@@ -274,8 +286,13 @@ def _each_part(batches):
         yield part, counts, held
 
 
+#: Columns of a pair of rare tokens (w behind v) on its way to the part of w, and of that part's counts.
+RARE = ["part", "kind", "chunk", "doc", "w", "v", "cv", "training", "data"]
+_RARE = "part int, kind int, chunk long, doc int, w long, v long, cv long, training boolean, data binary"
+
+
 def passed_on(asked: DataFrame, parts: int) -> DataFrame:
-    """The pairs of rare tokens (w, v, c(v), document) on their way to the part of w."""
+    """The pairs of rare tokens, one a row, with c(v), for the part of w."""
 
     def run(batches):
         for _, counts, rows in _each_part(batches):
@@ -284,15 +301,40 @@ def passed_on(asked: DataFrame, parts: int) -> DataFrame:
                     continue
                 steps, w, doc, training = unpack(data)
                 v = np.cumsum(steps, dtype=np.uint64)
-                cv = counts.of(v)
-                sort = np.lexsort((doc, v, w))
-                v, w, doc, cv = v[sort], w[sort], doc[sort], cv[sort]
-                cut = _cuts(w, parts)
-                at = np.flatnonzero(np.diff(cut))
-                out = [pack(_steps(w[x:y]), v[x:y], cv[x:y], doc[x:y], training) for x, y in zip(cut[at], cut[at + 1])]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array([PASS] * len(at), pa.int32()), pa.array(out, pa.binary())], ["chunk", "part", "kind", "data"])
+                n = len(v)
+                arrays = [_part(w, parts).astype(np.int32), np.full(n, PASS, np.int32), np.full(n, chunk), doc.astype(np.int32), w.view(np.int64), v.view(np.int64), counts.of(v), training[doc]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.nulls(n, pa.binary())], RARE)
 
-    return asked.select("chunk", "part", "kind", "data").where(f"kind <> {ASK}").mapInArrow(run, "chunk long, part int, kind int, data binary")
+    return asked.select("chunk", "part", "kind", "data").where(f"kind <> {ASK}").mapInArrow(run, _RARE)
+
+
+def _rare_parts(batches):
+    """(document's chunk, document, counts of context, pair and token, training) of each part's pairs of rare tokens; rows come sorted by part and kind."""
+    part, counts, held = None, Tally(), []
+
+    def done():
+        chunk, doc, w, v, cv, training = (np.concatenate(x) for x in zip(*held))
+        key, pairs = mix(w) + mix(v + np.uint64(2)), Tally()
+        pairs.add(*_count(key[training]))
+        return chunk, doc, cv, pairs.of(key), counts.of(w), training
+
+    for batch in batches:
+        parts, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], (parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1])])).tolist() if len(parts) else []
+        for i, j in zip(cuts, [*cuts[1:], len(parts)]):
+            if parts[i] != part:
+                if held:
+                    yield done()
+                part, counts, held = parts[i], Tally(), []
+            if kinds[i] == COUNTS:
+                for data in batch.column(8).slice(i, j - i).to_pylist():
+                    steps, c = unpack(data)
+                    counts.add(np.cumsum(steps, dtype=np.uint64), c)
+            else:
+                chunk, doc, w, v, cv, training = (batch.column(k).slice(i, j - i).to_numpy(zero_copy_only=False) for k in range(2, 8))
+                held.append((chunk, doc, w.view(np.uint64), v.view(np.uint64), cv, training.astype(bool)))
+    if held:
+        yield done()
 
 
 class Part:
@@ -301,62 +343,81 @@ class Part:
     def __init__(self, counts: Tally, rows: list[tuple]):
         self.counts = counts
         self.pairs, self.mixed = Tally(), Tally()
-        for _, kind, data in rows:
-            for key, _, times, _, _, doc, training, _, common in self._open(kind, data):
+        for _, data in rows:
+            for key, _, times, _, doc, training, _, common in self._open(data):
                 mine = training[doc]
                 (self.pairs if common else self.mixed).add(*_count(key[mine], times[mine]))
 
-    def _open(self, kind: int, data: bytes):
-        """(pair, context, times, token, context's count if known, document, training, rare token, two frequent tokens) of each kind of pair."""
-        if kind == PASS:
-            steps, v, cv, doc, training = unpack(data)
-            w = np.cumsum(steps, dtype=np.uint64)
-            yield mix(w) + mix(v + np.uint64(2)), v, np.ones(len(w), np.int64), w, cv, doc, training, True, False
-            return
+    def _open(self, data: bytes):
+        """(pair, context, times, token, document, training, rare token, two frequent tokens) of each kind of pair."""
         steps, doc, times, rare, context, at, behind, token, there, training = unpack(data)
         key = np.cumsum(steps, dtype=np.uint64)
-        yield key, (key >> np.uint64(_ID)).astype(np.int64), times.astype(np.int64), (key & np.uint64((1 << int(_ID)) - 1)).astype(np.int64), None, doc, training, False, True
+        yield key, (key >> np.uint64(_ID)).astype(np.int64), times.astype(np.int64), (key & np.uint64((1 << int(_ID)) - 1)).astype(np.int64), doc, training, False, True
         w = np.cumsum(rare, dtype=np.uint64)
-        yield mix(w) + mix(context + np.uint64(1)), context.astype(np.int64), np.ones(len(w), np.int64), w, None, at, training, True, False
+        yield mix(w) + mix(context + np.uint64(1)), context.astype(np.int64), np.ones(len(w), np.int64), w, at, training, True, False
         v = np.cumsum(behind, dtype=np.uint64)
-        yield mix(v ^ np.uint64(0x5851F42D4C957F2D)) + mix(token + np.uint64(3)), v, np.ones(len(v), np.int64), token.astype(np.int64), None, there, training, False, False
+        yield mix(v ^ np.uint64(0x5851F42D4C957F2D)) + mix(token + np.uint64(3)), v, np.ones(len(v), np.int64), token.astype(np.int64), there, training, False, False
 
-    def estimates(self, kind: int, data: bytes, frequent: np.ndarray):
+    def estimates(self, data: bytes, frequent: np.ndarray):
         """(document, times, count of the context, of the pair, of the token, training, rare token) of what was asked."""
-        for key, v, times, w, cv, doc, training, rare, common in self._open(kind, data):
-            count = lambda x: self.counts.of(x) if x.dtype == np.uint64 else frequent[x]
-            yield doc, times, count(v) if cv is None else cv, (self.pairs if common else self.mixed).of(key), count(w), training[doc], rare
+        count = lambda x: self.counts.of(x) if x.dtype == np.uint64 else frequent[x]
+        for key, v, times, w, doc, training, rare, common in self._open(data):
+            yield doc, times, count(v), (self.pairs if common else self.mixed).of(key), count(w), training[doc], rare
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))).astype(np.int64) + 1, 0)
 
 
-def _cells(asked: DataFrame, kinds: tuple, top, n: int) -> DataFrame:
-    """(cell, weight, p2, p1): totals over all training tokens, each deleted from its own counts."""
+class Cells:
+    """Totals (weight, p2, p1) by cell of bucket and quantised probabilities, over tokens deleted from their own counts."""
+
+    def __init__(self, n: int):
+        self.n, self.found = n, {"cell": [], "weight": [], "p2": [], "p1": []}
+
+    def add(self, times, cv, cvw, cw) -> None:
+        t = times.astype(float)
+        p2 = np.where(cv > 1, (cvw - 1) / np.maximum(cv - 1, 1), 0.0)
+        p1 = (cw - 1) / max(self.n - 1, 1)
+        q = [np.where(p > 0, np.minimum(np.floor(-np.log2(np.where(p > 0, p, 1.0)) * STEPS), 253).astype(np.int64), 255) for p in (p2, p1)]
+        u, inv = np.unique((_bucket(cv) << 16) | (q[0] << 8) | q[1], return_inverse=True)
+        for k, x in (("weight", t), ("p2", t * p2), ("p1", t * p1)):
+            self.found[k].append(np.bincount(inv, x, minlength=len(u)))
+        self.found["cell"].append(u)
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in self.found.values()], list(self.found))
+
+
+_CELLS = "cell long, weight double, p2 double, p1 double"
+
+
+def _cells(asked: DataFrame, top, n: int) -> DataFrame:
+    """Cells of all training tokens but those that are rare behind a rare context."""
 
     def run(batches):
         counts = top.value[1]
         for _, known, rows in _each_part(batches):
-            rows = [r for r in rows if r[1] in kinds]
+            rows = [(chunk, data) for chunk, kind, data in rows if kind == ASK]
             if not rows:
                 continue
-            model = Part(known, rows)
-            totals: dict[str, list] = {"cell": [], "w": [], "p2": [], "p1": []}
-            for _, kind, data in rows:
-                for _, times, cv, cvw, cw, training, _ in model.estimates(kind, data, counts):
-                    t, cv, cvw, cw = times[training].astype(float), cv[training], cvw[training], cw[training]
-                    p2 = np.where(cv > 1, (cvw - 1) / np.maximum(cv - 1, 1), 0.0)
-                    p1 = (cw - 1) / max(n - 1, 1)
-                    q = [np.where(p > 0, np.minimum(np.floor(-np.log2(np.where(p > 0, p, 1.0)) * STEPS), 253).astype(np.int64), 255) for p in (p2, p1)]
-                    cell = (_bucket(cv) << 16) | (q[0] << 8) | q[1]
-                    u, inv = np.unique(cell, return_inverse=True)
-                    for k, x in (("w", t), ("p2", t * p2), ("p1", t * p1)):
-                        totals[k].append(np.bincount(inv, x, minlength=len(u)))
-                    totals["cell"].append(u)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in totals.values()], ["cell", "weight", "p2", "p1"])
-
-    return asked.select("chunk", "part", "kind", "data").mapInArrow(run, "cell long, weight double, p2 double, p1 double")
+            model, cells = Part(known, rows), Cells(n)
+            for _, data in rows:
+                for _, times, cv, cvw, cw, training, _ in model.estimates(data, counts):
+                    cells.add(times[training], cv[training], cvw[training], cw[training])
+            yield cells.batch()
+
+    return asked.select("chunk", "part", "kind", "data").mapInArrow(run, _CELLS)
+
+
+def _rare_cells(rare: DataFrame, n: int) -> DataFrame:
+    def run(batches):
+        for _, _, cv, cvw, cw, training in _rare_parts(batches):
+            cells = Cells(n)
+            cells.add(np.ones(int(training.sum())), cv[training], cvw[training], cw[training])
+            yield cells.batch()
+
+    return rare.mapInArrow(run, _CELLS)
 
 
 def _totals(cells: DataFrame) -> DataFrame:
@@ -381,32 +442,51 @@ def mixture(bucket: np.ndarray, weight: np.ndarray, p2: np.ndarray, p1: np.ndarr
     return out / out.sum(1, keepdims=True)
 
 
-def _answers(asked: DataFrame, kinds: tuple, top, n: int, v: int, weights: np.ndarray) -> DataFrame:
+def _log_chance(weights: np.ndarray, cv, cvw, cw, n: int, v: int) -> np.ndarray:
+    a = weights[_bucket(cv)]
+    return np.log10(a[:, 0] * np.where(cv > 0, cvw / np.maximum(cv, 1), 0.0) + a[:, 1] * (cw / max(n, 1)) + a[:, 2] / (v + 1))
+
+
+def _answer(doc, score, base, known) -> bytes:
+    """Sums by document."""
+    size = int(doc.max()) + 1 if len(doc) else 0
+    at = np.flatnonzero(np.bincount(doc, minlength=size))
+    sums = [np.bincount(doc, x, minlength=size)[at] for x in (score, base, known)]
+    return pack(at.astype(np.uint16), sums[0], sums[1], sums[2].astype(np.float32))
+
+
+def _answers(asked: DataFrame, top, n: int, v: int, weights: np.ndarray) -> DataFrame:
     """(chunk, data): sums per document of each part's tokens."""
 
     def run(batches):
         counts = top.value[1]
         for _, mine, rows in _each_part(batches):
-            rows = [r for r in rows if r[1] in kinds]
+            rows = [(chunk, data) for chunk, kind, data in rows if kind == ASK]
             model = Part(mine, rows)
-            for chunk, kind, data in rows:
+            for chunk, data in rows:
                 docs, score, base, known = [], [], [], []
-                for doc, times, cv, cvw, cw, _, rare in model.estimates(kind, data, counts):
-                    a = weights[_bucket(cv)]
-                    p = a[:, 0] * np.where(cv > 0, cvw / np.maximum(cv, 1), 0.0) + a[:, 1] * (cw / max(n, 1)) + a[:, 2] / (v + 1)
+                for doc, times, cv, cvw, cw, _, rare in model.estimates(data, counts):
                     docs.append(doc)
-                    score.append(times * np.log10(p))
+                    score.append(times * _log_chance(weights, cv, cvw, cw, n, v))
                     base.append(np.log10(cw + 0.5) if rare else np.zeros(len(doc)))
                     known.append(((cw > 0) if rare else np.zeros(len(doc))).astype(float))
-                doc = np.concatenate(docs)
-                size = int(doc.max()) + 1 if len(doc) else 0
-                at = np.flatnonzero(np.bincount(doc, minlength=size))
-                sums = [np.bincount(doc, np.concatenate(x), minlength=size)[at] for x in (score, base, known)]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([pack(at.astype(np.uint16), sums[0], sums[1], sums[2].astype(np.float32))], pa.binary())], ["chunk", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([_answer(*map(np.concatenate, (docs, score, base, known)))], pa.binary())], ["chunk", "data"])
 
     return asked.select("chunk", "part", "kind", "data").mapInArrow(run, "chunk long, data binary")
 
 
+def _rare_answers(rare: DataFrame, n: int, v: int, weights: np.ndarray) -> DataFrame:
+    def run(batches):
+        for chunk, doc, cv, cvw, cw, _ in _rare_parts(batches):
+            score, base, known = _log_chance(weights, cv, cvw, cw, n, v), np.log10(cw + 0.5), (cw > 0).astype(float)
+            order = np.argsort(chunk, kind="stable")
+            cuts = np.flatnonzero(np.diff(chunk[order])) + 1
+            for some in np.split(order, cuts):
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[some[:1]]), pa.array([_answer(doc[some], score[some], base[some], known[some])], pa.binary())], ["chunk", "data"])
+
+    return rare.mapInArrow(run, "chunk long, data binary")
+
+
 def scored(docs: DataFrame, frequent_tokens: int = FREQUENT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs.
 
@@ -428,13 +508,14 @@ def scored(docs: DataFrame, frequent_tokens: int = FREQUENT) -> DataFrame:
     counts = split_counts(table, least, times)
     everything = requests(docs, top, parts).unionByName(counts.withColumn("ids", F.lit(None).cast(f"array<{id_type}>")))
     asked = checkpointed(everything.repartition(parts, "part").sortWithinPartitions("part", "kind"))
-    rare = passed_on(asked, parts).unionByName(counts)
-    rare = checkpointed(rare.repartition(parts, "part").sortWithinPartitions("part", "kind"))
+    empty = {c: F.lit(None).cast(k) for c, k in (x.split() for x in _RARE.split(", "))}
+    known = counts.select(*[F.col(c) if c in ("part", "kind", "data") else empty[c].alias(c) for c in RARE])
+    rare = checkpointed(passed_on(asked, parts).unionByName(known).repartition(parts, "part").sortWithinPartitions("part", "kind"))
     scratch.drop(table)
-    cells = _totals(_cells(asked, (ASK,), top, n).unionByName(_cells(rare, (PASS,), top, n))).toPandas()
+    cells = _totals(_cells(asked, top, n).unionByName(_rare_cells(rare, n))).toPandas()
     w = np.maximum(cells["weight"].to_numpy(), 1e-300)
     weights = mixture(cells["cell"].to_numpy().astype(np.int64) >> 16, cells["weight"].to_numpy(), cells["p2"].to_numpy() / w, cells["p1"].to_numpy() / w, 1.0 / (v + 1))
-    answers = _answers(asked, (ASK,), top, n, v, weights).unionByName(_answers(rare, (PASS,), top, n, v, weights))
+    answers = _answers(asked, top, n, v, weights).unionByName(_rare_answers(rare, n, v, weights))
     own = asked.where("part < 0").select("chunk", "data", "ids")
     floor = float(np.log10(n + 0.5 * (v + 1)))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
