@@ -10,9 +10,9 @@ to a depth of ``RUN`` tokens.  Neighbouring suffixes that agree to that depth ar
 repeated in the host; it is boilerplate if it stands on enough distinct pages of the host: a third
 outside of articles, three fifths inside.  Its tokens are removed and the unique runs stay.
 
-Hosts of over ``SHARD`` pages are dealt into shards by a hash of page_id, yet judged as a whole: a run
-on a share of a host's pages is on that share in one shard at least, so the shards name candidates,
-count them, and remove those whose sum suffices.  The result is the same for any size of shard.
+Hosts of over ``SHARD`` pages are dealt into shards by a hash of page_id, yet judged as a whole: the
+shards tell the runs that stand on a share of their pages, the sums decide, and runs that only some
+shards told are counted again.  The result is the same for any size of shard.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from .hashing import mix
 RUN = 8
 #: Least number and least share of a host's pages for a run outside (False) and inside (True) of articles.
 LEAST = {False: (3, 1 / 3), True: (4, 0.6)}
-SHARD = 256
+SHARD = 2048
 #: Hosts with several shards that may be broadcast; beyond it the host table is joined by a shuffle.
 FEW_HOSTS = 10_000
 
@@ -269,31 +269,43 @@ def _shards(batches) -> Iterator[tuple[tuple, list, bytes | None, Shard]]:
 
 
 def _counted(parsed: DataFrame, hosts: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
-    """(host, kind, data): for each sharded host, its number of pages, and its runs that may be boilerplate with their pages."""
+    """For each sharded host, its number of pages, and its runs that may be boilerplate with their pages, as rows of kind 0.
+
+    A shard tells its runs that stand on half of the least share of its pages or more.  If all shards of
+    a host tell a run, its pages are known; else they are counted again, unless the shards that did not
+    tell it cannot make the difference.
+    """
     low = min(share for _, share in LEAST.values())
 
     def propose(batches):
         for (host, _), _, _, shard in _shards(batches):
-            keys = shard.keys()[shard.support >= np.ceil(low * shard.count)]
-            yield pa.RecordBatch.from_arrays([pa.array([host] * (len(keys) + 1)), pa.array(np.append(signed(keys), 0)), pa.array([0] * len(keys) + [shard.count], pa.int64())], ["host", "key", "pages"])
+            told = shard.support >= low / 2 * shard.count
+            keys = signed(shard.keys()[told])
+            yield pa.RecordBatch.from_arrays([pa.array([host] * (len(keys) + 1), pa.string()), pa.array(np.append(keys, 0)), pa.array(np.append(shard.support[told], 0)), pa.array(np.full(len(keys) + 1, shard.count))], ["host", "key", "n", "pages"])
 
     def count(batches):
         for (host, _), _, told, shard in _shards(batches):
             asked = np.frombuffer(told or b"", np.int64)
             keys = signed(shard.keys())
             hit = np.isin(keys, asked)
-            yield pa.RecordBatch.from_arrays([pa.array([host] * int(hit.sum())), pa.array(keys[hit]), pa.array(shard.support[hit])], ["host", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([host] * int(hit.sum()), pa.string()), pa.array(keys[hit]), pa.array(shard.support[hit])], ["host", "key", "n"])
 
     def packed(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, np.int64).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["host", "data"])
 
-    proposed = scratch.keep(_dealt(parsed, parts).mapInArrow(propose, "host string, key long, pages long"))
-    totals = proposed.groupBy("host").agg(F.sum("pages").alias("total"))
-    candidates = proposed.where("key <> 0").select("host", "key").distinct().groupBy("host").agg(F.collect_list("key").alias("k"))
-    asked = _told(candidates.mapInArrow(packed, "host string, data binary"), hosts)
-    counts = _dealt(parsed.unionByName(asked), parts).mapInArrow(count, "host string, key long, n long").groupBy("host", "key").agg(F.sum("n").alias("n"))
-    pairs = counts.join(totals, "host").where(F.col("n") >= F.ceil(F.col("total") * F.lit(low))).groupBy("host").agg(F.flatten(F.collect_list(F.array("key", "n"))).alias("k"))
+    proposed = scratch.keep(_dealt(parsed, parts).mapInArrow(propose, "host string, key long, n long, pages long"))
+    totals = proposed.where("key = 0").groupBy("host").agg(F.sum("pages").alias("total"))
+    sums = proposed.where("key <> 0").groupBy("host", "key").agg(F.sum("n").alias("n"), F.sum("pages").alias("seen")).join(totals, "host")
+    need = F.ceil(F.col("total") * F.lit(low))
+    sums = scratch.keep(sums.where(F.col("n") + (F.col("total") - F.col("seen")) * F.lit(low / 2) >= need))
+    open_ = sums.where("seen < total").select("host", "key")
+    known = sums.where(F.col("seen") == F.col("total")).select("host", "key", "n")
+    if open_.head(1):
+        asked = _told(open_.groupBy("host").agg(F.collect_list("key").alias("k")).mapInArrow(packed, "host string, data binary"), hosts)
+        some = parsed.join(open_.select("host").distinct(), "host", "left_semi").select(*parsed.columns)
+        known = known.unionByName(_dealt(some.unionByName(asked), parts).mapInArrow(count, "host string, key long, n long").groupBy("host", "key").agg(F.sum("n").alias("n")))
+    pairs = known.groupBy("host").agg(F.flatten(F.collect_list(F.array("key", "n"))).alias("k"))
     told = totals.join(pairs, "host", "left").select("host", F.concat(F.array("total"), F.coalesce("k", F.array().cast("array<bigint>"))).alias("k"))
     return _told(told.mapInArrow(packed, "host string, data binary"), hosts)
 
