@@ -51,6 +51,7 @@ def installs(events: DataFrame, clicks: DataFrame, window_ms: int = WINDOW_MS) -
     delta = instants.millis(begin) - instants.millis(F.col("click_redirector_click_at"))
     df = df.withColumn("ctit_ms", delta)
     none = ("none", "none")
+    # Status, method, model and reason of each outcome, in the order that the contract ranks them.
     decision = _decision(
         (imported & ~context, "unattributed", "imported", "provider_reported", "provider_unattributed"),
         (imported & provider & (F.coalesce(strategy, F.lit("")) == "modeled"), "non_organic", "imported", "provider_reported", "provider_modeled_conversion"),

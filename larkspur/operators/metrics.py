@@ -52,10 +52,17 @@ class Definition:
 
 def registry() -> dict[str, Definition]:
     """The built-in definitions by name."""
-    out = [Definition("d0_roas", "revenue_over_cost"), Definition("d0_ad_revenue", "revenue_sum"), Definition("d0_cohort_size", "cohort_size")]
-    for day in (1, 3, 7):
-        out += [Definition(f"d{day}_roas", "revenue_over_cost", day), Definition(f"d{day}_retention", "active_installations_over_cohort", day), Definition(f"d{day}_ltv", "revenue_over_cohort", day)]
-    out += [Definition("d0_ltv", "revenue_over_cohort"), Definition("d30_ltv", "revenue_over_cohort", 30)]
+    # Names of metrics.
+    out = [
+        Definition("d0_install_to_24h_ad_revenue_usd", "revenue_sum"),
+        Definition("d0_utc_install_calendar_ad_revenue_usd", "revenue_sum", window="calendar_day"),
+        Definition("d0_jst_install_calendar_ad_revenue_usd", "revenue_sum", window="calendar_day", zone="Asia/Tokyo"),
+        Definition("cohort_install_count", "cohort_size"),
+        Definition("retention_d1", "active_installations_over_cohort", 1),
+        Definition("retention_d7", "active_installations_over_cohort", 7),
+    ]
+    for day in (0, 1, 3, 7):
+        out += [Definition(f"d{day}_roas", "revenue_over_cost", day), Definition(f"cohort_ltv_d{day}_usd", "revenue_over_cohort", day)]
     out += [Definition(f"daily_{name}s", "event_count", event_names=(name,), grouping=("metric_date",)) for name in ("click", "install", "deep_link_open")]
     return {d.metric_name: d for d in out}
 

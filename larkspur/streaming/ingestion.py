@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: The total order of attempts of one logical key; columns that a stream lacks do not decide.
+ORDER = ["received_at", "record_id", "delivery_id", "schema_version", "record_sha256", "payload_sha256"]
 DECIDED = "tenant_id string, app_id string, producer string, event_id string, record_id string, delivery_id string, payload_sha256 string, duplicate_resolution string, canonical_record_id string"
 
 
@@ -23,7 +25,8 @@ def landing(spark: SparkSession, path: str, schema: str, files_per_batch: int =
 
 
 def _resolve(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(frames)).sort_values(["received_at", "record_id", "delivery_id"], kind="stable")
+    rows = pd.concat(list(frames))
+    rows = rows.sort_values([c for c in ORDER if c in rows.columns], kind="stable", key=lambda c: c.fillna("").astype(str).map(lambda x: x.encode("utf-16-be", "surrogatepass")))
     first = state.getOption
     if first is None:
         head = rows.iloc[0]

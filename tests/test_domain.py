@@ -118,3 +118,41 @@ def test_report_filters():
     for bad in ([("limit", "0")], [("limit", "1"), ("limit", "2")], [("installation_id", "x")], [("zzz", "x")], [("from", "2026-02-30")], [("from", "2026-02-02"), ("to", "2026-02-01")]):
         with pytest.raises(reporting.FilterError):
             reporting.parse(bad)
+
+
+def test_invalid_times_and_key_order(spark):
+    """An invalid time is unique, on time and rejected, late or not; payloads are compared without regard to the order of keys."""
+    got = decided(
+        spark,
+        attempt(delivery_id="bad", record_id="b", event_id="b", late=True, occurred_at="2026-02-30T00:00:00.000Z"),
+        attempt(delivery_id="one", record_id="1", payload='{"a":1,"b":[1,2]}'),
+        attempt(delivery_id="two", record_id="2", payload='{ "b": [1, 2], "a": 1 }', received_at="2026-01-01T00:00:02.000Z"),
+        attempt(delivery_id="three", record_id="3", payload='{"b":[2,1],"a":1}', received_at="2026-01-01T00:00:03.000Z"),
+    )
+    assert {k: (v["duplicate_resolution"], v["timeliness"], v["reason_code"]) for k, v in got.items()} == {"bad": ("unique", "on_time", "timestamp_invalid"), "one": ("unique", "on_time", None), "two": ("duplicate_delivery", "on_time", None), "three": ("event_id_conflict", "on_time", "event_id_conflict")}
+
+
+def test_definition_files(spark):
+    config = {"fx_policy": {"x": 1}, "evaluations": [{"metric_names": ["d0_roas"], "grouping": {"country": "DE"}}]}
+    one = metrics.evaluations(config, "2026-01-02")[0]
+    assert one["input_received_at_watermark"] == "2026-01-02T23:59:59.999Z" and one["grouping"] == {"cohort_date": "2026-01-02", "country": "DE"} and one["metric_run_id_prefix"].startswith("manual:2026-01-02:")
+    assert one != metrics.evaluations(config, "2026-01-02", "2026-01-03T00:00:00.000Z")[0]
+    for bad in ({}, {"fx_policy": {"x": 1}, "evaluations": []}, {"fx_policy": {"x": 1}, "evaluations": [{"metric_names": [1], "grouping": {}}]}):
+        with pytest.raises(ValueError):
+            metrics.evaluations(bad, "2026-01-02")
+    for d in metrics.registry().values():
+        d.check()
+
+
+def test_cost_imports_refuse_mixed_scopes(spark):
+    from larkspur.sources import connectors
+
+    row = ("t", "a", "n", "c", None, None, "2026-01-01", "5", 6, "USD", "imported_reported", "2026-01-01T00:00:00.000Z")
+    schema = "tenant_id string, app_id string, network string, campaign_id string, ad_group_id string, country string, date string, amount_unscaled string, amount_scale int, currency string, source string, as_of string"
+    same = spark.createDataFrame([row, row], schema)
+    assert connectors.append_costs(same).count() == 1
+    assert connectors.append_costs(same, connectors.append_costs(same)).count() == 0
+    with pytest.raises(ValueError):
+        connectors.append_costs(spark.createDataFrame([row, ("u", *row[1:])], schema))
+    with pytest.raises(Exception, match="cost money representation is invalid"):
+        connectors.append_costs(spark.createDataFrame([(*row[:7], "-5", *row[8:])], schema)).count()
