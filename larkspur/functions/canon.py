@@ -34,6 +34,13 @@ def identifier(prefix: str, fields: dict[str, Column], length: int = 48) -> Colu
     return F.concat(F.lit(prefix), F.substring(digest(fields), 1, length))
 
 
+def uuid_v7(ms: Column, entropy: Column | None = None) -> Column:
+    """UUID of version 7: 48 bits of time, then 74 bits of a digest of entropy (without one: random, for attempts)."""
+    r = F.sha2(F.expr("uuid()") if entropy is None else entropy, 256)
+    time, variant = F.lpad(F.lower(F.hex(ms)), 12, "0"), F.translate(F.substring(r, 4, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat_ws("-", F.substring(time, 1, 8), F.substring(time, 9, 4), F.concat(F.lit("7"), F.substring(r, 1, 3)), F.concat(variant, F.substring(r, 5, 3)), F.substring(r, 8, 12))
+
+
 def utf16_key(text: Column) -> Column:
     """Sort key that orders text by UTF-16 code units, where astral letters come before U+E000."""
     return F.encode(text, "UTF-16BE")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 from typing import Any
@@ -15,56 +16,99 @@ from larkspur.functions import canon, instants
 SCOPE = ("tenant_id", "app_id")
 
 
+# The conservative defaults of the base layer.
+BASE = {
+    "ctit_lower_bound_seconds": 10,
+    "ctit_negative_rate_threshold": 0.05,
+    "referrer_redirector_divergence_seconds": 300,
+    "source_day_min_clicks": 1000,
+    "source_day_cvr_median_multiplier": 0.2,
+    "source_day_ctit_p50_min_seconds": 86400,
+    "source_day_ctit_p95_p50_max_ratio": 3,
+    "quarantine_hours": 72,
+}
+# Rules with what they read and what they do.
+RULES = [
+    ("transport-bot-prefetch-v1", ["prefetch_signal"], "exclude"),
+    ("transport-replay-v1", ["replay_signal"], "exclude"),
+    ("referrer-server-order-v1", ["referrer_click_at_server", "install_begin_at_server"], "flag"),
+    ("ctit-lower-bound-v1", ["redirector_click_at", "install_begin_at_server"], "flag"),
+    ("ctit-clock-anomaly-v1", ["redirector_click_at", "install_begin_at_server"], "allow"),
+    ("referrer-redirector-divergence-v1", ["referrer_click_at_server", "redirector_click_at"], "flag"),
+    ("source-day-click-flooding-v1", ["source_day_aggregate"], "flag"),
+    ("device-integrity-combination-v1", ["integrity_verdict", "ctit"], "flag"),
+]
+ACTIONS = ("allow", "flag", "exclude", "quarantine")
+BUNDLE_ID, RULE_ID, DIGEST = "^[A-Za-z0-9._:-]{1,128}$", "^[a-z][a-z0-9-]{2,127}$", "^[a-f0-9]{64}$"
+
+
 @dataclass(frozen=True)
 class Bundle:
-    """Versioned parameters and actions of the rules."""
+    """Versioned parameters (layers) and rules; ``registered`` checks and hashes stored revisions in Spark."""
 
-    # The conservative defaults.
     id: str = "fraud-conservative"
     version: str = "1.0.0"
-    base: dict[str, float] = field(
-        default_factory=lambda: {
-            "ctit_lower_bound_seconds": 10,
-            "ctit_negative_rate_threshold": 0.05,
-            "referrer_redirector_divergence_seconds": 300,
-            "source_day_min_clicks": 1000,
-            "source_day_cvr_median_multiplier": 0.2,
-            "source_day_ctit_p50_min_seconds": 86400,
-            "source_day_ctit_p95_p50_max_ratio": 3,
-            "quarantine_hours": 72,
-        }
-    )
-    actions: dict[str, str] = field(
-        default_factory=lambda: {
-            "transport-bot-prefetch-v1": "exclude",
-            "transport-replay-v1": "exclude",
-            "referrer-server-order-v1": "flag",
-            "ctit-lower-bound-v1": "flag",
-            "ctit-clock-anomaly-v1": "allow",
-            "referrer-redirector-divergence-v1": "flag",
-            "source-day-click-flooding-v1": "flag",
-            "device-integrity-combination-v1": "flag",
-        }
-    )
+    layers: dict[str, dict[str, Any]] = field(default_factory=lambda: {"base": dict(BASE)})
+    rules: list[dict[str, Any]] = field(default_factory=lambda: [{"id": i, "inputs": list(inputs), "action": action} for i, inputs, action in RULES])
 
     def number(self, name: str) -> float:
-        return float(self.base.get(name, Bundle().base[name]))
+        value = self.layers["base"].get(name)
+        usable = isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value)
+        return float(value if usable else BASE[name])
 
     def action(self, rule: str, fallback: str = "flag") -> str:
-        return self.actions.get(rule, fallback)
+        return next((r["action"] for r in self.rules if r["id"] == rule), fallback)
 
     def check(self) -> None:
-        if not re.fullmatch(r"[A-Za-z0-9._:-]{1,128}", self.id):
+        if not re.fullmatch(BUNDLE_ID, self.id):
             raise ValueError("fraud_bundle_id_invalid")
         if not 1 <= len(self.version) <= 128:
             raise ValueError("fraud_bundle_version_invalid")
-        for rule, action in self.actions.items():
-            if not re.fullmatch(r"[a-z][a-z0-9-]{2,127}", rule) or action not in ("allow", "flag", "exclude", "quarantine"):
-                raise ValueError(f"fraud_bundle_rule_invalid:{rule}")
+        if not isinstance(self.layers.get("base"), dict):
+            raise ValueError("fraud_bundle_layers_invalid")
+        if not self.rules:
+            raise ValueError("fraud_bundle_rules_invalid")
+        private = self.layers.get("private")
+        if private is not None and (list(private) != ["digest"] or not re.fullmatch(DIGEST, str(private["digest"]))):
+            raise ValueError("fraud_bundle_private_layer_must_be_digest_only")
+        for rule in self.rules:
+            if not re.fullmatch(RULE_ID, rule["id"]) or not isinstance(rule["inputs"], list) or rule["action"] not in ACTIONS:
+                raise ValueError(f"fraud_bundle_rule_invalid:{rule['id']}")
+            if rule["inputs"] and set(rule["inputs"]) == {"integrity_verdict"}:
+                raise ValueError(f"integrity_only_rule_forbidden:{rule['id']}")
 
     def hash(self) -> str:
         self.check()
-        return canon.config_digest({"id": self.id, "version": self.version, "base": self.base, "actions": self.actions})
+        return canon.config_digest({"id": self.id, "version": self.version, "layers": self.layers, "rules": self.rules})
+
+
+def _quoted(name: str) -> Column:
+    """A text column as a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(F.col(name).alias("v"))), r'^\{"v":(.*)\}$', 1)
+
+
+def registered(revisions: DataFrame) -> DataFrame:
+    """Stored revisions (id, version, layers and rules as JSON texts) with their error, or hash and private digest.
+
+    The same checks in the same order as ``Bundle.check``, as columns: one error a revision, null if it is sound.
+    """
+    layers, rules = F.try_parse_json("layers"), F.from_json("rules", "array<struct<id:string,inputs:array<string>,action:string>>")
+    text = lambda v, path: F.try_variant_get(v, path, "string")
+    bad = lambda r: ~F.coalesce(r["id"].rlike(RULE_ID), F.lit(False)) | r["inputs"].isNull() | ~F.coalesce(r["action"].isin(*ACTIONS), F.lit(False))
+    alone = lambda r: (F.size(r["inputs"]) > 0) & F.forall(r["inputs"], lambda i: i == "integrity_verdict")
+    private = F.map_keys(F.from_json(F.col("_private"), "map<string,string>"))
+    error = (
+        F.when(~F.coalesce(F.col("id").rlike(BUNDLE_ID), F.lit(False)), "fraud_bundle_id_invalid")
+        .when(~F.coalesce(F.length("version").between(1, 128), F.lit(False)), "fraud_bundle_version_invalid")
+        .when(~F.coalesce(F.col("_base").startswith("{"), F.lit(False)), "fraud_bundle_layers_invalid")
+        .when(F.coalesce(F.size("_rules"), F.lit(0)) < 1, "fraud_bundle_rules_invalid")
+        .when(F.col("_private").isNotNull() & ~F.coalesce((private == F.array(F.lit("digest"))) & F.col("_digest").rlike(DIGEST), F.lit(False)), "fraud_bundle_private_layer_must_be_digest_only")
+        .when(F.col("_wrong").isNotNull(), F.concat(F.when(bad(F.col("_wrong")), "fraud_bundle_rule_invalid:").otherwise("integrity_only_rule_forbidden:"), F.coalesce("_wrong.id", F.lit("null"))))
+    )
+    body = F.concat(F.lit('{"id":'), _quoted("id"), F.lit(',"layers":'), canon.canonical_text(F.col("layers")), F.lit(',"rules":'), canon.canonical_text(F.col("rules")), F.lit(',"version":'), _quoted("version"), F.lit("}"))
+    df = revisions.withColumns({"_base": text(layers, "$.base"), "_private": text(layers, "$.private"), "_digest": text(layers, "$.private.digest"), "_rules": rules})
+    df = df.withColumn("_wrong", F.get(F.filter("_rules", lambda r: bad(r) | alone(r)), F.lit(0))).withColumn("error", error)
+    return df.withColumn("bundle_hash", F.when(F.col("error").isNull(), F.sha2(body, 256))).withColumn("private_layer_digest", F.when(F.col("error").isNull(), F.col("_digest"))).drop("_base", "_private", "_digest", "_rules", "_wrong")
 
 
 def policy_digest(policy: dict[str, Any]) -> str:
@@ -157,6 +201,18 @@ def expired(quarantines: DataFrame, now_ms: int) -> DataFrame:
     return quarantines.where(F.col("until_ms") <= F.lit(now_ms))
 
 
+def resolutions(decisions: DataFrame, quarantines: DataFrame, now_ms: int) -> DataFrame:
+    """The decision that ends each quarantine whose deadline has come: clear, allow, superseding the quarantined one.
+
+    decisions: fraud_decision_id and what a decision has; quarantines: fraud_decision_id, until_ms.  The new id follows from
+    the old one and the time, so a batch that runs again appends the same rows.
+    """
+    due = expired(quarantines, now_ms).select(*SCOPE, "fraud_decision_id").distinct()
+    old, now = F.col("fraud_decision_id"), F.lit(now_ms).cast("long")
+    ended = decisions.drop("supersedes_fraud_decision_id", "resolution_deadline_at", "quarantine_until").join(due, [*SCOPE, "fraud_decision_id"])
+    return ended.withColumns({"supersedes_fraud_decision_id": old, "fraud_decision_id": F.concat(F.lit("fraud:"), canon.uuid_v7(now, old)), "decision": F.lit("clear"), "action": F.lit("allow"), "evaluated_at": instants.canonical(F.timestamp_millis(now))})
+
+
 def active_bundles(revisions: DataFrame, scope: list[str]) -> DataFrame:
     """The revision of each scope that no other supersedes; evaluation raises for a scope with none or several."""
     from .ledger import not_superseded

@@ -251,3 +251,21 @@ def without_protected(records: DataFrame) -> DataFrame:
         .withColumn("protected_referrer_evidence_ref", F.when(referrer, F.concat(F.lit("payload:"), "body_ref")))
         .withColumn("extensions", clean)
     )
+
+
+def durable_batches(requests: DataFrame) -> DataFrame:
+    """Batches to append (tenant_id, app_id, producer, received_at, body as binary, event_count) with id, digest, state or error.
+
+    A batch has 1 to 100 events; others carry ``event_count_out_of_range`` and no id.  The id follows from the time,
+    the scope and the body's digest: a batch that is sent again at its time is the same batch.
+    """
+    error = F.when(~F.coalesce(F.col("event_count").between(1, 100), F.lit(False)), "event_count_out_of_range")
+    seed = F.concat_ws(":", "tenant_id", "app_id", "producer", "body_digest")
+    df = requests.withColumn("body_digest", F.sha2(F.coalesce("body", F.lit(b"")), 256)).withColumn("error", error)
+    return df.withColumn("ingest_batch_id", F.when(F.col("error").isNull(), canon.uuid_v7(instants.millis(F.col("received_at")), seed))).withColumn("status", F.when(F.col("error").isNull(), "pending"))
+
+
+def append_batches(requests: DataFrame, path: str) -> None:
+    """Append sound batches, bodies included, to a folder by day that ``landing`` and batch readers take up."""
+    sound = durable_batches(requests).where("error is null").drop("error").withColumn("received_day", F.substring("received_at", 1, 10))
+    sound.dropDuplicates(["ingest_batch_id"]).write.mode("append").partitionBy("received_day").parquet(path)

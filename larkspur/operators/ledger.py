@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order.
+    """The first row of each key in the given order, which may mix directions and nulls.
 
-    Without ties to break beyond the order, an aggregate keeps the row on the map side, so a hot key
-    is reduced before the shuffle; use ``latest_by`` where the order is one orderable column.
+    A window limited to its first row keeps one row a key on the map side before the shuffle; ``latest_by``
+    does the same by aggregation where the order is ascending columns.
     """
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")
 

@@ -90,6 +90,31 @@ def metric_report(runs: DataFrame, filters: Filters) -> DataFrame:
     return page(df, ["metric_name", "run_date", "metric_run_id"], filters.after, filters.limit)
 
 
+# Metrics that only aggregate postbacks know.
+AGGREGATE_METRICS = ("skan_attributed_installs", "skan_conversion_value_distribution", "aak_attributed_installs")
+
+
+def dashboard_series(rows: DataFrame) -> DataFrame:
+    """One row a metric of a report page: its kind, values in order of grouping and run (null: undefined), undefined runs.
+
+    rows is a page (``metric_report``), at most MOST_ROWS + 1 rows, which bounds the arrays.
+    """
+    value = F.when(F.col("value_state") == "present", F.col("value_unscaled").cast("double"))
+    points = F.array_sort(F.collect_list(F.struct("grouping_digest", "metric_run_id", value.alias("value"))))
+    kind = F.when(F.col("metric_name").isin(*AGGREGATE_METRICS), "aggregate").otherwise("deterministic")
+    grouped = rows.groupBy("metric_name").agg(F.transform(points, lambda p: p["value"]).alias("series"), F.count_if(F.col("value_state") == "undefined").alias("undefined"))
+    return grouped.withColumn("kind", kind)
+
+
+def dashboard_metadata(rows: DataFrame) -> DataFrame:
+    """One row of what a page rests on: distinct snapshots, zones, freshness, definition versions, bundles and policies, sorted."""
+    distinct = lambda c: F.sort_array(F.collect_set(c))
+    return rows.agg(
+        distinct("input_snapshot_id").alias("snapshot_ids"), distinct("aggregation_time_zone").alias("aggregation_time_zones"), distinct("data_freshness").alias("freshness_states"), distinct("metric_definition_version").alias("metric_definition_versions"),
+        distinct(F.concat_ws(":", "rule_bundle_id", "rule_bundle_hash")).alias("rule_bundles"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("policy_versions")))).alias("policy_versions"), F.count_if(F.col("value_state") == "undefined").alias("undefined_count"),
+    )
+
+
 def difference_audit(results: DataFrame) -> DataFrame:
     """Counts of reconciliation results by reason, live and replaced."""
     flagged = with_superseded_flag(results, "reconciliation_id", "supersedes_reconciliation_id")

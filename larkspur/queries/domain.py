@@ -377,7 +377,7 @@ def _(t):
 
 @query("r5_flooding", _days_sql("SELECT tenant_id, day, source FROM days JOIN (SELECT tenant_id AS t, day AS d, quantile_cont(installs / clicks, 0.5) AS m FROM days GROUP BY ALL) ON d = day AND t = tenant_id WHERE clicks >= 10 AND installs / clicks <= m * 0.9 AND p50 >= 3600000 AND p95 / p50 <= 20"))
 def _(t):
-    bundle = fraud.Bundle(base={"source_day_min_clicks": 10, "source_day_cvr_median_multiplier": 0.9, "source_day_ctit_p50_min_seconds": 3600, "source_day_ctit_p95_p50_max_ratio": 20})
+    bundle = fraud.Bundle(layers={"base": {"source_day_min_clicks": 10, "source_day_cvr_median_multiplier": 0.9, "source_day_ctit_p50_min_seconds": 3600, "source_day_ctit_p95_p50_max_ratio": 20}})
     return fraud.flooding(fraud.with_median_rate(_days(t)), bundle).select("tenant_id", "day", "source")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import answers, canon, instants, links
 from larkspur.operators import fraud, ingest, metrics
+from larkspur.plans import reporting
 from larkspur.sources import connectors
 
 from .base import query
@@ -292,3 +293,60 @@ def _(t):
 @query("f5_canonical_digests", """SELECT event_id, sha256('{"a":' || event_id || ',"b":"x"}') AS digest FROM events""")
 def _(t):
     return t.read("events").select("event_id", F.sha2(canon.canonical_text(F.concat(F.lit('{"b": "x", "a": '), "event_id", F.lit("}"))), 256).alias("digest"))
+
+
+UUID7 = "substr(lpad(format('{{:x}}', CAST({0} AS BIGINT)), 12, '0'), 1, 8) || '-' || substr(lpad(format('{{:x}}', CAST({0} AS BIGINT)), 12, '0'), 9, 4) || '-7' || substr(sha256({1}), 1, 3) || '-' || translate(substr(sha256({1}), 4, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(sha256({1}), 5, 3) || '-' || substr(sha256({1}), 8, 12)"
+
+
+@query("f14_time_ordered_ids", f"SELECT event_id, {UUID7.format('ms', 'CAST(event_id AS VARCHAR)')} AS id FROM base", ("base",))
+def _(t):
+    return t.base().select("event_id", canon.uuid_v7(F.col("ms"), F.col("event_id").cast("string")).alias("id"))
+
+
+BODY = """sent AS (SELECT o_orderkey, epoch_ms(o_orderdate) AS ms, count(l_orderkey) * 20 AS n, '{"events":[' || coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber), '') || ']}' AS body FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"""
+
+
+@query("s12_durable_batches", f"""
+WITH {BODY} SELECT o_orderkey, sha256(body) AS body_digest, CASE WHEN n NOT BETWEEN 1 AND 100 THEN 'event_count_out_of_range' END AS error,
+CASE WHEN n BETWEEN 1 AND 100 THEN 'pending' END AS status, CASE WHEN n BETWEEN 1 AND 100 THEN {UUID7.format('ms', "('t:a:' || o_orderkey || ':' || sha256(body))")} END AS ingest_batch_id FROM sent""")
+def _(t):
+    lines = t.read("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.count("*") * 20).alias("event_count"), F.array_join(F.array_sort(F.collect_list("l_linenumber")).cast("array<string>"), ",").alias("numbers"))
+    sent = t.read("orders").join(lines, "o_orderkey", "left").select("o_orderkey", *_scope(), F.col("o_orderkey").cast("string").alias("producer"), instants.canonical(F.col("o_orderdate").cast("timestamp")).alias("received_at"), F.coalesce("event_count", F.lit(0)).alias("event_count"), F.encode(F.concat(F.lit('{"events":['), F.coalesce("numbers", F.lit("")), F.lit("]}")), "UTF-8").alias("body"))
+    return ingest.durable_batches(sent).select("o_orderkey", "body_digest", "error", "status", "ingest_batch_id")
+
+
+NOW = 1_705_400_000_000
+
+
+@query("r7_resolutions", f"""
+SELECT 'fraud:' || {UUID7.format(NOW, "('q' || event_id)")} AS fraud_decision_id, CAST(event_id AS VARCHAR) AS subject_ref, 'clear' AS decision, 'allow' AS action, 'click_injection_suspected' AS reason_code, {ISO.format(NOW)} AS evaluated_at, 'q' || event_id AS supersedes_fraud_decision_id
+FROM base WHERE event_type = 'click' AND ms + 72 * 3600000 <= {NOW}""", ("base",))
+def _(t):
+    decided = t.base().where("event_type = 'click'").select(*_scope(), F.concat(F.lit("q"), "event_id").alias("fraud_decision_id"), F.col("event_id").cast("string").alias("subject_ref"), F.lit("suspected").alias("decision"), F.lit("quarantine").alias("action"), F.lit("click_injection_suspected").alias("reason_code"), _at(F.col("ms")).alias("evaluated_at"), F.lit(None).cast("string").alias("supersedes_fraud_decision_id"), "ms")
+    held = decided.select("tenant_id", "app_id", "fraud_decision_id", fraud.quarantine_until(F.col("ms")).alias("until_ms"))
+    return fraud.resolutions(decided.drop("ms"), held, NOW).drop("tenant_id", "app_id")
+
+
+@query("r8_registered_bundles", """
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN 'fraud_bundle_id_invalid' WHEN 2 THEN 'fraud_bundle_private_layer_must_be_digest_only' WHEN 3 THEN 'integrity_only_rule_forbidden:only-verdict-v1' WHEN 4 THEN 'fraud_bundle_rules_invalid' END AS error,
+CASE WHEN o_orderkey % 5 = 0 THEN sha256('{"id":"b' || o_orderkey || '","layers":{"base":{"quarantine_hours":' || o_custkey || '},"private":{"digest":"' || sha256(CAST(o_custkey AS VARCHAR)) || '"}},"rules":[{"action":"flag","id":"ctit-lower-bound-v1","inputs":["ctit"]}],"version":"' || o_orderstatus || '"}') END AS bundle_hash,
+CASE WHEN o_orderkey % 5 = 0 THEN sha256(CAST(o_custkey AS VARCHAR)) END AS private_layer_digest FROM orders""")
+def _(t):
+    kind, key = F.col("o_orderkey") % 5, F.col("o_orderkey").cast("string")
+    private = F.when(kind == 2, F.lit('{"threshold":3}')).otherwise(F.concat(F.lit('{"digest": "'), F.sha2(F.col("o_custkey").cast("string"), 256), F.lit('"}')))
+    rule = lambda name, inputs: F.lit(f'{{"id": "{name}", "inputs": ["{inputs}"], "action": "flag"}}')
+    rules = F.concat(F.lit("["), F.when(kind == 3, rule("only-verdict-v1", "integrity_verdict")).when(kind == 4, "").otherwise(rule("ctit-lower-bound-v1", "ctit")), F.lit("]"))
+    layers = F.concat(F.lit('{"private": '), private, F.lit(', "base": {"quarantine_hours": '), F.col("o_custkey").cast("string"), F.lit("}}"))
+    revisions = t.read("orders").select("o_orderkey", F.concat(F.when(kind == 1, "b ").otherwise("b"), key).alias("id"), F.col("o_orderstatus").alias("version"), layers.alias("layers"), rules.alias("rules"))
+    return fraud.registered(revisions).select("o_orderkey", "error", "bundle_hash", "private_layer_digest")
+
+
+@query("m6_dashboard_series", """
+WITH runs AS (SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'skan_attributed_installs' ELSE c_mktsegment END AS metric_name, sha256(CAST(c_nationkey AS VARCHAR)) AS g, CASE WHEN min(c_acctbal) >= -900 THEN count(*) END AS v FROM customer GROUP BY c_mktsegment, c_nationkey)
+SELECT metric_name, CASE WHEN metric_name = 'skan_attributed_installs' THEN 'aggregate' ELSE 'deterministic' END AS kind, string_agg(coalesce(CAST(v AS VARCHAR), '-'), ',' ORDER BY g) AS series, CAST(count(*) - count(v) AS BIGINT) AS undefined FROM runs GROUP BY metric_name""")
+def _(t):
+    name = F.when(F.col("c_mktsegment") == "BUILDING", "skan_attributed_installs").otherwise(F.col("c_mktsegment")).alias("metric_name")
+    runs = t.read("customer").groupBy(name, "c_nationkey").agg(F.when(F.min("c_acctbal") >= -900, F.count("*")).alias("value_unscaled"))
+    runs = runs.select("metric_name", F.sha2(F.col("c_nationkey").cast("string"), 256).alias("grouping_digest"), F.lit("run").alias("metric_run_id"), "value_unscaled", F.when(F.col("value_unscaled").isNull(), "undefined").otherwise("present").alias("value_state"))
+    shown = F.transform("series", lambda v: F.coalesce(v.cast("long").cast("string"), F.lit("-")))
+    return reporting.dashboard_series(runs).select("metric_name", "kind", F.array_join(shown, ",").alias("series"), "undefined")

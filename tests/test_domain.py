@@ -1,6 +1,10 @@
+import json
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.functions import canon
 from larkspur.operators import attribution, fraud, ingest, metrics, reconcile
 from larkspur.plans import reporting
 from larkspur.sources import files, mapping
@@ -156,3 +160,59 @@ def test_cost_imports_refuse_mixed_scopes(spark):
         connectors.append_costs(spark.createDataFrame([row, ("u", *row[1:])], schema))
     with pytest.raises(Exception, match="cost money representation is invalid"):
         connectors.append_costs(spark.createDataFrame([(*row[:7], "-5", *row[8:])], schema)).count()
+
+
+def test_bundles_on_the_driver_and_in_spark_agree(spark):
+    sound = fraud.Bundle(layers={"base": {"quarantine_hours": 48}, "private": {"digest": "a" * 64}})
+    cases = [
+        (sound, None),
+        (fraud.Bundle(id="bad id"), "fraud_bundle_id_invalid"),
+        (fraud.Bundle(version=""), "fraud_bundle_version_invalid"),
+        (fraud.Bundle(layers={}), "fraud_bundle_layers_invalid"),
+        (fraud.Bundle(rules=[]), "fraud_bundle_rules_invalid"),
+        (fraud.Bundle(layers={"base": {}, "private": {"digest": "a" * 64, "weights": 1}}), "fraud_bundle_private_layer_must_be_digest_only"),
+        (fraud.Bundle(rules=[{"id": "x-rule", "inputs": ["ctit"], "action": "drop"}]), "fraud_bundle_rule_invalid:x-rule"),
+        (fraud.Bundle(rules=[{"id": "x-rule", "inputs": ["integrity_verdict"], "action": "flag"}]), "integrity_only_rule_forbidden:x-rule"),
+    ]
+    stored = [(n, b.id, b.version, json.dumps(b.layers), json.dumps(b.rules)) for n, (b, _) in enumerate(cases)]
+    got = fraud.registered(spark.createDataFrame(stored, "n int, id string, version string, layers string, rules string")).orderBy("n").collect()
+    assert [r["error"] for r in got] == [e for _, e in cases]
+    assert got[0]["bundle_hash"] == sound.hash() and got[0]["private_layer_digest"] == "a" * 64
+    for bundle, error in cases[1:]:
+        with pytest.raises(ValueError, match=error):
+            bundle.check()
+    assert sound.number("quarantine_hours") == 48 and sound.number("source_day_min_clicks") == 1000
+
+
+def test_quarantines_resolve_once(spark):
+    decisions = spark.createDataFrame([("t", "a", "d1", "quarantine"), ("t", "a", "d2", "quarantine"), ("t", "b", "d1", "quarantine")], "tenant_id string, app_id string, fraud_decision_id string, action string")
+    held = spark.createDataFrame([("t", "a", "d1", 10), ("t", "a", "d1", 10), ("t", "a", "d2", 11)], "tenant_id string, app_id string, fraud_decision_id string, until_ms long")
+    got = fraud.resolutions(decisions, held, 10).collect()
+    assert [(r["app_id"], r["supersedes_fraud_decision_id"], r["decision"], r["action"], r["evaluated_at"]) for r in got] == [("a", "d1", "clear", "allow", "1970-01-01T00:00:00.010Z")]
+    assert got[0]["fraud_decision_id"] == fraud.resolutions(decisions, held, 10).first()["fraud_decision_id"]
+    assert fraud.resolutions(decisions, held.limit(0), 10).count() == 0
+
+
+def test_batches_are_appended_with_their_bodies(spark, tmp_path):
+    rows = [("t", "a", "p", "2026-01-01T00:00:00.000Z", bytearray(b"{}"), n) for n in (1, 1, 100, 0, 101, None)]
+    requests = spark.createDataFrame(rows, "tenant_id string, app_id string, producer string, received_at string, body binary, event_count int")
+    ingest.append_batches(requests, str(tmp_path / "batches"))
+    got = spark.read.parquet(str(tmp_path / "batches")).collect()
+    assert len(got) == 1 and bytes(got[0]["body"]) == b"{}" and got[0]["status"] == "pending"
+    assert ingest.durable_batches(requests).where("error = 'event_count_out_of_range' and ingest_batch_id is null").count() == 3
+
+
+def test_ids_of_version_7(spark):
+    got = [r[0] for r in spark.range(200).select(canon.uuid_v7(F.lit(1_700_000_000_000) + F.col("id"))).collect()]
+    assert len(set(got)) == 200 and [x[:13] for x in got] == sorted(x[:13] for x in got)
+    assert all(u.version == 7 and u.variant == uuid.RFC_4122 for u in map(uuid.UUID, got))
+
+
+def test_dashboard_of_a_page(spark):
+    columns = "metric_name string, grouping_digest string, metric_run_id string, value_state string, value_unscaled long, input_snapshot_id string, aggregation_time_zone string, data_freshness string, metric_definition_version string, rule_bundle_id string, rule_bundle_hash string, policy_versions array<string>"
+    rest = ["s", "UTC", "fresh", "v1", "b", "h", ["p2", "p1"]]
+    page = spark.createDataFrame([("m", "b", "1", "present", 5, *rest), ("m", "a", "2", "undefined", None, *rest), ("aak_attributed_installs", "a", "3", "present", 7, *rest)], columns)
+    got = {r["metric_name"]: (r["kind"], r["series"], r["undefined"]) for r in reporting.dashboard_series(page).collect()}
+    assert got == {"m": ("deterministic", [None, 5.0], 1), "aak_attributed_installs": ("aggregate", [7.0], 0)}
+    meta = reporting.dashboard_metadata(page).first()
+    assert (meta["rule_bundles"], meta["policy_versions"], meta["undefined_count"]) == (["b:h"], ["p1", "p2"], 1)
