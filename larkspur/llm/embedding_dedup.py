@@ -168,17 +168,17 @@ class Graph:
         n, beam = self.sizes[0], min(BEAM, self.sizes[0])
         audited = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
         near = [self.x @ q[i] for i in audited]
-        truth = [np.flatnonzero(x >= least) for x in near]
+        wanted = {k * n + int(j) for k, x in enumerate(near) for j in np.flatnonzero(x >= least)}
         first = np.array([np.argmax(np.where(x > 1 - 1e-6, -2.0, x)) for x in near])  # the nearest that is not the vector itself
-        while True:
-            pairs = [self._ranged(q[a : a + BLOCK], a, beam, least) for a in range(0, len(q), BLOCK)]
-            query, node = (np.concatenate(z) for z in zip(*pairs))
-            have = set((query * n + node).tolist())
-            wanted = [int(i) * n + int(j) for i, t in zip(audited, truth) for j in t]
-            nearest = (self.search(q[audited], beam)[0] == first[:, None]).any(1).mean() if len(audited) else 1.0
-            if beam >= n or (sum(w in have for w in wanted) >= RECALL * len(wanted) and nearest >= NEAREST):
-                return query, node
+        while beam < n and len(audited):  # the audited queries alone find the beam, with which all are searched once
+            query, node = self._ranged(q[audited], 0, beam, least)
+            nearest = (self.search(q[audited], beam)[0] == first[:, None]).any(1).mean()
+            if len(wanted & set((query * n + node).tolist())) >= RECALL * len(wanted) and nearest >= NEAREST:
+                break
             beam = min(n, 2 * beam)
+        pairs = [self._ranged(q[a : a + BLOCK], a, beam, least) for a in range(0, len(q), BLOCK)]
+        query, node = (np.concatenate(z) for z in zip(*pairs))
+        return query, node
 
     def _ranged(self, q: np.ndarray, shift: int, beam: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         ids, sims = self.search(q, beam)
