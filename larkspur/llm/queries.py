@@ -16,6 +16,9 @@ NAMES = {
     "op8_bpe_speculative": "bpe",
     "op9_mixing_systematic": "mixing",
     "op10_suffix_array_family": "suffix_dedup",
+    "op11_fill_middle_markers": "fill_middle",
+    "op12_byte_bpe_segment_tree": "byte_bpe",
+    "op13_merkle_superblocks": "merkle",
 }
 
 
@@ -27,6 +30,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .mixing import ORACLE
+    from . import fill_middle, merkle, mixing
 
-    return {"op9_mixing_systematic": ORACLE}
+    return {"op9_mixing_systematic": mixing.ORACLE, "op11_fill_middle_markers": fill_middle.ORACLE, "op13_merkle_superblocks": merkle.ORACLE}
