@@ -14,6 +14,8 @@ LOOKUP = "attribution boolean, orgId string, campaignId string, adGroupId string
 CONVERSIONS, CLAIMS = ("Download", "Redownload", "PreOrder"), ("Click", "Impression")
 PLAY = "requestDetails struct<requestHash:string,nonce:string>, appIntegrity struct<appRecognitionVerdict:string>, deviceIntegrity struct<deviceRecognitionVerdict:array<string>>"
 ATTEST = "binding_digest string, app_id_valid boolean, signature_valid boolean, counter_valid boolean"
+#: How long a token is good for; waits after a refusal of ours, a miss, and an error (doubled up to the most); misses until it is given up.
+TOKEN_MS, LIMITED_MS, NOT_FOUND_MS, ERROR_MS, MOST_MS, MISSES = 23 * 3_600_000, 1000, 5000, 60_000, 3_600_000, 3
 META_FIELDS = ("campaign_group_id", "campaign_id", "adgroup_id", "ad_id", "account_id", "ad_objective_name", "is_instagram", "publisher_platform", "platform_position")
 
 
@@ -45,22 +47,29 @@ def lookup_step(status: Column, attempts: Column, age_ms: Column, now_ms: Column
     other errors wait 60 s doubled for each of up to three attempts, an hour at most.
     """
     more = attempts + 1
-    few = F.least(F.lit(3), more)
-    wait = F.when(status == 404, F.lit(5000).cast("long")).otherwise(F.least(F.lit(3_600_000), F.lit(60_000) * F.pow(F.lit(2.0), few)).cast("long"))
-    outcome = F.when(age_ms >= 23 * 3_600_000, "token_expired").when(status == 200, "answered").when(status == 400, "lookup_unavailable").when((status == 404) & (more >= 3), "lookup_unavailable").otherwise("retry")
+    few = F.least(F.lit(MISSES), more)
+    wait = F.when(status == 404, F.lit(NOT_FOUND_MS).cast("long")).otherwise(F.least(F.lit(MOST_MS), F.lit(ERROR_MS) * F.pow(F.lit(2.0), few)).cast("long"))
+    outcome = F.when(age_ms >= TOKEN_MS, "token_expired").when(status == 200, "answered").when(status == 400, "lookup_unavailable").when((status == 404) & (more >= MISSES), "lookup_unavailable").otherwise("retry")
     again = outcome == "retry"
     return F.struct(outcome.alias("outcome"), F.when(again, F.when(status == 404, more).otherwise(few)).cast("int").alias("attempts"), F.when(again, now_ms + wait).alias("next_attempt_ms"))
 
 
+def integrity_observation(provider: Column, status: Column, body: Column) -> Column:
+    """struct(binding, sound, down): what an integrity answer is bound to, whether it is sound, and whether the provider is overloaded or down."""
+    p, other = F.from_json(body, PLAY), F.from_json(body, ATTEST)
+    play = (p["appIntegrity"]["appRecognitionVerdict"] == "PLAY_RECOGNIZED") & F.array_contains(p["deviceIntegrity"]["deviceRecognitionVerdict"], "MEETS_DEVICE_INTEGRITY")
+    attest = other["app_id_valid"] & other["signature_valid"] & other["counter_valid"]
+    first = provider == "play_integrity"
+    binding = F.when(first, F.coalesce(p["requestDetails"]["requestHash"], p["requestDetails"]["nonce"])).otherwise(other["binding_digest"])
+    return F.struct(binding.alias("binding"), F.coalesce(F.when(first, play).otherwise(attest), F.lit(False)).alias("sound"), ((status == 429) | (status >= 500)).alias("down"))
+
+
 def integrity_verdict(provider: Column, status: Column, body: Column, binding: Column) -> Column:
     """struct(verdict, retain_evidence): verified, failed, or unavailable while the provider is overloaded or down."""
-    p, other = F.from_json(body, PLAY), F.from_json(body, ATTEST)
-    play = (F.coalesce(p["requestDetails"]["requestHash"], p["requestDetails"]["nonce"]) == binding) & (p["appIntegrity"]["appRecognitionVerdict"] == "PLAY_RECOGNIZED") & F.array_contains(p["deviceIntegrity"]["deviceRecognitionVerdict"], "MEETS_DEVICE_INTEGRITY")
-    attest = (other["binding_digest"] == binding) & other["app_id_valid"] & other["signature_valid"] & other["counter_valid"]
-    good = F.coalesce(F.when(provider == "play_integrity", play).otherwise(attest), F.lit(False))
-    down = (status == 429) | (status >= 500)
-    verdict = F.when(down, "unavailable").when((status == 200) & good, "verified").otherwise("failed")
-    return F.struct(verdict.alias("verdict"), (~down).alias("retain_evidence"))
+    told = integrity_observation(provider, status, body)
+    good = F.coalesce(told["sound"] & (told["binding"] == binding), F.lit(False))
+    verdict = F.when(told["down"], "unavailable").when((status == 200) & good, "verified").otherwise("failed")
+    return F.struct(verdict.alias("verdict"), (~told["down"]).alias("retain_evidence"))
 
 
 def decrypt_referrer(data_hex: Column, nonce_hex: Column, keys: dict[str, str]) -> Column:

@@ -7,6 +7,8 @@ only shuffles; the rest are expressions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,40 +66,53 @@ def with_consent(attempts: DataFrame) -> DataFrame:
     return df.withColumn("consent_policy_version", F.coalesce("_purpose.policy_version", F.lit("not-applicable"))).drop("_purpose", "_withdrawal", "_basis")
 
 
+def examined(attempts: DataFrame) -> DataFrame:
+    """attempts with all that a decision needs of one attempt by itself, for ``concluded``.
+
+    ``_alone``: an invalid time, or a logical key with a null, which no other attempt can share.
+    ``_before`` and ``_after`` are the reasons that rank above and below a collision of record ids.
+    """
+    df = attempts if "payload_sha256" in attempts.columns else attempts.withColumn("payload_sha256", F.sha2(canon.canonical_text(F.col("payload")), 256))
+    df = with_consent(df.withColumn("_record_sha256", record_digest()))
+    occurred, received = instants.instant(F.col("occurred_at")), instants.instant(F.col("received_at"))
+    bad = occurred.isNull() | received.isNull()
+    df = df.withColumn("_bad_time", bad).withColumn("_alone", reduce(Column.__or__, [bad, *[F.col(c).isNull() for c in LOGICAL_KEY]]))
+    scope = F.col("record_tenant_id").eqNullSafe(F.col("tenant_id")) & F.col("record_app_id").eqNullSafe(F.col("app_id"))
+    installed = F.get_json_object("payload", "$.installation_id").isNotNull()
+    df = df.withColumn("_before", F.when(F.col("_bad_time"), "timestamp_invalid").when(~scope, "client_scope_mismatch"))
+    after = F.when(~F.col("consent_allowed"), "consent_withdrawn").when(occurred < instants.instant(F.col("stale_before")), "timestamp_stale").when((F.col("subject_scope") == "aggregate") & installed, "aggregate_installation_join_forbidden")
+    df = df.withColumn("_after", after).withColumn("timeliness", F.when(F.col("late") & ~F.col("_bad_time"), "late").otherwise("on_time"))
+    return df.withColumn("clock_skew_suspected", F.coalesce(instants.skewed(F.unix_millis(occurred), F.unix_millis(received)), F.lit(False)))
+
+
+def concluded(df: DataFrame) -> DataFrame:
+    """The decision of examined attempts with their ``duplicate_resolution`` and the first record id of their key, ``_first_record_id``."""
+    resolution = F.col("duplicate_resolution")
+    reason = F.coalesce("_before", F.when(resolution == "record_id_collision", resolution), "_after", F.when(resolution == "event_id_conflict", resolution))
+    df = df.withColumn("reason_code", reason).withColumn("ingestion_status", F.when(F.col("reason_code").isNull(), "accepted").otherwise("rejected"))
+    canonical = F.when(F.col("_bad_time"), F.lit(None)).when(resolution == "unique", F.col("record_id")).when(resolution.isin("duplicate_delivery", "event_id_conflict"), F.col("_first_record_id"))
+    df = df.withColumn("canonical_record_id", canonical)
+    return df.withColumn("payload_disposition", F.when(F.col("reason_code").isNotNull() & (F.col("reason_code") != "event_id_conflict"), "discarded").otherwise("protected"))
+
+
 def decide(attempts: DataFrame) -> DataFrame:
     """attempts with their decision.
 
     A record_id met more than once rejects all its copies.  Of one logical key the first attempt is
     unique; later ones with its payload are duplicates, others conflicts; payloads are compared in
     canonical form, so the order of keys does not matter.  An attempt with an invalid time is looked at
-    by itself: unique, on time and rejected.  Reasons rank: invalid time, scope, collision, consent,
-    staleness, aggregate scope with an installation, conflict.
+    by itself: unique, on time and rejected; so is one without a part of its logical key, though not
+    rejected for that.  Reasons rank: invalid time, scope, collision, consent, staleness, aggregate scope
+    with an installation, conflict.  Attempts that stand alone are dealt by their delivery, so that
+    they do not meet in the task of a null key.
     """
-    df = attempts if "payload_sha256" in attempts.columns else attempts.withColumn("payload_sha256", F.sha2(canon.canonical_text(F.col("payload")), 256))
-    df = df.withColumn("_record_sha256", record_digest())
-    occurred, received = instants.instant(F.col("occurred_at")), instants.instant(F.col("received_at"))
-    df = df.withColumn("_bad_time", occurred.isNull() | received.isNull())
-    df = df.withColumn("_copies", F.count("*").over(Window.partitionBy("record_id")))
-    by_key = Window.partitionBy("_bad_time", *LOGICAL_KEY).orderBy(*attempt_order())
+    df = examined(attempts)
+    df = df.withColumn("_copies", F.when(F.col("record_id").isNull(), 1).otherwise(F.count("*").over(Window.partitionBy("record_id", F.when(F.col("record_id").isNull(), F.xxhash64("delivery_id"))))))
+    by_key = Window.partitionBy("_alone", *LOGICAL_KEY, F.when(F.col("_alone"), F.xxhash64("delivery_id", "_record_sha256"))).orderBy(*attempt_order())
     df = df.withColumn("_first", F.first(F.struct("record_id", "payload_sha256")).over(by_key)).withColumn("_place", F.row_number().over(by_key))
-    resolution = F.when(F.col("_bad_time"), "unique").when(F.col("_copies") > 1, "record_id_collision").when(F.col("_place") == 1, "unique").when(F.col("_first.payload_sha256") == F.col("payload_sha256"), "duplicate_delivery").otherwise("event_id_conflict")
-    df = with_consent(df.withColumn("duplicate_resolution", resolution))
-    installed = F.get_json_object("payload", "$.installation_id").isNotNull()
-    reason = (
-        F.when(F.col("_bad_time"), "timestamp_invalid")
-        .when(~(F.col("record_tenant_id").eqNullSafe(F.col("tenant_id")) & F.col("record_app_id").eqNullSafe(F.col("app_id"))), "client_scope_mismatch")
-        .when(F.col("duplicate_resolution") == "record_id_collision", "record_id_collision")
-        .when(~F.col("consent_allowed"), "consent_withdrawn")
-        .when(occurred < instants.instant(F.col("stale_before")), "timestamp_stale")
-        .when((F.col("subject_scope") == "aggregate") & installed, "aggregate_installation_join_forbidden")
-        .when(F.col("duplicate_resolution") == "event_id_conflict", "event_id_conflict")
-    )
-    df = df.withColumn("reason_code", reason).withColumn("ingestion_status", F.when(F.col("reason_code").isNull(), "accepted").otherwise("rejected"))
-    df = df.withColumn("canonical_record_id", F.when(F.col("_bad_time"), F.lit(None)).when(F.col("duplicate_resolution") == "unique", F.col("record_id")).when(F.col("duplicate_resolution").isin("duplicate_delivery", "event_id_conflict"), F.col("_first.record_id")))
-    df = df.withColumn("timeliness", F.when(F.col("late") & ~F.col("_bad_time"), "late").otherwise("on_time"))
-    df = df.withColumn("clock_skew_suspected", F.coalesce(instants.skewed(F.unix_millis(occurred), F.unix_millis(received)), F.lit(False)))
-    df = df.withColumn("payload_disposition", F.when(F.col("reason_code").isNotNull() & (F.col("reason_code") != "event_id_conflict"), "discarded").otherwise("protected"))
-    return df.drop("_bad_time", "_copies", "_first", "_place", "_record_sha256")
+    resolution = F.when(F.col("_bad_time"), "unique").when(F.col("_copies") > 1, "record_id_collision").when(F.col("_alone") | (F.col("_place") == 1), "unique").when(F.col("_first.payload_sha256") == F.col("payload_sha256"), "duplicate_delivery").otherwise("event_id_conflict")
+    df = concluded(df.withColumn("duplicate_resolution", resolution).withColumn("_first_record_id", F.col("_first.record_id")))
+    return df.drop("_bad_time", "_alone", "_before", "_after", "_copies", "_first", "_first_record_id", "_place", "_record_sha256")
 
 
 def deliveries(decided: DataFrame) -> DataFrame:

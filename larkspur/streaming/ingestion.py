@@ -6,6 +6,7 @@ dropped duplicate is not enough.  The state is a digest and an id per key.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,9 +33,9 @@ def _resolve(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
         head = rows.iloc[0]
         first = (head["record_id"], head["payload_sha256"])
         state.update(first)
-        unique = rows["delivery_id"] == head["delivery_id"]
+        unique = [True] + [False] * (len(rows) - 1)  # the same delivery again is a duplicate
     else:
-        unique = pd.Series(False, index=rows.index)
+        unique = [False] * len(rows)
     resolution = ["unique" if u else "duplicate_delivery" if d == first[1] else "event_id_conflict" for u, d in zip(unique, rows["payload_sha256"])]
     out = rows.assign(duplicate_resolution=resolution, canonical_record_id=first[0])
     out = out.assign(**dict(zip(("tenant_id", "app_id", "producer", "event_id"), key)))
@@ -156,12 +157,20 @@ def since_install(installs: DataFrame, events: DataFrame, days: int, delay: str
 def append_idempotent(df: DataFrame, target: str, keys: list[str], checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Write a stream to a Parquet folder, one subfolder a batch; a replayed batch replaces its own.
 
-    What was stored before is not read again: repeats across batches are for the stream's keyed state
-    (``resolved``), repeats within a batch go by keys.
+    Subfolders are named by a digest of the rows, so the same batch is stored once, also by a stream that
+    starts anew with its checkpoint lost, and other batches of such a stream replace nothing.  What was
+    stored before is not read again: repeats across batches are for the stream's keyed state
+    (``stateful.decisions``, ``resolved``), repeats within a batch go by keys.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        rows = batch.dropDuplicates(keys).persist()
+        try:
+            n, hashed = rows.agg(F.count("*"), F.sum(F.xxhash64(F.to_json(F.struct("*"))).cast("decimal(38,0)"))).first()
+            if n:
+                rows.write.mode("overwrite").parquet(f"{target}/batch={n}-{hashlib.sha256(str(hashed).encode()).hexdigest()[:24]}")
+        finally:
+            rows.unpersist()
 
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

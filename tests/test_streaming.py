@@ -97,6 +97,21 @@ def test_replayed_batch_adds_nothing(spark, tmp_path):
     assert first == spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
+def test_a_lost_checkpoint_replaces_nothing(spark, tmp_path):
+    land, out = tmp_path / "in", tmp_path / "out"
+    land.mkdir()
+    for i, ck in enumerate(("ck1", "ck2")):
+        (land / f"{i}.json").write_text(json.dumps(rows(f"e{i}", i, "x")))
+        s.append_idempotent(s.landing(spark, str(land), SCHEMA), str(out), ["delivery_id"], str(tmp_path / ck)).awaitTermination()
+    assert sorted(r["delivery_id"] for r in spark.read.parquet(str(out)).collect()) == ["d0", "d0", "d1"]
+
+
+def test_a_delivery_sent_twice_is_unique_once(spark, tmp_path):
+    same = rows("e1", 1, "x")
+    got = run(s.resolved(s.landing(spark, landed(tmp_path, [same, same]), SCHEMA)), "twice", tmp_path)
+    assert sorted(r["duplicate_resolution"] for r in got.collect()) == ["duplicate_delivery", "unique"]
+
+
 def test_daily_windows(spark, tmp_path):
     land = tmp_path / "in"
     land.mkdir()
