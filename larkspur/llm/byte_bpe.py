@@ -6,14 +6,17 @@ begins), inner nodes the least (rank, position) below, so the root tells the lef
 least rank.  A merge updates three leaves - the merged token's, its right neighbour's, which is no
 start any more, and the left neighbour's - and their paths: O(n log n) for a piece of n bytes.
 
-Every row is encoded on its own, in one pass over the table without a shuffle.
+The distinct pieces of a batch that are not known yet are merged side by side: trees of one width are
+rows of one array, and a step does the next merge of each.  Pieces beyond the widest array have a tree
+of their own.  Every row is encoded on its own, in one pass over the table without a shuffle.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -25,39 +28,33 @@ from .common import prepared, text_bytes
 
 #: Above every (rank, position).
 NONE = 1 << 62
-#: Pieces that a worker keeps the ids of, and the most characters of one that is kept.
-KEPT, KEPT_CHARS = 200_000, 64
+#: Pairs of a tree that is a row of an array; bits of a position in such a row.
+WIDTHS, BITS = (8, 16, 32, 64), 7
+#: Trees that are merged side by side.
+TREES = 1 << 13
+#: A worker keeps the ids of this many pieces, and of those it kept before them; the most characters of one that is kept.
+KEPT, KEPT_CHARS = 250_000, 64
 #: Pieces that are looked at together; bounds what a very long text takes.
 TOGETHER = 1 << 16
 
 
-class _Known(dict):
-    """piece -> its ids as packed 32-bit numbers; pieces that are not known are merged and kept."""
-
-    def __init__(self, codec: Codec):
-        self.codec = codec
-
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        whole = self.codec.ranks.get(raw)
-        ids = np.array(self.codec.merged(raw) if whole is None else [whole], np.int32).tobytes()
-        if len(piece) <= KEPT_CHARS:
-            self[piece] = ids
-        return ids
-
-
 class Codec:
     """Encoder and decoder of one file of ranks (token in base64, rank); one instance a worker."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.bytes_of = [b""] * (1 + max(self.ranks.values()))
-        for token, rank in self.ranks.items():
+            self.ranks = ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.bytes_of = [b""] * (1 + max(ranks.values()))
+        for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.names = [str(i) for i in range(len(self.bytes_of))]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {(ranks[t[:k]] << 32) | ranks[t[k:]]: rank for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.joined = np.array([pairs[p] for p in self.pairs.tolist()], np.int64)
         self.split = regex.compile(pattern)
-        self.known = _Known(self)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of a piece of one byte or more by merging alone."""
@@ -97,17 +94,106 @@ class Codec:
             i = after[i]
         return ids
 
-    def encode(self, text: str) -> Iterator[np.ndarray]:
-        """Ids of a text, in order and in runs of at most ``TOGETHER`` pieces."""
-        if len(self.known) > KEPT:
-            self.known.clear()
+    def leaves(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """(rank, place) of the pairs of two tokens, NONE where they do not join."""
+        asked = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.pairs, asked), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == asked, self.joined[at] << BITS | place, NONE)
+
+    def forest(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """Packed ids of pieces of 2 to width + 1 bytes, by merging alone, all of them step by step."""
+        rows, span = len(pieces), width + 2
+        sizes = np.fromiter(map(len, pieces), np.int64, rows)
+        raw = np.frombuffer(b"".join([x.ljust(span, b"\0") for x in pieces]), np.uint8).reshape(rows, span)
+        tokens = self.single[raw]
+        place = np.arange(width)
+        first = np.where(place < sizes[:, None] - 1, self.leaves(tokens[:, :width], tokens[:, 1 : width + 1], place), NONE)
+        tree = np.full((rows, 2 * width), NONE)
+        tree[:, width:] = first
+        k = width // 2
+        while k:
+            tree[:, k : 2 * k] = np.minimum(tree[:, 2 * k : 4 * k : 2], tree[:, 2 * k + 1 : 4 * k : 2])
+            k //= 2
+        after, before = np.tile(np.arange(1, span + 1), (rows, 1)), np.tile(np.arange(-1, span - 1), (rows, 1))
+        alive = np.arange(span) < sizes[:, None]
+        tree, tokens, after, before, alive = (x.reshape(-1) for x in (tree, tokens, after, before, alive))
+        row = np.flatnonzero(tree[1 :: 2 * width] < NONE)
+        while len(row):
+            roots, base, size = row * (2 * width), row * span, sizes[row]
+            least = tree[roots + 1]
+            i, token = least & ((1 << BITS) - 1), least >> BITS
+            j = after[base + i]
+            end = after[base + j]
+            tokens[base + i], after[base + i], alive[base + j] = token, end, False
+            before[base + np.minimum(end, span - 1)] = i
+            h = before[base + i]
+            own = np.where(end < size, self.leaves(token, tokens[base + np.minimum(end, span - 1)], i), NONE)
+            left = np.where(h >= 0, self.leaves(tokens[base + np.maximum(h, 0)], token, h), own)
+            i, j, h = (roots + width + x for x in (i, np.where(j < width, j, i), np.where(h >= 0, h, i)))
+            tree[j], tree[i] = NONE, own
+            tree[h] = left
+            i, j, h = i - roots, j - roots, h - roots
+            k = width
+            while k > 1:
+                k //= 2
+                i, j, h = i >> 1, j >> 1, h >> 1
+                for x in (i, j, h):
+                    below = roots + 2 * x
+                    tree[roots + x] = np.minimum(tree[below], tree[below + 1])
+            row = row[tree[roots + 1] < NONE]
+        packed = tokens[alive].astype(np.int32).tobytes()
+        ends = np.cumsum(alive.reshape(rows, span).sum(axis=1)) * 4
+        return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """Distinct pieces with their packed ids."""
+        out, wide = {}, {w: [] for w in WIDTHS}
+        for piece in pieces:
+            raw = piece.encode()
+            if (whole := self.ranks.get(raw)) is not None:
+                out[piece] = whole.to_bytes(4, sys.byteorder)
+            elif width := next((w for w in WIDTHS if len(raw) <= w + 1), 0):
+                wide[width].append((piece, raw))
+            else:
+                out[piece] = np.array(self.merged(raw), np.int32).tobytes()
+        for width, some in wide.items():
+            for at in range(0, len(some), TREES):
+                names, raw = zip(*some[at : at + TREES])
+                out.update(zip(names, self.forest(raw, width)))
+        return out
+
+    def cut(self, text: str) -> Iterator[list[str]]:
+        """Pieces of a text in runs of at most ``TOGETHER``."""
         if len(text) <= TOGETHER:
-            runs = [self.split.findall(text)]
+            yield self.split.findall(text)
         else:
             found = (m[0] for m in self.split.finditer(text))
-            runs = iter(lambda: list(islice(found, TOGETHER)), [])
-        for pieces in runs:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32)
+            yield from iter(lambda: list(islice(found, TOGETHER)), [])
+
+    def encode(self, texts: Iterable[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the text, ids) in order; a long text has several runs, and each text one at least."""
+        held, count = [], 0
+        for number, text in enumerate(texts):
+            for pieces in self.cut(text):
+                held.append((number, pieces))
+                count += len(pieces)
+                if count >= TOGETHER:
+                    yield from self._found(held)
+                    held, count = [], 0
+        yield from self._found(held)
+
+    def _found(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, np.ndarray]]:
+        if len(self.known) > KEPT:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        met = set().union(*(pieces for _, pieces in held)).difference(known)
+        known.update({x: older[x] for x in met if x in older})
+        fresh = self.learn(met.difference(older))
+        known.update(fresh)
+        for number, pieces in held:
+            yield number, np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
+        for x in [x for x in fresh if len(x) > KEPT_CHARS]:
+            del known[x]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -133,7 +219,9 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:
-            ids = [np.concatenate([np.zeros(0, np.int32), *c.encode(text)]) for text in _texts(batch.column(1))]
+            ids = [np.zeros(0, np.int32)] * batch.num_rows
+            for i, run in c.encode(_texts(batch.column(1))):
+                ids[i] = np.concatenate([ids[i], run]) if len(ids[i]) else run
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     prepared(docs.sparkSession)
@@ -165,17 +253,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         c = codec(path, pattern)
         name = c.names.__getitem__
         for batch in batches:
-            counts, digests, back = [], [], []
-            for text in _texts(batch.column(1)):
-                n, told, raw = 0, hashlib.sha256(), hashlib.sha256()
-                for run in c.encode(text):
-                    ids = run.tolist()
-                    told.update((" " * bool(n and ids) + " ".join(map(name, ids))).encode())
-                    raw.update(c.decode(ids))
-                    n += len(ids)
-                counts.append(n)
-                digests.append(told.hexdigest())
-                back.append(raw.hexdigest())
+            rows = batch.num_rows
+            counts, told, raw = [0] * rows, [hashlib.sha256() for _ in range(rows)], [hashlib.sha256() for _ in range(rows)]
+            for i, run in c.encode(_texts(batch.column(1))):
+                ids = run.tolist()
+                told[i].update((" " * bool(counts[i] and ids) + " ".join(map(name, ids))).encode())
+                raw[i].update(c.decode(ids))
+                counts[i] += len(ids)
+            digests, back = [x.hexdigest() for x in told], [x.hexdigest() for x in raw]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     prepared(docs.sparkSession)
