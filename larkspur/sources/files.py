@@ -4,25 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
+from .delimited import content_digests, headers, read_csv
 
-def headers(spark: SparkSession, path: str) -> list[str]:
-    """Trimmed header names of a CSV file; empty or repeated names raise."""
-    line = spark.read.option("wholetext", False).text(path).first()
-    names = spark.createDataFrame([(line[0] if line else "",)], "v string").select(F.from_csv("v", F.lit(",".join(f"c{i} string" for i in range((line[0] if line else "").count(",") + 1))), {"quote": '"', "escape": '"'}).alias("r")).first()["r"]
-    got = [(n or "").strip() for n in names if n is not None]
-    if not got or "" in got or len(set(got)) != len(got):
-        raise ValueError("csv headers must be present and unique")
-    return got
-
-
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as text; missing cells are empty, blank rows are dropped, quotes may hold line breaks."""
-    schema = StructType([StructField(n, StringType()) for n in headers(spark, path)])
-    df = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', enforceSchema=True, emptyValue="", nullValue="\u0000", mode="PERMISSIVE")
-    df = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
-    return df.where(F.concat_ws("", *[F.trim(F.col(f"`{c}`")) for c in df.columns]) != "")
+__all__ = ["content_digests", "csv_cell", "csv_lines", "flat", "headers", "new_files", "read_csv", "read_json", "read_jsonl", "read_rows", "write_csv", "write_json"]
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -48,11 +33,6 @@ def read_rows(spark: SparkSession, path: str, kind: str, schema: str | None = No
     return df
 
 
-def content_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, digest) of files, to tell what has been imported before."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("digest"))
-
-
 def new_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files whose content no earlier run of the source imported; equal files count once."""
     return found.dropDuplicates(["digest"]).join(manifest.select("digest"), "digest", "left_anti")

@@ -1,4 +1,6 @@
+import hashlib
 import json
+import random
 import uuid
 
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import canon
 from larkspur.operators import attribution, fraud, ingest, metrics, reconcile
 from larkspur.plans import reporting
-from larkspur.sources import files, mapping
+from larkspur.sources import delimited, files, mapping
 
 
 def attempt(**x):
@@ -116,6 +118,62 @@ def test_csv_reader(spark, tmp_path):
     assert files.new_files(files.content_digests(spark, str(path)), spark.createDataFrame([], "digest string")).count() == 1
 
 
+def reference_records(source):
+    """CSV by a scan of its characters."""
+    rows, row, cell, quoted, i = [], [], "", False, 0
+    while i < len(source):
+        c = source[i]
+        if c == '"' and quoted and source[i + 1 : i + 2] == '"':
+            cell, i = cell + '"', i + 1
+        elif c == '"':
+            quoted = not quoted
+        elif c == "," and not quoted:
+            row, cell = [*row, cell], ""
+        elif c in "\r\n" and not quoted:
+            rows, row, cell = [*rows, [*row, cell]], [], ""
+        else:
+            cell += c
+        i += 1
+    return [r for r in [*rows, [*row, cell]] if any(r)]
+
+
+def test_csv_in_ranges(spark, tmp_path):
+    """Records over the borders of ranges, quotes anywhere, all line ends; each cut of the file gives the same records."""
+    rng = random.Random(5)
+    text = "a,b,c\n" + "".join(rng.choice(['x', 'yy', ',', ',', '\n', '\r\n', '\r', '""', ' ', 'é', '"p,q"', '"l1\nl2\r\nl3"', '"say ""hi"" "', '"' + "long " * 40 + '\n"']) for _ in range(900))
+    path = tmp_path / "ranges.csv"
+    path.write_bytes(text.encode())
+    want = reference_records(text)
+    for size in ("397", "100000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = [r["cells"] for r in delimited.records(spark, str(path)).orderBy("file", "block", "number").collect()]
+            rows = [tuple(r) for r in files.read_csv(spark, str(path)).collect()]
+            digest = files.content_digests(spark, str(path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == want
+        assert sorted(rows) == sorted(tuple((r + ["", "", ""])[:3]) for r in want[1:])
+        assert [r["digest"] for r in digest] == [hashlib.sha256(text.encode()).hexdigest()]
+
+
+def test_csv_headers_and_digests(spark, tmp_path):
+    for i, head in enumerate(["a,,b\n1,2,3", "a,a\n1,2", "\n\n", ' a ,"a"\n1,2']):
+        (tmp_path / f"{i}.csv").write_text(head)
+        with pytest.raises(ValueError):
+            files.read_csv(spark, str(tmp_path / f"{i}.csv"))
+    (tmp_path / "open.csv").write_text('a,b\n1,"2\n3,4\n')
+    with pytest.raises(Exception, match="unterminated"):
+        files.read_csv(spark, str(tmp_path / "open.csv"))
+    some = tmp_path / "some"
+    some.mkdir()
+    bodies = [b"", b"\n", b"a\n\n", b"a\r\nb", bytes(range(256)) * 9]
+    for i, body in enumerate(bodies):
+        (some / f"{i}").write_bytes(body)
+    got = {r["path"].rsplit("/", 1)[1]: r["digest"] for r in files.content_digests(spark, str(some)).collect()}
+    assert got == {f"{i}": hashlib.sha256(b).hexdigest() for i, b in enumerate(bodies) if b}
+
+
 def test_report_filters():
     f = reporting.parse([("from", "2026-01-01"), ("to", "2026-01-31"), ("cursor", reporting.encode_cursor(["a", "b", "c"]))])
     assert f.after == ("a", "b", "c") and f.limit == 200
