@@ -1,14 +1,19 @@
 """Main text of web pages: structure first, then a suffix array over the pages of a host.
 
-Structure: scripts, styles, menus, sidebars, page headers and footers, dialogs and reader comments go
-by their elements and roles.  Forms and elements whose class or id names such a part go only if less
-than half of the page's text is inside, or an article stands outside of them, so that a page wrapped
-in one form, or a layout class with a telling name, keeps its story.  If the articles of a page hold most of its text, only they are kept.
+Structure: scripts, styles, menus, page headers and footers, dialogs, adverts, navigation, cookie boxes
+and reader comments go by their elements, roles and names, at any size; what is named a notice, a
+search or a sign-up goes unless the page has no other text.  Forms, and elements whose class or id
+names a part of the layout, go only if less than half of the page's text is inside, or an article stands
+outside of them, so that a page wrapped in one form, or a layout class with a telling name, keeps its
+story.  If the articles of a page hold most of its text, only they are kept.
 
 Host suffix array: the token streams of a host's pages are concatenated and their suffixes sorted
 to a depth of ``RUN`` tokens.  Neighbouring suffixes that agree to that depth are a substring
 repeated in the host; it is boilerplate if it stands on enough distinct pages of the host: a third
-outside of articles, three fifths inside.  Its tokens are removed and the unique runs stay.
+outside of articles, three fifths inside.  Runs go over the borders of blocks, and a block goes if runs
+cover all of it; a block with a word of its own stays whole, so no sentence loses its head to the
+template before it.  A page all of whose blocks are covered has no text of its own, and a block of it
+stays only if more than half of the pages that have it are such pages: these are copies of one article.
 
 Hosts of over ``SHARD`` pages are dealt into shards by a hash of page_id, yet judged as a whole: the
 shards tell the runs that stand on a share of their pages, the sums decide, and runs that only some
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,57 +44,114 @@ SHARD = 2048
 #: Hosts with several shards that may be broadcast; beyond it the host table is joined by a shuffle.
 FEW_HOSTS = 10_000
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: Attributes up to the end of a tag, quotes closed; a tag in which a quote stays open for so long ends at its first bracket.
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+LONGEST_TAG = 1 << 16
 _NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe svg annotation object canvas audio video select".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot munder mover mstyle".split())
 DROPPED = frozenset("head nav footer aside button menu dialog".split())
 DOUBTFUL = frozenset("form fieldset".split())
 OWN_TEXT = frozenset("article main".split())
 TEXTUAL = frozenset("html body article main p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption td th tr tbody".split())
 # Roles, and names of classes and ids, of parts other than the article.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
-PARTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar sidenav rail nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist respond reply replies disqus discussion share sharing social newsletter subscribe subscription signup popup modal overlay related recommended widget login search toolbar pager pagination".split()
+# By what becomes of them: gone at any size; gone unless they are all of the page; gone if they hold less than half of it.
+SURE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion cookie cookies consent gdpr nav navbar navigation menu breadcrumb breadcrumbs footer comment comments commentlist respond reply replies disqus share sharing newsletter pager pagination toolbar".split()
 )
+ALONE = frozenset("notice notices alert subscribe subscription signup popup login search".split())
+LAYOUT = frozenset("banner sidebar sidenav rail header masthead topbar social modal overlay related recommended widget".split())
+PARTS = SURE | ALONE | LAYOUT
 HOLDERS = frozenset("area bar block body bottom box button buttons container content form group holder icons inner item items left link links list main message nav outer panel posts region right row section slot space stories text thread top unit wrap wrapper zone".split())
 
 
-def _named_part(tag: str, attributes: str) -> bool:
-    """Does a class, id or role say that the element is no part of the article?
+def _kind(name: str) -> int:
+    return 3 if name in SURE else 2 if name in ALONE else 1
+
+
+def _named_part(tag: str, attributes: str) -> int:
+    """Whether a class, id or role says that the element is no part of the article: 0 no, else the kind of ``_kind``.
 
     One-word names count for any element but those of page structure; of compound names the last
     word counts (site-footer), or the first before a word for a holder (comment-list), and neither
     for elements of running text (an h2 of class section-header).
     """
+    found = 0
     for kind, a, b, c in _NAMES.findall(attributes):
         value = (a or b or c).lower()
         if kind.lower() == "role":
-            if value.strip() in ROLES:
-                return True
+            found = max(found, 3 * (value.strip() in ROLES))
             continue
         if tag in ("html", "body", "article", "main"):
             continue
         for name in value.split():
             words = [w for w in re.split(r"[-_:]+", name) if w]
             if len(words) == 1 and words[0] in PARTS and not (tag in TEXTUAL and words[0] in ("header", "banner", "related", "social")):
-                return True
+                found = max(found, _kind(words[0]))
             if len(words) > 1 and tag not in TEXTUAL and words[0] not in ("no", "has", "with", "without", "non", "is", "not"):
-                if words[-1] in PARTS or words[0] in PARTS and all(w in HOLDERS or w in PARTS or w.isdigit() for w in words[1:]):
-                    return True
-    return False
+                if words[-1] in PARTS:
+                    found = max(found, _kind(words[-1]))
+                elif words[0] in PARTS and all(w in HOLDERS or w in PARTS or w.isdigit() for w in words[1:]):
+                    found = max(found, _kind(words[0]))
+    return found
+
+
+def _marks(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, element, closing, attributes) of tags, and of comments and declarations with an empty element, in order.
+
+    One pass: a bracket that begins no tag is text, and so is all behind the last closing bracket.
+    """
+    at, last = 0, page.rfind(">")
+    while (begin := page.find("<", at)) >= 0:
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = len(page) if end < 0 else end + 3
+            yield begin, at, "", False, ""
+            continue
+        if begin > last:
+            return
+        if page.startswith(("<!", "<?"), begin):
+            at = page.find(">", begin) + 1
+            yield begin, at, "", False, ""
+            continue
+        name = _NAME.match(page, begin + 1)
+        if not name:
+            at = begin + 1
+            continue
+        rest = _REST.match(page, name.end(), name.end() + LONGEST_TAG)
+        at = rest.end() if rest else page.find(">", name.end()) + 1
+        tag, closing = name[2].lower(), bool(name[1])
+        yield begin, at, tag, closing, page[name.end() : at - 1]
+        if tag in RAW and not closing and page[at - 2] != "/":
+            end = _closing(page, tag, at)
+            yield at, end, "", False, ""
+            at = end
+
+
+_CLOSING: dict[str, re.Pattern] = {}
+
+
+def _closing(page: str, tag: str, at: int) -> int:
+    """The place behind the end tag of an element whose content is no markup."""
+    if tag not in _CLOSING:
+        _CLOSING[tag] = re.compile(rf"</{tag}\b", re.I)
+    m = _CLOSING[tag].search(page, at)
+    return page.find(">", m.end()) + 1 or len(page) if m else len(page)
 
 
 def blocks(page: str) -> list[tuple[bool, str]]:
     """(within an article or main, text) of the blocks of a page that structure does not rule out, in page order."""
     found: list[tuple[bool, str, tuple[int, ...]]] = []  # with the doubtful elements around it
     weights: list[int] = []  # characters in each doubtful element
+    alone: list[bool] = []  # whether it stays only if there is nothing else
     part: list[str] = []
     stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # (element, ruled out, within an article, doubtful elements)
-    at, size = 0, len(page)
-    out, own, doubts = False, False, ()
+    opened: Counter[str] = Counter()
+    at, out, own, doubts = 0, False, False, ()
 
     def flush():
         if part:
@@ -99,56 +162,57 @@ def blocks(page: str) -> list[tuple[bool, str]]:
                 for d in doubts:
                     weights[d] += len(text)
 
-    while at < size:
-        m = _MARK.search(page, at)
-        begin = m.start() if m else size
+    def closed(depth: int):
+        nonlocal out, own, doubts
+        opened.subtract(x[0] for x in stack[depth:])
+        del stack[depth:]
+        out, own, doubts = stack[-1][1:] if stack else (False, False, ())
+
+    for begin, end, tag, closing, attributes in _marks(page):
         if begin > at and not out:
             part.append(page[at:begin])
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
+        at = end
         if not tag:
             continue
-        if m[1]:
+        if closing:
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    flush()
-                    del stack[i:]
-                    out, own, doubts = stack[-1][1:] if stack else (False, False, ())
-                    break
+            if opened[tag] > 0:
+                flush()
+                closed(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
             continue
         if tag == "br" or tag in ("td", "th"):
             part.append(" ") if not out else None
         elif tag not in INLINE:
             flush()
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
         if tag in ("p", "li") and stack and stack[-1][0] == tag:  # their end tags are optional
-            stack.pop()
-            out, own, doubts = stack[-1][1:] if stack else (False, False, ())
-        gone = out or tag in DROPPED or (tag == "header" and not own)
+            closed(len(stack) - 1)
+        named = _named_part(tag, attributes) if attributes else 0
+        gone = out or tag in DROPPED or (tag == "header" and not own) or named == 3
         inside = doubts
-        if not gone and (tag in DOUBTFUL or (m[3] and _named_part(tag, m[3]))):
+        if not gone and (tag in DOUBTFUL or named):
             flush()
-            inside = (*doubts, len(weights))
+            inside = (*doubts[-1:], len(weights)) if len(doubts) > 8 else (*doubts, len(weights))
             weights.append(0)
+            alone.append(named == 2)
         if gone != out or inside != doubts or tag in OWN_TEXT or tag not in INLINE or tag == "a":
             if gone != out:
                 flush()
             stack.append((tag, gone, own or (tag in OWN_TEXT and not gone), inside))
+            opened[tag] += 1
             out, own, doubts = stack[-1][1:]
+    if not out:
+        part.append(page[at:])
     flush()
     total = sum(len(text) for _, text, _ in found)
+    other = any(not any(alone[d] for d in inside) for _, _, inside in found)
     article = any(mine and not inside for mine, _, inside in found)
-    kept = [(mine, text) for mine, text, inside in found if all(2 * weights[d] > total for d in inside) and (mine or not inside or not article)]
+    stays = [not (other if only else 2 * w <= total) for w, only in zip(weights, alone)]
+    kept = [(mine, text) for mine, text, inside in found if all(stays[d] for d in inside) and (mine or not inside or not article)]
     trusted = [b for b in kept if b[0]]
     return trusted if 2 * sum(len(t) for _, t in trusted) >= sum(len(t) for _, t in kept) else kept
 
@@ -226,20 +290,23 @@ class Shard:
         return mix(key)
 
     def texts(self, support: np.ndarray, total: int) -> list[str]:
-        """Texts without boilerplate; a page of nothing else is a copy of others and stays."""
-        covered = boilerplate(self.starts, support[self.cls], self.own, total)
-        out, at = [], 0
-        for page, size in zip(self.pages, self.sizes):
-            gone = covered[at : at + size]
-            if not gone.any() or gone.all():
-                out.append("\n".join(" ".join(b) for _, b in page))
-            else:
-                left, i = [], 0
-                for _, b in page:
-                    left.append(" ".join(w for w, c in zip(b, gone[i : i + len(b)]) if not c))
-                    i += len(b)
-                out.append("\n".join(x for x in left if x))
-            at += size
+        """Texts without the blocks that are boilerplate; ``support`` is that of each class among ``total`` pages."""
+        at = support[self.cls]
+        covered = boilerplate(self.starts, at, self.own, total)
+        most = np.zeros(len(covered), np.int64)  # the pages that have the run of most pages at each token
+        for k in range(RUN):
+            np.maximum.at(most, self.starts + k, at)
+        lengths = np.array([len(b) for page in self.pages for _, b in page], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        gone = np.logical_and.reduceat(covered, starts) if len(starts) else np.zeros(0, bool)
+        often = np.maximum.reduceat(most, starts) if len(starts) else np.zeros(0, np.int64)
+        edges = np.cumsum([0, *map(len, self.pages)])
+        hollow = [b > a and bool(gone[a:b].all()) for a, b in zip(edges, edges[1:])]
+        copies = sum(hollow) * total / max(1, self.count)
+        out = []
+        for page, empty, a in zip(self.pages, hollow, edges.tolist()):
+            left = [b for i, (_, b) in enumerate(page, a) if not gone[i] or (empty and 2 * copies > often[i])]
+            out.append("\n".join(map(" ".join, left)))
         return out
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -412,31 +413,29 @@ def test_named_parts_go(name):
 
 
 def brute_runs(pages, ids, run=html_extract.RUN):
-    """Texts without the tokens under runs on enough pages, counted with dictionaries."""
-    streams = [[(w, own) for own, text in html_extract.blocks(p or "") for w in [*text.split(" "), None]] for p in pages]
-    flat = [[(w, own) for w, own in s if w is not None] for s in streams]
+    """Texts without the blocks that runs on enough pages cover, counted with dictionaries."""
+    found = [[(text.split(" "), own) for own, text in html_extract.blocks(p or "")] for p in pages]
+    flat = [[(w, own) for words, own in s for w in words] for s in found]
     seen = defaultdict(set)
     for i, s in zip(ids, flat):
         for k in range(len(s) - run + 1):
             seen[tuple(w for w, _ in s[k : k + run])].add(i)
-    out = []
-    for s, f in zip(streams, flat):
-        gone = [False] * len(f)
+    judged = []
+    for s, f in zip(found, flat):
+        gone, most = [False] * len(f), [0] * len(f)
         for k in range(len(f) - run + 1):
+            n = len(seen[tuple(w for w, _ in f[k : k + run])])
             for j in range(k, k + run):
                 pages_, share = html_extract.LEAST[f[j][1]]
-                gone[j] |= len(seen[tuple(w for w, _ in f[k : k + run])]) >= max(pages_, int(np.ceil(share * len(set(ids)))))
-        gone = [False] * len(f) if all(gone) else gone
-        left, j, block = [], 0, []
-        for w, _ in s:
-            if w is None:
-                left.append(" ".join(block))
-                block = []
-            else:
-                block += [] if gone[j] else [w]
-                j += 1
-        out.append("\n".join(x for x in left if x))
-    return out
+                gone[j] |= n >= max(pages_, int(np.ceil(share * len(set(ids)))))
+                most[j] = max(most[j], n)
+        at, blocks = 0, []
+        for words, _ in s:
+            blocks.append((" ".join(words), all(gone[at : at + len(words)]), max(most[at : at + len(words)])))
+            at += len(words)
+        judged.append(blocks)
+    hollow = [bool(b) and all(g for _, g, _ in b) for b in judged]
+    return ["\n".join(t for t, g, n in b if not g or (h and 2 * sum(hollow) > n)) for b, h in zip(judged, hollow)]
 
 
 @pytest.mark.parametrize("shard", [1000, 16, 3])
@@ -456,6 +455,40 @@ def test_host_runs_beside_brute_force(spark, shard):
     assert Counter((r["page_id"], r["text"]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("wrap", ["{}", "<article>{}</article>", "<main>{}</main>"])
+@pytest.mark.parametrize("part", ['<div class="comments">{}</div>', '<section id="reader-comments">{}</section>', '<ol class="commentlist"><li class="comment">{}</li></ol>', '<div class="ads">{}</div>', '<div class="notice">{}</div>', "<nav>{}</nav>"])
+def test_parts_longer_than_the_story_go(wrap, part):
+    many = part.format("".join(f"<p>Reader {i} says that {STORY}</p>" for i in range(4)))
+    page = wrap.format('<div class="story"><h1>T</h1><p>one sentence</p></div>' + many)
+    assert html_extract.blocks(f"<html><body>{page}</body></html>") == [(wrap != "{}", "T"), (wrap != "{}", "one sentence")]
+
+
+def test_pages_of_one_template(spark):
+    """A template block takes no word of what follows it, and a page of nothing else is empty; copies of an article stay."""
+    notice = "All the pages of this place are kept by the friends of the old river house"
+    rows = [(i, "http://a.example/x", f"<div>{notice}</div><p>Story number {i} about topic {i * i}</p>") for i in range(5)] + [(5, "http://a.example/x", f"<div>{notice}</div>")]
+    copy = "<p>One article that many pages of the house have, as it was told to its readers</p><p>and its second part of many words that goes on to the very end</p>"
+    rows += [(10 + i, "http://b.example/x", copy) for i in range(5)] + [(20 + i, "http://b.example/x", f"<div>{notice}</div><p>Own text {i}</p>") for i in range(6)]
+    rows += [(30 + i, "http://c.example/x", f"<div>{notice}</div>{copy}") for i in range(4)] + [(40 + i, "http://c.example/x", f"<div>{notice}</div><p>Own text {i}</p>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "One article that many pages of the house have, as it was told to its readers\nand its second part of many words that goes on to the very end"
+    assert got == {**{i: f"Story number {i} about topic {i * i}" for i in range(5)}, 5: "", **{10 + i: whole for i in range(5)}, **{20 + i: f"Own text {i}" for i in range(6)}, **{30 + i: whole for i in range(4)}, **{40 + i: f"Own text {i}" for i in range(5)}}
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a b="', "<a b='", "</script", "<script>", "<div class=ad>", "<form>", "</b>", "<!--", "<", "<p", "<div", '<i a="x">', "<b><p></i>", "<!x", "&amp", "<li>", "<a '>", "<div class='sidebar'><b>x"])
+def test_long_pages_take_linear_time(piece):
+    for tail in ("", ">", "'>\">"):
+        began = time.process_time()
+        html_extract.blocks(piece * ((1 << 20) // len(piece)) + tail)
+        assert time.process_time() - began < 12
+
+
+def test_formulas_and_discussions_stay():
+    page = '<article><p>Let <math><mi>x</mi></math> be a number.</p><div class="discussion"><p>We find that it holds.</p></div></article>'
+    assert html_extract.blocks(page) == [(True, "Let x be a number."), (True, "We find that it holds.")]
+    assert html_extract.blocks('<p>a < b and "c > d" <a href="x>y" title=\'">\'>link</a> 1 <2 <p title="open>shut') == [(False, 'a < b and "c > d" link 1 <2')]
+
+
 def test_grouping_helpers():
     totals = defaultdict(int)
     tally = lm_scoring.Tally()
