@@ -164,6 +164,8 @@ def blocks(page: str) -> list[tuple[bool, str]]:
 
     def closed(depth: int):
         nonlocal out, own, doubts
+        if (stack[depth - 1][1:] if depth else (False, False, ())) != (out, own, doubts):
+            flush()
         opened.subtract(x[0] for x in stack[depth:])
         del stack[depth:]
         out, own, doubts = stack[-1][1:] if stack else (False, False, ())
@@ -178,7 +180,6 @@ def blocks(page: str) -> list[tuple[bool, str]]:
             if tag not in INLINE:
                 flush()
             if opened[tag] > 0:
-                flush()
                 closed(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag in RAW:

@@ -486,7 +486,7 @@ def test_long_pages_take_linear_time(piece):
 def test_formulas_and_discussions_stay():
     page = '<article><p>Let <math><mi>x</mi></math> be a number.</p><div class="discussion"><p>We find that it holds.</p></div></article>'
     assert html_extract.blocks(page) == [(True, "Let x be a number."), (True, "We find that it holds.")]
-    assert html_extract.blocks('<p>a < b and "c > d" <a href="x>y" title=\'">\'>link</a> 1 <2 <p title="open>shut') == [(False, 'a < b and "c > d" link 1 <2')]
+    assert html_extract.blocks('<p>a < b and "c > d" <a href="x>y" title=\'">\'>link</a> 1 <2 <p title="open>shut') == [(False, 'a < b and "c > d" link 1 <2'), (False, "shut")]
 
 
 def test_grouping_helpers():
