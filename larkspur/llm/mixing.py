@@ -1,13 +1,16 @@
 """Mixing sources to target weights by systematic sampling, in DataFrame operations only.
 
-Every document of a source expects target / source_size copies.  The documents of a source stand in
-one order (size, doc_id bucket, doc_id); the prefix sum of expected copies plus one random offset of
-the source is followed along that order, and a document is emitted once for each integer that the
-sum crosses.  Order by size keeps the words taken close to the target.
-
-All documents of a source expect the same, so the prefix sum is a rank times that expectation.  The
-rank is built from counts: of smaller sizes in the source, of lower buckets within (source, size),
-and of lower doc_ids within (source, size, bucket).  No window sees all rows of a source.
+The documents of a source stand in one order (size, doc_id bucket, doc_id); the prefix sum of expected
+copies plus one random offset of the source is followed along that order, and a document is emitted
+once for each integer that the sum crosses.  Every document expects target / source_size copies, but
+for what large documents (over ``LARGE`` of the target each, so a few hundred in a source) cannot come
+to: these are followed first, from the largest down and with an offset of one half, and what they take
+too much or too little is spread over the expectation of the others.  So the words taken miss the target
+by a document of less than ``LARGE`` of it, unless there are too few words in small documents.
+
+Documents with one expectation make the prefix sum a rank times that expectation.  The rank is built
+from counts: of smaller sizes in the source, of lower buckets within (source, size), and of lower
+doc_ids within (source, size, bucket).  No window sees all rows of a source.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ WORD = r"[^\\x20\\x09-\\x0D]+"
 BUCKETS = 256
 SHARE = 1.5
 WEIGHTS = (3, 1, 2)
+#: Share of its source's target from which on a document is large.
+LARGE = 0.0025
 
 
 def targets(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: int = 2) -> DataFrame:
@@ -62,18 +67,27 @@ def deal(rows: DataFrame, share: float = SHARE, seed: int = 7, most: int = 2) ->
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     parts = buckets.withColumn("lower", F.coalesce(F.sum("n").over(before(Window.partitionBy("source", "size").orderBy("bucket"))), F.lit(0)))
     levels = buckets.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    levels = levels.withColumn("smaller", F.coalesce(F.sum("n").over(before(Window.partitionBy("source").orderBy("size"))), F.lit(0))).drop("n")
+    levels = levels.withColumn("smaller", F.coalesce(F.sum("n").over(before(Window.partitionBy("source").orderBy("size"))), F.lit(0))).withColumn("docs", F.sum("n").over(Window.partitionBy("source")))
     goal = targets(buckets.select("source", (F.col("size") * F.col("n")).alias("size")), share, most=most)
     offset = F.conv(F.substring(F.md5(F.concat(F.coalesce("source", F.lit("")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     goal = goal.withColumn("each", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("offset", offset)
     same = lambda a, b, on: [a[c].eqNullSafe(b[c]) for c in on]
-    x = parts.alias("p").join(levels.alias("l"), same(parts, levels, ("source", "size"))).select("p.source", "p.size", "p.bucket", (F.col("lower") + F.col("smaller")).alias("base"))
-    x = x.alias("x").join(goal.alias("g"), F.col("x.source").eqNullSafe(F.col("g.source"))).select("x.*", "source_size", "target", "each", "offset")
+    until = lambda offset, place, each: F.floor(offset + place * each)
+    half, large = F.lit(0.5), F.col("size") > F.col("target") * F.lit(LARGE)
+    top = F.col("docs") - F.col("smaller") - F.col("n")  # documents that are larger
+    heavy = levels.alias("l").join(goal.alias("g"), F.col("l.source").eqNullSafe(F.col("g.source"))).select("l.*", "target", "each").where(large)
+    heavy = heavy.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("large_size"), F.sum(F.col("size") * (until(half, top + F.col("n"), F.col("each")) - until(half, top, F.col("each")))).alias("large_taken"))
+    left = F.col("source_size") - F.coalesce("large_size", F.lit(0))
+    rest = F.when(left > 0, F.least(F.lit(float(most)), F.greatest(F.lit(0.0), (F.col("target") - F.coalesce("large_taken", F.lit(0))) / left))).otherwise(0.0)
+    goal = goal.alias("g").join(heavy.alias("h"), F.col("g.source").eqNullSafe(F.col("h.source")), "left").select("g.*", rest.alias("rest"))
+    x = parts.alias("p").join(levels.alias("l"), same(parts, levels, ("source", "size"))).select("p.source", "p.size", "p.bucket", "docs", (F.col("lower") + F.col("smaller")).alias("base"))
+    x = x.alias("x").join(goal.alias("g"), F.col("x.source").eqNullSafe(F.col("g.source"))).select("x.*", "source_size", "target", "each", "rest", "offset")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id")))
     out = ranked.alias("r").join(x.alias("x"), [F.col(f"r.{c}").eqNullSafe(F.col(f"x.{c}")) for c in ("source", "size", "bucket")])
-    end = F.floor(F.col("offset") + (F.col("base") + F.col("rank")) * F.col("each"))
-    start = F.floor(F.col("offset") + (F.col("base") + F.col("rank") - 1) * F.col("each"))
-    return out.select("doc_id", F.col("r.source").alias("source"), F.col("r.size").alias("size"), "source_size", "target", F.least(end - start, F.lit(most)).alias("copies"), F.col("rank").alias("ordinal"))
+    place = F.col("base") + F.col("rank")
+    down = F.col("docs") - place
+    copies = F.when(F.col("r.size") > F.col("target") * F.lit(LARGE), until(half, down + 1, F.col("each")) - until(half, down, F.col("each"))).otherwise(until(F.col("offset"), place, F.col("rest")) - until(F.col("offset"), place - 1, F.col("rest")))
+    return out.select("doc_id", F.col("r.source").alias("source"), F.col("r.size").alias("size"), "source_size", "target", F.least(copies, F.lit(most)).alias("copies"), F.col("rank").alias("ordinal"))
 
 
 def mixed(docs: DataFrame, share: float = SHARE, seed: int = 7) -> DataFrame:
@@ -117,11 +131,17 @@ WITH sized AS (
   SELECT source, source_size, least(cap, coalesce(weight * level, cap)) AS target,
     CAST(('0x' || substr(md5(coalesce(source, '') || ':7'), 1, 8)) AS BIGINT) / CAST(4294967296.0 AS DOUBLE) AS shift FROM levels, found
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, coalesce(((doc_id % 256) + 256) % 256, 0), doc_id NULLS FIRST) AS place FROM sized
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, coalesce(((doc_id % 256) + 256) % 256, 0), doc_id NULLS FIRST) AS place, count(*) OVER (PARTITION BY source) AS docs FROM sized
 ), dealt AS (
-  SELECT p.doc_id, p.size, g.source_size, g.target, g.shift, p.place, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS each
+  SELECT p.doc_id, p.source, p.size, g.source_size, g.target, g.shift, p.place, p.docs, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS each, p.size > g.target * CAST(0.0025 AS DOUBLE) AS heavy
   FROM placed p JOIN goal g ON p.source IS NOT DISTINCT FROM g.source
+), down AS (
+  SELECT *, floor(0.5 + (docs - place + 1) * each) - floor(0.5 + (docs - place) * each) AS large_copies FROM dealt
+), spare AS (
+  SELECT source, any_value(source_size) AS source_size, any_value(target) AS target, coalesce(sum(size) FILTER (heavy), 0) AS large_size, coalesce(sum(large_copies * size) FILTER (heavy), 0) AS large_taken FROM down GROUP BY source
+), rests AS (
+  SELECT source, CASE WHEN source_size > large_size THEN least(2.0, greatest(0.0, (target - large_taken) / (source_size - large_size))) ELSE 0.0 END AS rest FROM spare
 )
 SELECT doc_id, size, source_size, target,
-  CAST(least(floor(shift + place * each) - floor(shift + (place - 1) * each), 2) * size AS BIGINT) AS taken FROM dealt
+  CAST(least(CASE WHEN heavy THEN large_copies ELSE floor(shift + place * rest) - floor(shift + (place - 1) * rest) END, 2) * size AS BIGINT) AS taken FROM down d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source
 """
