@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import canon, instants
 
+from .publication import quantiles
+
 
 SCOPE = ("tenant_id", "app_id")
 
@@ -153,14 +155,16 @@ def source_days(clicks: DataFrame, installs: DataFrame, sources: list[str], scop
     """Clicks, installs and click-to-install times of each tenant, app, source and day.
 
     clicks: tenant_id, app_id, click_id, day, clicked_ms and the source columns; installs: tenant_id,
-    app_id, click_id, install_id, installed_ms.  Sources without a value are one group 'unattributed'.  Percentiles are rounded half to even.
+    app_id, click_id, install_id, installed_ms.  Sources without a value are one group 'unattributed'.  Percentiles are
+    exact, whatever the size of a group, and rounded half to even.
     """
     named = [F.coalesce(F.col(s), F.lit("unattributed")).alias(s) for s in sources]
     joined = clicks.select(*scope, "click_id", "day", "clicked_ms", *named).join(installs.select(*scope, "click_id", "install_id", "installed_ms"), [*scope, "click_id"], "left").withColumn("ctit", F.col("installed_ms") - F.col("clicked_ms"))
-    share = lambda q: F.bround(F.expr(f"percentile_cont({q}) within group (order by ctit) filter (where ctit >= 0)")).cast("long")
-    return joined.groupBy(*scope, "day", *sources).agg(
-        F.count_distinct("click_id").alias("clicks"), F.count_distinct("install_id").alias("installs"), F.expr("count(distinct install_id) filter (where ctit < 0)").alias("ctit_negative_count"), share(0.05).alias("ctit_p05_ms"), share(0.5).alias("ctit_p50_ms"), share(0.95).alias("ctit_p95_ms")
-    )
+    days = joined.groupBy(*scope, "day", *sources).agg(F.count_distinct("click_id").alias("clicks"), F.count_distinct("install_id").alias("installs"), F.expr("count(distinct install_id) filter (where ctit < 0)").alias("ctit_negative_count"))
+    groups = [*scope, "day", *sources]
+    times = quantiles(joined.where("ctit >= 0"), groups, "ctit", {"ctit_p05_ms": 0.05, "ctit_p50_ms": 0.5, "ctit_p95_ms": 0.95})
+    met = days.alias("d").join(times.alias("q"), [F.col(f"d.{g}").eqNullSafe(F.col(f"q.{g}")) for g in groups], "left")
+    return met.select("d.*", *[F.bround(f"q.{c}").cast("long").alias(c) for c in ("ctit_p05_ms", "ctit_p50_ms", "ctit_p95_ms")])
 
 
 def with_median_rate(days: DataFrame, scope: tuple[str, ...] = SCOPE) -> DataFrame:
