@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import deletion, publication, recalculate
 from larkspur.operators.metrics import Definition
+from larkspur.operators.stored import checkpointed
 from larkspur.streaming import stateful
 
 from .base import CTES, query
@@ -104,6 +105,7 @@ LATE = "event_id % 17 = 0"
 
 
 def inputs(t) -> recalculate.Inputs:
+    """The inputs of the definitions: a user's first signup is the install, purchases are revenue, views are sessions."""
     e = ledger(t).withColumn("received_at", F.when(F.expr(LATE), "2024-12-01").otherwise("2024-01-01"))
     first = e.where("event_type = 'signup'").groupBy("user_id").agg(F.min(F.struct("ms", "event_id"))["event_id"].alias("event_id"))
     day = F.to_date(F.timestamp_millis("ms")).cast("string")
@@ -166,7 +168,7 @@ def _(t):
     """Runs of the groups that a deletion touches, computed again without the deleted records."""
     before = inputs(t)
     gone = ledger(t).where(DELETED).select("record_id")
-    runs = recalculate.first_runs(DEFINITIONS, before, "metric", "2024-02-01T00:00:00.000Z")
+    runs = checkpointed(recalculate.first_runs(DEFINITIONS, before, "metric", "2024-02-01T00:00:00.000Z"))
     return shown(recalculate.superseding(runs, before, before.without(gone), gone, "privacy-reapply", "2024-03-01T00:00:00.000Z"))
 
 
@@ -175,7 +177,7 @@ def _(t):
     """Runs of the groups that rows after the watermark belong to, over all rows."""
     every = inputs(t)
     before = every.until(CUT)
-    runs = recalculate.first_runs(DEFINITIONS, before, "metric", "2024-02-01T00:00:00.000Z")
+    runs = checkpointed(recalculate.first_runs(DEFINITIONS, before, "metric", "2024-02-01T00:00:00.000Z"))
     return shown(recalculate.superseding(runs, before, every, every.received_after(CUT), "late", "2024-03-01T00:00:00.000Z", "reproducible"))
 
 
@@ -187,8 +189,8 @@ def _(t):
 
     before = inputs(t)
     gone = ledger(t).where(DELETED).select("record_id")
-    runs = recalculate.first_runs(DEFINITIONS, before, "metric", "2024-02-01T00:00:00.000Z")
-    new = recalculate.superseding(runs, before, before.without(gone), gone, "privacy-reapply", "2024-03-01T00:00:00.000Z")
+    runs = checkpointed(recalculate.first_runs(DEFINITIONS, before, "metric", "2024-02-01T00:00:00.000Z"))
+    new = checkpointed(recalculate.superseding(runs, before, before.without(gone), gone, "privacy-reapply", "2024-03-01T00:00:00.000Z"))
     return shown(not_superseded(runs.unionByName(new), "metric_run_id", "supersedes_metric_run_id")).where("value_state = 'present'")
 
 
