@@ -174,11 +174,12 @@ def missing_keys(payload: Column, required: list[str]) -> Column:
 
 
 def reserved_names(payload: Column, names: list[str]) -> Column:
-    """Whether a reserved name is a key at any depth of a JSON text.
+    """Whether a reserved name is a key at any depth of a JSON text, however it is spelled.
 
-    Keys are found by their place before a colon; string values cannot hold an unescaped quote.
+    The text is parsed and written again first, which undoes escapes in keys; then a name between quotes before
+    a colon is a key, since a quote within a text is escaped.  What is no JSON is looked at as it stands.
     """
-    return payload.rlike('"(?:' + "|".join(names) + ')"\\s*:')
+    return F.coalesce(F.to_json(F.try_parse_json(payload)), payload).rlike('"(?:' + "|".join(names) + ')"\\s*:')
 
 
 def assert_anchors(revenue: DataFrame, installs: DataFrame) -> DataFrame:

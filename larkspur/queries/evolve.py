@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators import deletion, publication, recalculate
+from larkspur.functions import schemas
+from larkspur.operators import deletion, ingest, publication, recalculate
 from larkspur.operators.metrics import Definition
 from larkspur.operators.stored import checkpointed
 from larkspur.streaming import stateful
@@ -225,3 +226,30 @@ def _(t):
     """The stream's processors over a table of attempts: the decisions that stand at the end."""
     told = stateful.standing(stateful.decisions(attempts(t)))
     return told.select("delivery_id", "duplicate_resolution", "ingestion_status", "reason_code", "canonical_record_id")
+
+
+@query("p17_closed_schemas", f"""WITH base AS ({CTES['base']})
+SELECT event_id, CASE event_id % 9 WHEN 0 THEN '' WHEN 1 THEN '/transaction_id=required' WHEN 2 THEN '/=additionalProperties' WHEN 3 THEN '/=additionalProperties' WHEN 4 THEN '/amount_scale=type'
+  WHEN 5 THEN '/financial_status=enum' WHEN 6 THEN '/=not_an_object' WHEN 7 THEN CASE WHEN cents % 2 = 0 THEN '/attributes/k=anyOf|/attributes/k=type|/money/currency=required' ELSE '' END
+  ELSE '/amount_scale=maximum|/currency=pattern' END AS faults FROM base""")
+def _(t):
+    """Faults of payloads that are made from the columns of events, nested and with escaped keys."""
+    sound = F.to_json(F.struct(F.concat(F.lit("t"), "event_id").alias("transaction_id"), F.col("cents").cast("string").alias("amount_unscaled"), (F.col("event_id") % 5).alias("amount_scale"), F.lit("USD").alias("currency"), F.when(F.col("cents") % 3 == 0, "settled").otherwise("pending").alias("financial_status"), F.struct(F.col("props").alias("any")).alias("extensions")))
+    attributes = F.when(F.col("cents") % 2 == 0, F.concat(F.lit('{"k":['), "event_id", F.lit("]}"))).otherwise(F.concat(F.lit('{"k":'), "event_id", F.lit(',"n":null}')))
+    money = F.when(F.col("cents") % 2 == 0, F.lit('{"amount_unscaled":"1","amount_scale":2}')).otherwise(F.lit('{"amount_unscaled":"1","amount_scale":2.0,"currency":"EUR"}'))
+    nested = F.concat(F.lit('{"installation_id":"i","event_key":"a_key","attributes":'), attributes, F.lit(',"money":'), money, F.lit("}"))
+    n = F.col("event_id") % 9
+    payload = (
+        F.when(n == 0, sound).when(n == 1, F.replace(sound, F.lit('"transaction_id"'), F.lit('"original_transaction_id"'))).when(n == 2, F.concat(F.lit('{"advertising":'), "cents", F.lit(","), F.substring(sound, 2, 100_000)))
+        .when(n == 3, F.concat(F.lit('{"\\u0061dvertising":1,'), F.substring(sound, 2, 100_000))).when(n == 4, F.regexp_replace(sound, '"amount_scale":([0-9])', '"amount_scale":"$1"')).when(n == 5, F.regexp_replace(sound, '"(settled|pending)"', '"$1 now"'))
+        .when(n == 6, F.concat(F.lit("["), sound, F.lit("]"))).when(n == 7, nested).otherwise(F.regexp_replace(F.replace(sound, F.lit("USD"), F.lit("usd")), '"amount_scale":[0-9]', '"amount_scale":19'))
+    )
+    events = t.base().select("event_id", F.when(n == 7, "custom_event").otherwise("purchase").alias("event_name"), payload.alias("payload"))
+    return schemas.validated(events, schemas={k: schemas.EVENTS[k] for k in ("purchase", "custom_event")}).select("event_id", F.array_join(F.transform("faults", lambda f: F.concat(f["path"], F.lit("="), f["reason"])), "|").alias("faults"))
+
+
+@query("p25_reserved_keys", f"""WITH base AS ({CTES['base']}) SELECT event_id, user_id % 4 IN (1, 3) AS reserved FROM base""")
+def _(t):
+    """Reserved names as keys at some depth, spelled with escapes or not, and as values."""
+    deep = F.concat(F.lit('{"a":[{"b":'), F.to_json(F.struct("event_id", "props")), F.lit(',"'), F.when(F.col("user_id") % 4 == 1, F.concat(F.lit("\\u00"), F.lower(F.hex(F.ascii(F.lit("a")))), F.lit("dvertising_id"))).when(F.col("user_id") % 4 == 3, "device_id").otherwise("other_id"), F.lit('" : "advertising_id:"}]}'))
+    return t.base().select("event_id", ingest.reserved_names(deep, ["advertising_id", "device_id"]).alias("reserved"))
