@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\\x20\\x09-\\x0D]+"
 #: Parts of the documents that have one source and one size.
 BUCKETS = 256
+#: Tasks over which a source's buckets are dealt when they meet its target.
+SALTS = 64
 SHARE = 1.5
 WEIGHTS = (3, 1, 2)
 #: Share of its source's target from which on a document is large.
@@ -81,7 +83,8 @@ def deal(rows: DataFrame, share: float = SHARE, seed: int = 7, most: int = 2) ->
     rest = F.when(left > 0, F.least(F.lit(float(most)), F.greatest(F.lit(0.0), (F.col("target") - F.coalesce("large_taken", F.lit(0))) / left))).otherwise(0.0)
     goal = goal.alias("g").join(heavy.alias("h"), F.col("g.source").eqNullSafe(F.col("h.source")), "left").select("g.*", rest.alias("rest"))
     x = parts.alias("p").join(levels.alias("l"), same(parts, levels, ("source", "size"))).select("p.source", "p.size", "p.bucket", "docs", (F.col("lower") + F.col("smaller")).alias("base"))
-    x = x.alias("x").join(goal.alias("g"), F.col("x.source").eqNullSafe(F.col("g.source"))).select("x.*", "source_size", "target", "each", "rest", "offset")
+    salted = goal.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a hot source lies in as many tasks
+    x = x.alias("x").join(salted.alias("g"), F.col("x.source").eqNullSafe(F.col("g.source")) & (F.pmod(F.col("x.bucket"), F.lit(SALTS)) == F.col("g.salt"))).select("x.*", "source_size", "target", "each", "rest", "offset")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id")))
     out = ranked.alias("r").join(x.alias("x"), [F.col(f"r.{c}").eqNullSafe(F.col(f"x.{c}")) for c in ("source", "size", "bucket")])
     place = F.col("base") + F.col("rank")
