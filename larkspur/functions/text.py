@@ -88,6 +88,62 @@ def signed_message(fields: list[Column]) -> Column:
     return F.concat_ws(SEPARATOR, *[f.cast("string") for f in fields])
 
 
+# The fields of a signed postback by version, in the order in which they are signed, and the kind of each.
+SIGNED = {
+    3: ("version:text", "ad-network-id:text", "campaign-id:integer", "app-id:integer", "transaction-id:text", "redownload:boolean", "source-app-id:integer?", "fidelity-type:integer", "did-win:boolean"),
+    4: ("version:text", "ad-network-id:text", "source-identifier:text", "app-id:integer", "transaction-id:text", "redownload:boolean", "source-app-id:integer|source-domain:text", "fidelity-type:integer", "did-win:boolean", "postback-sequence-index:integer"),
+}
+
+
+def postback_message(body: Column) -> Column:
+    """struct(message, error) of a postback's JSON text: its signed fields in the order of its version.
+
+    error names the first field that is missing (a text) or invalid (an integer from 0, a boolean), or an
+    unsupported version; a field with ``?`` may be left out, of two joined by a bar the first that is there counts.
+    """
+    parsed = F.try_parse_json(body)
+    get = lambda name, kind: F.try_variant_get(parsed, f"$['{name}']", kind)
+    there = lambda name: get(name, "variant").isNotNull()
+    kind_of = lambda name: F.regexp_extract(F.schema_of_variant(get(name, "variant")), "^[A-Z]+", 0)
+
+    def one(field: str) -> tuple[Column, Column]:
+        name, kind = field.rstrip("?").split(":")
+        found = F.coalesce(kind_of(name), F.lit(""))
+        if kind == "text":
+            bad, value = (found != "STRING") | F.coalesce(get(name, "string") == "", F.lit(True)), get(name, "string")
+        elif kind == "boolean":
+            bad, value = found != "BOOLEAN", get(name, "boolean").cast("string")
+        else:
+            number = get(name, "double")
+            bad = ~found.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT") | ~F.coalesce((number >= 0) & (number == F.floor(number)), F.lit(False))
+            value = get(name, "long").cast("string")
+        if field.endswith("?"):
+            bad = there(name) & bad
+        return value, F.when(bad, F.lit(f"{'missing' if kind == 'text' else 'invalid'}_{name}"))
+
+    def told(fields: tuple[str, ...]) -> tuple[Column, Column]:
+        values, errors = [], []
+        for field in fields:
+            first, *other = field.split("|")
+            value, error = one(first)
+            for second in other:
+                there_too, bad = one(second)
+                value, error = F.when(there(first.split(":")[0]), value).otherwise(there_too), F.when(there(first.split(":")[0]), error).otherwise(bad)
+            values.append(value)
+            errors.append(error)
+        return signed_message(values), F.coalesce(*errors)
+
+    version = get("version", "string")
+    major = F.when(version.rlike(r"^[0-9]+(\.|$)"), F.substring_index(version, ".", 1).cast("int"))
+    start = F.when(parsed.isNull() | (F.coalesce(kind_of("version"), F.lit("")) != "STRING") | F.coalesce(version == "", F.lit(True)), "missing_version")
+    error, message = F.lit("unsupported_version"), F.lit(None).cast("string")
+    for number, fields in SIGNED.items():
+        text, wrong = told(fields)
+        error, message = F.when(major == number, wrong).otherwise(error), F.when(major == number, text).otherwise(message)
+    error = F.coalesce(start, one("ad-network-id:text")[1], error)
+    return F.struct(F.when(error.isNull(), message).alias("message"), error.alias("error"))
+
+
 def boolean_word(value: Column, true_values: list[str], false_values: list[str], default: bool | None = None) -> Column:
     """Boolean of a declared vocabulary, compared trimmed and lowered; null outside of it without a default."""
     word = F.lower(F.trim(value.cast("string")))

@@ -148,3 +148,29 @@ def superseding(stored: DataFrame, fresh: DataFrame, suffix: str) -> DataFrame:
     old = stored.select("tenant_id", "app_id", "record_id", F.col("attribution_id").alias("_old"), F.col("reason_code").alias("_reason"))
     new = fresh.join(old, ["tenant_id", "app_id", "record_id"]).where("reason_code <> _reason")
     return new.withColumn("supersedes_attribution_id", F.col("_old")).withColumn("attribution_id", F.concat("_old", F.lit(f":{suffix}"))).select(*fresh.columns)
+
+
+# Reasons of lookups by what came of them.
+LOOKUP_REASONS = {"attributed": "adservices_attributed", "not_attributed": "adservices_not_attributed", "token_expired": "adservices_token_expired", "lookup_unavailable": "adservices_lookup_unavailable"}
+
+
+def complete_lookups(attributions: DataFrame, completions: DataFrame) -> DataFrame:
+    """Decisions that supersede those of installs whose lookup was completed, one a completion.
+
+    attributions: tenant_id, app_id, record_id (the install), attribution_id, status, reason_code, evidence_refs and what else a
+    decision has; completions: tenant_id, app_id, install_record_id, status, response_ref, response_digest, decided_at.
+    A dropped lookup changes nothing; a completion of an install without a decision raises.  The id follows
+    from the answer, so a completion that runs again gives the same row.
+    """
+    reasons = F.create_map(*[F.lit(x) for pair in LOOKUP_REASONS.items() for x in pair])
+    done = completions.where(F.col("status").isin(*LOOKUP_REASONS)).select("tenant_id", "app_id", F.col("install_record_id").alias("record_id"), F.col("status").alias("_status"), "response_ref", "response_digest", F.col("decided_at").alias("_at"))
+    joined = done.join(attributions.withColumn("_met", F.lit(True)), ["tenant_id", "app_id", "record_id"], "left")
+    prior = F.when(F.col("_met"), F.col("attribution_id")).otherwise(F.raise_error(F.lit("adservices_install_attribution_missing")).cast("string"))
+    reason = F.element_at(reasons, F.col("_status"))
+    seed = F.concat_ws("\u0000", "tenant_id", "app_id", "record_id", "response_digest", reason)
+    new = joined.withColumn("supersedes_attribution_id", prior).withColumn("attribution_id", F.concat(F.lit("attr:adservices:"), F.substring(F.sha2(seed, 256), 1, 48)))
+    new = new.withColumn("status", F.when(F.col("_status") == "attributed", "non_organic").otherwise("unattributed")).withColumn("reason_code", reason).withColumn("decided_at", F.col("_at"))
+    new = new.withColumn("evidence_refs", F.concat(F.coalesce("evidence_refs", F.array().cast("array<string>")), F.array("response_ref")))
+    fixed = {"method": "apple_adservices", "model": "last_click", "finality": "final"}
+    new = new.withColumns({k: F.lit(v) for k, v in fixed.items()})
+    return new.drop("_status", "_at", "_met", "response_ref", "response_digest")

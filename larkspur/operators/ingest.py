@@ -182,6 +182,34 @@ def reserved_names(payload: Column, names: list[str]) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(payload)), payload).rlike('"(?:' + "|".join(names) + ')"\\s*:')
 
 
+STALE_POLICY = "struct<before:string,authority:string,policy_version:string,policy_digest:string>"
+CLICK_POLICY = "struct<threshold_seconds:long,authority:string,policy_version:string,policy_digest:string>"
+
+
+def policy_errors(attempts: DataFrame) -> DataFrame:
+    """Attempts whose server policies do not have the digest of their fields, with the error (empty: the input is sound).
+
+    attempts: record_id, timestamp_stale_policy (STALE_POLICY) and click_injection_policy (CLICK_POLICY), each null if
+    there is none.
+    """
+
+    def wrong(name: str, *fields: str) -> Column:
+        p = F.col(name)
+        own = F.sha2(F.to_json(F.struct(*[p[f].alias(f) for f in sorted(fields)])), 256)
+        return F.when(p.isNotNull() & ~p["policy_digest"].eqNullSafe(own), f"{name}.policy_digest does not match its canonical policy fields")
+
+    error = F.coalesce(wrong("timestamp_stale_policy", "before", "authority", "policy_version"), wrong("click_injection_policy", "threshold_seconds", "authority", "policy_version"))
+    return attempts.select("record_id", error.alias("error")).where("error is not null")
+
+
+def with_stale_policy(attempts: DataFrame) -> DataFrame:
+    """attempts with ``stale_before`` from their policy; a policy whose digest is wrong raises."""
+    p = F.col("timestamp_stale_policy")
+    own = F.sha2(F.to_json(F.struct(p["authority"].alias("authority"), p["before"].alias("before"), p["policy_version"].alias("policy_version"))), 256)
+    checked = F.when(p["policy_digest"].eqNullSafe(own), p["before"]).otherwise(F.raise_error(F.lit("timestamp_stale_policy.policy_digest does not match its canonical policy fields")).cast("string"))
+    return attempts.withColumn("stale_before", F.when(p.isNotNull(), checked)).drop("timestamp_stale_policy")
+
+
 def assert_anchors(revenue: DataFrame, installs: DataFrame) -> DataFrame:
     """Revenue rows of installation scope that have no install to stand on (empty: the input is sound)."""
     keys = ["tenant_id", "app_id", "installation_id"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -24,6 +25,16 @@ CALCULATIONS = ("revenue_sum", "revenue_over_cost", "active_installations_over_c
 GROUPING = ("campaign_id", "network", "country", "cohort_date", "attribution_status", "metric_date", "source_identifier", "conversion_bucket")
 
 
+# Series by name, with their event, grouping and zone (None: any).
+SERIES = {
+    "skan_attributed_installs": ("skan_postback", ("metric_date",), "UTC"),
+    "skan_conversion_value_distribution": ("skan_postback", ("metric_date", "conversion_bucket"), "UTC"),
+    "aak_attributed_installs": ("adattributionkit_postback", ("metric_date",), "UTC"),
+    "daily_deep_link_opens": ("deep_link_open", ("metric_date", "campaign_id"), None),
+    "daily_deep_link_opens_by_status": ("deep_link_open", ("metric_date", "campaign_id", "attribution_status"), None),
+}
+
+
 @dataclass(frozen=True)
 class Definition:
     metric_name: str
@@ -48,6 +59,18 @@ class Definition:
             raise ValueError("event_count needs event names")
         if self.day < 0 or self.fraud_policy not in ("gross", "net"):
             raise ValueError("invalid day or fraud policy")
+        self.check_series()
+
+    def check_series(self) -> None:
+        """Series with a name of their own have one event, zone and grouping, and no other metric has theirs."""
+        own = SERIES.get(self.metric_name)
+        if own:
+            event, grouping, zone = own
+            sound = self.calculation == "event_count" and self.event_names == (event,) and sorted(self.grouping) == sorted(grouping) and self.zone == (zone or self.zone)
+        else:
+            sound = not set(self.event_names) & {"skan_postback", "adattributionkit_postback"} and "conversion_bucket" not in self.grouping
+        if not sound:
+            raise ValueError(f"metric_definition_series_mismatch:{self.metric_name}")
 
 
 def registry() -> dict[str, Definition]:
@@ -63,7 +86,9 @@ def registry() -> dict[str, Definition]:
     ]
     for day in (0, 1, 3, 7):
         out += [Definition(f"d{day}_roas", "revenue_over_cost", day), Definition(f"cohort_ltv_d{day}_usd", "revenue_over_cohort", day)]
-    out += [Definition(f"daily_{name}s", "event_count", event_names=(name,), grouping=("metric_date",)) for name in ("click", "install", "deep_link_open")]
+    out += [Definition(f"daily_{name}s", "event_count", event_names=(name,), grouping=("metric_date",)) for name in ("click", "install")]
+    for name, (event, grouping, _) in SERIES.items():
+        out.append(Definition(name, "event_count", event_names=(event,), grouping=grouping))
     return {d.metric_name: d for d in out}
 
 
@@ -332,6 +357,18 @@ def evaluations(config: dict, day: str, watermark: str | None = None) -> list[di
     return out
 
 
+def definition_file(spark, path: str, day: str, watermark: str | None = None) -> dict:
+    """The definitions file at a path (read by Spark, so of any store): its scope, rates' policy and the evaluations of a day."""
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("a definitions file is one file")
+    config = json.loads(rows[0][0])
+    for name in ("tenant_id", "app_id"):
+        if not isinstance(config.get(name), str) or not re.fullmatch(r"[A-Za-z0-9._:-]{1,128}", config[name]):
+            raise ValueError(f"{name} is invalid")
+    return {"tenant_id": config["tenant_id"], "app_id": config["app_id"], "fx_policy": config.get("fx_policy"), "metric_definitions": config.get("metric_definitions", []), "evaluations": evaluations(config, day, watermark)}
+
+
 def runs(values: DataFrame, definition: Definition, watermark: str, prefix: str, previous: DataFrame | None = None) -> DataFrame:
     """Metric-run rows from values (grouping columns, value): ids by digest, superseding earlier runs of the group."""
     definition.check()

@@ -13,7 +13,7 @@ SCOPE = ["tenant_id", "app_id"]
 
 def _keys(column: str):
     one = lambda k: matching_key(k["type"], k["value"], k["normalization"], k["value_encoding"])
-    return F.sort_array(F.array_distinct(F.transform(F.coalesce(F.col(column), F.array().cast(f"array<{KEY}>")), one)))
+    return F.sort_array(F.transform(F.coalesce(F.col(column), F.array().cast(f"array<{KEY}>")), one))
 
 
 def reconcile(inputs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -23,14 +23,15 @@ def reconcile(inputs: DataFrame, candidates: DataFrame) -> DataFrame:
     provider_modeled_without_candidate, freshness.  candidates: tenant_id, app_id,
     reconciliation_id, candidate_id, matching_keys, window_status, freshness, excluded,
     exclusion_reason, position (their order within the input).  Keys are exploded and joined, so no
-    pair of an input and a candidate exists unless they share a key.
+    pair of an input and a candidate exists unless they share a key.  Repeated keys match once and stay in
+    ``keys`` and ``joins``; of candidates at one position the smallest id is first.
     """
     ids = [*SCOPE, "reconciliation_id"]
     left = inputs.withColumn("keys", _keys("matching_keys"))
-    a = left.select(*ids, F.explode("keys").alias("key"))
-    b = candidates.withColumn("keys", _keys("matching_keys")).select(*ids, "candidate_id", "position", "window_status", "freshness", "excluded", "exclusion_reason", F.explode("keys").alias("key"))
+    a = left.select(*ids, F.explode(F.array_distinct("keys")).alias("key"))
+    b = candidates.withColumn("keys", _keys("matching_keys")).select(*ids, "candidate_id", "position", "window_status", "freshness", "excluded", "exclusion_reason", F.explode(F.array_distinct("keys")).alias("key"))
     hits = a.join(b, [*ids, "key"]).drop("key").distinct()
-    first = F.min(F.struct("position", "excluded", "window_status", "freshness"))
+    first = F.min(F.struct("position", "candidate_id", "excluded", "window_status", "freshness"))
     matched = hits.groupBy(*ids).agg(
         F.count("*").alias("n"),
         first.alias("first"),

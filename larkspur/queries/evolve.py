@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions import schemas
-from larkspur.operators import deletion, ingest, publication, recalculate
+from larkspur.functions import schemas, text
+from larkspur.operators import attribution, deletion, ingest, publication, recalculate, reconcile
 from larkspur.operators.metrics import Definition
 from larkspur.operators.stored import checkpointed
+from larkspur.sources import connectors, files
 from larkspur.streaming import stateful
 
 from .base import CTES, query
@@ -253,3 +254,91 @@ def _(t):
     """Reserved names as keys at some depth, spelled with escapes or not, and as values."""
     deep = F.concat(F.lit('{"a":[{"b":'), F.to_json(F.struct("event_id", "props")), F.lit(',"'), F.when(F.col("user_id") % 4 == 1, F.concat(F.lit("\\u00"), F.lower(F.hex(F.ascii(F.lit("a")))), F.lit("dvertising_id"))).when(F.col("user_id") % 4 == 3, "device_id").otherwise("other_id"), F.lit('" : "advertising_id:"}]}'))
     return t.base().select("event_id", ingest.reserved_names(deep, ["advertising_id", "device_id"]).alias("reserved"))
+
+
+@query("t10_completed_lookups", """
+SELECT 'attr:adservices:' || substr(sha256('t' || chr(0) || 'a' || chr(0) || 'install:' || event_id || chr(0) || 'd' || cents || chr(0) || reason), 1, 48) AS attribution_id, 'attr:install:' || event_id AS supersedes_attribution_id, reason AS reason_code,
+  CASE WHEN reason = 'adservices_attributed' THEN 'non_organic' ELSE 'unattributed' END AS status, 'click:' || user_id || '|answer:' || event_id AS refs
+FROM (SELECT *, CASE user_id % 5 WHEN 0 THEN 'adservices_attributed' WHEN 1 THEN 'adservices_not_attributed' WHEN 2 THEN 'adservices_token_expired' WHEN 3 THEN 'adservices_lookup_unavailable' END AS reason FROM base WHERE event_type = 'signup') WHERE reason IS NOT NULL""", ("base",))
+def _(t):
+    """Decisions after lookups were answered, refused, expired or dropped."""
+    e = t.base().where("event_type = 'signup'").select(F.lit("t").alias("tenant_id"), F.lit("a").alias("app_id"), "*")
+    name = F.concat(F.lit("install:"), "event_id")
+    prior = e.select("tenant_id", "app_id", name.alias("record_id"), F.concat(F.lit("attr:"), name).alias("attribution_id"), F.lit("unattributed").alias("status"), F.lit("unknown_click_id").alias("reason_code"), F.array(F.concat(F.lit("click:"), "user_id")).alias("evidence_refs"), F.lit("2024-01-01").alias("decided_at"))
+    status = F.expr("case user_id % 5 when 0 then 'attributed' when 1 then 'not_attributed' when 2 then 'token_expired' when 3 then 'lookup_unavailable' else 'dropped' end")
+    done = e.select("tenant_id", "app_id", name.alias("install_record_id"), status.alias("status"), F.concat(F.lit("answer:"), "event_id").alias("response_ref"), F.concat(F.lit("d"), "cents").alias("response_digest"), F.lit("2024-01-02").alias("decided_at"))
+    return attribution.complete_lookups(prior, done).select("attribution_id", "supersedes_attribution_id", "reason_code", "status", F.array_join("evidence_refs", "|").alias("refs"))
+
+
+@query("c3_reconciliation_arrays", """
+WITH lines AS (SELECT *, 'c' || l_partkey || '-' || l_linenumber AS cand FROM lineitem WHERE l_returnflag = 'R'),
+keys AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'id:' || o_custkey || ',id:' || o_orderkey || ',id:' || o_orderkey ELSE 'id:' || o_orderkey END AS keys FROM orders WHERE o_orderkey % 3 <> 0 OR CAST(o_custkey AS VARCHAR) < CAST(o_orderkey AS VARCHAR)
+  UNION ALL SELECT o_orderkey, 'id:' || o_orderkey || ',id:' || o_orderkey || ',id:' || o_custkey FROM orders WHERE o_orderkey % 3 = 0 AND CAST(o_custkey AS VARCHAR) >= CAST(o_orderkey AS VARCHAR))
+SELECT CAST(k.o_orderkey AS VARCHAR) AS reconciliation_id, k.keys, coalesce(string_agg(cand, '|' ORDER BY cand), '') AS candidates, coalesce(string_agg(CASE WHEN l_suppkey % 2 = 0 THEN 'why' || l_suppkey END, '|' ORDER BY 'why' || l_suppkey), '') AS exclusions,
+  coalesce(string_agg(cand || ':in_window', '|' ORDER BY cand || ':in_window'), '') AS windows, coalesce(string_agg(k.keys || '=>' || cand, '|' ORDER BY cand), '') AS joins
+FROM keys k LEFT JOIN lines l ON l.l_orderkey = k.o_orderkey GROUP BY k.o_orderkey, k.keys""")
+def _(t):
+    """All arrays of a result, with inputs that name a key twice."""
+    from .domain import _key
+
+    scope = [F.lit("t").alias("tenant_id"), F.lit("a").alias("app_id")]
+    text = lambda c: F.col(c).cast("string")
+    own = _key("id", text("o_orderkey"))
+    inputs = t.read("orders").select(*scope, text("o_orderkey").alias("reconciliation_id"), F.when(F.col("o_orderkey") % 3 == 0, F.array(own, _key("id", text("o_custkey")), own)).otherwise(F.array(own)).alias("matching_keys"), F.lit(None).cast("string").alias("privacy_effect"), F.lit(False).alias("provider_modeled_without_candidate"), F.lit("fresh").alias("freshness"))
+    mine = _key("id", text("l_orderkey"))
+    candidates = t.read("lineitem").where("l_returnflag = 'R'").select(*scope, text("l_orderkey").alias("reconciliation_id"), F.concat(F.lit("c"), "l_partkey", F.lit("-"), "l_linenumber").alias("candidate_id"), F.array(mine, mine).alias("matching_keys"), F.col("l_linenumber").alias("position"), F.lit("in_window").alias("window_status"), F.lit("fresh").alias("freshness"), (F.col("l_suppkey") % 2 == 0).alias("excluded"), F.concat(F.lit("why"), "l_suppkey").alias("exclusion_reason"))
+    found = reconcile.reconcile(inputs, candidates)
+    return found.select("reconciliation_id", F.array_join("keys", ",").alias("keys"), *[F.array_join(c, "|").alias(c) for c in ("candidates", "exclusions", "windows", "joins")])
+
+
+@query("d7_policy_digests", """SELECT CAST(event_id AS VARCHAR) AS record_id, CASE WHEN event_id % 7 = 1 THEN 'timestamp_stale_policy.policy_digest does not match its canonical policy fields' ELSE 'click_injection_policy.policy_digest does not match its canonical policy fields' END AS error FROM events WHERE event_id % 7 IN (1, 2)""")
+def _(t):
+    """Policies that were made from the columns of events; some have the digest of another threshold."""
+    day = F.to_date("ts").cast("string")
+    stale = lambda before: F.sha2(F.concat(F.lit('{"authority":"tenant","before":"'), before, F.lit('","policy_version":"v'), "user_id", F.lit('"}')), 256)
+    click = lambda n: F.sha2(F.concat(F.lit('{"authority":"tenant","policy_version":"v'), "user_id", F.lit('","threshold_seconds":'), n, F.lit("}")), 256)
+    n, version = F.col("event_id") % 7, F.concat(F.lit("v"), "user_id")
+    first = F.struct(day.alias("before"), F.lit("tenant").alias("authority"), version.alias("policy_version"), stale(F.when(n == 1, F.lit("1999-01-01")).otherwise(day)).alias("policy_digest"))
+    second = F.struct(F.col("event_id").cast("long").alias("threshold_seconds"), F.lit("tenant").alias("authority"), version.alias("policy_version"), click(F.when(n == 2, F.col("event_id") + 1).otherwise(F.col("event_id"))).alias("policy_digest"))
+    rows = t.read("events").select(F.col("event_id").cast("string").alias("record_id"), F.when(n != 0, first).alias("timestamp_stale_policy"), F.when(n > 1, second).alias("click_injection_policy"))
+    return ingest.policy_errors(rows)
+
+
+@query("f20_postback_messages", """
+SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 2) THEN array_to_string(list_filter([CASE WHEN event_id % 6 = 0 THEN '3.0' ELSE '4.0' END, 'net' || user_id || '.example', CASE WHEN event_id % 6 = 0 THEN CAST(user_id AS VARCHAR) ELSE 's' || user_id END, CAST(event_id AS VARCHAR), 't' || event_id, CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END,
+    CASE WHEN event_id % 6 = 2 THEN 'site.example' WHEN event_id % 12 = 6 THEN NULL ELSE '77' END, '1', 'true', CASE WHEN event_id % 6 <> 0 THEN CAST(event_id % 3 AS VARCHAR) END], lambda x: x IS NOT NULL), chr(8291)) END AS message,
+  CASE event_id % 6 WHEN 3 THEN 'unsupported_version' WHEN 4 THEN 'invalid_app-id' WHEN 5 THEN 'missing_source-domain' END AS error FROM events""")
+def _(t):
+    """Signed fields of postbacks of two versions, made from the columns of events; some are unsound."""
+    n, text_of = F.col("event_id") % 6, lambda c: F.col(c).cast("string")
+    old = n == 0
+    part = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    quoted = lambda *c: F.concat(F.lit('"'), *c, F.lit('"'))
+    fields = [
+        part("did-win", F.lit("true")), part("version", F.when(old, F.lit('"3.0"')).when(n == 3, F.lit('"5.1"')).otherwise(F.lit('"4.0"'))), part("ad-network-id", quoted(F.lit("net"), text_of("user_id"), F.lit(".example"))),
+        F.when(old, part("campaign-id", text_of("user_id"))).otherwise(part("source-identifier", quoted(F.lit("s"), text_of("user_id")))), part("app-id", F.when(n == 4, F.concat(F.lit("-"), text_of("event_id"))).otherwise(text_of("event_id"))),
+        part("transaction-id", quoted(F.lit("t"), text_of("event_id"))), part("redownload", (F.col("user_id") % 2 == 0).cast("string")), part("fidelity-type", F.lit("1")),
+        F.when(n == 2, part("source-domain", F.lit('"site.example"'))).when((F.col("event_id") % 12 == 6) | (n == 5), F.lit(None)).otherwise(part("source-app-id", F.lit("77"))), F.when(~old, part("postback-sequence-index", (F.col("event_id") % 3).cast("string"))),
+    ]
+    body = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    rows = t.read("events").select("event_id", body.alias("body")).withColumn("m", text.postback_message(F.col("body")))
+    return rows.select("event_id", "m.message", "m.error")
+
+
+@query("s14_aggregate_postbacks", """
+SELECT CAST(event_id AS VARCHAR) AS record_id, CASE WHEN event_id % 2 = 0 THEN 's' || user_id ELSE lpad(CAST(user_id % 100 AS VARCHAR), 2, '0') END AS source_identifier, CAST(event_id % 64 AS INTEGER) AS conversion_value,
+  CASE WHEN event_id % 2 = 0 THEN CASE event_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'high' END END AS coarse_conversion_value, CAST(CASE WHEN event_id % 2 = 0 AND event_id % 3 = 1 THEN user_id % 3 ELSE 0 END AS INTEGER) AS sequence_index, CASE WHEN event_id % 5 = 0 THEN event_id % 10 = 0 ELSE true END AS did_win FROM events""")
+def _(t):
+    """Postbacks of both versions in one form."""
+    e = t.read("events")
+    rows = e.select(F.col("event_id").cast("string").alias("record_id"), F.when(F.col("event_id") % 2 == 0, "4.0").otherwise("3.0").alias("version"), F.lit("t").alias("transaction_id"), F.concat(F.lit("s"), "user_id").alias("source_identifier"), (F.col("user_id") % 100).alias("campaign_id"), (F.col("event_id") % 64).cast("int").alias("conversion_value"), F.expr("case event_id % 3 when 0 then 'low' when 1 then 'high' end").alias("coarse_conversion_value"), F.when(F.col("event_id") % 3 == 1, F.col("user_id") % 3).cast("int").alias("postback_sequence_index"), F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 10 == 0).alias("did_win"))
+    return connectors.aggregate_postbacks(rows).drop("version", "transaction_id")
+
+
+@query("s18_audit_report", """
+SELECT 0 AS place, 'event_type,users,events' || chr(13) || chr(10) AS line UNION ALL
+SELECT 1, event_type || ',' || string_agg(DISTINCT CAST(user_id AS VARCHAR), '|' ORDER BY CAST(user_id AS VARCHAR)) FILTER (WHERE user_id < 20) || ',' || count(*) || chr(13) || chr(10) FROM events GROUP BY event_type""")
+def _(t):
+    """A report's file: header, quoted cells, line ends."""
+    rows = t.read("events").groupBy("event_type").agg(F.sort_array(F.collect_set(F.when(F.col("user_id") < 20, F.col("user_id").cast("string")))).alias("users"), F.count("*").alias("events"))
+    return files.csv_report(rows)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .delimited import content_digests, headers, read_csv
 
-__all__ = ["content_digests", "csv_cell", "csv_lines", "flat", "headers", "new_files", "read_csv", "read_json", "read_jsonl", "read_rows", "write_csv", "write_json"]
+__all__ = ["content_digests", "csv_cell", "csv_lines", "csv_report", "flat", "headers", "new_files", "read_csv", "read_json", "read_jsonl", "read_rows", "write_csv", "write_json"]
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -62,3 +62,9 @@ def csv_lines(df: DataFrame, arrays: str = "|") -> DataFrame:
     """One text column of CSV lines; arrays are joined by a bar."""
     cells = [csv_cell(F.array_join(c, arrays) if t.startswith("array") else F.to_json(c) if t.startswith(("struct", "map")) else F.col(c)) for c, t in df.dtypes]
     return df.select(F.concat_ws(",", *cells).alias("line"))
+
+
+def csv_report(df: DataFrame, arrays: str = "|") -> DataFrame:
+    """(place, line): a report as lines that end in a carriage return and a line feed, its header at place 0."""
+    header = df.sparkSession.createDataFrame([(0, ",".join(df.columns) + "\r\n")], "place int, line string")
+    return header.unionByName(csv_lines(df, arrays).select(F.lit(1).alias("place"), F.concat("line", F.lit("\r\n")).alias("line")))

@@ -160,3 +160,38 @@ def test_quantiles_beside_sorted_lists(spark):
             low = int(at)
             high = min(low + 1, len(values) - 1)
             assert r[name] == pytest.approx(values[low] + (at - low) * (values[high] - values[low]), rel=1e-9)
+
+
+def test_policies_lookups_and_series_that_are_unsound(spark, tmp_path):
+    from larkspur.operators import attribution, metrics
+
+    policy = lambda digest: (("2026-01-01", "tenant", "v1", digest),)
+    good = "sha256 of the fields"
+    import hashlib
+
+    good = hashlib.sha256(b'{"authority":"tenant","before":"2026-01-01","policy_version":"v1"}').hexdigest()
+    rows = lambda digest: spark.createDataFrame([policy(digest), (None,)], f"timestamp_stale_policy {ingest.STALE_POLICY}")
+    assert sorted(str(r["stale_before"]) for r in ingest.with_stale_policy(rows(good)).collect()) == ["2026-01-01", "None"]
+    with pytest.raises(Exception, match="policy_digest"):
+        ingest.with_stale_policy(rows("0" * 64)).collect()
+    none = spark.createDataFrame([], "tenant_id string, app_id string, record_id string, attribution_id string, status string, reason_code string, evidence_refs array<string>, decided_at string")
+    done = spark.createDataFrame([("t", "a", "i", "attributed", "r", "d", "1")], "tenant_id string, app_id string, install_record_id string, status string, response_ref string, response_digest string, decided_at string")
+    with pytest.raises(Exception, match="adservices_install_attribution_missing"):
+        attribution.complete_lookups(none, done).collect()
+    assert attribution.complete_lookups(none, done.withColumn("status", F.lit("dropped"))).count() == 0
+    for d in metrics.registry().values():
+        d.check()
+    for change in ({"event_names": ("install",)}, {"grouping": ("metric_date", "country")}, {"calculation": "cohort_size"}, {"zone": "Asia/Tokyo"}):
+        import dataclasses
+
+        with pytest.raises(ValueError, match="series_mismatch"):
+            dataclasses.replace(metrics.registry()["skan_attributed_installs"], **change).check()
+    with pytest.raises(ValueError, match="series_mismatch"):
+        Definition("other", "event_count", event_names=("skan_postback",), grouping=("metric_date",)).check()
+    path = tmp_path / "d.json"
+    path.write_text(json.dumps({"tenant_id": "t", "app_id": "a b", "fx_policy": {"x": 1}, "evaluations": [{"metric_names": ["d0_roas"], "grouping": {}}]}))
+    with pytest.raises(ValueError, match="app_id"):
+        metrics.definition_file(spark, str(path), "2026-01-01")
+    path.write_text(path.read_text().replace("a b", "a"))
+    got = metrics.definition_file(spark, str(path), "2026-01-01")
+    assert got["evaluations"][0]["grouping"] == {"cohort_date": "2026-01-01"} and got["fx_policy"] == {"x": 1}
