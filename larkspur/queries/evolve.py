@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import schemas, text
-from larkspur.operators import attribution, deletion, ingest, publication, recalculate, reconcile
+from larkspur.operators import attribution, deletion, ingest, pages, publication, recalculate, reconcile
 from larkspur.operators.metrics import Definition
 from larkspur.operators.stored import checkpointed
 from larkspur.sources import connectors, files
@@ -342,3 +342,28 @@ def _(t):
     """A report's file: header, quoted cells, line ends."""
     rows = t.read("events").groupBy("event_type").agg(F.sort_array(F.collect_set(F.when(F.col("user_id") < 20, F.col("user_id").cast("string")))).alias("users"), F.count("*").alias("events"))
     return files.csv_report(rows)
+
+
+@query("a18_evidence_pages", """
+SELECT event_type, CAST((place - 1) // 50 AS BIGINT) AS page, string_agg(ref, '|' ORDER BY ref) AS refs, sha256('["' || string_agg(ref, '","' ORDER BY ref) || '"]') AS digest
+FROM (SELECT event_type, CAST(event_id AS VARCHAR) AS ref, row_number() OVER (PARTITION BY event_type ORDER BY CAST(event_id AS VARCHAR)) AS place FROM events) GROUP BY event_type, (place - 1) // 50""")
+def _(t):
+    """Evidence of large scopes as pages of fifty references."""
+    found = pages.evidence_pages(t.read("events"), ["event_type"], "event_id", 50)
+    return found.select("event_type", "page", F.array_join("refs", "|").alias("refs"), "digest")
+
+
+@query("a18_digest_of_pages", """SELECT event_type, sha256('["' || string_agg(CAST(event_id AS VARCHAR), '","' ORDER BY CAST(event_id AS VARCHAR)) || '"]') AS refs_digest, CAST(count(*) AS BIGINT) AS refs, CAST((count(*) + 49) // 50 AS BIGINT) AS pages FROM events GROUP BY event_type""")
+def _(t):
+    """The digest of a scope's whole array, from its pages."""
+    return pages.pages_digest(pages.evidence_pages(t.read("events"), ["event_type"], "event_id", 50), ["event_type"])
+
+
+@query("a16_audit_pages", """
+SELECT subject_ref, CAST((place - 1) // 20 AS BIGINT) AS page, string_agg(ref, '|' ORDER BY ref) AS click_refs FROM (
+  SELECT 'source-day:' || day || ':' || source AS subject_ref, ref, row_number() OVER (PARTITION BY day, source ORDER BY ref) AS place FROM (SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, 's' || user_id % 5 AS source, 'c' || event_id AS ref FROM events WHERE event_type = 'click'))
+GROUP BY subject_ref, (place - 1) // 20""")
+def _(t):
+    """The clicks that source days rest on, as pages under the composed reference."""
+    clicks = t.clicks().select(F.concat_ws(":", F.lit("source-day"), F.to_date("ts").cast("string"), F.concat(F.lit("s"), F.col("user_id") % 5)).alias("subject_ref"), F.concat(F.lit("c"), "event_id").alias("click_ref"))
+    return pages.evidence_pages(clicks, ["subject_ref"], "click_ref", 20).select("subject_ref", "page", F.array_join("refs", "|").alias("click_refs"))

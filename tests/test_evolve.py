@@ -195,3 +195,23 @@ def test_policies_lookups_and_series_that_are_unsound(spark, tmp_path):
     path.write_text(path.read_text().replace("a b", "a"))
     got = metrics.definition_file(spark, str(path), "2026-01-01")
     assert got["evaluations"][0]["grouping"] == {"cohort_date": "2026-01-01"} and got["fx_policy"] == {"x": 1}
+
+
+def test_pages_of_a_hot_scope(spark):
+    """One scope fills most ranges; null scopes, repeats and references in need of escapes; the digest is that of the array."""
+    import hashlib
+    import random
+
+    from larkspur.operators import pages
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot"] * 8 + ["b", None]), rng.choice(['q"', "é", "\\", ""]) + str(rng.randint(0, 900))) for _ in range(4000)] + [("none", None)]
+    found = pages.evidence_pages(spark.createDataFrame(rows, "scope string, record_id string"), ["scope"], size=37, parts=7)
+    got = {}
+    for r in found.orderBy("page").collect():
+        got.setdefault(r["scope"], []).append(r["refs"])
+    want = {s: sorted({x for k, x in rows if k == s}, key=str.encode) for s in ("hot", "b", None)}
+    assert {s: [x for p in ps for x in p] for s, ps in got.items()} == want
+    assert all(len(p) == 37 for ps in got.values() for p in ps[:-1])
+    told = {r["scope"]: (r["refs_digest"], r["refs"], r["pages"]) for r in pages.pages_digest(found, ["scope"]).collect()}
+    assert told == {s: (hashlib.sha256(json.dumps(x, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest(), len(x), -(-len(x) // 37)) for s, x in want.items()}
