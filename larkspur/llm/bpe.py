@@ -217,8 +217,9 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row of docs.
 
-    Null and empty texts have no tokens and the digests of the empty string.  Every row is encoded
-    on its own, so repeated rows and other columns do not matter.
+    Null and empty texts have no tokens and the digests of the empty string.  Texts of any length are
+    encoded whole.  Every row is encoded on its own, so repeated rows and other columns do not matter; an
+    empty table gives an empty result.
     """
 
     def run(batches):

@@ -44,7 +44,9 @@ def shared_folder(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.split("[")[0] == "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return os.environ.setdefault("LARKSPUR_SCRATCH", tempfile.mkdtemp(prefix="larkspur-"))
+    if "LARKSPUR_SCRATCH" not in os.environ:  # a folder of the user's choice, on a local master
+        os.environ["LARKSPUR_SCRATCH"] = tempfile.mkdtemp(prefix="larkspur-")
+    return os.environ["LARKSPUR_SCRATCH"]
 
 
 class Scratch:

@@ -97,8 +97,10 @@ def mixed(docs: DataFrame, share: float = SHARE, seed: int = 7) -> DataFrame:
     """docs with every row repeated as often as the mix takes it.
 
     Rows that share doc_id, source and size are told apart by their ordinal only in number: the
-    copies that they get together are handed to them in the order of their text.  Other columns are
-    carried along, whatever their names.
+    copies that they get together are handed to them in the order of their text.  Null texts have size 0
+    and may be taken, the null source is a source, texts of any length are counted whole, and a null doc_id
+    stands before the others of its size.  Other columns are carried along, whatever their names; an empty
+    table gives an empty result.
     """
     size, twin = "_mixing_size", "_mixing_twin"
     sized = docs.withColumn(size, F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long"))

@@ -120,8 +120,8 @@ def links(distinct: DataFrame, scratch: Scratch, limit: int = 64, depth: int = 3
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) per row of docs: the smallest doc_id reachable over links.
 
-    Null and empty texts have fingerprint zero and link like any other.  Rows with one doc_id are
-    each returned; a null doc_id takes the component of its fingerprint, null if it has none.
+    Null and empty texts have fingerprint zero and link like any other.  Texts of any length are read
+    whole.  Rows with one doc_id are each returned; a null doc_id takes the component of its fingerprint, null if it has none.
     Columns other than doc_id and text are not looked at.  An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
@@ -332,7 +332,9 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without the rows that are near-duplicates of a row with a smaller doc_id.
 
-    Of rows with one doc_id all stay or go together; rows without a doc_id stay.
+    Of rows with one doc_id all stay or go together; rows without a doc_id stay.  Null texts are empty, and
+    texts without words are copies of each other.  Texts of any length are read whole; other columns are
+    carried along; an empty table gives an empty result.
     """
     gone = similar(docs, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -129,8 +129,9 @@ def _scores(column, weights: np.ndarray, bias: float) -> np.ndarray:
 def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep_below: float | None = None) -> DataFrame:
     """(doc_id, score) per row of docs; with keep_below, the rows of docs whose score is below it.
 
-    Null and empty texts have the score of the bias alone.  Repeated rows are scored alike; columns
-    other than text do not enter the score.
+    Null and empty texts have the score of the bias alone.  Texts of any length are scored whole.
+    Repeated rows are scored alike; columns other than text do not enter the score; an empty table gives an
+    empty result.
     """
     spark = prepared(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)

@@ -270,6 +270,39 @@ def test_toxicity(spark, empty):
     assert toxicity.scored(empty, toxicity.learn(empty, marks)).count() == 0
 
 
+def test_toxicity_fit_beside_dictionaries(spark):
+    """The same passes with plain dictionaries, a coordinate at a time, give the same weights and bias."""
+    from math import copysign, exp, sqrt
+
+    from larkspur.llm.hashing import mix
+
+    rng = np.random.default_rng(7)
+    labels = rng.integers(0, 2, 300)
+    rows = [(i, f"{prose(12, rng)} {'so vile a fool' if y else 'a kind day'} {prose(6, rng)}") for i, y in enumerate(labels)]
+    at, weights, bias = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)], "doc_id long, toxic int"))
+    known = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2]
+    known.sort(key=lambda i: int(mix(np.array([i], np.uint64))[0]))
+    import pyarrow as pa
+
+    z, n, b, bn = defaultdict(float), defaultdict(float), -2.0, 0.0
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= toxicity.L1 else -(z[k] - copysign(toxicity.L1, z[k])) / ((toxicity.BETA + sqrt(n[k])) / toxicity.ALPHA + toxicity.L2)
+
+    found = {i: sorted(set(toxicity.features(pa.array([rows[i][1]]))[1].tolist())) for i in known}
+    for _ in range(toxicity.PASSES):
+        for i in known:
+            w = {k: weight(k) for k in found[i]}
+            g = 1 / (1 + exp(-(b + sum(w.values())))) - labels[i]
+            for k in found[i]:
+                z[k] += g - (sqrt(n[k] + g * g) - sqrt(n[k])) / toxicity.ALPHA * w[k]
+                n[k] += g * g
+            bn += g * g
+            b -= 0.1 * g / (1 + sqrt(bn))
+    want = {k: weight(k) for k in z if weight(k)}
+    assert bias == pytest.approx(b) and dict(zip(at.tolist(), weights.tolist())) == pytest.approx(want) and len(want) > 5
+
+
 def test_fingerprints(spark, docs, empty, texts):
     rows = spark.createDataFrame(list(enumerate([*texts, "Straße  ﬁn", "STRASSE fin"])), "doc_id long, text string")
     every = [t or "" for t in [*texts, "Straße  ﬁn", "STRASSE fin"]]
