@@ -18,7 +18,7 @@ CARRIED = ("campaign_id", "ad_group_id", "creative_id", "network", "site_id")
 
 def form_encode(text: Column) -> Column:
     """text as a form field: letters, digits and * - . _ stay, a space is a plus sign."""
-    return F.regexp_replace(F.url_encode(text), "%7E", "%7E")
+    return F.url_encode(text)
 
 
 def encode_referrer(click_id: Column, extras: Column | None = None) -> Column:
