@@ -101,7 +101,10 @@ def postback_message(body: Column) -> Column:
     error names the first field that is missing (a text) or invalid (an integer from 0, a boolean), or an
     unsupported version; a field with ``?`` may be left out, of two joined by a bar the first that is there counts.
     """
-    parsed = F.try_parse_json(body)
+    return F.get(F.transform(F.array(F.try_parse_json(body)), _signed_fields), F.lit(0))  # parsed once
+
+
+def _signed_fields(parsed: Column) -> Column:
     get = lambda name, kind: F.try_variant_get(parsed, f"$['{name}']", kind)
     there = lambda name: get(name, "variant").isNotNull()
     kind_of = lambda name: F.regexp_extract(F.schema_of_variant(get(name, "variant")), "^[A-Z]+", 0)
