@@ -45,7 +45,8 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    flat(df).write.csv(path, header=True, quote='"', escape='"', mode="overwrite")
+    """CSV files with a header each; cells keep the blanks around their text."""
+    flat(df).write.csv(path, header=True, quote='"', escape='"', mode="overwrite", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json(df: DataFrame, path: str) -> None:

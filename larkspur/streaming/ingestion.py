@@ -7,7 +7,7 @@ dropped duplicate is not enough.  The state is a digest and an id per key.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -154,17 +154,38 @@ def since_install(installs: DataFrame, events: DataFrame, days: int, delay: str
     return b.join(a, near).select("e.*", F.col("i.installed_at").alias("installed_at"))
 
 
-def append_idempotent(df: DataFrame, target: str, keys: list[str], checkpoint: str, interval: str | None = None) -> StreamingQuery:
+def drained(deliveries: list[DataFrame], flow: Callable[[Callable[[], DataFrame]], DataFrame], shared: str) -> DataFrame:
+    """What a stream tells of deliveries that land one after another in a folder that the cluster shares.
+
+    flow gets a reader of what has landed and may read more than once.  The stream ends after each
+    delivery and goes on from its checkpoint with the next, so its state outlives its process.
+    """
+    spark, schema = deliveries[0].sparkSession, deliveries[0].schema
+    told = None
+    for rows in deliveries:
+        rows.write.mode("append").parquet(f"{shared}/landed")
+        told = flow(lambda: spark.readStream.schema(schema).parquet(f"{shared}/landed"))
+        writer = told.writeStream.format("parquet").option("path", f"{shared}/told").option("checkpointLocation", f"{shared}/state")
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{shared}/told")
+
+
+def append_idempotent(df: DataFrame, target: str, keys: list[str], checkpoint: str, interval: str | None = None, against_stored: bool = False) -> StreamingQuery:
     """Write a stream to a Parquet folder, one subfolder a batch; a replayed batch replaces its own.
 
     Subfolders are named by a digest of the rows, so the same batch is stored once, also by a stream that
-    starts anew with its checkpoint lost, and other batches of such a stream replace nothing.  What was
-    stored before is not read again: repeats across batches are for the stream's keyed state
-    (``stateful.decisions``, ``resolved``), repeats within a batch go by keys.
+    starts anew with its checkpoint lost, and other batches of such a stream replace nothing.  Repeats
+    within a batch go by keys.  With against_stored a batch also leaves out the keys that are stored (a
+    scan of the key columns a batch), so that rows which come again in another batch, as after a lost
+    checkpoint, are stored once; without it they are for the stream's keyed state
+    (``stateful.decisions``, ``resolved``).
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates(keys).persist()
+        rows = batch.dropDuplicates(keys)
+        if against_stored and stored(batch.sparkSession, target):
+            rows = rows.join(batch.sparkSession.read.schema(batch.schema).parquet(target).select(*keys), keys, "left_anti")
+        rows = rows.persist()
         try:
             n, hashed = rows.agg(F.count("*"), F.sum(F.xxhash64(F.to_json(F.struct("*"))).cast("decimal(38,0)"))).first()
             if n:
@@ -174,3 +195,9 @@ def append_idempotent(df: DataFrame, target: str, keys: list[str], checkpoint: s
 
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in any store that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
