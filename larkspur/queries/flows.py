@@ -11,7 +11,7 @@ from larkspur.functions import canon, instants
 from larkspur.operators import attribution, ingest, metrics, reconcile
 from larkspur.operators.stored import folder
 from larkspur.sources import connectors, files, mapping
-from larkspur.streaming import ingestion
+from larkspur.streaming import ingestion, stateful
 
 from .base import query
 from .domain import _attributed, install_rows
@@ -73,6 +73,19 @@ def _(t):
     return streamed(t, rows, "processing_sequence", lambda read: ingestion.withdrawals(read()), "withdrawals").select("record_id", "withdrawn_at_sequence")
 
 
+@query("z11_guarded_nonces", """
+WITH r AS (SELECT event_id, event_type AS key_id, 'n' || user_id % 10 AS nonce, epoch_us(ts) // 1000 AS at_ms, CASE WHEN event_id % 19 = 0 THEN 'nonce_missing' WHEN event_id % 11 = 0 THEN 'timestamp_out_of_window' END AS refused FROM events),
+uses AS (SELECT key_id, nonce, list([at_ms, event_id] ORDER BY at_ms, CAST(event_id AS VARCHAR)) AS l FROM r WHERE refused IS NULL GROUP BY ALL),
+let AS (SELECT unnest(list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN x[1][1] - a[-1][1] >= 7200000 THEN list_concat(a, x) ELSE a END)) AS u FROM uses)
+SELECT CAST(event_id AS VARCHAR) AS request_id, coalesce(refused, CASE WHEN event_id NOT IN (SELECT u[2] FROM let) THEN 'nonce_reused' END) AS reason FROM r""")
+def _(t):
+    """Requests refused for a nonce that its key used within two hours, over deliveries and a restart."""
+    nonce = F.when(F.col("event_id") % 19 > 0, F.concat(F.lit("n"), F.col("user_id") % 10))
+    sent = F.col("ms") - F.when(F.col("event_id") % 11 == 0, 300_001).otherwise(300_000)
+    rows = t.base().select(F.col("event_id").cast("string").alias("request_id"), F.col("event_type").alias("key_id"), nonce.alias("nonce"), sent.alias("sent_ms"), F.col("ms").alias("at_ms"))
+    return streamed(t, rows, "at_ms", lambda read: stateful.guarded_nonces(read(), 7_200_000), "nonces").select("request_id", "reason")
+
+
 @query("z16_streamed_quarantines", f"""
 WITH q AS (SELECT 'q' || event_id AS decision_id, ms, ms + event_id % 5 * {DAY} AS until_ms FROM (SELECT event_id, event_type, epoch_us(ts) // 1000 AS ms FROM events) WHERE event_type = 'signup')
 SELECT decision_id, until_ms, 'quarantined' AS status FROM q UNION ALL SELECT decision_id, until_ms, 'released' FROM q WHERE until_ms < (SELECT max(ms) FROM q) - 60000""")

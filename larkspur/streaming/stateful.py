@@ -414,3 +414,57 @@ def integrity_queue(events: DataFrame, wait_ms: int = 300_000, delay: str = "1 m
     binding = F.when(F.col("kind") == "queued", F.col("binding")).otherwise(F.col("told.binding"))
     rows = timed.select("tenant_id", "app_id", "verification_id", "kind", "at_ms", "subject_record_id", binding.alias("binding"), "http_status", F.col("told.sound").alias("sound"), F.col("told.down").alias("down"), "at")
     return rows.groupBy("tenant_id", "app_id", "verification_id").transformWithState(Verifications(wait_ms), _VERDICT, "Append", "EventTime")
+
+
+# Signed requests, each nonce of a key once within its time to live.
+
+class Nonces(StatefulProcessor):
+    """By key and nonce: when its last use that was let through expires, forgotten when event time has passed that."""
+
+    def __init__(self, ttl_ms: int, skew_ms: int):
+        if not (ttl_ms > 0 and skew_ms >= 0):
+            raise ValueError("the time to live must be positive and the skew not negative")
+        self.ttl_ms, self.skew_ms = ttl_ms, skew_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.expires = handle.getValueState("expires", "at_ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self.expires.get()[0] if self.expires.exists() else None
+        expires = before
+        for row in sorted(rows, key=lambda r: (r.at_ms, r.request_id)):
+            reason = "nonce_missing" if not row.nonce or not row.key_id else "timestamp_out_of_window" if row.sent_ms is None or abs(row.at_ms - row.sent_ms) > self.skew_ms else None
+            if reason is None and expires is not None and row.at_ms < expires:
+                reason = "nonce_reused"
+            if reason is None:
+                expires = row.at_ms + self.ttl_ms
+            yield Row(request_id=row.request_id, key_id=row.key_id, nonce=row.nonce, at_ms=row.at_ms, reason=reason)
+        if expires != before:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.expires.update((expires,))
+            self.handle.registerTimer(expires)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.expires.exists() and self.expires.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.expires.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def guarded_nonces(requests: DataFrame, ttl_ms: int = 600_000, skew_ms: int = 300_000, delay: str = "10 minutes") -> DataFrame:
+    """Requests (request_id, key_id, nonce, sent_ms, at_ms) with the reason for which each is refused, null if it is not.
+
+    A request is refused without a key or nonce, when the time it says it was sent is more than skew_ms
+    from its receipt, and when its key used the nonce less than ttl_ms before in a request that was let
+    through; one that is refused leaves no trace.  Of requests of one moment the smallest id is first.
+    Requests without a key or nonce are dealt by their id, so that they do not meet in one task.
+    """
+    state_store(requests.sparkSession)
+    missing = F.coalesce(F.col("key_id"), F.lit("")).eqNullSafe("") | F.coalesce(F.col("nonce"), F.lit("")).eqNullSafe("")
+    timed = requests.select("request_id", "key_id", "nonce", "sent_ms", "at_ms", F.timestamp_millis("at_ms").alias("at")).withWatermark("at", delay)
+    dealt = timed.withColumn("use", F.when(missing, F.concat(F.lit("-"), "request_id")).otherwise(F.concat(F.length("key_id"), F.lit(":"), "key_id", "nonce")))
+    return dealt.groupBy("use").transformWithState(Nonces(ttl_ms, skew_ms), "request_id string, key_id string, nonce string, at_ms long, reason string", "Append", "EventTime")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators.stored import folder
 from larkspur.sources import files, mapping
-from larkspur.streaming import ingestion
+from larkspur.streaming import ingestion, stateful
 
 
 def row(expression, df):
@@ -57,3 +57,11 @@ def test_rows_that_come_again_without_a_checkpoint_are_stored_once(spark):
 def test_empty_deliveries_tell_nothing(spark):
     none = spark.createDataFrame([], "ts timestamp, event_name string")
     assert ingestion.drained([none, none], lambda read: ingestion.daily_counts(read()), folder(spark, "none")).count() == 0
+
+
+def test_nonces_are_free_again_after_their_time(spark):
+    asked = [("a", "k", "n", 0, 0), ("b", "k", "n", 99, 99), ("c", "k", "n", 100, 100), ("d", "k", "n", 300, 150), ("e", "k", "n", 200, 200), ("f", "j", "n", 99, 99), ("g", None, "n", 0, 0), ("h", "k", "", 0, 0), ("i", "k", "m", None, 5), ("j", "k", "m", 6, 6)]
+    rows = spark.createDataFrame(asked, "request_id string, key_id string, nonce string, sent_ms long, at_ms long")
+    got = {r["request_id"]: r["reason"] for r in stateful.guarded_nonces(rows, 100, 100).collect()}
+    assert got == {"a": None, "b": "nonce_reused", "c": None, "d": "timestamp_out_of_window", "e": None, "f": None, "g": "nonce_missing", "h": "nonce_missing", "i": "timestamp_out_of_window", "j": None}
+    assert stateful.guarded_nonces(rows.where("false")).count() == 0
