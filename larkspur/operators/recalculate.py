@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import dataclasses
 import json
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import canon, instants, money
@@ -143,17 +144,55 @@ def first_runs(manifests_of: list[Definition], inputs: Inputs, prefix: str, comp
     return reduce(DataFrame.unionByName, [_runs(d, values(d, inputs), prefix, computed_at) for d in manifests_of])
 
 
-def _runs(definition: Definition, rows: DataFrame, prefix: str, computed_at: str) -> DataFrame:
+def _runs(definition: Definition, rows: DataFrame, prefix: str | Column, computed_at: str | Column) -> DataFrame:
     groups = groups_of(definition)
     dimensions = F.to_json(F.struct(*[F.col(g).cast("string").alias(g) for g in sorted(groups)]), {"ignoreNullFields": "false"})
-    out = rows.select("tenant_id", "app_id", dimensions.alias("grouping"), "value", "undefined_reason")
-    seed = F.concat_ws("\u0000", F.lit(prefix), F.lit(stored(definition)), "grouping")
+    out = rows.select("tenant_id", "app_id", dimensions.alias("grouping"), "value", "undefined_reason", F.lit(prefix).alias("prefix"), F.lit(computed_at).alias("computed_at"))
+    seed = F.concat_ws("\u0000", "prefix", F.lit(stored(definition)), "grouping")
     return out.select(
-        F.concat(F.lit(f"{prefix}:"), F.substring(F.sha2(seed, 256), 1, 48)).alias("metric_run_id"), "tenant_id", "app_id", F.lit(definition.metric_name).alias("metric_name"), F.lit(stored(definition)).alias("definition"), "grouping",
-        F.when(F.col("value").isNull(), "undefined").otherwise("present").alias("value_state"), "value", "undefined_reason", F.lit(computed_at).alias("computed_at"), F.lit("current").alias("data_freshness"), F.lit("reproducible").alias("reproducibility_status"), F.lit(None).cast("string").alias("supersedes_metric_run_id"),
+        F.concat("prefix", F.lit(":"), F.substring(F.sha2(seed, 256), 1, 48)).alias("metric_run_id"), "tenant_id", "app_id", F.lit(definition.metric_name).alias("metric_name"), F.lit(stored(definition)).alias("definition"), "grouping",
+        F.when(F.col("value").isNull(), "undefined").otherwise("present").alias("value_state"), "value", "undefined_reason", "computed_at", F.lit("current").alias("data_freshness"), F.lit("reproducible").alias("reproducibility_status"), F.lit(None).cast("string").alias("supersedes_metric_run_id"),
     )
 
 
+def _filled(definition: Definition, wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """A row for each wanted group; one that has no value is undefined."""
+    same = [F.col(f"w.{g}").eqNullSafe(F.col(f"f.{g}")) for g in groups_of(definition)]
+    gone = F.lit(None if definition.calculation == "event_count" else "empty_cohort").cast("string")
+    full = wanted.alias("w").join(found.withColumn("_met", F.lit(True)).alias("f"), same, "left")
+    return full.select("w.*", "f.value", F.when(F.col("f._met"), F.col("f.undefined_reason")).otherwise(gone).alias("undefined_reason"))
+
+
+def file_runs(config: dict, known: list[Definition], inputs: Inputs) -> DataFrame:
+    """The runs that a definitions file (``metrics.definition_file``) asks for: one for each evaluation and metric.
+
+    A run is of the one group that its evaluation names, in the file's scope, over what was received up to
+    the watermark; only these groups' installs or events are joined, and evaluations that differ in their
+    groups alone share a plan.  The file's own definitions take precedence over known ones.  Counts of events
+    are of the ``metric_date``, which is the cohort's date unless an evaluation has it.  Metrics that are not
+    defined and grouping dimensions that are none raise before any job.
+    """
+    by_name = {d.metric_name: d for d in [*known, *(loaded(json.dumps(x)) for x in config["metric_definitions"])]}
+    asked = defaultdict(list)
+    for e in config["evaluations"]:
+        for name in e["metric_names"]:
+            if name not in by_name:
+                raise ValueError(f"metric is not defined: {name}")
+            group = {k: v for k, v in e["grouping"].items() if v is not None}
+            if by_name[name].calculation == "event_count":
+                day = group.pop("cohort_date")
+                group.setdefault("metric_date", day)
+            d = dataclasses.replace(by_name[name], grouping=tuple(sorted(group)))
+            d.check()
+            asked[d, e["input_received_at_watermark"]].append((config["tenant_id"], config["app_id"], *(group[k] for k in d.grouping), e["metric_run_id_prefix"], e["computed_at"]))
+    out = []
+    for (d, watermark), places in asked.items():
+        wanted = inputs.installs.sparkSession.createDataFrame(places, ", ".join(f"`{k}` string" for k in (*groups_of(d), "_prefix", "_at")))
+        found = values(d, inputs.until(watermark), wanted.select(*groups_of(d)))
+        out.append(_runs(d, _filled(d, wanted, found), F.col("_prefix"), F.col("_at")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def superseding(runs: DataFrame, before: Inputs, after: Inputs, records: DataFrame, cause: str, computed_at: str, status: str = "redaction_affected") -> DataFrame:
     """Runs that supersede the live runs of the groups which records (deleted, or late) have a part in.
 
@@ -166,14 +205,9 @@ def superseding(runs: DataFrame, before: Inputs, after: Inputs, records: DataFra
     live = not_superseded(runs, "metric_run_id", "supersedes_metric_run_id").select("tenant_id", "app_id", "definition", "grouping", F.col("metric_run_id").alias("_old"))
     out = []
     for d in definitions(runs):
-        groups = groups_of(d)
         wanted = affected(d, before, records).unionByName(affected(d, after, records)).distinct()
         fresh = values(d, after, wanted)
-        same = [F.col(f"w.{g}").eqNullSafe(F.col(f"f.{g}")) for g in groups]
-        gone = F.lit(None if d.calculation == "event_count" else "empty_cohort").cast("string")
-        full = wanted.alias("w").join(fresh.withColumn("_met", F.lit(True)).alias("f"), same, "left")
-        full = full.select("w.*", "f.value", F.when(F.col("f._met"), F.col("f.undefined_reason")).otherwise(gone).alias("undefined_reason"))
-        out.append(_runs(d, full, cause, computed_at))
+        out.append(_runs(d, _filled(d, wanted, fresh), cause, computed_at))
     new = reduce(DataFrame.unionByName, out).withColumn("data_freshness", F.lit("recalculated")).withColumn("reproducibility_status", F.lit(status))
     met = new.join(live, ["tenant_id", "app_id", "definition", "grouping"], "left").withColumn("supersedes_metric_run_id", F.col("_old"))
     named = F.concat(F.lit(f"{cause}:"), F.substring(canon.digest_array([F.lit(cause), F.col("_old")]), 1, 48))

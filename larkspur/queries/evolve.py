@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import schemas, text
-from larkspur.operators import attribution, deletion, ingest, pages, publication, recalculate, reconcile
+from larkspur.operators import attribution, deletion, ingest, metrics, pages, publication, recalculate, reconcile
 from larkspur.operators.metrics import Definition
-from larkspur.operators.stored import checkpointed
+from larkspur.operators.stored import checkpointed, folder
 from larkspur.sources import connectors, files
 from larkspur.streaming import stateful
 
@@ -196,6 +197,27 @@ def _(t):
     return shown(not_superseded(runs.unionByName(new), "metric_run_id", "supersedes_metric_run_id")).where("value_state = 'present'")
 
 
+ASKED = ("cohort_install_count", "d7_revenue", "cohort_ltv_d7_usd", "retention_d1")
+
+
+@query("m4_definition_file_runs", f"""WITH {LEDGER}, people AS ({CTES['people']}), {metric_sql(f'NOT ({LATE})')},
+names AS (SELECT DISTINCT c_mktsegment AS campaign_id FROM customer),
+one AS (SELECT campaign_id, count(*) AS n, sum(cents_7) AS cents, sum(active) AS act FROM per WHERE tenant_id = 't0' AND app_id = 'a0' AND cohort_date = '2024-01-03' GROUP BY campaign_id),
+told AS (
+  SELECT campaign_id, 'cohort_install_count' AS metric_name, CAST(n AS HUGEINT) AS value FROM names LEFT JOIN one USING (campaign_id) UNION ALL SELECT campaign_id, 'd7_revenue', cents FROM names LEFT JOIN one USING (campaign_id)
+  UNION ALL SELECT campaign_id, 'cohort_ltv_d7_usd', {_ratio('cents', 'n')} FROM names LEFT JOIN one USING (campaign_id) UNION ALL SELECT campaign_id, 'retention_d1', {_ratio('act', 'n')} FROM names LEFT JOIN one USING (campaign_id))
+SELECT metric_name, campaign_id, CAST(value AS VARCHAR) AS value, CASE WHEN value IS NULL THEN 'undefined' ELSE 'present' END AS value_state, CASE WHEN value IS NULL THEN 'empty_cohort' END AS undefined_reason, '2024-01-03T23:59:59.999Z' AS computed_at FROM told""")
+def _(t):
+    """Runs of a definitions file of one day, with an evaluation for each campaign, written and read like any file."""
+    campaigns = [r[0] for r in t.read("customer").select("c_mktsegment").distinct().orderBy("c_mktsegment").limit(1000).collect()]
+    asked = {"tenant_id": "t0", "app_id": "a0", "fx_policy": {"target_currency": "USD"}, "evaluations": [{"metric_names": list(ASKED), "grouping": {"campaign_id": c}} for c in campaigns]}
+    path = folder(t.spark, "definitions")
+    t.spark.createDataFrame([(json.dumps(asked),)], "value string").coalesce(1).write.text(path)
+    file = metrics.definition_file(t.spark, path, "2024-01-03")
+    runs = recalculate.file_runs(file, DEFINITIONS, inputs(t))
+    return runs.select("metric_name", F.get_json_object("grouping", "$.campaign_id").alias("campaign_id"), F.col("value").cast("string").alias("value"), "value_state", "undefined_reason", "computed_at")
+
+
 SNAPSHOTS = """
 days AS (SELECT 't' || user_id % 3 AS tenant_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS clicks, sum(cents) AS cents FROM base WHERE event_type = 'click' {0} GROUP BY ALL),
 keyed AS (SELECT *, sha256('{{"cents":' || cents || ',"clicks":' || clicks || ',"day":"' || day || '","tenant_id":"' || tenant_id || '"}}') AS input_snapshot_id FROM days)

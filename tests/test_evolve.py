@@ -215,3 +215,21 @@ def test_pages_of_a_hot_scope(spark):
     assert all(len(p) == 37 for ps in got.values() for p in ps[:-1])
     told = {r["scope"]: (r["refs_digest"], r["refs"], r["pages"]) for r in pages.pages_digest(found, ["scope"]).collect()}
     assert told == {s: (hashlib.sha256(json.dumps(x, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest(), len(x), -(-len(x) // 37)) for s, x in want.items()}
+
+
+def test_runs_of_a_definitions_file(spark):
+    base = "tenant_id string, app_id string, installation_id string, record_id string, received_at string"
+    table = lambda extra, *rows: spark.createDataFrame([("t", "a", *r) for r in rows], f"{base}, {extra}")
+    installs = table("installed_ms long, campaign_id string, cohort_date string", ("i", "r1", "2026-01-01", 0, "c", "1970-01-01"), ("j", "r2", "2026-01-09", 0, "c", "1970-01-01"))
+    revenue = table("occurred_ms long, value long", ("i", "r3", "2026-01-01", 5, 7)).withColumn("value", F.col("value").cast("decimal(38,0)"))
+    events = table("occurred_ms long, event_name string", ("i", "r4", "2026-01-01", 5, "click"), ("i", "r5", "2026-01-01", 86_400_005, "click"))
+    inputs = recalculate.Inputs(installs, revenue, revenue.drop("value"), events, installs.select("tenant_id", "app_id", "campaign_id", "record_id", "received_at").withColumn("cost", F.lit(1)))
+    known = [Definition("size", "cohort_size", grouping=("country",)), Definition("clicks", "event_count", event_names=("view",), grouping=("metric_date",)), Definition("ltv", "revenue_over_cohort", 0)]
+    own = {"metric_name": "clicks", "calculation": "event_count", "event_names": ["click"], "grouping": ["metric_date"]}
+    one = lambda names, **grouping: {"metric_names": names, "grouping": {"cohort_date": "1970-01-01", **grouping}, "input_received_at_watermark": "2026-01-02", "computed_at": "z", "metric_run_id_prefix": "p"}
+    config = {"tenant_id": "t", "app_id": "a", "metric_definitions": [own], "evaluations": [one(["size", "ltv"], campaign_id="c"), one(["size"], campaign_id="none"), one(["clicks"]), one(["clicks"], metric_date="1970-01-02")]}
+    got = [(r["metric_name"], r["value"] and int(r["value"]), r["undefined_reason"]) for r in recalculate.file_runs(config, known, inputs).orderBy("metric_name", F.desc("value")).collect()]
+    assert got == [("clicks", 1, None), ("clicks", 1, None), ("ltv", 7_000_000, None), ("size", 1, None), ("size", None, "empty_cohort")]
+    for wrong in (one(["none"]), one(["size"], planet="x")):
+        with pytest.raises(ValueError, match="not defined|unknown grouping"):
+            recalculate.file_runs({**config, "evaluations": [wrong]}, known, inputs)
