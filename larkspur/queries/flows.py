@@ -239,6 +239,17 @@ def _(t):
     return decided.select("attribution_id", "reason_code", F.array_join("evidence_refs", "|").alias("refs"))
 
 
+@query("t3_lookup_outcomes", """
+WITH o AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'adservices_attributed' WHEN 1 THEN 'adservices_token_expired' WHEN 2 THEN 'adservices_not_attributed' WHEN 3 THEN 'adservices_lookup_unavailable' ELSE 'platform_referrer_not_available' END AS reason_code FROM events WHERE event_type = 'signup')
+SELECT 'attr:install:' || event_id AS attribution_id, CASE WHEN event_id % 5 = 0 THEN 'non_organic' ELSE 'unattributed' END AS status, CASE WHEN event_id % 5 < 4 THEN 'apple_adservices' ELSE 'none' END AS method, reason_code, 'install:' || event_id AS refs FROM o""")
+def _(t):
+    """Every outcome of a token's lookup, and installs that have none."""
+    install, click = install_rows(t)
+    told = F.expr("case cast(substring_index(record_id, ':', -1) as long) % 5 when 0 then 'attributed' when 1 then 'token_expired' when 2 then 'not_attributed' when 3 then 'lookup_unavailable' end")
+    install = install.withColumns({"producer": F.lit("sdk"), "encrypted_referrer_status": F.lit(None).cast("string"), "referrer_status": F.lit("not_applicable"), "adservices_status": told})
+    return attribution.installs(install, click).select("attribution_id", "status", "method", "reason_code", F.array_join("evidence_refs", "|").alias("refs"))
+
+
 @query("a20_ledger_positions", "SELECT user_id, max(strftime(epoch_ms(ms), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') || 'Z:' || event_id) AS ledger_position FROM base GROUP BY user_id", ("base",))
 def _(t):
     rows = t.base().select("user_id", instants.canonical(TIME("ms")).alias("received_at"), F.col("event_id").cast("string").alias("record_id"), F.lit("available").alias("lifecycle_status"), F.lit("p").alias("policy_digest"))
