@@ -94,23 +94,19 @@ def token_buckets(requests: DataFrame, rate: float, burst: float, delay: str = "
     return timed.groupBy("key_id").applyInPandasWithState(_bucket(rate, burst), "key_id string, request_id string, at_ms long, allowed boolean", "tokens double, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _release(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    columns = ["decision_id", "until_ms", "status"]
-    if state.hasTimedOut:
-        until = state.get[0]
-        state.remove()
-        yield pd.DataFrame([[key[0], until, "released"]], columns=columns)
-        return
-    until = max([*(int(v) for f in frames for v in f["until_ms"]), state.getOption[0] if state.exists else 0])
-    state.update((until,))
-    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame([[key[0], until, "quarantined"]], columns=columns)
-
-
 def quarantines(decisions: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Quarantined decisions (decision_id, decided_ms, until_ms), and their release when event time passes the deadline."""
+    """Quarantined decisions (decision_id, decided_ms, until_ms), and their release when event time passes the deadline.
+
+    A decision's quarantine is a session from its time to the millisecond after its deadline, or after its own
+    time if that is later; those of one decision that meet are one, which ends with the last.  So state, merging
+    and expiry are Spark's own, without a Python call a decision.  Every row is told as quarantined, also one that comes
+    late; one without a deadline, or that comes after event time has passed it, is not released.
+    """
     timed = decisions.withColumn("at", F.timestamp_millis("decided_ms")).withWatermark("at", delay)
-    return timed.groupBy("decision_id").applyInPandasWithState(_release, "decision_id string, until_ms long, status string", "until_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+    gap = F.make_interval(secs=((F.greatest("until_ms", "decided_ms") - F.col("decided_ms") + 1) / 1000).cast("decimal(18,6)"))
+    held = timed.where("until_ms is not null").groupBy("decision_id", F.session_window("at", gap)).agg(F.max("until_ms").alias("until_ms"))
+    told = decisions.select("decision_id", "until_ms", F.lit("quarantined").alias("status"))
+    return told.unionByName(held.select("decision_id", "until_ms", F.lit("released").alias("status")))
 
 
 def _withdrawn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
