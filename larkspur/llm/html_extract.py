@@ -13,11 +13,13 @@ repeated in the host; it is boilerplate if it stands on enough distinct pages of
 outside of articles, three fifths inside.  Runs go over the borders of blocks, and a block goes if runs
 cover all of it; a block with a word of its own stays whole, so no sentence loses its head to the
 template before it.  A page all of whose blocks are covered has no text of its own, and a block of it
-stays only if more than half of the pages that have it are such pages: these are copies of one article.
+stays only if the host's such pages are more than half as many as the pages that have the block: these
+are copies of one article.
 
 Hosts of over ``SHARD`` pages are dealt into shards by a hash of page_id, yet judged as a whole: the
 shards tell the runs that stand on a share of their pages, the sums decide, and runs that only some
-shards told are counted again.  The result is the same for any size of shard.
+shards told are counted again; so are the pages without text of their own, in hosts that have runs on
+enough pages.  The result is the same for any size of shard.
 """
 
 from __future__ import annotations
@@ -290,8 +292,8 @@ class Shard:
             key += mix(self.tokens[at + k]) * np.uint64((2 * k + 3) ** 11)
         return mix(key)
 
-    def texts(self, support: np.ndarray, total: int) -> list[str]:
-        """Texts without the blocks that are boilerplate; ``support`` is that of each class among ``total`` pages."""
+    def judged(self, support: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """Which blocks are boilerplate, the pages that have each, and the pages of such blocks only; ``support`` is that of each class among ``total`` pages."""
         at = support[self.cls]
         covered = boilerplate(self.starts, at, self.own, total)
         most = np.zeros(len(covered), np.int64)  # the pages that have the run of most pages at each token
@@ -302,14 +304,30 @@ class Shard:
         gone = np.logical_and.reduceat(covered, starts) if len(starts) else np.zeros(0, bool)
         often = np.maximum.reduceat(most, starts) if len(starts) else np.zeros(0, np.int64)
         edges = np.cumsum([0, *map(len, self.pages)])
-        hollow = [b > a and bool(gone[a:b].all()) for a, b in zip(edges, edges[1:])]
-        copies = sum(hollow) * total / max(1, self.count)
-        out = []
-        for page, empty, a in zip(self.pages, hollow, edges.tolist()):
-            left = [b for i, (_, b) in enumerate(page, a) if not gone[i] or (empty and 2 * copies > often[i])]
+        return gone, often, [b > a and bool(gone[a:b].all()) for a, b in zip(edges, edges[1:])]
+
+    def texts(self, support: np.ndarray, total: int, copies: int | None = None) -> list[str]:
+        """Texts without the blocks that are boilerplate; ``copies`` is the host's number of pages of such blocks only, if these are not all its pages."""
+        gone, often, hollow = self.judged(support, total)
+        copies = sum(hollow) if copies is None else copies
+        out, i = [], 0
+        for page, empty in zip(self.pages, hollow):
+            left = [b for k, (_, b) in enumerate(page, i) if not gone[k] or (empty and 2 * copies > often[k])]
             out.append("\n".join(map(" ".join, left)))
+            i += len(page)
         return out
 
+    def told(self, values: np.ndarray) -> tuple[np.ndarray, int, int]:
+        """(support of each class, pages, pages without text of their own) of the host, from its counts."""
+        total, copies, keys, n = int(values[0]), int(values[1]), values[2::2], values[3::2]
+        support = np.zeros(len(self.support), np.int64)
+        if len(keys):
+            order = np.argsort(keys)
+            mine = signed(self.keys())
+            at = np.minimum(np.searchsorted(keys[order], mine), len(keys) - 1)
+            support = np.where(keys[order][at] == mine, n[order][at], 0)
+        return support, total, copies
+
 
 _OPEN = zstandard.ZstdDecompressor()
 
@@ -337,11 +355,12 @@ def _shards(batches) -> Iterator[tuple[tuple, list, bytes | None, Shard]]:
 
 
 def _counted(parsed: DataFrame, hosts: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
-    """For each sharded host, its number of pages, and its runs that may be boilerplate with their pages, as rows of kind 0.
+    """For each sharded host, its number of pages, of those without text of their own, and its runs that may be boilerplate with their pages, as rows of kind 0.
 
     A shard tells its runs that stand on half of the least share of its pages or more.  If all shards of
     a host tell a run, its pages are known; else they are counted again, unless the shards that did not
-    tell it cannot make the difference.
+    tell it cannot make the difference.  With the runs known, each shard counts its pages without text of
+    their own; hosts without such runs have none.
     """
     low = min(share for _, share in LEAST.values())
 
@@ -358,6 +377,11 @@ def _counted(parsed: DataFrame, hosts: DataFrame, scratch: Scratch, parts: int)
             hit = np.isin(keys, asked)
             yield pa.RecordBatch.from_arrays([pa.array([host] * int(hit.sum()), pa.string()), pa.array(keys[hit]), pa.array(shard.support[hit])], ["host", "key", "n"])
 
+    def count_hollow(batches):
+        for (host, _), _, told, shard in _shards(batches):
+            support, total, _ = shard.told(np.frombuffer(told, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([sum(shard.judged(support, total)[2])], pa.int64())], ["host", "copies"])
+
     def packed(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, np.int64).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["host", "data"])
@@ -374,8 +398,14 @@ def _counted(parsed: DataFrame, hosts: DataFrame, scratch: Scratch, parts: int)
         some = parsed.join(open_.select("host").distinct(), "host", "left_semi").select(*parsed.columns)
         known = known.unionByName(_dealt(some.unionByName(asked), parts).mapInArrow(count, "host string, key long, n long").groupBy("host", "key").agg(F.sum("n").alias("n")))
     pairs = known.groupBy("host").agg(F.flatten(F.collect_list(F.array("key", "n"))).alias("k"))
-    told = totals.join(pairs, "host", "left").select("host", F.concat(F.array("total"), F.coalesce("k", F.array().cast("array<bigint>"))).alias("k"))
-    return _told(told.mapInArrow(packed, "host string, data binary"), hosts)
+    told = scratch.keep(totals.join(pairs, "host", "left").select("host", "total", F.coalesce("k", F.array().cast("array<bigint>")).alias("k")))
+    whole = lambda rows, copies: _told(rows.select("host", F.concat(F.array("total", copies), "k").alias("k")).mapInArrow(packed, "host string, data binary"), hosts)
+    having = told.where(F.size("k") > 0)
+    if not having.head(1):
+        return whole(told, F.lit(0).cast("long"))
+    some = parsed.join(having.select("host"), "host", "left_semi").select(*parsed.columns)
+    copies = _dealt(some.unionByName(whole(having, F.lit(0).cast("long"))), parts).mapInArrow(count_hollow, "host string, copies long").groupBy("host").agg(F.sum("copies").alias("copies"))
+    return whole(told.join(copies, "host", "left"), F.coalesce("copies", F.lit(0)))
 
 
 def _told(data: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -421,17 +451,7 @@ def main_text(pages: DataFrame, shard: int = SHARD) -> DataFrame:
                 yield batch
 
         for _, held, told, pages in _shards(looked(batches)):
-            support, total = pages.support, pages.count
-            if told is not None:
-                values = np.frombuffer(told, np.int64)
-                total, keys, n = int(values[0]), values[1::2], values[2::2]
-                support = np.zeros(len(pages.support), np.int64)
-                if len(keys):
-                    order = np.argsort(keys)
-                    mine = signed(pages.keys())
-                    at = np.minimum(np.searchsorted(keys[order], mine), len(keys) - 1)
-                    support = np.where(keys[order][at] == mine, n[order][at], 0)
-            texts = pages.texts(support, total)
+            texts = pages.texts(pages.support, pages.count) if told is None else pages.texts(*pages.told(np.frombuffer(told, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], kind), pa.array([x for _, x in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     def parsed(some: DataFrame, shards) -> DataFrame:

@@ -508,6 +508,17 @@ def test_pages_of_one_template(spark):
     assert got == {**{i: f"Story number {i} about topic {i * i}" for i in range(5)}, 5: "", **{10 + i: whole for i in range(5)}, **{20 + i: f"Own text {i}" for i in range(6)}, **{30 + i: whole for i in range(4)}, **{40 + i: f"Own text {i}" for i in range(5)}}
 
 
+def test_copies_are_counted_over_all_shards(spark):
+    """Copies about half as many as the pages of their block: the host's count says what stays, not that of a shard."""
+    copy, rows = "One article that many pages of the house have, as it was told to its readers", []
+    for k in range(1, 12):
+        rows += [(i, f"http://h{k}.example/{i}", f"<p>{copy}</p>" + f"<p>Own text {i}</p>" * (i > k)) for i in range(1, 13)]
+    want = {(u, copy if i > 6 else "") for i, u, t in rows if "Own" not in t for i in [int(u.split(".")[0][8:])]} | {(u, f"Own text {i}") for i, u, t in rows if "Own" in t}
+    for shard in (1000, 5, 3):
+        got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), shard)
+        assert {(r["url"], r["text"]) for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("piece", ["<a ", '<a b="', "<a b='", "</script", "<script>", "<div class=ad>", "<form>", "</b>", "<!--", "<", "<p", "<div", '<i a="x">', "<b><p></i>", "<!x", "&amp", "<li>", "<a '>", "<div class='sidebar'><b>x"])
 def test_long_pages_take_linear_time(piece):
     for tail in ("", ">", "'>\">"):
