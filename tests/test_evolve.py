@@ -98,6 +98,23 @@ def test_ledgers_get_an_execution_once(spark, tmp_path):
     assert {r["ref"] for r in now["purges"].where("privacy_request_id = 'q2'").collect()} == {"encrypted:1", "encrypted:2", "body1", "body2", "body3"}
 
 
+def test_a_tenant_is_no_task_and_null_keys_are_stored_once(spark):
+    """Requests for an app or a tenant meet its records in many tasks, unsorted; a key with a null is found again."""
+    raw = spark.range(4000).select(F.lit("t").alias("tenant_id"), F.when(F.col("id") % 2 == 0, "a").alias("app_id"), F.col("id").cast("string").alias("record_id"))
+    facts = [raw.limit(0).withColumn("installation_id", F.lit("i"))]
+    schema = "privacy_request_id string, tenant_id string, app_id string, deletion_scope string, installation_id string, completed_at string"
+    requests = spark.createDataFrame([("q1", "t", "a", "app", None, "2026-01-02"), ("q2", "t", None, "tenant", None, "2026-01-03")], schema)
+    wide = deletion._wide(raw, requests.where("deletion_scope = 'tenant'").select("tenant_id", "privacy_request_id"), ["tenant_id"], "record_id")
+    told = wide._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in told and "SortMergeJoin" not in told
+    reached = deletion.reached_records(requests, facts, raw)
+    assert {r["privacy_request_id"]: r["count"] for r in reached.groupBy("privacy_request_id").count().collect()} == {"q1": 2000, "q2": 4000}
+    rows = reached.select("tenant_id", "app_id", "privacy_request_id", "record_id", F.lit("x").alias("lifecycle_status"))
+    first = deletion.added(rows.unionByName(rows.withColumn("lifecycle_status", F.lit("w"))), rows.where("false"), "tombstones")
+    assert first.columns == rows.columns and {(r["lifecycle_status"], r["count"]) for r in first.groupBy("lifecycle_status").count().collect()} == {("w", 6000)}
+    assert deletion.added(rows, first, "tombstones").count() == 0
+
+
 def test_stored_definitions():
     d = Definition("d3_roas", "revenue_over_cost", 3, grouping=("campaign_id",))
     assert recalculate.loaded(recalculate.stored(d)) == d
