@@ -3,7 +3,8 @@
 A range cannot tell by itself whether it begins inside quotes.  A first pass counts the quotes of each
 range; the sums before a range say so, and a second pass cuts every range into records in the order of
 the file.  A record over a border comes as fragments, which are put together by their ranges.  Nothing
-but these fragments is shuffled, and no task holds more than the rows of a batch and one record.
+but these fragments is shuffled, and no task holds more than a batch of about ``BATCH`` bytes each way and
+one record, however long the lines are.
 """
 
 from __future__ import annotations
@@ -16,6 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes of text that a task gets or tells at once.
+BATCH = 1 << 20
+#: Lines that are made Python's at once.
+LINES = 256
+
 _PIECE = re.compile(r'"(?:[^"]+|"")*(?:"|\Z)|,|[^",]+')
 
 
@@ -50,7 +56,13 @@ def blocks(rows: DataFrame) -> DataFrame:
     return sums.select("file", "block", checked.cast("boolean").alias("inside"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, LINES):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, LINES).columns))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Records (kind 0), the end of one that began before the range (1), one that does not end in it (2), one that goes through it (3)."""
     key, held, inside, begun, count, out = None, [], False, True, 0, []
 
@@ -59,51 +71,77 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.append((*key, count, kind, "".join(held)))
         held, begun, count = [], True, count + 1
 
-    for batch in batches:
-        for file, block, started, value in zip(*(c.to_pylist() for c in batch.columns)):
-            if (file, block) != key:
-                if inside:
-                    emit(2 if begun else 3)
-                key, held, inside, begun, count = (file, block), [], started, not started, 0
-            for part in re.split("(\r)", value) if "\r" in value else [value]:
-                if part == "\r" and not inside:
-                    emit(0 if begun else 1)
-                    continue
-                held.append(part)
-                inside ^= part.count('"') % 2 == 1
+    for file, block, started, value in _rows(batches):
+        if (file, block) != key:
             if inside:
-                held.append("\n")
-            else:
+                emit(2 if begun else 3)
+            key, held, inside, begun, count = (file, block), [], started, not started, 0
+        for part in re.split("(\r)", value) if "\r" in value else [value]:
+            if part == "\r" and not inside:
                 emit(0 if begun else 1)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], _COLUMNS)
-            out.clear()
+                continue
+            held.append(part)
+            inside ^= part.count('"') % 2 == 1
+        if inside:
+            held.append("\n")
+        else:
+            emit(0 if begun else 1)
+        yield from out
+        out.clear()
     if inside:
         emit(2 if begun else 3)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], _COLUMNS)
+        yield from out
+
+
+def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows with their bytes before them as batches of about ``BATCH`` bytes."""
+    out, size = [], 0
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
+    for n, *row in rows:
+        out.append(row)
+        size += n + 64
+        if size > BATCH:
+            yield told()
+            out, size = [], 0
+    if out:
+        yield told()
 
-_COLUMNS, _TYPES = ["file", "block", "number", "kind", "text"], [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+
+_CELLS = pa.schema([("file", pa.string()), ("block", pa.int64()), ("number", pa.int64()), ("cells", pa.list_(pa.string()))])
+_PARTS = pa.schema([("file", pa.string()), ("block", pa.int64()), ("number", pa.int64()), ("kind", pa.int32()), ("text", pa.string())])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of the records that begin and end in a range."""
+    return _batched(((len(text), *at, cells(text)) for *at, kind, text in _cut(batches) if kind == 0), _CELLS)
+
+
+def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _batched(((len(text), *at, kind, text) for *at, kind, text in _cut(batches) if kind > 0), _PARTS)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [cells(x) for x in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.string()))], ["file", "block", "number", "cells"])
+    return _batched(((len(text), *at, cells(text)) for *at, text in _rows(batches)), _CELLS)
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, number, cells) of the records of CSV files in their order by these; records without text are left out."""
+    """(file, block, number, cells) of the records of CSV files in their order by these; records without text are left out.
+
+    Arrow batches of the session have at most ``BATCH`` bytes from here on.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     rows = lines(spark, path)
     some = rows.join(F.broadcast(blocks(rows)), ["file", "block"]).select("file", "block", "inside", "value")
-    cut = some.mapInArrow(_cut, "file string, block long, number long, kind int, text string")
+    parsed = "file string, block long, number long, cells array<string>"
     # A record over borders: one begins (2), some go through (3), one ends (1); they count as the record of the range it begins in.
     order = Window.partitionBy("file").orderBy("block", "number")
-    parts = cut.where("kind > 0").withColumn("record", F.sum((F.col("kind") == 2).cast("int")).over(order))
+    parts = some.mapInArrow(_fragments, "file string, block long, number long, kind int, text string").withColumn("record", F.sum((F.col("kind") == 2).cast("int")).over(order))
     joined = parts.groupBy("file", "record").agg(F.min("block").alias("block"), F.max_by("number", F.col("kind") == 2).alias("number"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "").alias("text"))
-    whole = cut.where("kind = 0").select("file", "block", "number", "text").unionByName(joined.select("file", "block", "number", "text"))
-    parsed = whole.mapInArrow(_parsed, "file string, block long, number long, cells array<string>")
-    return parsed.where(F.array_join("cells", "") != "")
+    found = some.mapInArrow(_whole, parsed).unionByName(joined.select("file", "block", "number", "text").mapInArrow(_parsed, parsed))
+    return found.where(F.array_join("cells", "") != "")
 
 
 def headers(spark: SparkSession, path: str) -> list[str]:

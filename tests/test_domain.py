@@ -3,6 +3,7 @@ import json
 import random
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,18 @@ def test_csv_reader(spark, tmp_path):
     assert files.new_files(files.content_digests(spark, str(path)), spark.createDataFrame([], "digest string")).count() == 1
 
 
+def test_csv_tasks_hold_little(spark, tmp_path):
+    """One large batch of lines is told in batches of about BATCH bytes, records in order; a record over lines is whole."""
+    values = [f'{i},"{"x" * 2000}' if i % 2 == 0 else f'{"y" * 2000}",z' for i in range(4000)]
+    n = len(values)
+    lines = pa.RecordBatch.from_arrays([pa.array(["f"] * n), pa.array([0] * n, pa.int64()), pa.array([False] * n), pa.array(values)], ["file", "block", "inside", "value"])
+    got = list(delimited._whole(iter([lines])))
+    assert len(got) == 8 and max(b.nbytes for b in got) < 1.2 * delimited.BATCH
+    told = [c for b in got for c in b.column("cells").to_pylist()]
+    assert told == [[str(i), "x" * 2000 + "\n" + "y" * 2000, "z"] for i in range(0, n, 2)]
+    assert list(delimited._fragments(iter([lines]))) == []
+
+
 def reference_records(source):
     """CSV by a scan of its characters."""
     rows, row, cell, quoted, i = [], [], "", False, 0
