@@ -1,6 +1,7 @@
 """Schemas, deletions, recalculation and publication over crafted rows."""
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import schemas
 from larkspur.operators import deletion, ingest, publication, recalculate
 from larkspur.operators.metrics import Definition
+from larkspur.queries import QUERIES
 
 MONEY = {"amount_unscaled": "-120", "amount_scale": 2, "currency": "USD"}
 SOUND = {
@@ -115,6 +117,16 @@ def test_a_tenant_is_no_task_and_null_keys_are_stored_once(spark):
     assert deletion.added(rows, first, "tombstones").count() == 0
 
 
+def test_a_second_execution_meets_every_ledger(spark, tmp_path):
+    """A first execution stores the rows of all ledgers, purges too, and a second one meets them."""
+    kinds = ("click", "signup", "view", "purchase", "error")
+    events = [(i, datetime(2024, 1, 1), i % 20, kinds[i // 20 % 5], 1.0, None) for i in range(400)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    told = {r["ledger"]: (r["first"], r["second"]) for r in QUERIES["v4_second_execution"](spark, str(tmp_path)).collect()}
+    assert set(told) == set(deletion.KEYS) and all(first > 0 and second == 0 for first, second in told.values())
+    assert told["purges"][0] == QUERIES["v4_purges"](spark, str(tmp_path)).count()
+
+
 def test_stored_definitions():
     d = Definition("d3_roas", "revenue_over_cost", 3, grouping=("campaign_id",))
     assert recalculate.loaded(recalculate.stored(d)) == d
